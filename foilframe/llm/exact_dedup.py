@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from foilframe.llm.staging import as_table, documents, new_path, stage, text_or_empty
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: RocksDB would set aside megabytes of disk for the log of each of many small stores.
+_STATE = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 
 
 def normalised(text: Column) -> Column:
@@ -62,8 +63,9 @@ def dedup_state(stream: DataFrame, name: str = "dedup") -> DataFrame:
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    before = spark.conf.get(_PROVIDER)
-    spark.conf.set(_PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in _STATE}
+    for k, v in _STATE.items():
+        spark.conf.set(k, v)
     try:
         query = (
             states.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
@@ -71,7 +73,8 @@ def dedup_state(stream: DataFrame, name: str = "dedup") -> DataFrame:
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(_PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     found = spark.read.option("basePath", out).schema(f"{_ddl(states)}, batch int")
     batches = [p["batchId"] for p in query.recentProgress if p["numInputRows"]]
     if not batches:
