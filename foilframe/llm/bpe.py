@@ -26,6 +26,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foilframe.llm.staging import documents
 
@@ -245,30 +246,32 @@ def decode_ids(encoded: DataFrame, path: str | None = None, id_col: str = "doc_i
     return source.mapInArrow(run, f"`{id_col}` {source.schema[id_col].dataType.simpleString()}, decoded binary")
 
 
-def round_trip_digests(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes each text, decodes the ids again and returns the digests of both, so that neither travels.
+def round_trip_digests(docs: DataFrame, path: str | None = None, pattern: str | None = None, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Encodes each text, decodes the ids again and returns the digests of both, so that the decoded bytes don't travel.
 
-    id, n_tokens, ids_sha256 (of the ids as little-endian 32-bit integers),
-    decoded_sha256 (of the bytes the ids decode to).
+    The columns keep, n_tokens, ids_sha256 (of the ids as little-endian 32-bit
+    integers), decoded_sha256 (of the bytes the ids decode to) and, if asked for, ids.
     """
     shared, pattern = _vocabulary(docs.sparkSession, path, pattern)
+    names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value, pattern)
         for batch in batches:
-            n, of_ids, of_text = [], [], []
-            for x in batch.column(1):
+            n, of_ids, of_text, all_ids = [], [], [], []
+            for x in batch.column(0):
                 ids = codec.encode(x.as_py() or "")
                 n.append(len(ids) // 4)
                 of_ids.append(hashlib.sha256(ids).hexdigest())
                 of_text.append(hashlib.sha256(codec.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())],
-                names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    source = docs.select(id_col, text_col)
-    return source.mapInArrow(run, f"`{id_col}` {source.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                if with_ids:
+                    all_ids.append(np.frombuffer(ids, dtype="<i4"))
+            made = [pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string()), *[pa.array(all_ids, pa.list_(pa.int32()))] * with_ids]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], names=names)
+
+    source = docs.select(F.col(text_col).alias("__text"), *keep)
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[1:])
+    return source.mapInArrow(run, f"{ddl}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
