@@ -4,7 +4,9 @@ Documents are sets of word shingles. Two of them can reach the threshold only if
 their prefixes share a token, whatever total order the tokens are put in. Under
 the first order, rare tokens first, prefixes are posted and met; a pair found so
 must also share prefix tokens under the other orders before the whole sets are
-compared. All orders put tokens that a sketch finds frequent last, so that
+compared. Parities of the tokens by hash, a few bits for each, bound from below
+how far two sets differ and spare most of the pairs that only share a passage
+the fetching of their sets. All orders put tokens that a sketch finds frequent last, so that
 passages which many documents share stay out of most prefixes.
 
 Sets are told apart by a 64-bit hash and equal sets are one node. The groups that
@@ -112,20 +114,40 @@ def _node(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _parity(tokens: np.ndarray) -> bytes:
+    """Bit i: whether an odd number of tokens hash to i. Two to four bits for each token."""
+    bits = 1 << max(8, int(2 * len(tokens) - 1).bit_length())
+    at = (mix(tokens ^ _SALT[3]) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def _differ(a: bytes, b: bytes) -> int:
+    """The least number of tokens in which two sets with these parities differ."""
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    size, other = len(a) * 8, len(b) * 8
+    while size > other:
+        size //= 2
+        x = (x >> size) ^ (x & ((1 << size) - 1))
+    while other > size:
+        other //= 2
+        y = (y >> other) ^ (y & ((1 << other) - 1))
+    return (x ^ y).bit_count()
+
+
 def described(docs: DataFrame, classes, width: int, percent: int, orders: int) -> DataFrame:
-    """place, doc_id, n, node, prefix (tokens by rank under the first order), hot (which of them are frequent), firsts (first token by order)."""
+    """place, doc_id, n, node, prefix (tokens by rank under the first order), cold (how many of them aren't frequent), firsts (first token by order), parity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = classes.value
         for batch in batches:
             tokens, sizes = shingle_sets(batch.column(2), width)
-            nodes, prefix, hot, firsts = [], [], [], []
+            nodes, prefix, hot, firsts, parity = [], [], [], [], []
             ranks = [_ranks(tokens, table, k) for k in range(orders)]
             e = 0
             for n in sizes.tolist():
                 s, e = e, e + n
                 if not n:
-                    nodes.append(0), prefix.append(None), hot.append(0), firsts.append(None)
+                    nodes.append(0), prefix.append(None), hot.append(0), firsts.append(None), parity.append(None)
                     continue
                 own, rank = tokens[s:e], ranks[0][s:e]
                 p = _prefix_length(n, percent)
@@ -134,14 +156,15 @@ def described(docs: DataFrame, classes, width: int, percent: int, orders: int) -
                 nodes.append(_node(own))
                 prefix.append(own[inside].view(np.int64))
                 hot.append(int((rank[inside] >> np.uint64(59) == 0).sum()))  # frequent ones come last
+                parity.append(_parity(own))
                 firsts.append([int(own[np.argmin(r[s:e])].view(np.int64)) for r in ranks])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes.astype(np.int32)), pa.array(nodes, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(hot, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))],
-                names=["place", "doc_id", "n", "node", "prefix", "cold", "firsts"],
+                [batch.column(0), batch.column(1), pa.array(sizes.astype(np.int32)), pa.array(nodes, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(hot, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(parity, pa.binary())],
+                names=["place", "doc_id", "n", "node", "prefix", "cold", "firsts", "parity"],
             )
 
     source = docs.select(F.monotonically_increasing_id().alias("place"), "doc_id", "text")
-    return source.mapInArrow(run, f"place long, doc_id {source.schema['doc_id'].dataType.simpleString()}, n int, node long, prefix array<long>, cold int, firsts array<long>")
+    return source.mapInArrow(run, f"place long, doc_id {source.schema['doc_id'].dataType.simpleString()}, n int, node long, prefix array<long>, cold int, firsts array<long>, parity binary")
 
 
 def star_pairs(rows: DataFrame) -> DataFrame:
@@ -222,6 +245,22 @@ def hot_pairs(rows: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     return x.join(y, near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
+def plausible(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose parities allow them to reach the threshold."""
+    known = rows.filter("n > 0").join(_ends(pairs), "node", "left_semi").groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("parity").alias("parity"))
+    a, b = (known.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("parity").alias(f"parity_{k}")) for k in "ab")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = (batch.column(2).to_numpy() + batch.column(3).to_numpy()).astype(np.int64)
+            most = both - 2 * -(-percent * both // (100 + percent))  # tokens in which they may differ
+            least = np.array([_differ(x.as_py(), y.as_py()) for x, y in zip(batch.column(4), batch.column(5))], dtype=np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array(least <= most))
+
+    met = pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "parity_a", "parity_b")
+    return met.mapInArrow(run, "a long, b long")
+
+
 def sets_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame, classes, width: int, percent: int, orders: int) -> DataFrame:
     """node, n, tokens, others (prefix tokens under each other order, cut to 32 bits) of the given nodes.
 
@@ -280,12 +319,14 @@ def similarity_components(docs: DataFrame, width: int = WIDTH, percent: int = PE
     classes = docs.sparkSession.sparkContext.broadcast(table)  # slots bytes
     rows = stage(described(docs, classes, width, percent, orders), "ngram-rows")
 
-    pairs = stage(star_pairs(rows).union(cold_pairs(rows, percent)).distinct(), "ngram-pairs")
+    pairs = stage(star_pairs(rows).union(cold_pairs(rows, percent)).distinct(), "ngram-met")
+    pairs = stage(plausible(pairs, rows, percent), "ngram-pairs")
     sets = sets_of(docs, rows, _ends(pairs), classes, width, percent, orders)
     edges = stage(links(pairs, sets, percent, orders), "ngram-links")
     roots = stage(components(edges), "ngram-roots")
 
-    far = stage(hot_pairs(rows, roots, percent), "ngram-hot-pairs")
+    far = stage(hot_pairs(rows, roots, percent), "ngram-hot-met")
+    far = stage(plausible(far, rows, percent), "ngram-hot-pairs")
     if not far.isEmpty():
         more = sets_of(docs, rows, _ends(far), classes, width, percent, orders)
         edges = edges.union(links(far, more, percent, orders))
