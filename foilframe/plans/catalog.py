@@ -563,11 +563,11 @@ def whitening_stats(spark, d):
 @query(f"""
 WITH p AS (SELECT vec_id, {_G} AS g FROM embeddings),
 l AS (SELECT vec_id, list_transform(range(0, 36), lambda k: g[(k // 6) * 8 + k % 6 + 2] + g[(k // 6 + 2) * 8 + k % 6 + 2] + g[(k // 6 + 1) * 8 + k % 6 + 1] + g[(k // 6 + 1) * 8 + k % 6 + 3] - 4 * g[(k // 6 + 1) * 8 + k % 6 + 2]) AS q FROM p)
-SELECT vec_id, round(list_var_pop(q), 1) AS laplacian FROM l""")
+SELECT vec_id, CAST(36 * list_sum(list_transform(q, lambda x: x * x)) - list_sum(q) * list_sum(q) AS BIGINT) AS laplacian_1296 FROM l""")
 def laplacian_variance(spark, d):
     g = lambda i: F.element_at("g", i.cast("int") + 1)
     inner = F.transform(F.sequence(F.lit(0), F.lit(35)), lambda k: (lambda m: g(m - 8) + g(m + 8) + g(m - 1) + g(m + 1) - 4 * g(m))((F.floor(k / 6) + 1) * 8 + k % 6 + 1))
-    return _patches(spark, d).withColumn("q", inner).select("vec_id", F.round(K.population_variance(c("q")), 1).alias("laplacian"))
+    return _patches(spark, d).withColumn("q", inner).select("vec_id", (36 * K.total(F.transform("q", lambda x: x * x)) - K.total(c("q")) * K.total(c("q"))).cast("long").alias("laplacian_1296"))  # 36 * 36 times the variance, a whole number
 
 
 @query("""
