@@ -116,3 +116,18 @@ def presence(df: DataFrame, a: Column, b: Column) -> DataFrame:
 def top_patterns(df: DataFrame, pattern: Column, ordinal: str, n: int) -> DataFrame:
     """The n commonest patterns; of equally common ones the first seen."""
     return df.groupBy(pattern.alias("pattern")).agg(F.count(F.lit(1)).alias("n"), F.min(ordinal).alias("first_seen")).orderBy(F.desc("n"), "first_seen").limit(n)
+
+
+def running_totals(df: DataFrame, order: str, values: list[str], block: int = 1000) -> DataFrame:
+    """Adds run_<value>, the sum up to and including each value of the whole-number column order (unique).
+
+    Rows are summed within blocks of block order values, in parallel, and the
+    blocks' totals, a thousandth of the rows or fewer, are summed once over all.
+    """
+    blocked = df.withColumn("__block", F.floor(F.col(order) / block))
+    inside = Window.partitionBy("__block").orderBy(order)
+    ahead = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = blocked.groupBy("__block").agg(*[F.sum(v).alias(v) for v in values])
+    before = totals.select("__block", *[F.coalesce(F.sum(v).over(ahead), F.lit(0)).alias(f"__before_{v}") for v in values])
+    met = blocked.join(before, "__block")
+    return met.select(*df.columns, *[(F.sum(v).over(inside) + F.col(f"__before_{v}")).alias(f"run_{v}") for v in values])

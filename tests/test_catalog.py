@@ -2,7 +2,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from foilframe.plans import catalog
+from foilframe.plans import catalog, reports  # noqa: F401
 
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -55,3 +55,9 @@ def test_empty_inputs(spark):
     e = spark.createDataFrame([], "k int, s double, o int")
     assert R.first_best(e, ["k"], [F.desc("s")]).count() == 0
     assert R.nearest_rank(e, ["k"], "s", {"p": 0.5}).count() == 0
+
+
+def test_running_totals(spark):
+    df = spark.createDataFrame([(i, i % 5) for i in range(50)], "k long, v long")
+    got = {r.k: r.run_v for r in R.running_totals(df, "k", ["v"], 7).collect()}
+    assert got == {k: sum(i % 5 for i in range(k + 1)) for k in range(50)}
