@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foilframe.llm.staging import as_table, documents
-from foilframe.llm.textblocks import LOWER, WHITE, hash_words, text_bytes, word_spans
+from foilframe.llm.textblocks import LOWER, hash_words, slices, text_bytes, word_spans
 
 MAX_TRAIN = 20_000
 TREES, DEPTH, BINS, RATE, SMOOTH = 48, 4, 32, 0.15, 1.0
@@ -77,11 +77,14 @@ def _distinct(owner: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray
 
 def statistics(column: pa.Array) -> np.ndarray:
     """A row of FEATURES for each text."""
+    batch = pa.RecordBatch.from_arrays([column], names=["text"])
+    parts = [_statistics(part.column(0)) for part in slices(batch, 0, BLOCK)]  # in parts, to bound the temporary arrays
+    return np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)))
+
+
+def _statistics(column: pa.Array) -> np.ndarray:
     raw, at = text_bytes(column)
     n = len(at) - 1
-    if n > 1 and len(raw) > BLOCK:  # in parts, to bound the temporary arrays
-        cuts = np.unique([*np.searchsorted(at, np.arange(0, len(raw), BLOCK), side="right") - 1, n])
-        return np.concatenate([statistics(column.slice(a, b - a)) for a, b in zip(cuts, cuts[1:])])
     size = np.diff(at)
     some = np.maximum(size, 1)
     out = np.zeros((n, len(FEATURES)))

@@ -8,6 +8,8 @@ the temporary arrays small, whatever the length of a text.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -56,6 +58,16 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def slices(batch: pa.RecordBatch, column: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with at most size bytes of text each, or a single text, so that arrays made of them stay small."""
+    _, at = text_bytes(batch.column(column))
+    here, n = 0, len(at) - 1
+    while here < n:
+        stop = max(here + 1, int(np.searchsorted(at, at[here] + size, side="right")) - 1)
+        yield batch.slice(here, stop - here)
+        here = stop
+
+
 def word_spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of each word of bytes raw, where texts begin at the offsets at."""
     if not len(raw):
