@@ -21,6 +21,7 @@ import datetime as dt
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -168,10 +169,8 @@ def date(m: re.Match, f: Feistel, invert: bool) -> str | None:
     if plain:
         new = dt.date.fromordinal(f.permute(day, _DAYS, b"date", invert) + _FIRST_DAY)
     else:  # such an order is only read from days after the 12th, so it maps to those
-        late = [d for d in range(_DAYS) if dt.date.fromordinal(d + _FIRST_DAY).day > 12] if not _LATE else _LATE
-        _LATE[:] = late
-        _LATE_AT.update(zip(late, range(len(late)))) if not _LATE_AT else None
-        new = dt.date.fromordinal(late[f.permute(_LATE_AT[day], len(late), b"late", invert)] + _FIRST_DAY)
+        late, at = _late_days()
+        new = dt.date.fromordinal(late[f.permute(at[day], len(late), b"late", invert)] + _FIRST_DAY)
     out = [""] * 3
     for k, value, width in zip(order, (new.year, new.month, new.day), (4, 2, 2)):
         padded = width == 4 or all(len(p) == 2 for p in parts if len(p) < 4)
@@ -179,8 +178,11 @@ def date(m: re.Match, f: Feistel, invert: bool) -> str | None:
     return sep.join(out)
 
 
-_LATE: list[int] = []
-_LATE_AT: dict[int, int] = {}
+@cache
+def _late_days() -> tuple[list[int], dict[int, int]]:
+    """The days after the 12th of a month, and the place of each among them."""
+    late = [d for d in range(_DAYS) if dt.date.fromordinal(d + _FIRST_DAY).day > 12]
+    return late, {d: k for k, d in enumerate(late)}
 
 
 def mail(m: re.Match, f: Feistel, invert: bool) -> str | None:
