@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foilframe.llm.staging import documents
+from foilframe.llm.staging import documents, local_table
 from foilframe.llm.textblocks import WHITE
 
 _MARK = np.random.default_rng(71).integers(0, 1 << 32, 256, dtype=np.uint64)
@@ -191,7 +191,7 @@ def with_next(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     firsts = sorted((r["bucket"], r["first"]) for r in rows.groupBy("bucket").agg(F.max("doc_id").alias("first")).collect())  # one row for each bucket
     ends = [(b, first) for (b, _), (_, first) in zip(firsts, firsts[1:] + firsts[:1])]
     # one row for each bucket
-    tails = docs.join(F.broadcast(spark.createDataFrame(ends, "bucket int, first long")), F.col("doc_id").eqNullSafe(F.col("first")))
+    tails = docs.join(F.broadcast(local_table(spark, ends, "bucket int, first long")), F.col("doc_id").eqNullSafe(F.col("first")))
     both = rows.unionByName(tails.select("bucket", F.lit(True).alias("tail"), "doc_id", "text"))
     return both.repartitionById(max(1, last + 1), F.col("bucket")).sortWithinPartitions("bucket", "tail", F.desc_nulls_last("doc_id"), F.xxhash64("text"))
 

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foilframe.llm.staging import as_table, documents, stage
+from foilframe.llm.staging import as_table, documents, local_table, stage
 
 CAP = 3
 WEIGHTS = (1, 2, 3)
@@ -69,7 +69,7 @@ def thresholds(rows: DataFrame, goals: list[tuple]) -> list[tuple]:
         if not open_:
             break
         shift = BITS * (LEVELS - 1 - level)
-        state = spark.createDataFrame([(k, at, b) for k, (at, b) in open_.items()], "k int, at long, budget double")
+        state = local_table(spark, [(k, at, b) for k, (at, b) in open_.items()], "k int, at long, budget double")
         # one row for each source, whose number is checked
         inside = rows.join(F.broadcast(state), "k").filter(F.shiftright(F.col("h"), shift + BITS) == F.shiftright("at", shift + BITS)) if level else rows.join(F.broadcast(state), "k")
         sums = inside.groupBy("k", "budget", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("size"), F.min("h").alias("low"), F.max("h").alias("high"))
@@ -109,11 +109,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
     for k, (r, t) in enumerate(zip(sources, goal)):
         whole = min(cap, int(t // r["size"])) if r["size"] else 0
         plan.append((k, r["source"], r["size"], t, whole, t - whole * r["size"] if whole < cap else 0.0))
-    names = spark.createDataFrame([(p[0], p[1], p[2], p[3], p[4]) for p in plan], "k int, source string, source_size long, target double, whole int")
+    names = local_table(spark, [(p[0], p[1], p[2], p[3], p[4]) for p in plan], "k int, source string, source_size long, target double, whole int")
     # sources by name: one row each, of a checked number
     keyed = rows.withColumnRenamed("source", "from").join(F.broadcast(names), F.col("from").eqNullSafe(F.col("source"))).drop("from")
     cuts = thresholds(keyed.select("k", "h", "size"), [(p[0], p[5]) for p in plan])
-    table = spark.createDataFrame(cuts, "k int, cut long")
+    table = local_table(spark, cuts, "k int, cut long")
     times = F.when(F.col("source_size") == 0, F.lit(0)).otherwise(F.col("whole") + (F.col("h") < F.col("cut")).cast("int"))
     return keyed.join(F.broadcast(table), "k").withColumn("times", times).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times", "place")
 

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foilframe.llm.staging import documents, stage
+from foilframe.llm.staging import documents, local_table, stage
 
 SLICES = 64
 BUCKETS = 4096
@@ -72,7 +72,7 @@ def assign(docs: DataFrame, shards: int = 8, slices: int = SLICES, buckets: int
     )
     sums = units.groupBy("unit.a", "unit.b").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).orderBy("a", "b").collect()
     placed = pack(np.array([[r["size"], r["tokens"], r["n"]] for r in sums], dtype=np.float64), shards)
-    plan = spark.createDataFrame([(r["a"], r["b"], int(k)) for r, k in zip(sums, placed)], "a long, b int, shard int")
+    plan = local_table(spark, [(r["a"], r["b"], int(k)) for r, k in zip(sums, placed)], "a long, b int, shard int")
     # as many rows as units: buckets plus 3 * shards * slices groups and their pieces
     sharded = units.withColumns({"a": F.col("unit.a"), "b": F.col("unit.b")}).join(F.broadcast(plan), ["a", "b"])
     return number(sharded.select("doc_id", "size", "text_crc32", "tokens", "shard"))
@@ -90,7 +90,7 @@ def number(sharded: DataFrame) -> DataFrame:
         before = seen.get(r["shard"], 0)
         table.append((r["part"], r["shard"], before - r["first"]))
         seen[r["shard"]] = before + r["n"]
-    shift = spark.createDataFrame(table, "part int, shard int, shift long")
+    shift = local_table(spark, table, "part int, shard int, shift long")
     return at.join(F.broadcast(shift), ["part", "shard"]).withColumn("slot", F.col("row") + F.col("shift")).drop("row", "part", "shift")
 
 

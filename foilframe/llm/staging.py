@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +37,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string()}
+
+
+def local_table(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    """A few rows of the driver as a frame, sent as Arrow, for which no Python worker is started. columns: name type, ..."""
+    fields = [f.split() for f in columns.split(", ")]
+    return spark.createDataFrame(pa.table({name: pa.array([r[k] for r in rows], _ARROW[kind]) for k, (name, kind) in enumerate(fields)}))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
