@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foilframe.llm.staging import documents, stage
-from foilframe.llm.textblocks import LOWER, hash_words, text_bytes, word_spans
+from foilframe.llm.textblocks import LOWER, hash_words, slices, text_bytes, word_spans
 
 STATES, CLASSES, ROUNDS, SEGMENT, SEED = 6, 2048, 4, 128, 5
 END = CLASSES - 1
@@ -51,6 +51,11 @@ def word_classes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return ((first * 769 + last * 131 + before * 31 + np.minimum(end - start, 6) * 5003) * 2654435761 >> 7) % END
 
 
+def _classes_of(column: pa.Array) -> np.ndarray:
+    raw, at = text_bytes(column)
+    return (word_classes(raw, *word_spans(raw, at)) if len(raw) else np.zeros(0)).astype(np.int16)
+
+
 def to_planes(x: np.ndarray) -> bytes:
     """32-bit integers, all low bytes first: the high ones are mostly zero and compress to nothing."""
     return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
@@ -69,16 +74,14 @@ def coded(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, at = text_bytes(batch.column(2))
-            cuts = np.unique([*np.searchsorted(at, np.arange(0, at[-1], BLOCK), side="right") - 1, 0, len(at) - 1]) if len(at) > 1 else [0]
-            for a, b in zip(cuts, cuts[1:]):
-                yield from one(batch.slice(a, b - a))
+            for part in slices(batch, 2, BLOCK):
+                yield from one(part)
 
     def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         block, n_docs = uuid.uuid4().int & ((1 << 62) - 1), len(batch)
-        hashes, counts = hash_words(batch.column(2))
-        raw, at = text_bytes(batch.column(2))
-        classes = word_classes(raw, *word_spans(raw, at)) if len(raw) else np.zeros(0, np.int64)
+        found = [(*hash_words(part.column(2)), _classes_of(part.column(2))) for part in slices(batch, 2, 2 << 20)]
+        hashes, counts, classes = (np.concatenate(x) for x in zip(*found))
+        del found
         held = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
         words, first, index, seen = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
         by_count = np.argsort(-seen, kind="stable")  # common words get small positions
@@ -89,7 +92,7 @@ def coded(docs: DataFrame) -> DataFrame:
         n = np.bincount(token[trained], minlength=len(words))
         # the end: word 0 of class END, at the last position
         word = np.append(words[by_count].view(np.int64), 0)
-        kind = np.append(classes[first[by_count]] if len(words) else np.zeros(0, np.int64), END)
+        kind = np.append(classes[first[by_count]].astype(np.int64) if len(words) else np.zeros(0, np.int64), END)
         n = np.append(n, int((~held).sum()))
         k = len(word)
         yield pa.RecordBatch.from_arrays(
