@@ -12,13 +12,14 @@ passages which many documents share stay out of most prefixes.
 Sets are told apart by a 64-bit hash and equal sets are one node. The groups that
 one key may form are kept small on the way:
 
-* stars: nodes with the same first token under an order are paired with one of
-  their own only, so a large group of near copies is linked by as many pairs as
-  it has members;
+* stars: nodes with the same least token under a hash are paired with one of their
+  own only, the one with the fewest rare tokens, which in a group of near copies
+  is the text they were made from; so a large group is linked by about as many
+  pairs as it has members;
 * tokens that are not frequent have short posting lists (the sketch bounds them),
   which are met in tasks sorted by token;
-* lists of frequent tokens are joined only across what is not linked yet, after
-  counting, so a group that is linked already yields no pair.
+* lists of frequent tokens get stars of their own first and are then joined only
+  across what is not linked yet, so a group that is linked yields no pair.
 
 No link is lost: every pair that meets a filter is compared in full or lies in
 one component already. Links are joined to components by alternating stars.
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 
 from foilframe.llm.components import components
 from foilframe.llm.staging import as_table, documents, stage
-from foilframe.llm.textblocks import hash_words, mix, shingle_sets, _BASE
+from foilframe.llm.textblocks import _BASE, hash_words, mix, shingle_sets, slices
 
 WIDTH, PERCENT = 5, 75
 ORDERS = 3
@@ -61,8 +62,8 @@ def frequency_classes(docs: DataFrame, width: int = WIDTH, slots: int = SLOTS) -
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(slots, dtype=np.int64)
-        for batch in batches:
+        table = np.zeros(slots, dtype=np.uint32)
+        for batch in (part for b in batches for part in slices(b, 0)):
             words, counts = hash_words(batch.column(0))
             n = len(words) - width + 1
             if n <= 0:
@@ -76,7 +77,8 @@ def frequency_classes(docs: DataFrame, width: int = WIDTH, slots: int = SLOTS) -
             for k in range(1, width):
                 at = ends - k
                 whole[at[(at >= 0) & (at < n)]] = False
-            table += np.bincount((joined[whole] & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
+            at, n = np.unique((joined[whole] & np.uint64(slots - 1)).astype(np.uint32), return_counts=True)
+            table[at] += n.astype(np.uint32)
         if table.any():
             small = np.minimum(table, 255).astype(np.uint8).reshape(-1, _CHUNK)
             used = np.flatnonzero(small.any(axis=1))
@@ -97,7 +99,7 @@ def frequency_classes(docs: DataFrame, width: int = WIDTH, slots: int = SLOTS) -
     flat = total.ravel().astype(np.float64)
     mean = flat.mean()
     over = flat - mean
-    return np.where(over > 4 * np.sqrt(mean) + 8, np.minimum(np.log2(np.maximum(over, 1)).astype(np.int64), 31), 0).astype(np.uint8)
+    return np.where(over > 2 * np.sqrt(mean) + 4, np.minimum(np.log2(np.maximum(over, 1)).astype(np.int64), 31), 0).astype(np.uint8)
 
 
 def _ranks(tokens: np.ndarray, classes: np.ndarray, order: int) -> np.ndarray:
@@ -134,20 +136,20 @@ def _differ(a: bytes, b: bytes) -> int:
     return (x ^ y).bit_count()
 
 
-def described(docs: DataFrame, classes, width: int, percent: int, orders: int) -> DataFrame:
-    """place, doc_id, n, node, prefix (tokens by rank under the first order), cold (how many of them aren't frequent), firsts (first token by order), parity."""
+def described(docs: DataFrame, classes, width: int, percent: int) -> DataFrame:
+    """place, doc_id, n, node, prefix (tokens by rank under the first order), cold (how many of them aren't frequent), firsts (least token by three hashes), parity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = classes.value
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, 2)):
             tokens, sizes = shingle_sets(batch.column(2), width)
-            nodes, prefix, hot, firsts, parity = [], [], [], [], []
-            ranks = [_ranks(tokens, table, k) for k in range(orders)]
+            nodes, prefix, cold, firsts, parity = [], [], [], [], []
+            ranks, hashed = [_ranks(tokens, table, 0)], [mix(tokens ^ salt) for salt in _SALT[:3]]
             e = 0
             for n in sizes.tolist():
                 s, e = e, e + n
                 if not n:
-                    nodes.append(0), prefix.append(None), hot.append(0), firsts.append(None), parity.append(None)
+                    nodes.append(0), prefix.append(None), cold.append(0), firsts.append(None), parity.append(None)
                     continue
                 own, rank = tokens[s:e], ranks[0][s:e]
                 p = _prefix_length(n, percent)
@@ -155,11 +157,11 @@ def described(docs: DataFrame, classes, width: int, percent: int, orders: int) -
                 inside = inside[np.argsort(rank[inside])]
                 nodes.append(_node(own))
                 prefix.append(own[inside].view(np.int64))
-                hot.append(int((rank[inside] >> np.uint64(59) == 0).sum()))  # frequent ones come last
+                cold.append(int((rank[inside] >> np.uint64(59) == 0).sum()))  # frequent ones come last
                 parity.append(_parity(own))
-                firsts.append([int(own[np.argmin(r[s:e])].view(np.int64)) for r in ranks])
+                firsts.append([int(own[np.argmin(r[s:e])].view(np.int64)) for r in hashed])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes.astype(np.int32)), pa.array(nodes, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(hot, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(parity, pa.binary())],
+                [batch.column(0), batch.column(1), pa.array(sizes.astype(np.int32)), pa.array(nodes, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(cold, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(parity, pa.binary())],
                 names=["place", "doc_id", "n", "node", "prefix", "cold", "firsts", "parity"],
             )
 
@@ -167,17 +169,27 @@ def described(docs: DataFrame, classes, width: int, percent: int, orders: int) -
     return source.mapInArrow(run, f"place long, doc_id {source.schema['doc_id'].dataType.simpleString()}, n int, node long, prefix array<long>, cold int, firsts array<long>, parity binary")
 
 
+def _stars(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """a, b: each node with one of those that share its key, the one with the fewest rare tokens. rows: node, cold, keys and root.
+
+    What is linked already, by its root, isn't paired.
+    """
+    one = F.struct("cold", "node", "root")
+    lead = rows.groupBy(*keys).agg(F.min(one).alias("lead"), F.max(one).alias("last")).filter("lead.node != last.node").select(*keys, "lead.node", "lead.root").toDF(*keys, "lead", "lead_root")
+    met = rows.join(lead, keys).filter("node != lead AND root != lead_root")
+    return met.select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
+
+
 def star_pairs(rows: DataFrame) -> DataFrame:
-    """a, b: each node with the smallest node that has the same first token under the same order."""
-    keys = rows.filter("n > 0").select("node", F.posexplode("firsts").alias("which", "token")).distinct()
-    lead = keys.groupBy("which", "token").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead < last").drop("last")
-    return keys.join(lead, ["which", "token"]).filter("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    """a, b: nodes with the same least token under a hash, as stars."""
+    keys = rows.filter("n > 0").select("node", "cold", F.col("node").alias("root"), F.posexplode("firsts").alias("which", "token")).distinct()
+    return _stars(keys, ["which", "token"])
 
 
 def _postings(rows: DataFrame, hot: bool) -> DataFrame:
-    """token, node, n, pos for the frequent (or the other) tokens of each prefix."""
+    """token, node, n, pos, cold for the frequent (or the other) tokens of each prefix."""
     kept = rows.filter("n > 0").select("node", "n", "cold", F.posexplode("prefix").alias("pos", "token"))
-    return kept.filter("pos >= cold" if hot else "pos < cold").select("token", "node", "n", "pos")
+    return kept.filter("pos >= cold" if hot else "pos < cold").select("token", "node", "n", "pos", "cold")
 
 
 def _reach(n, pos, percent: int):
@@ -230,14 +242,16 @@ def cold_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
     spark = rows.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lists = _postings(rows, False).repartition(n, "token").sortWithinPartitions("token")
+    lists = _postings(rows, False).drop("cold").repartition(n, "token").sortWithinPartitions("token")
     return lists.mapInArrow(run, "a long, b long").distinct()
 
 
-def hot_pairs(rows: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """a, b: nodes in different components that share a frequent prefix token, within each other's reach."""
-    posted = _postings(rows, True).distinct().join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    posted = stage(posted, "ngram-hot")
+def rooted(postings: DataFrame, roots: DataFrame) -> DataFrame:
+    return postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def hot_pairs(posted: DataFrame, percent: int) -> DataFrame:
+    """a, b: nodes in different components that share a frequent prefix token, within each other's reach. posted: postings with root."""
     cross = posted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
     split = posted.join(cross, "token").withColumn("reach", F.floor((F.col("n") - F.col("pos")) * (100 + percent) / F.lit(percent)) - F.col("n"))
     x, y = split.alias("x"), split.alias("y")
@@ -276,11 +290,13 @@ def sets_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame, classes, width:
         bits[at : at + len(r["bits"])] = np.frombuffer(r["bits"], dtype=np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
+    def asked(batch: pa.RecordBatch) -> pa.RecordBatch:
+        bit = batch.column(1).to_numpy().astype(np.int64)
+        return batch.filter(pa.array((shared.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = classes.value
-        for batch in batches:
-            bit = batch.column(1).to_numpy().astype(np.int64)
-            batch = batch.filter(pa.array((shared.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1))
+        for batch in (part for b in batches for part in slices(asked(b), 2)):
             tokens, sizes = shingle_sets(batch.column(2), width)
             others: list = []
             ranks = [_ranks(tokens, table, k) for k in range(1, orders)]
@@ -317,20 +333,24 @@ def similarity_components(docs: DataFrame, width: int = WIDTH, percent: int = PE
     docs = as_table(docs)
     table = frequency_classes(docs, width, slots)
     classes = docs.sparkSession.sparkContext.broadcast(table)  # slots bytes
-    rows = stage(described(docs, classes, width, percent, orders), "ngram-rows")
-
-    pairs = stage(star_pairs(rows).union(cold_pairs(rows, percent)).distinct(), "ngram-met")
-    pairs = stage(plausible(pairs, rows, percent), "ngram-pairs")
-    sets = sets_of(docs, rows, _ends(pairs), classes, width, percent, orders)
-    edges = stage(links(pairs, sets, percent, orders), "ngram-links")
-    roots = stage(components(edges), "ngram-roots")
-
-    far = stage(hot_pairs(rows, roots, percent), "ngram-hot-met")
-    far = stage(plausible(far, rows, percent), "ngram-hot-pairs")
-    if not far.isEmpty():
-        more = sets_of(docs, rows, _ends(far), classes, width, percent, orders)
-        edges = edges.union(links(far, more, percent, orders))
-        roots = stage(components(edges), "ngram-roots")
+    rows = stage(described(docs, classes, width, percent), "ngram-rows")
+
+    def linked(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
+        """Links of the pairs, with those known before."""
+        good = stage(plausible(stage(pairs, "ngram-met"), rows, percent), "ngram-pairs")
+        if known is not None and good.isEmpty():
+            return known
+        found = links(good, sets_of(docs, rows, _ends(good), classes, width, percent, orders), percent, orders)
+        return stage(found if known is None else known.union(found), "ngram-links")
+
+    edges = linked(star_pairs(rows).union(cold_pairs(rows, percent)).distinct(), None)
+    roots = components(edges)
+    hot = stage(_postings(rows, True).distinct(), "ngram-hot")
+    if not hot.isEmpty():
+        edges = linked(_stars(rooted(hot, roots), ["token"]), edges)
+        roots = components(edges)
+        edges = linked(hot_pairs(rooted(hot, roots), percent), edges)
+        roots = components(edges)
 
     named = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
