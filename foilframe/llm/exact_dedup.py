@@ -24,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foilframe.llm.staging import as_table, documents, new_path, stage, text_or_empty
+from foilframe.llm.staging import PLACE, documents, new_path, numbered, stage, text_or_empty
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: RocksDB would set aside megabytes of disk for the log of each of many small stores.
@@ -42,10 +42,10 @@ def sha256(text: Column) -> Column:
 
 def keyed(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """doc_id, digest of the normalised text, and the row's place in this table, which tells repeated rows apart."""
-    return docs.select(
+    return numbered(docs).select(
         "doc_id",
         digest(normalised(text_or_empty())).alias("digest"),
-        F.monotonically_increasing_id().alias("place"),
+        F.col(PLACE).alias("place"),
     )
 
 
@@ -94,7 +94,7 @@ def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, max_file
 
     place numbers the rows of docs as keyed() does.
     """
-    spark, docs = docs.sparkSession, as_table(docs)
+    spark, docs = docs.sparkSession, numbered(docs)
     rows = stage(keyed(docs, digest), "dedup-keys")
     reader = spark.readStream.schema(rows.schema)
     if max_files_per_batch:
@@ -104,7 +104,7 @@ def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, max_file
     # a group of one needs no comparison; of larger ones every row is held against the row kept
     shared = states.filter("group_size > 1")
     hits = rows.join(shared, "digest")
-    texts = docs.select(F.monotonically_increasing_id().alias("place"), normalised(text_or_empty()).alias("text"))
+    texts = docs.select(F.col(PLACE).alias("place"), normalised(text_or_empty()).alias("text"))
     kept_texts = texts.join(shared.select(F.col("keep.place").alias("place"), "digest"), "place").select("digest", F.col("text").alias("kept_text"))
     seen = texts.join(rows.join(shared.select("digest"), "digest").select("place", "digest", "doc_id"), "place")
     compared = stage(
@@ -129,11 +129,9 @@ def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, max_file
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    place = "__place"
-    docs = as_table(docs)
-    numbered = docs.withColumn(place, F.monotonically_increasing_id())
-    stay = dedup(docs).filter("kept").select(F.col("place").alias(place))
-    return numbered.join(stay, place, "left_semi").drop(place)
+    docs = numbered(docs)
+    stay = dedup(docs).filter("kept").select(F.col("place").alias(PLACE))
+    return docs.join(stay, PLACE, "left_semi").drop(PLACE)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foilframe.llm.staging import as_table, documents, local_table, stage
+from foilframe.llm.staging import PLACE, documents, local_table, numbered, stage
 
 CAP = 3
 WEIGHTS = (1, 2, 3)
@@ -51,12 +51,13 @@ def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size in words, and a hash of 60 bits."""
-    return docs.select(
+    """doc_id, source, size in words, a hash of 60 bits, and place, which numbers the rows of docs."""
+    return numbered(docs).select(
         "doc_id",
         "source",
         F.regexp_count(F.coalesce("text", F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long").alias("size"),
         F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 64 - BITS * LEVELS).alias("h"),
+        F.col(PLACE).alias("place"),
     )
 
 
@@ -98,8 +99,8 @@ def thresholds(rows: DataFrame, goals: list[tuple]) -> list[tuple]:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, times, place. place numbers the rows of docs."""
-    spark, docs = docs.sparkSession, as_table(docs)
-    rows = stage(measured(docs).withColumn("place", F.monotonically_increasing_id()), "mix-rows")
+    spark = docs.sparkSession
+    rows = stage(measured(docs), "mix-rows")
     sources = rows.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
     if len(sources) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -120,10 +121,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """The rows of docs as often as the mix takes them, with all their columns."""
-    place, docs = "__place", as_table(docs)
-    times = mix(docs, weights, cap).filter("times > 0").select(F.col("place").alias(place), F.col("times").alias("__times"))
-    taken = docs.withColumn(place, F.monotonically_increasing_id()).join(times, place)
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select([docs[c] for c in docs.columns])
+    columns, docs = docs.columns, numbered(docs)
+    times = mix(docs, weights, cap).filter("times > 0").select(F.col("place").alias(PLACE), F.col("times").alias("__times"))
+    taken = docs.join(times, PLACE)
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select([docs[c] for c in columns])
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foilframe.llm.components import components
-from foilframe.llm.staging import as_table, documents, stage
+from foilframe.llm.staging import PLACE, documents, numbered, stage
 from foilframe.llm.textblocks import _BASE, hash_words, mix, shingle_sets, slices
 
 WIDTH, PERCENT = 5, 75
@@ -165,7 +165,7 @@ def described(docs: DataFrame, classes, width: int, percent: int) -> DataFrame:
                 names=["place", "doc_id", "n", "node", "prefix", "cold", "firsts", "parity"],
             )
 
-    source = docs.select(F.monotonically_increasing_id().alias("place"), "doc_id", "text")
+    source = docs.select(F.col(PLACE).alias("place"), "doc_id", "text")
     return source.mapInArrow(run, f"place long, doc_id {source.schema['doc_id'].dataType.simpleString()}, n int, node long, prefix array<long>, cold int, firsts array<long>, parity binary")
 
 
@@ -310,7 +310,7 @@ def sets_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame, classes, width:
                 names=["place", "n", "tokens", "others"],
             )
 
-    source = docs.select(F.monotonically_increasing_id().alias("place"), "text").select("place", place_bit.alias("bit"), "text")
+    source = docs.select(F.col(PLACE).alias("place"), "text").select("place", place_bit.alias("bit"), "text")
     made = source.mapInArrow(run, "place long, n int, tokens array<long>, others array<array<int>>")
     return stage(made.join(wanted, "place").drop("place"), "ngram-sets")
 
@@ -330,7 +330,7 @@ def links(pairs: DataFrame, sets: DataFrame, percent: int, orders: int) -> DataF
 
 def similarity_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, orders: int = ORDERS, slots: int = SLOTS) -> DataFrame:
     """place, doc_id, n_shingles, component_id: the smallest doc_id that links reach. place numbers the rows of docs."""
-    docs = as_table(docs)
+    docs = numbered(docs)
     table = frequency_classes(docs, width, slots)
     classes = docs.sparkSession.sparkContext.broadcast(table)  # slots bytes
     rows = stage(described(docs, classes, width, percent), "ngram-rows")
@@ -364,13 +364,13 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 def representatives(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs that stay: of each component the one with the smallest id, of rows that share it the first."""
-    docs, place = as_table(docs), "__place"
+    docs = numbered(docs)
     groups = similarity_components(docs, **how)
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("place"))
     # without words or ids a row stands for itself
     key = F.when((F.col("n_shingles") > 0) & F.col("component_id").isNotNull(), F.struct(F.col("component_id").alias("c"), F.lit(None).cast("long").alias("p"))).otherwise(F.struct(F.lit(None).cast("long").alias("c"), F.col("place").alias("p")))
-    stay = groups.groupBy(key.alias("k")).agg(F.min_by("place", order).alias(place)).select(place)
-    return docs.withColumn(place, F.monotonically_increasing_id()).join(stay, place, "left_semi").drop(place)
+    stay = groups.groupBy(key.alias("k")).agg(F.min_by("place", order).alias(PLACE)).select(PLACE)
+    return docs.join(stay, PLACE, "left_semi").drop(PLACE)
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foilframe.llm.staging import as_table, documents
+from foilframe.llm.staging import PLACE, documents, numbered
 from foilframe.llm.textblocks import LOWER, hash_words, slices, text_bytes, word_spans
 
 MAX_TRAIN = 20_000
@@ -205,21 +205,22 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> For
 
 
 def score(docs: DataFrame, forest: Forest) -> DataFrame:
-    """doc_id, place, score; place numbers the rows of docs."""
+    """doc_id, place, score; place is that of numbered() or else numbers the rows of this scan alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(forest.score(statistics(batch.column(0))), pa.float64())], names=["doc_id", "place", "score"])
 
-    source = docs.select("text", "doc_id", F.monotonically_increasing_id().alias("place"))
+    place = F.col(PLACE) if PLACE in docs.columns else F.monotonically_increasing_id()
+    source = docs.select("text", "doc_id", place.alias("place"))
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, place long, score double")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that the classifier doesn't reject, with all their columns."""
-    docs, place = as_table(docs), "__place"
-    good = score(docs, train(docs, labels)).filter(F.col("score") >= threshold).select(F.col("place").alias(place))
-    return docs.withColumn(place, F.monotonically_increasing_id()).join(good, place, "left_semi").drop(place)
+    docs = numbered(docs)
+    good = score(docs, train(docs, labels)).filter(F.col("score") >= threshold).select(F.col("place").alias(PLACE))
+    return docs.join(good, PLACE, "left_semi").drop(PLACE)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,7 +55,24 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def as_table(docs: DataFrame) -> DataFrame:
-    """docs as files that every scan deals out alike, so that row numbers agree between scans; anything else is written first."""
+PLACE = "__row_place"
+_ROW_BITS = 40
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with PLACE, a number for each row that every scan gives it, however the files are split; anything but Parquet files is written first.
+
+    Splits depend on the cores that are registered, so numbers of partitions
+    won't do: the place is the file's number among the sorted paths and the row's
+    index in it.
+    """
+    if PLACE in docs.columns:
+        return docs
     plan = docs._jdf.queryExecution().optimizedPlan()
-    return docs if "Relation" in plan.nodeName() else stage(docs, "documents")
+    if plan.nodeName() != "LogicalRelation" or plan.relation().toString() != "parquet":
+        docs = stage(docs, "documents")
+    meta = docs.metadataColumn("_metadata")
+    paths = sorted(r[0] for r in docs.select(meta["file_path"]).distinct().collect())  # one for each file
+    files = local_table(docs.sparkSession, list(zip(paths, range(len(paths)))), "__file string, __file_number long")
+    placed = docs.withColumns({"__file": meta["file_path"], PLACE: meta["row_index"]}).join(F.broadcast(files), "__file")  # one row for each file
+    return placed.withColumn(PLACE, F.shiftleft("__file_number", _ROW_BITS) + F.col(PLACE)).select(*docs.columns, PLACE)
