@@ -405,6 +405,20 @@ def set_lookup_tiered(spark, d):
     return R.tiered_lookup(wanted, "want", R.small(sets), ["official", "total"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "set_id", "tier")
 
 
+@query("""
+WITH s AS (SELECT p_partkey AS set_id, p_partkey // 2 * 4 AS official, p_partkey // 2 * 4 + CASE WHEN p_partkey % 2 = 1 THEN 4 ELSE 1 END AS total FROM part),
+k AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey * 2 + l_linenumber % 2 AS want FROM lineitem),
+t1 AS (SELECT k.*, set_id, 1 AS tier FROM k JOIN s ON want = official), t2 AS (SELECT k.*, set_id, 2 AS tier FROM k JOIN s ON want = total WHERE want NOT IN (SELECT official FROM s))
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, set_id, tier FROM t1 UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, set_id, tier FROM t2""")
+def set_lookup_every_line(spark, d):
+    """set_lookup_tiered for every line: at most two sets share a count, so the result grows as the lines do."""
+    k = c("p_partkey")
+    official = F.floor(k / 2) * 4
+    sets = table(spark, d, "part").select(k.alias("set_id"), official.alias("official"), (official + F.when(k % 2 == 1, 4).otherwise(1)).alias("total"))
+    wanted = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (c("l_partkey") * 2 + c("l_linenumber") % 2).alias("want"))
+    return R.tiered_lookup(wanted, "want", R.small(sets), ["official", "total"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "set_id", "tier")
+
+
 @query("""
 WITH l AS (SELECT o_orderkey, CAST(o_orderkey % 25 AS INT) AS k, CASE WHEN o_orderkey % 6 = 0 THEN '' ELSE CAST(o_orderkey % 10 AS VARCHAR) END AS seen FROM orders),
 m AS (SELECT l.*, s_suppkey, s_name, row_number() OVER (PARTITION BY o_orderkey ORDER BY s_suppkey) AS t FROM l JOIN supplier ON k = s_nationkey),
