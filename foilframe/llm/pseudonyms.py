@@ -22,6 +22,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -104,6 +105,16 @@ def card(m: re.Match, f: Feistel, invert: bool) -> str | None:
     return _refill(m.group(), body + luhn_digit(body))
 
 
+_IBAN_LENGTH = {
+    x[:2]: int(x[2:])
+    for x in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 "
+        "HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 "
+        "RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+    ).split()
+}
+
+
 def _iban_check(country: str, body: str) -> str:
     number = "".join(str(int(c, 36)) for c in body + country + "00")
     return f"{98 - int(number) % 97:02d}"
@@ -114,8 +125,34 @@ def iban(m: re.Match, f: Feistel, invert: bool) -> str | None:
     country, check, body = flat[:2], flat[2:4], flat[4:]
     if not 15 <= len(flat) <= 34 or _iban_check(country, body) != check:
         return None
-    body = f.spell(body, b"iban" + country.encode(), invert)
-    return _refill(m.group(), country + _iban_check(country, body) + body)
+    own = _IBAN_LENGTH.get(country, 0)
+    inner = own - 4 if own < len(flat) and own in map(_flat_length, _iban_ends(m), repeat(m)) else 0  # where one of the country's length would be seen first
+    while True:
+        body = f.spell(body, b"iban" + country.encode(), invert)
+        check = _iban_check(country, body)
+        if not inner or _iban_check(country, body[:inner]) != check:
+            return _refill(m.group(), country + check + body)
+
+
+def _flat_length(end: int, m: re.Match) -> int:
+    return len(m.string[m.start() : end].replace(" ", ""))
+
+
+def _iban_ends(m: re.Match) -> list[int]:
+    """Where an IBAN that starts with m may end: at m's end or before a space in it, longest first."""
+    return [m.end()] + [m.start() + k for k in range(len(m.group()) - 1, 0, -1) if m.group()[k] == " "]
+
+
+def iban_tries(m: re.Match) -> Iterator[re.Match]:
+    """m cut to the length of its country and then whole; for a country without a known length, to each length from the longest.
+
+    Only in the last case may a pseudonym be read back at another end, where the
+    words behind it pass the check by chance.
+    """
+    own = _IBAN_LENGTH.get(m.group()[:2])
+    ends = _iban_ends(m)
+    for end in [e for e in ends if _flat_length(e, m) == own] + ends[:1] if own else [e for e in ends if _flat_length(e, m) >= 15]:
+        yield m.re.match(m.string, m.start(), end)
 
 
 def ssn(m: re.Match, f: Feistel, invert: bool) -> str | None:
@@ -217,12 +254,17 @@ def pseudonymise(text: str, f: Feistel, kinds: tuple[str, ...] = tuple(KINDS), i
         return text, []
     found: list[tuple[int, int, str, str]] = []
     for kind in kinds:
-        for m in _PATTERNS[kind].finditer(text):
-            if any(s < m.end() and m.start() < e for s, e, _, _ in found):
-                continue
-            new = KINDS[kind][1](m, f, invert)
-            if new is not None:
-                found.append((m.start(), m.end(), kind, new))
+        at = 0
+        while longest := _PATTERNS[kind].search(text, at):
+            at = longest.start() + 1 if kind == "iban" else longest.end()
+            for m in iban_tries(longest) if kind == "iban" else (longest,):
+                if any(s < m.end() and m.start() < e for s, e, _, _ in found):
+                    continue
+                new = KINDS[kind][1](m, f, invert)
+                if new is not None:
+                    found.append((m.start(), m.end(), kind, new))
+                    at = m.end()
+                    break
     found.sort()
     out, values, at = [], [], 0
     for s, e, kind, new in found:
