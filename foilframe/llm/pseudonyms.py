@@ -10,8 +10,8 @@ equal pseudonyms in every document, different values have different ones, and
 the holder of the key can invert it. Separators do not enter, so one number
 written in two ways keeps its link. What fails its check stays as it is.
 
-Null texts count as empty. Whole texts are read; those without a digit or an @
-are passed through. Repeated rows give repeated results; an empty table gives an
+Null texts count as empty. Whole texts are read; those without a digit, an @
+or what may be a secret are passed through. Repeated rows give repeated results; an empty table gives an
 empty one; columns other than id and text are not read.
 """
 
@@ -242,10 +242,10 @@ KINDS: dict[str, tuple[str, Callable[[re.Match, Feistel, bool], str | None]]] =
     "card": (r"(?<![\w.])(?:\d{13,19}|\d{4}(?P<gap>[ \-])\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}|\d{4}(?P<gap2>[ \-])\d{6}(?P=gap2)\d{5})(?!\w)", card),
     "ssn": (r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])", ssn),
     "ipv4": (r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\w)", ipv4),
-    "date": (r"(?<![\w./\-])(?:\d{4}([./\-])\d{2}\1\d{2}|\d{1,2}([./\-])\d{1,2}\2\d{4})(?![\w/\-])", date),
+    "date": (r"(?<![\w./\-])(?:\d{4}([./\-])\d{1,2}\1\d{1,2}|\d{1,2}([./\-])\d{1,2}\2\d{4})(?!(?!T\d)\w|[/\-])", date),
 }
 _PATTERNS = {k: re.compile(p) for k, (p, _) in KINDS.items()}
-_ANY = re.compile(r"[0-9@]|[:=]\s*[\"']?\w{16}")
+_ANY = re.compile(r"[0-9@]|[:=]\s*[\"']?[A-Za-z0-9_+/\-]{16}")
 
 
 def pseudonymise(text: str, f: Feistel, kinds: tuple[str, ...] = tuple(KINDS), invert: bool = False) -> tuple[str, list[dict]]:
