@@ -113,6 +113,45 @@ def best_name(spark, d):
     return R.first_best(scored, ["p_partkey"], [F.desc("score"), c("ord")])
 
 
+def card_name_score(name: Column, parts: Column, lexicon: list[str], prefixes: list[str], suffixes: list[str]) -> Column:
+    """M26 in full: length, letters, prefixes, base name and suffixes, else single words; less for shouting, repeats and digits. parts: T.components of name."""
+    names, before, after = (F.array(*map(F.lit, sorted(x))) for x in (lexicon, prefixes, suffixes))
+    n, norm, base, kept = F.length(name), T.squashed(name), T.squashed(parts["base"]), T.spaced(name)
+    known = lambda w: F.array_contains(names, w)
+    valid = (F.length(base) >= 2) & (
+        F.exists(F.split(parts["base"], " "), lambda w: known(T.squashed(w)))
+        | F.exists(names, lambda x: (base == x) | ((F.length(x) >= 5) & base.contains(x)) | ((F.length(base) >= 5) & x.contains(base)))
+    )
+    words = F.filter(F.split(F.lower(name), "\\s+"), lambda w: w != "")
+    hits = F.size(F.filter(words, lambda w: known(T.squashed(w))))
+    ends = lambda w: F.array_contains(after, T.squashed(w))
+    starts = lambda w: kept.contains(w) & F.exists(before, lambda x: T.squashed(x).contains(T.squashed(w)))
+    modifiers = F.size(F.filter(words, lambda w: ~known(T.squashed(w)) & (ends(w) | starts(w))))
+    within = F.exists(names, lambda x: (F.length(x) >= 5) & (norm.contains(x) | x.contains(norm)))
+    single = 10 * hits + 2 * modifiers + F.when((hits >= 1) & (modifiers >= 1), 5).otherwise(0) + F.when((hits == 0) & within, 5).otherwise(0)
+    score = (
+        F.when(n.between(3, 50), 2.0).when(n > 50, -1.0).otherwise(0.0) + F.when(n.between(5, 30), 1).otherwise(0)
+        + 3.0 * F.length(F.regexp_replace(name, "[^\\p{L} '.-]", "")) / F.greatest(n, F.lit(1))
+        + F.when(valid, 12 + 4 * F.size(parts["prefixes"]) + 3 * F.size(parts["suffixes"])).otherwise(single)
+        - F.when(name.rlike("[A-Z]{5,}"), 2).otherwise(0) - F.when(F.lower(name).rlike("(.)\\1{3,}"), 2).otherwise(0) - F.when(name.rlike("[0-9]{3,}"), 3).otherwise(0)
+    )
+    return F.when(n > 0, score).otherwise(0.0)
+
+
+PREFIXES, SUFFIXES = ["small", "large", "old", "hot", "red", "blue", "team rocket's"], ["ex", "gx", "tag team"]
+
+
+@query()
+def best_card_name(spark, d):
+    """The best of six readings of a name by card_name_score; of equal ones the first."""
+    name = c("p_name")
+    readings = [F.concat(name, F.lit(" 1234")), F.upper(name), c("p_brand"), F.concat(F.substring(name, 1, 7), F.lit(" gx")), name, F.when(c("p_size") % 2 == 0, F.concat(F.lit("Team Rocket's "), name, F.lit(" ex"))).otherwise("")]
+    tries = table(spark, d, "part").select("p_partkey", F.posexplode(F.array(*readings)).alias("k", "name"))
+    split = T.components(frozenset(PREFIXES), frozenset(SUFFIXES))
+    scored = tries.withColumn("parts", split(c("name"))).select("p_partkey", "name", (c("k") + 1).alias("ord"), F.round(card_name_score(c("name"), c("parts"), LEXICON, PREFIXES, SUFFIXES), 6).alias("score"))
+    return R.first_best(scored, ["p_partkey"], [F.desc("score"), c("ord")])
+
+
 def expected_name(file_name: Column, markers: list[str]) -> Column:
     """The name a file name states: without extension and number, cut at the first marker in list order, words in title case; null if too short."""
     stem = F.regexp_replace(F.regexp_replace(F.lower(file_name), "\\.(png|jpg|jpeg|webp)$", ""), "-[0-9]+$", "")
