@@ -167,14 +167,18 @@ def ocr_confidence(family: Column, plausibility: Column, total: Column) -> Colum
     return F.least(F.lit(1.0), base + F.when(total >= 150, 0.15).otherwise(0.0))
 
 
-def vintage_confidence(num: Column, total: Column, angle: Column) -> Column:
-    """Score of a number read off a turned crop, as a confidence."""
-    year = lambda x: x.between(1990, 2030)
-    score = (
+def vintage_score(num: Column, total: Column, angle: Column) -> Column:
+    """Score of a number read off a turned crop."""
+    year = lambda x: x.between(1900, 2099)
+    return (
         F.when(total.between(20, 500), 2.0).otherwise(0.0) + F.when(total >= 50, 1.0).otherwise(0.0) + F.when(num > 0, 0.5).otherwise(0.0)
         - F.when(num > total + 150, 5.0).otherwise(0.0) - F.when(year(num), 5.0).otherwise(0.0) - F.when(year(total), 5.0).otherwise(0.0) - 0.05 * F.abs(angle)
     )
-    return F.least(F.lit(0.9), F.greatest(F.lit(0.5), 0.5 + score / 5))
+
+
+def vintage_confidence(num: Column, total: Column, angle: Column) -> Column:
+    """The score as a confidence."""
+    return F.least(F.lit(0.9), F.greatest(F.lit(0.5), 0.5 + vintage_score(num, total, angle) / 5))
 
 
 def arbitrate(template_conf: Column, ocr_plaus: Column, family: Column, template_total: Column, ocr_total: Column) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foilframe.functions.scores import vintage_confidence, vintage_score
+
 #: Rows up to which a lookup table is sent to every task; beyond it is joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -39,6 +41,27 @@ def tiered_lookup(left: DataFrame, key: str, dim: DataFrame, tiers: list[str]) -
     return out
 
 
+CROPS, ANGLES, MODES = ("sub_0.2_0.15", "sub_0.3_0.25", "sub_0.35_0.3"), (-12, -9, -6, -3, 0, 3, 6, 9, 12), (7, 8, 13)
+
+
+def probes(df: DataFrame) -> DataFrame:
+    """df with each of the 81 probes of a card's corner: probe (their order, from 0), crop, angle, mode."""
+    every = [(x, a, m) for x in CROPS for a in ANGLES for m in MODES]
+    listed = F.array(*[F.struct(F.lit(k).alias("probe"), F.lit(x).alias("crop"), F.lit(a).alias("angle"), F.lit(m).alias("mode")) for k, (x, a, m) in enumerate(every)])
+    return df.withColumn("__probe", F.explode(listed)).select(*df.columns, "__probe.*")
+
+
+def best_probe(read: DataFrame, keys: list[str]) -> DataFrame:
+    """For each key the number of its best probe; of equal scores the first probe, null where none reads a number. read: keys, probes() and text, what was read."""
+    pattern = "([0-9]{1,3})\\s*/\\s*([0-9]{1,3})"
+    num, total = (F.regexp_extract("text", pattern, k).try_cast("int") for k in (1, 2))
+    scored = read.withColumns({"num": num, "total": total}).withColumn("score", vintage_score(F.col("num"), F.col("total"), F.col("angle")))
+    pick = F.struct("score", (-F.col("probe")).alias("place"), "num", "total", "crop", "angle", "mode", F.trim("text").alias("raw"))
+    best = scored.groupBy(*keys).agg(F.max(F.when(F.col("num").isNotNull(), pick)).alias("b"))
+    number = F.when(F.col("b").isNotNull(), F.concat(F.col("b.num").cast("string"), F.lit("/"), F.col("b.total").cast("string")))
+    return best.select(*keys, number.alias("number"), "b.crop", "b.angle", "b.mode", "b.raw", F.when(F.col("b").isNotNull(), F.round(vintage_confidence(F.col("b.num"), F.col("b.total"), F.col("b.angle")), 6)).alias("confidence"))
+
+
 def highest_passing(left: DataFrame, values: list[Column], table: DataFrame, limits: list[str], grade: str, rest: float) -> DataFrame:
     """left with the highest grade whose limits hold for all values; rest if none. table is a fixed list of grades, so it is broadcast."""
     holds = F.lit(True)

@@ -372,6 +372,15 @@ def vintage_fallback(spark, d):
     return table(spark, d, "lineitem").select(*line_key(), F.round(S.vintage_confidence(num, total, c("l_linenumber") - 4), 6).alias("confidence"))
 
 
+@query()
+def vintage_sweep(spark, d):
+    """All 81 probes of each part and the best number read; what a probe reads is made up from the key and the probe."""
+    seed = c("p_partkey") * 31 + c("probe") * 17
+    number = F.concat((seed % 700).cast("string"), F.lit(" / "), (seed % 613).cast("string"))
+    text = F.when(c("p_partkey") % 9 == 0, "").when(seed % 3 == 0, number).when(seed % 3 == 1, F.concat((seed % 99).cast("string"), F.lit("/")))
+    return R.best_probe(R.probes(table(spark, d, "part").select("p_partkey")).withColumn("text", text), ["p_partkey"])
+
+
 @query("""SELECT p_partkey, round(CASE WHEN length(coalesce(n, '')) BETWEEN 3 AND 50 THEN 0.5 WHEN length(coalesce(n, '')) > 0 THEN 0.2 ELSE 0 END + CASE WHEN coalesce(k, '') <> '' THEN 0.5 ELSE 0 END, 2)::DOUBLE AS confidence
 FROM (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 5 = 0 THEN 'AB' ELSE p_name END AS n, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE '4/102' END AS k FROM part)""")
 def identity_confidence(spark, d):
