@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foilframe.llm.staging import documents, stage
-from foilframe.llm.textblocks import LOWER, hash_words, slices, text_bytes, word_spans
+from foilframe.llm.textblocks import LOWER, hash_words, lean, slices, text_bytes, word_spans
 
 STATES, CLASSES, ROUNDS, SEGMENT, SEED = 6, 2048, 4, 128, 5
 END = CLASSES - 1
@@ -109,7 +109,7 @@ def coded(docs: DataFrame) -> DataFrame:
 
     source = docs.select("doc_id", held_out().alias("held"), F.coalesce("text", F.lit("")).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"block long, word long, class int, pos int, n long, doc_id {kind}, held boolean, tokens binary, classes binary")
+    return source.mapInArrow(lean(run), f"block long, word long, class int, pos int, n long, doc_id {kind}, held boolean, tokens binary, classes binary")
 
 
 class Model:
@@ -230,7 +230,7 @@ def _expected(texts: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, n
                 total += np.concatenate([start, move.ravel(), emit.ravel(), [log]])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["i", "v"])
 
-    sums = texts.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()  # as many as the model has numbers
+    sums = texts.mapInArrow(lean(run), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()  # as many as the model has numbers
     flat = np.zeros(k + k * k + k * c + 1)
     for r in sums:
         flat[r["i"]] = r["v"]

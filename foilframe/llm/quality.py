@@ -25,12 +25,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foilframe.llm.staging import PLACE, documents, numbered
-from foilframe.llm.textblocks import LOWER, hash_words, slices, text_bytes, word_spans
+from foilframe.llm.textblocks import LOWER, hash_words, lean, slices, text_bytes, word_spans
 
 MAX_TRAIN = 20_000
 TREES, DEPTH, BINS, RATE, SMOOTH = 48, 4, 32, 0.15, 1.0
 THRESHOLD = 0.3
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 
 FEATURES = ("log_bytes", "log_words", "word_bytes", "longest_word", "upper", "digits", "stops", "symbols", "bangs", "bars", "foreign", "lines", "distinct_words", "distinct_pairs", "short_words", "caps", "marked_words", "top_repeat")
 
@@ -192,7 +192,7 @@ def describe(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
 
     source = docs.select(text_col, *keep)
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[1:])
-    return source.mapInArrow(run, f"{ddl}, x array<double>")
+    return source.mapInArrow(lean(run), f"{ddl}, x array<double>")
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Forest:
@@ -213,7 +213,7 @@ def score(docs: DataFrame, forest: Forest) -> DataFrame:
 
     place = F.col(PLACE) if PLACE in docs.columns else F.monotonically_increasing_id()
     source = docs.select("text", "doc_id", place.alias("place"))
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, place long, score double")
+    return source.mapInArrow(lean(run), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, place long, score double")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

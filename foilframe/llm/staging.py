@@ -2,13 +2,15 @@
 
 Every table goes to ``spark.checkpoint.dir``; a lost executor never takes a
 written part with it. Only where that setting is missing, as in tests, a
-temporary folder is made and set.
+temporary folder is made and set; a session that isn't local must name it.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; one of our own only where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
     if not found:
         found = tempfile.mkdtemp(prefix="spark-foilframe-")
         spark.sparkContext.setCheckpointDir(found)
@@ -29,14 +33,84 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/foilframe/{name}-{uuid.uuid4().hex}"
 
 
+_made: list[list[str]] = []  # the tables of each scratch() that is open, outermost first
+
+
+@contextmanager
+def text_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Inside, Arrow batches have at most so many rows, for tables of texts, whose batches would take tens of megabytes else."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, rows)
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """df as a written table: computed once, read from shared storage afterwards."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    for made in _made[-1:]:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that stage() writes inside are removed at the end; what is made of them must be written by then."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in _made.pop():
+            removed(spark, path)
+
+
+def _at(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    place, files = _at(spark, path)
+    files.delete(place, True)
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of the shared storage; none where there is no such folder."""
+    place, files = _at(spark, path)
+    return sorted(s.getPath().getName() for s in files.listStatus(place)) if files.exists(place) else []
+
+
+def read_small(spark: SparkSession, path: str) -> str | None:
+    """A small text file of the shared storage, or None where there is none."""
+    place, files = _at(spark, path)
+    if not files.exists(place):
+        return None
+    stream = files.open(place)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def publish(spark: SparkSession, path: str, text: str) -> None:
+    """Puts a small text file in place by one rename: readers meet the old one or the new one, whole."""
+    place, files = _at(spark, path)
+    beside, _ = _at(spark, f"{place.getParent().toString()}/.{uuid.uuid4().hex}")
+    stream = files.create(beside, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    how = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    over = spark.sparkContext._gateway.new_array(how, 1)
+    over[0] = how.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.makeQualified(beside).toUri(), conf).rename(files.makeQualified(beside), files.makeQualified(place), over)
+
+
 _ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string()}
 
 
@@ -46,6 +120,15 @@ def local_table(spark: SparkSession, rows: list[tuple], columns: str) -> DataFra
     return spark.createDataFrame(pa.table({name: pa.array([r[k] for r in rows], _ARROW[kind]) for k, (name, kind) in enumerate(fields)}))
 
 
+#: Rows up to which a written table of a few numbers is sent to every task; beyond it is joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """df, of a few numbers in each row, with a broadcast hint if it has at most limit rows, which are counted first."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
