@@ -21,6 +21,7 @@ import hashlib
 import re
 from array import array
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from itertools import islice
 
 import numpy as np
@@ -29,9 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foilframe.llm.staging import documents
+from foilframe.llm.textblocks import give_back
 
-#: Pieces and pairs that a worker remembers; beyond that it starts afresh. A matter of speed only.
-MEMO = 400_000
+#: About how many bytes each of a worker's three memories may take; beyond that, and with each partition, it starts afresh. A matter of speed only.
+MEMO_BYTES = 24 << 20
+_ENTRY, _SEAM = 200, 160  # what the interpreter spends on an entry beside its text and ids
 SLICE = 200_000
 #: The pattern of the byte_bpe vocabularies.
 SPACE_LED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -48,16 +51,21 @@ class _Memo(dict):
 
     def __init__(self, make: Callable[[str], bytes]):
         super().__init__()
-        self.make = make
+        self.make, self.room = make, MEMO_BYTES
 
     def __missing__(self, text: str) -> bytes:
         found = self.make(text)
         if len(text) <= 48:
-            if len(self) >= MEMO:
-                self.clear()
+            self.room -= _ENTRY + 4 * len(text) + len(found)
+            if self.room < 0:
+                self.forget()
             self[text] = found
         return found
 
+    def forget(self) -> None:
+        self.clear()
+        self.room = MEMO_BYTES
+
 
 class Codec:
     """Exact BPE over one rank file; ids are ranks."""
@@ -83,6 +91,10 @@ class Codec:
         #: Only for patterns in which a space begins a piece wherever text stands before or after it.
         self.by_space = pattern == SPACE_LED
 
+    def forget(self) -> None:
+        """Empties what grew with the texts; what is kept is bounded by the vocabulary."""
+        self.pieces.forget(), self.spaced.forget(), self.seams.clear()
+
     def split(self, i: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes token i; None for a single byte."""
         if i not in self.splits:
@@ -111,7 +123,7 @@ class Codec:
         """Whether token b may stand after token a: no merge ever crosses their seam."""
         known = self.seams.get((a, b))
         if known is None:
-            if len(self.seams) >= MEMO:
+            if len(self.seams) * _SEAM >= MEMO_BYTES:
                 self.seams.clear()
             known = self.seams[a, b] = self._seam_holds(a, b)
         return known
@@ -200,12 +212,18 @@ class Codec:
 _codecs: dict[tuple[str, str], Codec] = {}
 
 
-def _codec(data: bytes, pattern: str) -> Codec:
-    """One codec for each vocabulary and worker."""
+@contextmanager
+def _codec(data: bytes, pattern: str) -> Iterator[Codec]:
+    """The worker's codec for a vocabulary, whose memory of texts ends with the block."""
     key = (hashlib.sha256(data).hexdigest(), pattern)
     if key not in _codecs:
+        _codecs.clear()  # one vocabulary at a time
         _codecs[key] = Codec(read_ranks(data), pattern)
-    return _codecs[key]
+    try:
+        yield _codecs[key]
+    finally:
+        _codecs[key].forget()
+        give_back()
 
 
 def _vocabulary(spark: SparkSession, path: str | None, pattern: str | None):
@@ -218,32 +236,46 @@ def _vocabulary(spark: SparkSession, path: str | None, pattern: str | None):
         return spark.sparkContext.broadcast(f.read()), pattern
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, ids: each whole text as token ids. path: rank file; pattern: what splits a text into pieces."""
+def _per_text(docs: DataFrame, text_col: str, keep: tuple[str, ...], path: str | None, pattern: str | None, columns: str, make: Callable[[Codec, pa.Array], list[pa.Array]]) -> DataFrame:
+    """The columns keep, and those that make gives for a column of texts (or ids); columns: their names and types."""
     shared, pattern = _vocabulary(docs.sparkSession, path, pattern)
+    names = [*keep, *[c.split()[0] for c in columns.split(", ")]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared.value, pattern)
-        for batch in batches:
-            ids = [np.frombuffer(codec.encode(t or ""), dtype="<u4").astype(np.int32) for t in (x.as_py() for x in batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"])
+        with _codec(shared.value, pattern) as codec:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], *make(codec, batch.column(0))], names=names)
+
+    source = docs.select(F.col(text_col).alias("__text"), *keep)
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[1:])
+    return source.mapInArrow(run, kept + columns)
+
+
+def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, ids: each whole text as token ids. path: rank file; pattern: what splits a text into pieces."""
 
-    source = docs.select(id_col, text_col)
-    return source.mapInArrow(run, f"`{id_col}` {source.schema[id_col].dataType.simpleString()}, ids array<int>")
+    def make(codec: Codec, texts: pa.Array) -> list[pa.Array]:
+        return [pa.array([np.frombuffer(codec.encode(x.as_py() or ""), dtype="<i4") for x in texts], pa.list_(pa.int32()))]
+
+    return _per_text(docs, text_col, (id_col,), path, pattern, "ids array<int>", make)
+
+
+def token_counts(docs: DataFrame, path: str | None = None, pattern: str | None = None, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """The columns keep, and n_tokens: how many ids each whole text has."""
+
+    def make(codec: Codec, texts: pa.Array) -> list[pa.Array]:
+        return [pa.array([len(codec.encode(x.as_py() or "")) // 4 for x in texts], pa.int64())]
+
+    return _per_text(docs, text_col, keep, path, pattern, "n_tokens long", make)
 
 
 def decode_ids(encoded: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """id, decoded: the bytes that each row's ids stand for; null ids count as none."""
-    shared, pattern = _vocabulary(encoded.sparkSession, path, None)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared.value, pattern)
-        for batch in batches:
-            out = [codec.decode(np.array(x.as_py() or [], dtype="<u4").tobytes()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=[id_col, "decoded"])
+    def make(codec: Codec, ids: pa.Array) -> list[pa.Array]:
+        return [pa.array([codec.decode(np.array(x.as_py() or [], dtype="<u4").tobytes()) for x in ids], pa.binary())]
 
-    source = encoded.select(id_col, ids_col)
-    return source.mapInArrow(run, f"`{id_col}` {source.schema[id_col].dataType.simpleString()}, decoded binary")
+    return _per_text(encoded, ids_col, (id_col,), path, None, "decoded binary", make)
 
 
 def round_trip_digests(docs: DataFrame, path: str | None = None, pattern: str | None = None, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -252,26 +284,19 @@ def round_trip_digests(docs: DataFrame, path: str | None = None, pattern: str |
     The columns keep, n_tokens, ids_sha256 (of the ids as little-endian 32-bit
     integers), decoded_sha256 (of the bytes the ids decode to) and, if asked for, ids.
     """
-    shared, pattern = _vocabulary(docs.sparkSession, path, pattern)
-    names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared.value, pattern)
-        for batch in batches:
-            n, of_ids, of_text, all_ids = [], [], [], []
-            for x in batch.column(0):
-                ids = codec.encode(x.as_py() or "")
-                n.append(len(ids) // 4)
-                of_ids.append(hashlib.sha256(ids).hexdigest())
-                of_text.append(hashlib.sha256(codec.decode(ids)).hexdigest())
-                if with_ids:
-                    all_ids.append(np.frombuffer(ids, dtype="<i4"))
-            made = [pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string()), *[pa.array(all_ids, pa.list_(pa.int32()))] * with_ids]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], names=names)
-
-    source = docs.select(F.col(text_col).alias("__text"), *keep)
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[1:])
-    return source.mapInArrow(run, f"{ddl}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    def make(codec: Codec, texts: pa.Array) -> list[pa.Array]:
+        n, of_ids, of_text, all_ids = [], [], [], []
+        for x in texts:
+            ids = codec.encode(x.as_py() or "")
+            n.append(len(ids) // 4)
+            of_ids.append(hashlib.sha256(ids).hexdigest())
+            of_text.append(hashlib.sha256(codec.decode(ids)).hexdigest())
+            if with_ids:
+                all_ids.append(np.frombuffer(ids, dtype="<i4"))
+        return [pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string()), *[pa.array(all_ids, pa.list_(pa.int32()))] * with_ids]
+
+    return _per_text(docs, text_col, keep, path, pattern, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids, make)
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
