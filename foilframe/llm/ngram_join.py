@@ -3,10 +3,9 @@
 Documents are sets of word shingles. Two of them can reach the threshold only if
 their prefixes share a token, whatever total order the tokens are put in. Under
 the first order, rare tokens first, prefixes are posted and met; a pair found so
-must also share prefix tokens under the other orders before the whole sets are
-compared. Parities of the tokens by hash, a few bits for each, bound from below
-how far two sets differ and spare most of the pairs that only share a passage
-the fetching of their sets. All orders put tokens that a sketch finds frequent last, so that
+must also share prefix tokens under the other orders, and its parities (of the
+tokens by hash, a few bits for each) must allow it, before whole sets are fetched
+and compared. All orders put tokens that a sketch finds frequent last, so that
 passages which many documents share stay out of most prefixes.
 
 Sets are told apart by a 64-bit hash and equal sets are one node. The groups that
@@ -16,10 +15,12 @@ one key may form are kept small on the way:
   own only, the one with the fewest rare tokens, which in a group of near copies
   is the text they were made from; so a large group is linked by about as many
   pairs as it has members;
-* tokens that are not frequent have short posting lists (the sketch bounds them),
-  which are met in tasks sorted by token;
+* lists of tokens that the sketch finds rare are met in tasks sorted by token; one
+  that holds more than LIST nodes all the same is counted as frequent;
 * lists of frequent tokens get stars of their own first and are then joined only
-  across what is not linked yet, so a group that is linked yields no pair.
+  across what is not linked yet, so a group that is linked yields no pair. Lists
+  above a share of all rows, of which there can be GIANTS at most, meet their
+  star by a broadcast and each other block by block, so none lies in one task.
 
 No link is lost: every pair that meets a filter is compared in full or lies in
 one component already. Links are joined to components by alternating stars.
@@ -38,20 +39,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foilframe.llm.components import components
-from foilframe.llm.staging import PLACE, documents, numbered, stage
-from foilframe.llm.textblocks import _BASE, hash_words, mix, shingle_sets, slices
+from foilframe.llm.staging import PLACE, documents, numbered, small, stage, text_batches
+from foilframe.llm.textblocks import _BASE, hash_words, lean, mix, shingle_sets, slices
 
 WIDTH, PERCENT = 5, 75
 ORDERS = 3
 #: Counters of the sketch; a table of as many bytes is what is broadcast, whatever the size of the data.
 SLOTS = 1 << 22
 _CHUNK = 1 << 16
-#: Bits of the map of nodes whose sets are asked for; more nodes only make it less selective.
-MAP_BITS = 1 << 23
+#: Sums of each part of the sketch that are made before the last one.
+FAN = 8
+#: Nodes up to which the list of a rare token is met in one task.
+LIST = 2000
+#: Lists that may be split, at most; a list is if it holds more than one GIANTSth of all rows, and more than LEAST.
+GIANTS, LEAST = 4096, 1024
 _SALT = [np.uint64(0), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)]
 
 
@@ -80,19 +86,29 @@ def frequency_classes(docs: DataFrame, width: int = WIDTH, slots: int = SLOTS) -
             at, n = np.unique((joined[whole] & np.uint64(slots - 1)).astype(np.uint32), return_counts=True)
             table[at] += n.astype(np.uint32)
         if table.any():
-            small = np.minimum(table, 255).astype(np.uint8).reshape(-1, _CHUNK)
-            used = np.flatnonzero(small.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([small[k].tobytes() for k in used], pa.binary())], names=["chunk", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-                total[k] = total.get(k, np.zeros(_CHUNK, dtype=np.uint32)) + np.frombuffer(x.as_buffer(), dtype=np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["chunk", "counts"])
-
-    chunks = slots // _CHUNK
-    parts = docs.select("text").mapInArrow(count, "chunk int, counts binary").repartition(min(chunks, 32), "chunk").mapInArrow(add, "chunk int, counts binary")
+            counts = np.minimum(table, 255).astype(np.uint8).reshape(-1, _CHUNK)
+            used = np.flatnonzero(counts.any(axis=1))
+            yield from packed(used.tolist(), [counts[k] for k in used])
+
+    def packed(chunk: list[int], counts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array([part] * len(chunk), pa.int32()), pa.array(chunk, pa.int32()), pa.array([x.tobytes() for x in counts], pa.binary())], names=["part", "chunk", "counts"])
+
+    def add(kind: type):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for k, x in zip(batch.column(1).to_pylist(), batch.column(2)):
+                    total[k] = total.get(k, np.zeros(_CHUNK, dtype=np.uint32)) + np.frombuffer(x.as_buffer(), dtype=kind)
+            yield from packed(list(total), list(total.values()))
+
+        return lean(run)
+
+    chunks, columns = slots // _CHUNK, "part int, chunk int, counts binary"
+    first = docs.select("text").mapInArrow(lean(count), columns).withColumn("group", F.col("part") % FAN)
+    parts = first.repartition(min(chunks * FAN, 64), "chunk", "group").drop("group").mapInArrow(add(np.uint8), columns)  # FAN sums of each chunk
+    with text_batches(docs.sparkSession):
+        parts = stage(parts.repartition(min(chunks, 16), "chunk").mapInArrow(add(np.uint32), columns), "ngram-sketch")
     total = np.zeros((chunks, _CHUNK), dtype=np.uint32)
     for r in parts.toLocalIterator():  # the sketch: slots counters
         total[r["chunk"]] = np.frombuffer(r["counts"], dtype=np.uint32)
@@ -116,80 +132,87 @@ def _node(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _parity(tokens: np.ndarray) -> bytes:
-    """Bit i: whether an odd number of tokens hash to i. Two to four bits for each token."""
+def _parity(tokens: np.ndarray) -> np.ndarray:
+    """Bit i: whether an odd number of tokens hash to i, in 64-bit words. Two to four bits for each token."""
     bits = 1 << max(8, int(2 * len(tokens) - 1).bit_length())
     at = (mix(tokens ^ _SALT[3]) & np.uint64(bits - 1)).astype(np.int64)
-    return np.packbits(np.bincount(at, minlength=bits) & 1, bitorder="little").tobytes()
+    return np.packbits(np.bincount(at, minlength=bits) & 1, bitorder="little").view("<i8")
 
 
-def _differ(a: bytes, b: bytes) -> int:
-    """The least number of tokens in which two sets with these parities differ."""
-    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
-    size, other = len(a) * 8, len(b) * 8
-    while size > other:
-        size //= 2
-        x = (x >> size) ^ (x & ((1 << size) - 1))
-    while other > size:
-        other //= 2
-        y = (y >> other) ^ (y & ((1 << other) - 1))
-    return (x ^ y).bit_count()
+def _may_reach(n_a: Column, n_b: Column, a: Column, b: Column, percent: int) -> Column:
+    """Whether the parities a and b allow sets of these sizes to reach the threshold: the bits in which they differ are tokens that only one of them has."""
+    halved = lambda x: F.zip_with(F.slice(x, 1, (F.size(x) / 2).cast("int")), F.slice(x, (F.size(x) / 2).cast("int") + 1, (F.size(x) / 2).cast("int")), lambda u, v: u.bitwiseXOR(v))
+    x, y = F.when(F.size(a) > F.size(b), halved(a)).otherwise(a), F.when(F.size(b) > F.size(a), halved(b)).otherwise(b)
+    least = F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda t, u: t + u)
+    both = (n_a + n_b).cast("long")
+    most = both - 2 * F.ceil(percent * both / F.lit(100 + percent))  # 64-bit counts, so the quotient is exact enough
+    near = 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)  # then the sizes of the parities are one step apart at most
+    return near & (least <= most)
 
 
-def described(docs: DataFrame, classes, width: int, percent: int) -> DataFrame:
-    """place, doc_id, n, node, prefix (tokens by rank under the first order), cold (how many of them aren't frequent), firsts (least token by three hashes), parity."""
+def described(docs: DataFrame, classes, width: int, percent: int, orders: int) -> DataFrame:
+    """place, doc_id, n, node, prefix (tokens by rank under the first order), cold (how many of them aren't frequent), firsts (least token by three hashes), parity, others (prefix tokens under each other order, cut to 32 bits)."""
+    names = ["place", "doc_id", "n", "node", "prefix", "cold", "firsts", "parity", "others"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = classes.value
         for batch in (part for b in batches for part in slices(b, 2)):
             tokens, sizes = shingle_sets(batch.column(2), width)
-            nodes, prefix, cold, firsts, parity = [], [], [], [], []
-            ranks, hashed = [_ranks(tokens, table, 0)], [mix(tokens ^ salt) for salt in _SALT[:3]]
+            nodes, prefix, cold, firsts, parity, others = [], [], [], [], [], []
             e = 0
             for n in sizes.tolist():
                 s, e = e, e + n
                 if not n:
-                    nodes.append(0), prefix.append(None), cold.append(0), firsts.append(None), parity.append(None)
+                    for column, empty in ((nodes, 0), (prefix, None), (cold, 0), (firsts, None), (parity, None), (others, None)):
+                        column.append(empty)
                     continue
-                own, rank = tokens[s:e], ranks[0][s:e]
-                p = _prefix_length(n, percent)
-                inside = np.flatnonzero(rank <= np.partition(rank, p - 1)[p - 1])
-                inside = inside[np.argsort(rank[inside])]
+                own, p = tokens[s:e], _prefix_length(n, percent)
+                ranks = [_ranks(own, table, k) for k in range(orders)]
+                first = [r <= np.partition(r, p - 1)[p - 1] for r in ranks]
+                inside = np.flatnonzero(first[0])
+                inside = inside[np.argsort(ranks[0][inside])]
                 nodes.append(_node(own))
                 prefix.append(own[inside].view(np.int64))
-                cold.append(int((rank[inside] >> np.uint64(59) == 0).sum()))  # frequent ones come last
+                cold.append(int((ranks[0][inside] >> np.uint64(59) == 0).sum()))  # frequent ones come last
                 parity.append(_parity(own))
-                firsts.append([int(own[np.argmin(r[s:e])].view(np.int64)) for r in hashed])
+                firsts.append([int(own[np.argmin(mix(own ^ salt))].view(np.int64)) for salt in _SALT[:3]])
+                others.append([own[x].astype(np.uint32).view(np.int32) for x in first[1:]])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes.astype(np.int32)), pa.array(nodes, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(cold, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(parity, pa.binary())],
-                names=["place", "doc_id", "n", "node", "prefix", "cold", "firsts", "parity"],
+                [batch.column(0), batch.column(1), pa.array(sizes.astype(np.int32)), pa.array(nodes, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(cold, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(parity, pa.list_(pa.int64())), pa.array(others, pa.list_(pa.list_(pa.int32())))],
+                names=names,
             )
 
     source = docs.select(F.col(PLACE).alias("place"), "doc_id", "text")
-    return source.mapInArrow(run, f"place long, doc_id {source.schema['doc_id'].dataType.simpleString()}, n int, node long, prefix array<long>, cold int, firsts array<long>, parity binary")
+    return source.mapInArrow(lean(run), f"place long, doc_id {source.schema['doc_id'].dataType.simpleString()}, n int, node long, prefix array<long>, cold int, firsts array<long>, parity array<long>, others array<array<int>>")
+
+
+def giants(lists: DataFrame, rows: int) -> DataFrame:
+    """Those of lists (with their rows in count) that are too long for one task: more than LEAST rows and one GIANTSth of all, so GIANTS at most."""
+    return F.broadcast(lists.filter(F.col("count") > max(LEAST, rows // GIANTS)))  # at most GIANTS rows, as their counts add up to rows
 
 
 def _stars(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """a, b: each node with one of those that share its key, the one with the fewest rare tokens. rows: node, cold, keys and root.
+    """a, b: each node with one of those that share its key, the one with the fewest rare tokens. rows: node, cold, keys and root; written.
 
-    What is linked already, by its root, isn't paired.
+    Keys whose nodes all have one root are linked already. Long lists meet their
+    lead where they are, by a broadcast of those few leads.
     """
-    one = F.struct("cold", "node", "root")
-    lead = rows.groupBy(*keys).agg(F.min(one).alias("lead"), F.max(one).alias("last")).filter("lead.node != last.node").select(*keys, "lead.node", "lead.root").toDF(*keys, "lead", "lead_root")
-    met = rows.join(lead, keys).filter("node != lead AND root != lead_root")
-    return met.select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
+    lists = rows.groupBy(*keys).agg(F.min(F.struct("cold", "node", "root")).alias("lead"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("count"))
+    leads = stage(lists.filter("lo < hi").select(*keys, F.col("lead.node").alias("lead"), F.col("lead.root").alias("lead_root"), "count"), "ngram-leads")
+    long = giants(leads, rows.count())
+    met = rows.join(long, keys).unionByName(rows.join(long, keys, "left_anti").join(leads, keys))
+    return met.filter("node != lead AND root != lead_root").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
 
 
 def star_pairs(rows: DataFrame) -> DataFrame:
     """a, b: nodes with the same least token under a hash, as stars."""
     keys = rows.filter("n > 0").select("node", "cold", F.col("node").alias("root"), F.posexplode("firsts").alias("which", "token")).distinct()
-    return _stars(keys, ["which", "token"])
+    return _stars(stage(keys, "ngram-firsts"), ["which", "token"])
 
 
-def _postings(rows: DataFrame, hot: bool) -> DataFrame:
-    """token, node, n, pos, cold for the frequent (or the other) tokens of each prefix."""
-    kept = rows.filter("n > 0").select("node", "n", "cold", F.posexplode("prefix").alias("pos", "token"))
-    return kept.filter("pos >= cold" if hot else "pos < cold").select("token", "node", "n", "pos", "cold")
+def _postings(rows: DataFrame) -> DataFrame:
+    """token, node, n, pos, cold of each prefix token."""
+    return rows.filter("n > 0").select("node", "n", "cold", F.posexplode("prefix").alias("pos", "token")).select("token", "node", "n", "pos", "cold")
 
 
 def _reach(n, pos, percent: int):
@@ -200,8 +223,8 @@ def _reach(n, pos, percent: int):
     return (n - pos) * (100 + percent) // percent - n
 
 
-def cold_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """a, b: nodes that share a token which isn't frequent, within each other's reach."""
+def cold_pairs(rows: DataFrame, percent: int, longest: int = LIST) -> DataFrame:
+    """a, b: nodes that share a token which isn't frequent, within each other's reach; and, with b null, the tokens that more than longest nodes share after all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] = []
@@ -209,14 +232,23 @@ def cold_pairs(rows: DataFrame, percent: int) -> DataFrame:
             now = [batch.column(k).to_numpy().astype(np.int64) for k in range(4)]
             if rest:
                 now = [np.concatenate([r, x]) for r, x in zip(rest, now)]
+            new = np.ones(len(now[0]), dtype=bool)  # copies have the same node
+            new[1:] = (now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])
+            now = [x[new] for x in now]
             token = now[0]
             tail = int(np.searchsorted(token, token[-1], side="left")) if len(token) else 0  # the last list may go on
             yield from met([x[:tail] for x in now])
             rest = [x[tail:] for x in now]
+            if len(rest[0]) > longest + 1:  # too long already: what is kept of it says so
+                rest = [x[: longest + 1] for x in rest]
         if rest:
             yield from met(rest)
 
     def met(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        found, size = np.unique(part[0], return_counts=True)
+        if len(over := found[size > longest]):
+            yield pa.RecordBatch.from_arrays([pa.array(over), pa.nulls(len(over), pa.int64())], names=["a", "b"])
+            part = [x[~np.isin(part[0], over)] for x in part]
         token, node, n, pos = part
         reach = _reach(n, pos, percent)
         left, right = [], []
@@ -224,12 +256,12 @@ def cold_pairs(rows: DataFrame, percent: int) -> DataFrame:
         i = np.flatnonzero(token[1:] == token[:-1])  # rows that have a next one in their list
         while len(i):
             j = i + step
-            good = (node[i] != node[j]) & (n[j] <= reach[i]) & (n[i] <= reach[j])
+            good = (n[j] <= reach[i]) & (n[i] <= reach[j])
             left.append(i[good]), right.append(j[good])
             step += 1
             i = i[i + step < len(token)]
             i = i[token[i] == token[i + step]]
-            if sum(map(len, left)) > 1 << 20:
+            if sum(map(len, left)) > 1 << 18:
                 yield pairs(node, left, right)
                 left, right = [], []
         if left:
@@ -242,8 +274,14 @@ def cold_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
     spark = rows.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lists = _postings(rows, False).drop("cold").repartition(n, "token").sortWithinPartitions("token")
-    return lists.mapInArrow(run, "a long, b long").distinct()
+    lists = _postings(rows).filter("pos < cold").drop("cold").repartition(n, "token").sortWithinPartitions("token", "node")
+    return lists.mapInArrow(lean(run), "a long, b long").distinct()
+
+
+def hot_postings(rows: DataFrame, long: DataFrame) -> DataFrame:
+    """The postings of frequent tokens and of those in long (token), each node once."""
+    posted = _postings(rows)
+    return posted.filter("pos >= cold").unionByName(posted.filter("pos < cold").join(small(long), "token", "left_semi")).distinct()
 
 
 def rooted(postings: DataFrame, roots: DataFrame) -> DataFrame:
@@ -251,106 +289,89 @@ def rooted(postings: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def hot_pairs(posted: DataFrame, percent: int) -> DataFrame:
-    """a, b: nodes in different components that share a frequent prefix token, within each other's reach. posted: postings with root."""
-    cross = posted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
-    split = posted.join(cross, "token").withColumn("reach", F.floor((F.col("n") - F.col("pos")) * (100 + percent) / F.lit(percent)) - F.col("n"))
-    x, y = split.alias("x"), split.alias("y")
-    near = (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & (F.col("y.n") <= F.col("x.reach")) & (F.col("x.n") <= F.col("y.reach"))
-    return x.join(y, near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-
-
-def plausible(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose parities allow them to reach the threshold."""
-    known = rows.filter("n > 0").join(_ends(pairs), "node", "left_semi").groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("parity").alias("parity"))
-    a, b = (known.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("parity").alias(f"parity_{k}")) for k in "ab")
+    """a, b: nodes in different components that share a frequent prefix token, within each other's reach. posted: postings with root; written.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = (batch.column(2).to_numpy() + batch.column(3).to_numpy()).astype(np.int64)
-            most = both - 2 * -(-percent * both // (100 + percent))  # tokens in which they may differ
-            least = np.array([_differ(x.as_py(), y.as_py()) for x, y in zip(batch.column(4), batch.column(5))], dtype=np.int64)
-            yield batch.select(["a", "b"]).filter(pa.array(least <= most))
+    A long list is dealt to blocks by node; each block meets itself and each other one under a key of both.
+    """
+    lists = posted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("count"))
+    cross = stage(lists.filter("lo < hi").select("token", "count"), "ngram-cross")
+    rows = posted.count()
+    long = giants(cross, rows)
+    split = posted.join(long, "token").unionByName(posted.join(long, "token", "left_anti").join(cross, "token"))
+    parts = F.ceil(F.col("count") / max(LEAST, rows // GIANTS)).cast("int")
+    keyed = (
+        split.withColumn("reach", F.floor((F.col("n") - F.col("pos")) * (100 + percent) / F.lit(percent)) - F.col("n"))
+        .withColumn("block", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+        .withColumn("key", F.struct("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")))
+    )
+    x, y = keyed.alias("x"), keyed.alias("y")
+    once = (F.col("x.key.lo") == F.col("x.key.hi")) | (F.col("x.block") != F.col("y.block"))
+    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & once & (F.col("x.root") != F.col("y.root")) & (F.col("y.n") <= F.col("x.reach")) & (F.col("x.n") <= F.col("y.reach"))
+    return x.join(y, near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
-    met = pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "parity_a", "parity_b")
-    return met.mapInArrow(run, "a long, b long")
 
+def plausible(pairs: DataFrame, rows: DataFrame, percent: int, orders: int) -> DataFrame:
+    """The pairs (written) that share prefix tokens under every other order too and whose parities allow them to reach the threshold."""
+    about = ["n", "parity", "others"]
+    known = rows.filter("n > 0").join(small(_ends(pairs)), "node", "left_semi").select("node", *about).dropDuplicates(["node"])
+    a, b = (known.select(F.col("node").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in about]) for k in "ab")
+    meet = F.lit(True)
+    for k in range(orders - 1):
+        meet = meet & F.arrays_overlap(F.col("others_a")[k], F.col("others_b")[k])
+    return pairs.join(a, "a").join(b, "b").filter(_may_reach(F.col("n_a"), F.col("n_b"), F.col("parity_a"), F.col("parity_b"), percent) & meet).select("a", "b")
 
-def sets_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame, classes, width: int, percent: int, orders: int) -> DataFrame:
-    """node, n, tokens, others (prefix tokens under each other order, cut to 32 bits) of the given nodes.
 
-    A bit map of bounded size spares the work for most other rows; the join that
-    follows is exact.
-    """
-    wanted = stage(rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("place").alias("place")), "ngram-wanted")
-    place_bit = F.pmod(F.xxhash64("place"), F.lit(MAP_BITS))
-    found = wanted.select(place_bit.alias("bit")).groupBy(F.bitmap_bucket_number(F.col("bit") + 1).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bit") + 1)).alias("bits")).collect()  # MAP_BITS bits
-    bits = np.zeros(MAP_BITS // 8, dtype=np.uint8)
-    for r in found:
-        at = (r["k"] - 1) * 4096
-        bits[at : at + len(r["bits"])] = np.frombuffer(r["bits"], dtype=np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
-
-    def asked(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bit = batch.column(1).to_numpy().astype(np.int64)
-        return batch.filter(pa.array((shared.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1))
+def sets_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """node, n, tokens: the whole sets of the given nodes, each made from one of its texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = classes.value
-        for batch in (part for b in batches for part in slices(asked(b), 2)):
-            tokens, sizes = shingle_sets(batch.column(2), width)
-            others: list = []
-            ranks = [_ranks(tokens, table, k) for k in range(1, orders)]
-            ends = np.cumsum(sizes).tolist()
-            for e, n in zip(ends, sizes.tolist()):
-                p, own = _prefix_length(n, percent), tokens[e - n : e]
-                others.append([own[r[e - n : e] <= np.partition(r[e - n : e], p - 1)[p - 1]].astype(np.uint32).view(np.int32) for r in ranks] if n else [])
-            offsets = pa.array(np.concatenate(([0], ends)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(tokens.view(np.int64))), pa.array(others, pa.list_(pa.list_(pa.int32())))],
-                names=["place", "n", "tokens", "others"],
-            )
+        for batch in (part for b in batches for part in slices(b, 1)):
+            tokens, sizes = shingle_sets(batch.column(1), width)
+            offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(tokens.view(np.int64)))], names=["node", "n", "tokens"])
 
-    source = docs.select(F.col(PLACE).alias("place"), "text").select("place", place_bit.alias("bit"), "text")
-    made = source.mapInArrow(run, "place long, n int, tokens array<long>, others array<array<int>>")
-    return stage(made.join(wanted, "place").drop("place"), "ngram-sets")
+    wanted = stage(rows.filter("n > 0").join(small(nodes), "node", "left_semi").groupBy("node").agg(F.min("place").alias("place")), "ngram-wanted")
+    texts = docs.select(F.col(PLACE).alias("place"), "text").join(small(wanted), "place").select("node", "text")
+    with text_batches(docs.sparkSession):
+        return stage(texts.mapInArrow(lean(run), "node long, n int, tokens array<long>"), "ngram-sets")
 
 
-def links(pairs: DataFrame, sets: DataFrame, percent: int, orders: int) -> DataFrame:
-    """The pairs that reach the threshold. Prefixes under the other orders are met first, whole sets after that."""
-    if orders > 1:
-        a, b = (sets.select(F.col("node").alias(k), F.col("others").alias(f"others_{k}")) for k in "ab")
-        meet = F.lit(True)
-        for k in range(orders - 1):
-            meet = meet & F.arrays_overlap(F.col("others_a")[k], F.col("others_b")[k])
-        pairs = pairs.join(a, "a").join(b, "b").filter(meet).select("a", "b")
+def links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that reach the threshold."""
     a, b = (sets.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("tokens").alias(f"tokens_{k}")) for k in "ab")
     shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
     return pairs.join(a, "a").join(b, "b").withColumn("shared", shared).filter(100 * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b")
 
 
-def similarity_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, orders: int = ORDERS, slots: int = SLOTS) -> DataFrame:
+def similarity_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, orders: int = ORDERS, slots: int = SLOTS, longest: int = LIST) -> DataFrame:
     """place, doc_id, n_shingles, component_id: the smallest doc_id that links reach. place numbers the rows of docs."""
     docs = numbered(docs)
     table = frequency_classes(docs, width, slots)
     classes = docs.sparkSession.sparkContext.broadcast(table)  # slots bytes
-    rows = stage(described(docs, classes, width, percent), "ngram-rows")
-
-    def linked(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
-        """Links of the pairs, with those known before."""
-        good = stage(plausible(stage(pairs, "ngram-met"), rows, percent), "ngram-pairs")
-        if known is not None and good.isEmpty():
-            return known
-        found = links(good, sets_of(docs, rows, _ends(good), classes, width, percent, orders), percent, orders)
-        return stage(found if known is None else known.union(found), "ngram-links")
-
-    edges = linked(star_pairs(rows).union(cold_pairs(rows, percent)).distinct(), None)
-    roots = components(edges)
-    hot = stage(_postings(rows, True).distinct(), "ngram-hot")
+    with text_batches(docs.sparkSession):
+        rows = stage(described(docs, classes, width, percent, orders), "ngram-rows")
+
+    def linked(pairs: DataFrame) -> DataFrame | None:
+        """Links among the pairs (written), or None."""
+        good = stage(plausible(pairs, rows, percent, orders), "ngram-pairs")
+        return None if good.isEmpty() else stage(links(good, sets_of(docs, rows, _ends(good), width), percent), "ngram-links")
+
+    met = stage(star_pairs(rows).union(cold_pairs(rows, percent, longest)).distinct(), "ngram-met")
+    edges, roots = linked(met.filter("b IS NOT NULL")), None
+
+    def grown(more: DataFrame | None) -> None:
+        """Takes in more links."""
+        nonlocal edges, roots
+        if more is not None:
+            edges = more if edges is None else edges.union(more)
+        if more is not None or roots is None:
+            roots = components(edges) if edges is not None else rows.select("node", F.col("node").alias("root")).limit(0)
+
+    grown(None)
+    hot = stage(hot_postings(rows, met.filter("b IS NULL").select(F.col("a").alias("token"))), "ngram-hot")
     if not hot.isEmpty():
-        edges = linked(_stars(rooted(hot, roots), ["token"]), edges)
-        roots = components(edges)
-        edges = linked(hot_pairs(rooted(hot, roots), percent), edges)
-        roots = components(edges)
+        grown(linked(stage(_stars(stage(rooted(hot, roots), "ngram-rooted"), ["token"]), "ngram-met")))
+        grown(linked(stage(hot_pairs(stage(rooted(hot, roots), "ngram-rooted"), percent), "ngram-met")))
 
     named = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))

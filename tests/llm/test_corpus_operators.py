@@ -119,7 +119,7 @@ def brute_components(rows):
     return {i: (len(sets[i]), top(i)) for i in sets}
 
 
-def test_ngram_join_equals_brute_force(spark):
+def test_ngram_join_equals_brute_force(spark, monkeypatch):
     rng = random.Random(11)
     vocabulary = [f"w{k}" for k in range(3000)]
     passage = [rng.choice(vocabulary) for _ in range(60)]
@@ -134,8 +134,9 @@ def test_ngram_join_equals_brute_force(spark):
         rows.append((10 + k, rng.choice([" ", "\n"]).join(words)))
     want = brute_components(rows)
     docs = frame(spark, [(i, t, "s") for i, t in rows])
-    for slots in (1 << 16, 1 << 17):
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similarity_components(docs, slots=slots).collect()}
+    for slots, longest in ((1 << 16, 3), (1 << 17, 2000)):  # the first with lists that turn out long after all
+        monkeypatch.setattr(ngram_join, "LEAST", longest * 10)  # and with lists that are split
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similarity_components(docs, slots=slots, longest=longest).collect()}
         assert got == want
     kept = ngram_join.representatives(docs, slots=1 << 16)
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in want.values()}) and kept.columns == docs.columns
@@ -148,14 +149,18 @@ def test_ngram_join_odd_rows(spark, odd):
     assert ngram_join.representatives(odd, slots=1 << 16).count() == 5
 
 
-def test_parity_bounds_differences():
+def test_parity_bounds_differences(spark):
     rng = np.random.default_rng(2)
-    for n, m in ((10, 12), (500, 600), (100, 900)):
-        pool = rng.integers(0, 1 << 63, n + m, dtype=np.uint64)
-        a, b = np.unique(pool[:n]), np.unique(pool[n // 2 : n // 2 + m])
-        real = len(a) + len(b) - 2 * len(np.intersect1d(a, b))
-        assert ngram_join._differ(ngram_join._parity(a), ngram_join._parity(b)) <= real
-        assert ngram_join._differ(ngram_join._parity(a), ngram_join._parity(a)) == 0
+    rows = []
+    for n, m in ((10, 12), (500, 600), (500, 520), (100, 130), (100, 101), (130, 120), (64, 66)):
+        for part in (0, 0.02, 0.05, 0.1, 0.3, 0.6):
+            pool = rng.integers(0, 1 << 63, n + m, dtype=np.uint64)
+            a, b = np.unique(pool[:n]), np.unique(np.concatenate([pool[int(n * part) : n], pool[n : n + max(0, m - n + int(n * part))]]))
+            shared = len(np.intersect1d(a, b))
+            rows.append((len(a), len(b), *(ngram_join._parity(x).tolist() for x in (a, b)), 100 * shared >= 75 * (len(a) + len(b) - shared)))
+    df = spark.createDataFrame(rows, "n int, m int, a array<long>, b array<long>, link boolean")
+    may = [(r.link, r.may) for r in df.withColumn("may", ngram_join._may_reach(F.col("n"), F.col("m"), F.col("a"), F.col("b"), 75)).collect()]
+    assert all(m for link, m in may if link) and any(link for link, _ in may) and sum(not m for _, m in may) > 10
 
 
 def test_components(spark):
