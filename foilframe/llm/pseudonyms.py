@@ -7,12 +7,18 @@ others of the same format: same length, separators and kind of character, check
 digits right again. The replacement is a keyed permutation of the values of the
 format, a Feistel network walked until it lands among them, so equal values have
 equal pseudonyms in every document, different values have different ones, and
-the holder of the key can invert it. Separators do not enter, so one number
-written in two ways keeps its link. What fails its check stays as it is.
-
-Null texts count as empty. Whole texts are read; those without a digit, an @
-or what may be a secret are passed through. Repeated rows give repeated results; an empty table gives an
-empty one; columns other than id and text are not read.
+the holder of the key can invert it. What fails its check stays as it is.
+
+Equal values keep their link over formats: separators don't enter, a date is its
+day in every notation, the case of ASCII letters in a mail address is left where
+it stands, and a telephone number has one pseudonym with and without its country
+code. So that a date is read back as it was meant, days after the 12th are
+permuted among themselves, which tells that much of them. What is not linked: a
+telephone number written with a trunk zero, and secrets, of which case matters.
+
+Null texts count as empty; null ids are kept. Whole texts are read, in time
+linear in their values. Repeated rows give repeated results; an empty table gives
+an empty one; columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -20,6 +26,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import repeat
@@ -28,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from foilframe.llm.staging import documents
+from foilframe.llm.textblocks import lean
 
 ROUNDS = 8
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -173,15 +181,21 @@ def ipv4(m: re.Match, f: Feistel, invert: bool) -> str | None:
     return ".".join(map(str, value.to_bytes(4, "big")))
 
 
+#: Country codes of two digits (fixed values); 1 and 7 have one digit, all others three.
+_TWO_DIGIT_CODES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
 def phone(m: re.Match, f: Feistel, invert: bool) -> str | None:
     """All digits but the country code."""
     text = m.group()
-    code = (re.match(r"\+\d{1,3}(?=[ .\-(])", text) or re.match(r"\+?", text)).group()
+    code = re.match(r"(?:\+\d{1,3}(?=[ .\-(]))?", text).group()
+    if text[0] == "+" and not code:
+        code = text[: 2 if text[1] in "17" else 3 if text[1:3] in _TWO_DIGIT_CODES else 4]
     rest = text[len(code) :]
     digits = re.sub(r"\D", "", rest)
     if not 7 <= len(digits) <= 14:
         return None
-    return code + _refill(rest, f.spell(digits, b"phone" + code.encode(), invert))
+    return code + _refill(rest, f.spell(digits, b"phone", invert))
 
 
 def date(m: re.Match, f: Feistel, invert: bool) -> str | None:
@@ -192,22 +206,18 @@ def date(m: re.Match, f: Feistel, invert: bool) -> str | None:
     if len(parts[0]) == 4:
         order = (0, 1, 2)
     else:
-        month_first = sep == "/"
-        order = (2, 0, 1) if month_first else (2, 1, 0)
+        order = (2, 0, 1) if sep == "/" else (2, 1, 0)
         if int(parts[order[1]]) > 12:
             order = (2, order[2], order[1])
     try:
-        day = dt.date(*(int(parts[k]) for k in order)).toordinal() - _FIRST_DAY
+        day = dt.date(*(int(parts[k]) for k in order))
     except ValueError:
         return None
-    if not 0 <= day < _DAYS:
+    at = day.toordinal() - _FIRST_DAY
+    if not 0 <= at < _DAYS:
         return None
-    plain = order in ((0, 1, 2), (2, 0, 1) if sep == "/" else (2, 1, 0))
-    if plain:
-        new = dt.date.fromordinal(f.permute(day, _DAYS, b"date", invert) + _FIRST_DAY)
-    else:  # such an order is only read from days after the 12th, so it maps to those
-        late, at = _late_days()
-        new = dt.date.fromordinal(late[f.permute(at[day], len(late), b"late", invert)] + _FIRST_DAY)
+    own, places = _days(day.day > 12)
+    new = dt.date.fromordinal(own[f.permute(places[at], len(own), b"late" if day.day > 12 else b"early", invert)] + _FIRST_DAY)
     out = [""] * 3
     for k, value, width in zip(order, (new.year, new.month, new.day), (4, 2, 2)):
         padded = width == 4 or all(len(p) == 2 for p in parts if len(p) < 4)
@@ -216,15 +226,19 @@ def date(m: re.Match, f: Feistel, invert: bool) -> str | None:
 
 
 @cache
-def _late_days() -> tuple[list[int], dict[int, int]]:
-    """The days after the 12th of a month, and the place of each among them."""
-    late = [d for d in range(_DAYS) if dt.date.fromordinal(d + _FIRST_DAY).day > 12]
-    return late, {d: k for k, d in enumerate(late)}
+def _days(late: bool) -> tuple[list[int], dict[int, int]]:
+    """The days up to the 12th of a month, or after it, and the place of each among them."""
+    own = [d for d in range(_DAYS) if (dt.date.fromordinal(d + _FIRST_DAY).day > 12) == late]
+    return own, {d: k for k, d in enumerate(own)}
+
+
+_LOWERED = {ord(u): low for u, low in zip(_UPPER, _LOWER)}
 
 
 def mail(m: re.Match, f: Feistel, invert: bool) -> str | None:
     local, domain = m.group().rsplit("@", 1)
-    return f"{f.spell(local, b'mail' + domain.lower().encode(), invert)}@{domain}"
+    new = f.spell(local.translate(_LOWERED), b"mail" + domain.translate(_LOWERED).encode(), invert)
+    return "".join(n.upper() if c in _UPPER else n for c, n in zip(local, new)) + "@" + domain
 
 
 def secret(m: re.Match, f: Feistel, invert: bool) -> str | None:
@@ -238,42 +252,44 @@ KINDS: dict[str, tuple[str, Callable[[re.Match, Feistel, bool], str | None]]] =
     "secret": (r"(?P<name>(?i:token|secret|passw(?:or)?d|api[_-]?key)[\"']?\s*[:=]\s*[\"']?)(?P<value>[A-Za-z0-9_+/\-]{16,})", secret),
     "mail": (r"[\w.+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+", mail),
     "iban": (r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?!\w)", iban),
-    "phone": (r"(?<![\w.])(?:\+\d{1,3}[ .\-]?)?\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}(?!\w)|(?<![\w.\-])\d{3}([.\-])\d{3}\1\d{4}(?!\w)|(?<!\w)\+\d{1,3}(?:[ .\-]\d{2,4}){2,4}(?!\w)", phone),
+    "phone": (r"(?<![\w.])(?:\+\d{1,3}[ .\-]?)?\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}(?!\w)|(?<![\w.\-])\d{3}([.\-])\d{3}\1\d{4}(?!\w)|(?<!\w)\+\d{1,3}(?:[ .\-]\d{2,4}){2,4}(?!\w)|(?<!\w)\+(?:\d{8,15}|\d{1,3}[ .\-]\d{7,12})(?!\w)", phone),
     "card": (r"(?<![\w.])(?:\d{13,19}|\d{4}(?P<gap>[ \-])\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}|\d{4}(?P<gap2>[ \-])\d{6}(?P=gap2)\d{5})(?!\w)", card),
     "ssn": (r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])", ssn),
     "ipv4": (r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\w)", ipv4),
     "date": (r"(?<![\w./\-])(?:\d{4}([./\-])\d{1,2}\1\d{1,2}|\d{1,2}([./\-])\d{1,2}\2\d{4})(?!(?!T\d)\w|[/\-])", date),
 }
 _PATTERNS = {k: re.compile(p) for k, (p, _) in KINDS.items()}
-_ANY = re.compile(r"[0-9@]|[:=]\s*[\"']?[A-Za-z0-9_+/\-]{16}")
 
 
 def pseudonymise(text: str, f: Feistel, kinds: tuple[str, ...] = tuple(KINDS), invert: bool = False) -> tuple[str, list[dict]]:
     """The text with its values replaced, and where they now stand. Earlier kinds win where two overlap."""
-    if not _ANY.search(text):
-        return text, []
-    found: list[tuple[int, int, str, str]] = []
+    taken: list[tuple[int, int, str, str]] = []  # in order, none overlaps another
     for kind in kinds:
-        at = 0
+        at, own = 0, []
         while longest := _PATTERNS[kind].search(text, at):
             at = longest.start() + 1 if kind == "iban" else longest.end()
             for m in iban_tries(longest) if kind == "iban" else (longest,):
-                if any(s < m.end() and m.start() < e for s, e, _, _ in found):
+                if _overlaps(taken, m.start(), m.end()):
                     continue
                 new = KINDS[kind][1](m, f, invert)
                 if new is not None:
-                    found.append((m.start(), m.end(), kind, new))
+                    own.append((m.start(), m.end(), kind, new))
                     at = m.end()
                     break
-    found.sort()
+        taken = sorted(taken + own) if own else taken
     out, values, at = [], [], 0
-    for s, e, kind, new in found:
+    for s, e, kind, new in taken:
         out += [text[at:s], new]
-        values.append({"kind": kind, "start": s, "value": new})  # same length or, for addresses, near it
+        values.append({"kind": kind, "start": s, "value": new})
         at = e
     return "".join(out) + text[at:], values
 
 
+def _overlaps(taken: list[tuple[int, int, str, str]], start: int, end: int) -> bool:
+    k = bisect_left(taken, (end,))  # the first that begins at end or after it
+    return k > 0 and taken[k - 1][1] > start
+
+
 def pseudonymised(docs: DataFrame, key: bytes, kinds: tuple[str, ...] = tuple(KINDS), invert: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, text with pseudonyms, and found: kind, start in the old text and pseudonym of each value."""
     kinds = tuple(kinds)
@@ -286,8 +302,13 @@ def pseudonymised(docs: DataFrame, key: bytes, kinds: tuple[str, ...] = tuple(KI
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in done], pa.string()), pa.array([v for _, v in done], struct)], names=[id_col, text_col, "found"])
 
     source = docs.select(id_col, text_col)
-    return source.mapInArrow(run, f"`{id_col}` {source.schema[id_col].dataType.simpleString()}, `{text_col}` string, found array<struct<kind:string,start:int,value:string>>")
+    return source.mapInArrow(lean(run), f"`{id_col}` {source.schema[id_col].dataType.simpleString()}, `{text_col}` string, found array<struct<kind:string,start:int,value:string>>")
+
+
+#: The setting that holds the key; without it the queries use a key that is no secret.
+KEY = "spark.foilframe.pseudonymKey"
 
 
 def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymised(documents(spark, sf_dir), b"corpus pseudonyms, first key").selectExpr("doc_id", "text", "size(found) AS n_values", "found")
+    key = spark.conf.get(KEY, "corpus pseudonyms, first key").encode()
+    return pseudonymised(documents(spark, sf_dir), key).selectExpr("doc_id", "text", "size(found) AS n_values", "found")
