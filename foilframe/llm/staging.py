@@ -139,7 +139,7 @@ def text_or_empty(column: str = "text"):
 
 
 PLACE = "__row_place"
-_ROW_BITS = 40
+ROW_BITS = 40
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -158,4 +158,4 @@ def numbered(docs: DataFrame) -> DataFrame:
     paths = sorted(r[0] for r in docs.select(meta["file_path"]).distinct().collect())  # one for each file
     files = local_table(docs.sparkSession, list(zip(paths, range(len(paths)))), "__file string, __file_number long")
     placed = docs.withColumns({"__file": meta["file_path"], PLACE: meta["row_index"]}).join(F.broadcast(files), "__file")  # one row for each file
-    return placed.withColumn(PLACE, F.shiftleft("__file_number", _ROW_BITS) + F.col(PLACE)).select(*docs.columns, PLACE)
+    return placed.withColumn(PLACE, F.shiftleft("__file_number", ROW_BITS) + F.col(PLACE)).select(*docs.columns, PLACE)

@@ -70,6 +70,44 @@ def test_vector_shards(spark, odd):
     assert sharding.assign(odd.limit(0), 8).count() == 0
 
 
+def test_equal_texts_share_a_shard(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcdef") * rng.randint(1, 9) for _ in range(rng.randint(1, 60))) for _ in range(4000)]
+    rows = [(i, t, "s") for i, t in enumerate(texts)] + [(5000 + i, "one text that stands sixty times " * 9, "s") for i in range(60)] + [(6000 + i, "x", "s") for i in range(1500)]
+    rows += [(20000, None, "s"), (20001, "", "s"), (20002, None, "s")]
+    text = {i: t or "" for i, t, _ in rows}
+    got = sharding.assign(frame(spark, rows), 8).collect()
+    where, load = {}, np.zeros(8)
+    for r in got:
+        where.setdefault(text[r.doc_id], set()).add(r.shard)
+        load[r.shard] += r["size"]
+    assert len(got) == len(rows) and all(len(w) == 1 for w in where.values()) and load.max() / load.min() < 1.03
+    huge = rows + [(8000 + i, "a text too large for any one shard " * 20, "s") for i in range(3000)]  # most of all bytes
+    got = sharding.assign(frame(spark, huge), 8).collect()
+    load = np.bincount([r.shard for r in got], [r["size"] for r in got], 8)
+    apart = {r.shard for r in got if 8000 <= r.doc_id < 20000}
+    share = sum(r["size"] for r in got if 8000 <= r.doc_id < 20000) / load.mean()
+    assert load.max() / load.min() < 1.03 and 1 < share <= len(apart)
+    assert all(sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got))) for k in range(8))
+
+
+def test_packing_against_every_placement():
+    rng = np.random.default_rng(8)
+    worst = []
+    for _ in range(40):
+        units = rng.integers(1, 30, (7, 3)).astype(float)
+        share = units / (units.sum(axis=0) / 2)
+
+        def most(where):
+            return max(share[np.array(where) == k].sum(axis=0).max(initial=0) for k in range(2))
+
+        best = min(most([n >> k & 1 for k in range(7)]) for n in range(1 << 7))
+        worst.append(most(sharding.pack(units, 2)) - best)
+    assert np.mean(worst) < 0.2 and max(worst) < 0.5  # of a shard, with units of two sevenths of one
+    even = sharding.pack(np.ones((64, 3)), 8)
+    assert np.bincount(even).tolist() == [8] * 8 and sharding.pack(np.zeros((0, 3)), 4).tolist() == []
+
+
 def test_mixing_targets():
     assert mixing.targets([100, 100, 100]) == [50.0, 100.0, 150.0]
     t = mixing.targets([1000, 10, 10])
