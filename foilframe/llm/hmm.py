@@ -10,9 +10,15 @@ recursion over a whole text then gives its exact log likelihood under the model.
 
 Counts of words are never gathered on one machine. Texts are read in blocks; each
 block has a dictionary of its own distinct words, so a word is counted once for
-each block, the counts are joined to the dictionaries by a shuffle on the word's
-hash, and blocks meet their dictionaries again by a shuffle on the block.
-Training cuts sequences every SEGMENT tokens; scoring cuts nothing. The memory of
+each block. Words that a few blocks show to be widespread, COMMON at most, are
+summed in each task first and their counts are broadcast; all others meet their
+counts by a shuffle on the word's hash. Blocks meet their dictionaries again by a
+shuffle on the block.
+
+Neither training nor scoring cuts a text. Expected counts are taken segment by
+segment to bound memory, with the forward message that enters a segment and the
+backward message that enters from behind: products of the steps of each segment
+carry both over a text, so the counts are those of the whole text. The memory of
 a task is bounded by a block of about BLOCK bytes or one single text.
 
 Words are told apart by 64-bit hashes. Null texts count as empty and have the end
@@ -31,13 +37,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foilframe.llm.staging import documents, stage
+from foilframe.llm.staging import documents, stage, text_batches
 from foilframe.llm.textblocks import LOWER, hash_words, lean, slices, text_bytes, word_spans
 
-STATES, CLASSES, ROUNDS, SEGMENT, SEED = 6, 2048, 4, 128, 5
+STATES, CLASSES, ROUNDS, SEGMENT, SEED = 6, 2048, 4, 512, 5
 END = CLASSES - 1
 BLOCK = 16 << 20
-EM_TOKENS = 1 << 19
+EM_TOKENS = 1 << 18
+#: Widespread words whose counts are broadcast, at most, and blocks that are looked at to find them.
+COMMON, LOOKED_AT = 100_000, 8
 
 
 def held_out():
@@ -127,45 +135,94 @@ class Model:
         np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
         return cls(np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True))
 
-    def counts(self, kinds: np.ndarray, length: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    def counts(self, kinds: np.ndarray, length: np.ndarray, opens: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """Expected starts, moves, emissions and the log likelihood of segments.
 
         kinds: segments x positions, filled up at the end; length: tokens of each;
-        opens: whether a segment begins a text. Later segments start from the
-        stationary share of the states.
+        opens: whether a segment begins a text. before: the forward message of the
+        token ahead of each other segment, summing to 1; after: the backward message
+        at a segment's last token, of any scale, all ones where a text ends.
         """
         n, steps = kinds.shape
         k = len(self.start)
         order = np.argsort(-length, kind="stable")
         kinds, length, opens = kinds[order], length[order], opens[order]
+        before = np.zeros((n, k)) if before is None else before[order]
+        after = np.ones((n, k)) if after is None else after[order]
         alive = [int(np.searchsorted(-length, -t, side="left")) for t in range(steps)]  # rows with more than t tokens
-        still = np.linalg.matrix_power(self.move, 64).mean(axis=0)
-        emit = np.ascontiguousarray(self.emit.T)
-        b = emit[kinds]
+        b = np.ascontiguousarray(self.emit.T)[kinds.T]
         a = np.zeros((steps, n, k))
         scale = np.ones((steps, n))
-        cur = np.where(opens[:, None], self.start, still) * b[:, 0]
+        cur = np.where(opens[:, None], self.start, before @ self.move) * b[0]
         for t in range(steps):
             m = alive[t]
             if not m:
                 break
             if t:
-                cur = (a[t - 1, :m] @ self.move) * b[:m, t]
+                cur = (a[t - 1, :m] @ self.move) * b[t, :m]
             s = cur.sum(axis=1)
             a[t, :m], scale[t, :m] = cur[:m] / s[:m, None], s[:m]
+        beta = after / (a[length - 1, np.arange(n)] * after).sum(axis=1, keepdims=True)  # so that forward times backward sums to 1
         moves = np.zeros((k, k))
-        gamma = np.zeros((steps, n, k))
-        beta = np.ones((n, k))
         for t in range(steps - 1, -1, -1):
             m, later = alive[t], alive[t + 1] if t + 1 < steps else 0
             if later:
-                back = beta[:later] * b[:later, t + 1] / scale[t + 1, :later, None]
+                back = beta[:later] * b[t + 1, :later] / scale[t + 1, :later, None]
                 moves += a[t, :later].T @ back
                 beta[:later] = back @ self.move.T
-            gamma[t, :m] = a[t, :m] * beta[:m]
+            a[t, :m] *= beta[:m]  # from here on the share of each state
+        moves += before[~opens].T @ (beta * b[0] / scale[0, :, None])[~opens]
         flat = kinds.T.ravel()
-        emits = np.stack([np.bincount(flat, gamma[:, :, s].ravel(), self.emit.shape[1]) for s in range(k)])
-        return gamma[0][opens].sum(axis=0), moves * self.move, emits, float(np.log(scale).sum())
+        emits = np.stack([np.bincount(flat, a[:, :, s].ravel(), self.emit.shape[1]) for s in range(k)])
+        return a[0][opens].sum(axis=0), moves * self.move, emits, float(np.log(scale).sum())
+
+    def through(self, kinds: np.ndarray, length: np.ndarray, opens: bool) -> np.ndarray:
+        """Segments as products of their steps: segments x states x states, or x 1 x states from the start if they open a text; scaled to sum to 1."""
+        n, steps = kinds.shape
+        k = len(self.start)
+        order = np.argsort(-length, kind="stable")
+        b, length = np.ascontiguousarray(self.emit.T)[kinds[order].T], length[order]
+        cur = np.broadcast_to(self.start if opens else np.eye(k), (n, 1 if opens else k, k)).copy()
+        for t in range(steps):
+            m = int(np.searchsorted(-length, -t, side="left"))
+            if not m:
+                break
+            new = (cur[:m] @ self.move if t or not opens else cur[:m]) * b[t, :m, None, :]
+            cur[:m] = new / new.sum(axis=(1, 2), keepdims=True)
+        out = np.empty_like(cur)
+        out[order] = cur
+        return out
+
+    def expected(self, texts: list[np.ndarray], width: int | None = None) -> np.ndarray:
+        """The counts of whole texts, one after another in one array: starts, moves, emissions, log likelihood."""
+        width = width or SEGMENT
+        k, c = self.emit.shape
+        parts = [(i, s) for i, x in enumerate(texts) for s in range(0, len(x), width)]
+        rows = [texts[i][s : s + width] for i, s in parts]
+        before, after = np.zeros((len(rows), k)), np.ones((len(rows), k))
+        opens = np.array([s == 0 for _, s in parts], dtype=bool)
+        cut = [r for r, (i, _) in enumerate(parts) if len(texts[i]) > width]  # segments of texts that have several, in order
+        carry: dict[int, np.ndarray] = {}
+        for first in (True, False):
+            own = [r for r in cut if opens[r] == first]
+            for at in _groups([len(rows[r]) for r in own], EM_TOKENS if first else EM_TOKENS // k):
+                chosen = [own[j] for j in at]
+                product = self.through(*_filled([rows[r] for r in chosen]), first)
+                carry.update(zip(chosen, product))
+        for r in cut:
+            if not opens[r]:
+                before[r] = ahead
+            ahead = carry[r][0] if opens[r] else ahead @ carry[r]
+            ahead = ahead / ahead.sum()
+        for r in reversed(cut):
+            if len(texts[parts[r][0]]) > parts[r][1] + width:  # not the last of its text
+                after[r] = carry[r + 1] @ after[r + 1]
+                after[r] /= after[r].sum()
+        total = np.zeros(k + k * k + k * c + 1)
+        for at in _groups([len(x) for x in rows], EM_TOKENS):
+            start, move, emit, log = self.counts(*_filled([rows[r] for r in at]), opens[at], before[at], after[at])
+            total += np.concatenate([start, move.ravel(), emit.ravel(), [log]])
+        return total
 
     @classmethod
     def of(cls, start: np.ndarray, move: np.ndarray, emit: np.ndarray, class_share: np.ndarray) -> "Model":
@@ -195,26 +252,23 @@ class Model:
         return out
 
 
-def _segments(kinds: list[np.ndarray], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Sequences cut into segments, in parts of bounded size: filled kinds, lengths, whether each opens a text."""
-    rows: list[np.ndarray] = []
-    opens: list[bool] = []
-    for x in kinds:
-        for s in range(0, len(x), width):
-            rows.append(x[s : s + width])
-            opens.append(s == 0)
-            if len(rows) * width >= EM_TOKENS:
-                yield _filled(rows, width), np.array([len(r) for r in rows]), np.array(opens)
-                rows, opens = [], []
-    if rows:
-        yield _filled(rows, width), np.array([len(r) for r in rows]), np.array(opens)
+def _groups(sizes: list[int], limit: int) -> Iterator[np.ndarray]:
+    """Places of sizes by falling size, in groups that take about limit numbers at most when filled up, or one alone."""
+    order = np.argsort(-np.array(sizes, dtype=np.int64), kind="stable")
+    at = 0
+    while at < len(order):
+        n = max(1, limit // max(1, sizes[order[at]]))
+        yield order[at : at + n]
+        at += n
 
 
-def _filled(rows: list[np.ndarray], width: int) -> np.ndarray:
-    out = np.zeros((len(rows), width), dtype=np.int64)
+def _filled(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The rows as one array, filled up at the end, and their lengths."""
+    length = np.array([len(r) for r in rows], dtype=np.int64)
+    out = np.zeros((len(rows), int(length.max(initial=0))), dtype=np.int64)
     for i, r in enumerate(rows):
         out[i, : len(r)] = r
-    return out
+    return out, length
 
 
 def _expected(texts: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
@@ -224,10 +278,7 @@ def _expected(texts: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(k + k * k + k * c + 1)
         for batch in batches:
-            kinds = [np.frombuffer(x.as_buffer(), dtype="<u2").astype(np.int64) for x in batch.column(0)]
-            for part in _segments(kinds, SEGMENT):
-                start, move, emit, log = model.counts(*part)
-                total += np.concatenate([start, move.ravel(), emit.ravel(), [log]])
+            total += model.expected([np.frombuffer(x.as_buffer(), dtype="<u2") for x in batch.column(0)])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["i", "v"])
 
     sums = texts.mapInArrow(lean(run), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()  # as many as the model has numbers
@@ -247,21 +298,37 @@ def train(texts: DataFrame, class_counts: np.ndarray, states: int = STATES, roun
     return model
 
 
+def with_counts(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each row of entries (block, word, class, pos, n) with count, its word's n in all blocks; and the words (class, count).
+
+    A word has a row for each block that holds it. Of the words that LOOKED_AT
+    blocks or so show to be widespread, the counts are added up in the tasks and
+    broadcast; so what is left to meet by word has few rows for each.
+    """
+    ends = entries.filter(F.col("class") == END)  # one for each block
+    every = max(1, ends.count() // LOOKED_AT)
+    seen = entries.filter(F.pmod("block", F.lit(every)) == 0).groupBy("word", "class").agg(F.count(F.lit(1)).alias("blocks")).filter("blocks > 1")
+    common = stage(seen.orderBy(F.desc("blocks"), "word", "class").limit(COMMON).select("word", "class"), "lm-common")
+    key = ["word", "class"]
+    summed = stage(entries.join(F.broadcast(common), key).groupBy(*key).agg(F.sum("n").alias("count")), "lm-common-counts")  # at most COMMON rows
+    of_word = Window.partitionBy(*key)
+    rare = entries.join(F.broadcast(common), key, "left_anti").select("block", "class", "pos", F.sum("n").over(of_word).alias("count"), (F.row_number().over(of_word.orderBy("block")) == 1).alias("once"))
+    often = entries.join(F.broadcast(summed), key).select("block", "class", "pos", "count", F.lit(False).alias("once"))
+    known = stage(rare.unionByName(often), "lm-counts")
+    return known.drop("once"), known.filter("once").select("class", "count").unionByName(summed.select("class", "count"))
+
+
 def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     rows = stage(coded(docs), "lm-coded")
     texts = rows.filter("tokens is not null")
-    entries = rows.filter("word is not null").select("block", "word", "class", "pos", "n")
-    of_word = Window.partitionBy("word", "class")  # a row for each block that has the word
-    known = stage(
-        entries.select("block", "class", "pos", F.sum("n").over(of_word).alias("count"), (F.row_number().over(of_word.orderBy("block")) == 1).alias("once")),
-        "lm-counts",
-    )
+    known, words = with_counts(rows.filter("word is not null").select("block", "word", "class", "pos", "n"))
     total, distinct = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in known.filter("once").groupBy("class").agg(F.sum("count").alias("n"), F.count_if(F.col("count") > 0).alias("v")).collect():  # at most CLASSES rows
+    for r in words.groupBy("class").agg(F.sum("count").alias("n"), F.count_if(F.col("count") > 0).alias("v")).collect():  # at most CLASSES rows
         total[r["class"]], distinct[r["class"]] = r["n"], r["v"]
     n_all, v_all = int(total.sum()), int(distinct.sum())
-    model = train(texts.filter("not held").select("classes"), total, states, rounds)
+    with text_batches(docs.sparkSession):
+        model = train(texts.filter("not held").select("classes"), total, states, rounds)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -279,7 +346,10 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataFr
             "base_score": pa.array([float(base[t].sum()) for t in tokens], pa.float64()), "score": pa.array([float(s + own[t].sum()) for s, t in zip(scores, tokens)], pa.float64()),
         })
 
-    blocks = known.select("block", "class", "pos", "count").groupBy("block").cogroup(texts.select("block", "doc_id", "held", "tokens").groupBy("block"))
+    # three partitions for each block, so that a task gets one or a few, at every size
+    parts = max(1, 3 * known.filter(F.col("class") == END).count())
+    left, right = known.repartition(parts, "block"), texts.select("block", "doc_id", "held", "tokens").repartition(parts, "block")
+    blocks = left.groupBy("block").cogroup(right.groupBy("block"))
     return blocks.applyInArrow(run, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
