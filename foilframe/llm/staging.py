@@ -142,20 +142,29 @@ PLACE = "__row_place"
 ROW_BITS = 40
 
 
-def numbered(docs: DataFrame) -> DataFrame:
+def as_files(docs: DataFrame) -> DataFrame:
+    """docs if it is a plain scan of Parquet files, else written as such."""
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    return docs if plan.nodeName() == "LogicalRelation" and plan.relation().toString() == "parquet" else stage(docs, "documents")
+
+
+def file_paths(docs: DataFrame) -> list[str]:
+    """The paths of the files behind docs, sorted: one for each file."""
+    return sorted(r[0] for r in docs.select(docs.metadataColumn("_metadata")["file_path"]).distinct().collect())
+
+
+def numbered(docs: DataFrame, numbers: dict[str, int] | None = None) -> DataFrame:
     """docs with PLACE, a number for each row that every scan gives it, however the files are split; anything but Parquet files is written first.
 
     Splits depend on the cores that are registered, so numbers of partitions
-    won't do: the place is the file's number among the sorted paths and the row's
-    index in it.
+    won't do: the place is the file's number, by the sorted paths unless numbers
+    are given, and the row's index in it.
     """
     if PLACE in docs.columns:
         return docs
-    plan = docs._jdf.queryExecution().optimizedPlan()
-    if plan.nodeName() != "LogicalRelation" or plan.relation().toString() != "parquet":
-        docs = stage(docs, "documents")
+    docs = as_files(docs)
     meta = docs.metadataColumn("_metadata")
-    paths = sorted(r[0] for r in docs.select(meta["file_path"]).distinct().collect())  # one for each file
-    files = local_table(docs.sparkSession, list(zip(paths, range(len(paths)))), "__file string, __file_number long")
+    numbers = numbers or {p: k for k, p in enumerate(file_paths(docs))}
+    files = local_table(docs.sparkSession, list(numbers.items()), "__file string, __file_number long")
     placed = docs.withColumns({"__file": meta["file_path"], PLACE: meta["row_index"]}).join(F.broadcast(files), "__file")  # one row for each file
     return placed.withColumn(PLACE, F.shiftleft("__file_number", ROW_BITS) + F.col(PLACE)).select(*docs.columns, PLACE)
