@@ -15,8 +15,8 @@ and text, so reruns agree, and only rows that repeat both share their fate. An
 empty table gives an empty result; without any words nothing is taken. Columns
 other than id, text and source are not read.
 
-Sources are named on the driver to be weighed: one row each, at most MAX_SOURCES
-of them, which is checked; more raise an error rather than being dropped.
+Sources, thresholds and targets are tables with a row for each source, however
+many there are; the driver sees sums over all of them only.
 """
 
 from __future__ import annotations
@@ -24,30 +24,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foilframe.llm.staging import PLACE, documents, local_table, numbered, stage
+from foilframe.llm.staging import PLACE, ROW_BITS, documents, free, numbered, small, stage
 
 CAP = 3
 WEIGHTS = (1, 2, 3)
-MAX_SOURCES = 1_000_000
 BITS, LEVELS = 10, 6  # a hash of 60 bits, in steps of 10
 
 
-def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> list[float]:
-    """Each source's target; sizes in order of the sources."""
-    w = [weights[i % len(weights)] for i in range(len(sizes))]
-    left, open_, out = float(sum(sizes)), set(range(len(sizes))), [0.0] * len(sizes)
-    while open_:
-        level = left / sum(w[i] for i in open_)
-        over = [i for i in open_ if level * w[i] > cap * sizes[i]]
-        if not over:
-            for i in open_:
-                out[i] = level * w[i]
+def ranked(sources: DataFrame) -> DataFrame:
+    """sources (source, size: one row each) with k, their place by code point, null last."""
+    order = [F.col("source").isNull(), F.col("source")]
+    sorted_ = numbered(stage(sources.repartitionByRange(*order).sortWithinPartitions(*order), "mix-sources")).withColumn("part", F.shiftright(PLACE, ROW_BITS))
+    parts = sorted_.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # one row for each file, which hold ranges of the order
+    before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    return sorted_.join(small(before), "part").select((F.col("before") + F.col(PLACE) - F.shiftleft(F.col("part"), ROW_BITS)).alias("k"), "source", "size")
+
+
+def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """sources (k, source, size) with target.
+
+    A source's target is its weight times a level, or its cap if that is less;
+    the level that shares out all words rises as capped sources drop out, until
+    none is above.
+    """
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("k") % len(weights) + 1).cast("int"))
+    rows = stage(sources.withColumn("weight", weight), "mix-weights")
+    level = 0.0
+    while True:
+        over = level * F.col("weight") > cap * F.col("size")
+        r = rows.agg(F.sum("size").alias("all"), F.sum(F.when(over, cap * F.col("size"))).alias("capped"), F.sum(F.when(~over, F.col("weight"))).alias("open")).first()
+        if not r["open"]:
             break
-        for i in over:
-            out[i] = float(cap * sizes[i])
-            left -= out[i]
-            open_.discard(i)
-    return out
+        now = (float(r["all"]) - float(r["capped"] or 0)) / float(r["open"])
+        if now <= level:
+            break
+        level = now
+    return rows.withColumn("target", F.least(level * F.col("weight"), cap * F.col("size").cast("double"))).drop("weight")
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -61,70 +73,52 @@ def measured(docs: DataFrame) -> DataFrame:
     )
 
 
-def thresholds(rows: DataFrame, goals: list[tuple]) -> list[tuple]:
-    """(k, cut) for (k, budget) of each source k: rows with h < cut hold about budget words. rows: k, h, size."""
-    spark = rows.sparkSession
-    cut = {k: 0 for k, b in goals if b <= 0}
-    open_ = {k: (0, float(b)) for k, b in goals if b > 0}  # first hash of the bucket being split, words left to take
+def thresholds(rows: DataFrame, goals: DataFrame) -> DataFrame:
+    """k, cut for each source k of goals (k, budget): rows with h < cut hold about budget words. rows: k, h, size."""
+    everything = F.lit(1 << (BITS * LEVELS))
+    cuts = goals.filter("budget <= 0").select("k", F.lit(0).cast("long").alias("cut"))
+    open_ = goals.filter("budget > 0").select("k", F.lit(0).cast("long").alias("at"), "budget")  # first hash of the bucket being split, words left to take
     for level in range(LEVELS):
-        if not open_:
-            break
         shift = BITS * (LEVELS - 1 - level)
-        state = local_table(spark, [(k, at, b) for k, (at, b) in open_.items()], "k int, at long, budget double")
-        # one row for each source, whose number is checked
-        inside = rows.join(F.broadcast(state), "k").filter(F.shiftright(F.col("h"), shift + BITS) == F.shiftright("at", shift + BITS)) if level else rows.join(F.broadcast(state), "k")
+        inside = rows.join(small(open_), "k")
+        if level:
+            inside = inside.filter(F.shiftright("h", shift + BITS) == F.shiftright("at", shift + BITS))
         sums = inside.groupBy("k", "budget", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("size"), F.min("h").alias("low"), F.max("h").alias("high"))
         order = Window.partitionBy("k").orderBy("bucket")  # at most 1,024 buckets for each source
-        found = (
-            sums.withColumn("through", F.sum("size").over(order)).filter("through > budget")
-            .groupBy("k").agg(F.min(F.struct("bucket", "through", "size", "budget", "low", "high")).alias("x")).select("k", "x.*").collect()
-        )
-        crossed = set()
-        for r in found:
-            crossed.add(r["k"])
-            before = r["budget"] - (r["through"] - r["size"])  # words still wanted from this bucket
-            if r["low"] == r["high"]:  # a single hash: in or out, whichever is nearer
-                cut[r["k"]] = r["high"] + 1 if 2 * before > r["size"] else r["low"]
-            elif level == LEVELS - 1:
-                cut[r["k"]] = r["low"]
-            else:
-                open_[r["k"]] = (r["bucket"] << shift, before)
-        for k in list(open_):
-            if k not in crossed:  # the budget isn't used up: all rows are taken
-                cut[k] = 1 << (BITS * LEVELS)
-            if k in cut:
-                del open_[k]
-    return sorted(cut.items())
+        crossed = sums.withColumn("through", F.sum("size").over(order)).filter("through > budget").groupBy("k").agg(F.min(F.struct("bucket", "through", "size", "low", "high")).alias("x"))
+        wanted = F.col("budget") - (F.col("x.through") - F.col("x.size"))  # words still wanted from this bucket
+        cut = (
+            F.when(F.col("x").isNull(), everything)  # the budget isn't used up: all rows are taken
+            .when(F.col("x.low") == F.col("x.high"), F.when(2 * wanted > F.col("x.size"), F.col("x.high") + 1).otherwise(F.col("x.low")))  # a single hash: in or out, whichever is nearer
+            .when(F.lit(level == LEVELS - 1), F.col("x.low"))
+        )
+        step = stage(open_.join(crossed, "k", "left").select("k", cut.alias("cut"), F.shiftleft("x.bucket", shift).alias("at"), wanted.alias("budget")), "mix-cuts")
+        cuts = cuts.unionByName(step.filter("cut IS NOT NULL").select("k", "cut"))
+        open_ = step.filter("cut IS NULL").select("k", "at", "budget")
+        if open_.isEmpty():
+            break
+    return cuts
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, times, place. place numbers the rows of docs."""
-    spark = docs.sparkSession
     rows = stage(measured(docs), "mix-rows")
-    sources = rows.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
-    if len(sources) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    sources.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    goal = targets([r["size"] for r in sources], weights, cap)
-    plan = []
-    for k, (r, t) in enumerate(zip(sources, goal)):
-        whole = min(cap, int(t // r["size"])) if r["size"] else 0
-        plan.append((k, r["source"], r["size"], t, whole, t - whole * r["size"] if whole < cap else 0.0))
-    names = local_table(spark, [(p[0], p[1], p[2], p[3], p[4]) for p in plan], "k int, source string, source_size long, target double, whole int")
-    # sources by name: one row each, of a checked number
-    keyed = rows.withColumnRenamed("source", "from").join(F.broadcast(names), F.col("from").eqNullSafe(F.col("source"))).drop("from")
-    cuts = thresholds(keyed.select("k", "h", "size"), [(p[0], p[5]) for p in plan])
-    table = local_table(spark, cuts, "k int, cut long")
+    sources = targets(ranked(rows.groupBy("source").agg(F.sum("size").alias("size"))), weights, cap)
+    whole = F.when(F.col("size") > 0, F.least(F.lit(cap), F.floor(F.col("target") / F.col("size")))).otherwise(0).cast("int")
+    plan = stage(sources.withColumn("whole", whole).withColumn("budget", F.when(F.col("whole") < cap, F.col("target") - F.col("whole") * F.col("size")).otherwise(0.0)), "mix-plan")
+    names = plan.select("k", "source", F.col("size").alias("source_size"), "target", "whole")
+    keyed = rows.withColumnRenamed("source", "from").join(small(names), F.col("from").eqNullSafe(F.col("source"))).drop("from")
+    cuts = thresholds(keyed.select("k", "h", "size"), plan.select("k", "budget"))
     times = F.when(F.col("source_size") == 0, F.lit(0)).otherwise(F.col("whole") + (F.col("h") < F.col("cut")).cast("int"))
-    return keyed.join(F.broadcast(table), "k").withColumn("times", times).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times", "place")
+    return keyed.join(small(cuts), "k").withColumn("times", times).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times", "place")
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """The rows of docs as often as the mix takes them, with all their columns."""
     columns, docs = docs.columns, numbered(docs)
-    times = mix(docs, weights, cap).filter("times > 0").select(F.col("place").alias(PLACE), F.col("times").alias("__times"))
-    taken = docs.join(times, PLACE)
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select([docs[c] for c in columns])
+    n = free("times", columns)
+    times = mix(docs, weights, cap).filter("times > 0").select(F.col("place").alias(PLACE), F.col("times").alias(n))
+    return docs.join(times, PLACE).select(*columns, F.explode(F.sequence(F.lit(1), F.col(n))).alias(free("copy", columns))).select(*columns)
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -138,6 +138,14 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def free(name: str, columns: list[str]) -> str:
+    """name, or one made of it that no column has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 PLACE = "__row_place"
 ROW_BITS = 40
 

@@ -108,31 +108,78 @@ def test_packing_against_every_placement():
     assert np.bincount(even).tolist() == [8] * 8 and sharding.pack(np.zeros((0, 3)), 4).tolist() == []
 
 
-def test_mixing_targets():
-    assert mixing.targets([100, 100, 100]) == [50.0, 100.0, 150.0]
-    t = mixing.targets([1000, 10, 10])
-    assert t[1:] == [30.0, 30.0] and abs(sum(t) - 1020) < 1e-9 and mixing.targets([]) == [] and mixing.targets([0, 0]) == [0.0, 0.0]
+def plain_targets(sizes):
+    """Weights 1, 2, 3 by turns; what is above three times a size is shared again, in fractions."""
+    from fractions import Fraction
+
+    target, open_, left = {}, list(range(len(sizes))), Fraction(sum(sizes))
+    while open_:
+        weight = sum(i % 3 + 1 for i in open_)
+        over = [i for i in open_ if left * (i % 3 + 1) / weight > 3 * sizes[i]]
+        if not over:
+            target.update({i: left * (i % 3 + 1) / weight for i in open_})
+            break
+        for i in over:
+            target[i] = Fraction(3 * sizes[i])
+        left -= sum(target[i] for i in over)
+        open_ = [i for i in open_ if i not in over]
+    return [float(target[i]) for i in range(len(sizes))]
+
+
+def test_mixing_targets(spark):
+    rng = random.Random(9)
+    for sizes in ([100, 100, 100], [1000, 10, 10], [0, 0], [5], [0, 7, 0, 1, 900], [rng.randint(0, 50) ** 3 for _ in range(60)]):
+        names = sorted(rng.sample([f"s{k}é" if k % 2 else f"S{k}" for k in range(100)], len(sizes) - 1)) + [None]
+        df = stage(spark.createDataFrame(list(zip(names, sizes)), "source string, size long").repartition(3), "test")
+        got = sorted(mixing.targets(mixing.ranked(df)).collect(), key=lambda r: r.k)
+        assert [r.source for r in got] == names and [r.k for r in got] == list(range(len(sizes)))
+        assert [r.target for r in got] == pytest.approx(plain_targets(sizes))
+    assert mixing.targets(mixing.ranked(df.limit(0))).count() == 0
+
+
+def test_thresholds_against_sorting(spark):
+    """The cut takes the rows with the smallest hashes up to the one at which the budget runs out."""
+    rng = random.Random(2)
+    rows = [(k, rng.getrandbits(60), rng.randint(0, 9)) for k in range(4) for _ in range(400)] + [(4, 77, 5)] * 30 + [(5, (1 << 50) + j, 1) for j in range(50)]
+    goals = [(0, 0.0), (1, 500.5), (2, 1e9), (3, 1.0), (4, 80.0), (5, 20.5)]
+    cuts = {r.k: r.cut for r in mixing.thresholds(spark.createDataFrame(rows, "k long, h long, size long"), spark.createDataFrame(goals, "k long, budget double")).collect()}
+    assert sorted(cuts) == [k for k, _ in goals]
+    for k, budget in goals:
+        own = sorted((h, n) for x, h, n in rows if x == k)
+        taken = sum(n for h, n in own if h < cuts[k])
+        if k == 4:
+            assert taken == 150  # one hash: all or nothing, whichever is nearer
+        elif budget >= sum(n for _, n in own):
+            assert taken == sum(n for _, n in own)
+        else:
+            assert abs(taken - budget) <= 9 and (budget > 0 or taken == 0)
+    nested = [{r.k: r.cut for r in mixing.thresholds(spark.createDataFrame(rows, "k long, h long, size long"), spark.createDataFrame([(1, b)], "k long, budget double")).collect()}[1] for b in (100.0, 400.0, 900.0)]
+    assert nested == sorted(nested)
 
 
 def test_source_mix(spark, odd):
     rng = random.Random(7)
     rows = [(i, "w " * rng.randint(0, 40), rng.choice(["a", "a", "a", "b", "c", None, "é"])) for i in range(600)]
-    got = mixing.mix(frame(spark, rows)).collect()
+    docs = frame(spark, rows).withColumns({"times": F.lit("clash"), "copy": F.lit("clash"), "COUNT": F.lit(1)})
+    got = mixing.mix(docs).collect()
     size = {}
     for _, t, s in rows:
         size[s] = size.get(s, 0) + len(t.split())
     order = sorted(size, key=lambda s: (s is None, s or ""))
-    want = dict(zip(order, mixing.targets([size[s] for s in order])))
+    want = dict(zip(order, plain_targets([size[s] for s in order])))
     assert len(got) == 600
     for s in order:
         own = [r for r in got if r.source == s]
         assert own[0].source_size == size[s] and abs(own[0].target - want[s]) < 1e-6
         assert abs(sum(r.taken for r in own) - want[s]) <= 40
     assert all(r.taken <= 3 * r["size"] for r in got)
-    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(frame(spark, rows)).collect())) if None not in size else True
-    copies = mixing.mixed(frame(spark, rows))
-    assert copies.count() == sum(r.times for r in got) and "place" in copies.columns
-    assert mixing.mix(odd).count() == 9 and mixing.mix(odd.limit(0)).count() == 0
+    again = mixing.mix(docs.repartition(3)).drop("place")
+    key = lambda r: str(tuple(r))
+    assert sorted((r.doc_id, r.source, r["size"], r.taken, r.times) for r in again.collect() if r.source) == sorted((r.doc_id, r.source, r["size"], r.taken, r.times) for r in got if r.source)
+    assert sorted(again.collect(), key=key) == sorted(mixing.mix(docs).drop("place").collect(), key=key)
+    copies = mixing.mixed(docs)
+    assert copies.count() == sum(r.times for r in got) and copies.columns == docs.columns
+    assert mixing.mix(odd).count() == 9 and mixing.mix(odd.limit(0)).count() == 0 and mixing.mixed(odd).columns == odd.columns
     assert {r.taken for r in mixing.mix(frame(spark, [(1, None, "a"), (2, "", "b")])).collect()} == {0}
 
 
