@@ -164,20 +164,6 @@ def boxes(mask: np.ndarray, least: int = 30) -> list[tuple[int, int, int, int]]:
     return sorted(out)
 
 
-def merged(found: list[tuple[int, int, int, int]], gap: int = 15, overlap: float = 0.4) -> list[tuple[int, int, int, int]]:
-    """Boxes from left to right, each joined to the one before while it is near and level with it; the joined box grows."""
-    out: list[tuple[int, int, int, int]] = []
-    for b in sorted(found):
-        if out:
-            a = out[-1]
-            level = max(0, min(a[3], b[3]) - max(a[1], b[1])) / max(1, min(a[3] - a[1], b[3] - b[1]))
-            if b[0] - a[2] <= gap and level > overlap:
-                out[-1] = (min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]))
-                continue
-        out.append(b)
-    return out
-
-
 def segments(edges: np.ndarray, least: float) -> list[tuple[int, int, int, int]]:
     """Straight thin parts of an edge map that are long enough, by their ends along their main direction."""
     label, n = components(edges, eight=True)
@@ -247,10 +233,12 @@ def first_jump(profile: np.ndarray, step: float = 20, start: int = 5, stop: int
 def family(img: np.ndarray) -> str:
     """vintage, special or modern by the border's colour."""
     h, w = img.shape[:2]
-    my, mx = max(1, int(h * 0.03)), max(1, int(w * 0.03))
-    border = np.concatenate([p.reshape(-1, 3) for p in (img[:my], img[-my:], img[:, :mx], img[:, -mx:])]).astype(float)
+    if min(h, w) < 10:
+        return "modern"
+    m = max(1, int(min(h, w) * 0.03))
+    border = np.concatenate([p.reshape(-1, 3) for p in (img[:m], img[-m:], img[:, :m], img[:, -m:])]).astype(float)
     spread, (r, g, b) = border.std(axis=0).mean(), border.mean(axis=0)
-    if spread < 25 and r > 150 and g > 130 and b < 120:
+    if spread < 25 and r > 170 and g > 150 and b < 120:  # fixed values
         return "vintage"
     return "special" if spread > 45 else "modern"
 
@@ -334,29 +322,29 @@ def features(img: np.ndarray) -> dict:
     }
 
 
+def _frame(rows: list[dict | None], names: list[str]) -> pd.DataFrame:
+    """Rows as columns of objects, in which what is missing is None and not a number."""
+    return pd.DataFrame({k: pd.Series([r.get(k) if r else None for r in rows], dtype=object) for k in names})
+
+
 @F.pandas_udf(FEATURES)
 def image_features(height: pd.Series, width: pd.Series, data: pd.Series) -> pd.DataFrame:
-    rows = []
-    for h, w, x in zip(height, width, data):
-        img = decode(h, w, x)
-        rows.append(features(img) if img is not None else {})
-    return pd.DataFrame(rows, columns=["corners", "edges", "is_textured", "edge_density", "scratches", "texture", "laplacian", "glare", "dark", "family", "r", "g", "b", "centre_std"]).astype({"scratches": "Int32"})
+    """The features of each image; null ones where it can't be decoded."""
+    images = [decode(h, w, x) for h, w, x in zip(height, width, data)]
+    return _frame([None if img is None else features(img) for img in images], FEATURES.names)
 
 
 @F.pandas_udf(CANONICAL_TYPE)
 def canonical_image(height: pd.Series, width: pd.Series, data: pd.Series) -> pd.DataFrame:
-    """The card straightened to the canonical size, or the photo resized where no card passes the relaxed gates."""
-    rows = []
+    """The card straightened to the canonical size, or the photo resized where no card passes the relaxed gates; null where it can't be decoded."""
+    rows: list[dict | None] = []
     for h, w, x in zip(height, width, data):
         img = decode(h, w, x)
-        if img is None:
-            rows.append({})
-            continue
-        q = quad(img)
+        q = None if img is None else quad(img)
         good = q is not None and 0.58 <= q["aspect"] <= 0.84 and 0.08 <= q["area_ratio"] <= 0.97 and q["rectangularity"] >= 0.7
-        out = warped(img, q["quad"]) if good else resized(img)
-        rows.append({"data": out.tobytes(), "warp_used": bool(good), **{k: q[k] for k in ("aspect", "area_ratio", "rectangularity", "center_dist")}} if q else {"data": out.tobytes(), "warp_used": False})
-    return pd.DataFrame(rows, columns=["data", "warp_used", "aspect", "area_ratio", "rectangularity", "center_dist"])
+        geometry = {k: q[k] for k in ("aspect", "area_ratio", "rectangularity", "center_dist")} if q else {}
+        rows.append(None if img is None else {"data": (warped(img, q["quad"]) if good else resized(img)).tobytes(), "warp_used": bool(good), **geometry})
+    return _frame(rows, CANONICAL_TYPE.names)
 
 
 def with_features(images: DataFrame) -> DataFrame:
@@ -394,7 +382,19 @@ def patch_components(pixels: pd.Series, side: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@F.pandas_udf(T.ArrayType(_struct(x0=_I, y0=_I, x1=_I, y1=_I)))
-def merge_boxes(found: pd.Series) -> pd.Series:
-    names = ("x0", "y0", "x1", "y1")
-    return pd.Series([[dict(zip(names, b)) for b in merged([tuple(int(v[k]) for k in names) for v in row])] for row in found])
+def merged_boxes(boxes: Column, gap: int = 15, overlap: float = 0.4) -> Column:
+    """Boxes (x0, y0, x1, y1) from left to right, each joined to the one before while it is near and level with it; the joined box grows."""
+    last = lambda out: F.element_at(out, -1)
+
+    def near(a: Column, b: Column) -> Column:
+        level = F.greatest(F.lit(0), F.least(a["y1"], b["y1"]) - F.greatest(a["y0"], b["y0"])) / F.greatest(F.lit(1), F.least(a["y1"] - a["y0"], b["y1"] - b["y0"]))
+        return (b["x0"] - a["x1"] <= gap) & (level > overlap)
+
+    def joined(a: Column, b: Column) -> Column:
+        return F.struct(*[f(a[k], b[k]).alias(k) for k, f in (("x0", F.least), ("y0", F.least), ("x1", F.greatest), ("y1", F.greatest))])
+
+    def take(out: Column, b: Column) -> Column:
+        grown = F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(joined(last(out), b)))
+        return F.when(F.size(out) == 0, F.array(b)).when(near(last(out), b), grown).otherwise(F.concat(out, F.array(b)))
+
+    return F.aggregate(F.sort_array(boxes), F.slice(boxes, 1, 0), take)

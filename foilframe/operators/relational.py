@@ -62,14 +62,28 @@ def best_probe(read: DataFrame, keys: list[str]) -> DataFrame:
     return best.select(*keys, number.alias("number"), "b.crop", "b.angle", "b.mode", "b.raw", F.when(F.col("b").isNotNull(), F.round(vintage_confidence(F.col("b.num"), F.col("b.total"), F.col("b.angle")), 6)).alias("confidence"))
 
 
-def highest_passing(left: DataFrame, values: list[Column], table: DataFrame, limits: list[str], grade: str, rest: float) -> DataFrame:
-    """left with the highest grade whose limits hold for all values; rest if none. table is a fixed list of grades, so it is broadcast."""
-    holds = F.lit(True)
-    for v, limit in zip(values, limits):
-        holds = holds & (v <= F.col(limit))
-    keys = left.columns
-    joined = left.withColumn("__row", F.monotonically_increasing_id()).join(F.broadcast(table), holds, "left")
-    return joined.groupBy("__row", *keys).agg(F.coalesce(F.max(grade), F.lit(rest)).alias(grade)).drop("__row")
+def highest_passing(values: list[Column], table: list[tuple], rest: float) -> Column:
+    """The highest grade of a fixed list (grade, a limit for each value) whose limits hold for all values; rest if none."""
+    grades = []
+    for grade, *limits in table:
+        holds = F.lit(True)
+        for v, limit in zip(values, limits):
+            holds = holds & (v <= limit)
+        grades.append(F.when(holds, F.lit(grade)))
+    return F.coalesce(F.greatest(*grades), F.lit(rest))
+
+
+def first_of_list(left: DataFrame, candidates: DataFrame, on: list[str], order: str, ok, cap: int) -> DataFrame:
+    """left outer with the first of the first cap candidates, by order, that passes ok, a function of the candidate.
+
+    The first candidates of each key become one sorted array, so each row of left
+    is met once and no product of both is made.
+    """
+    extra = [order, *[x for x in candidates.columns if x not in on and x != order]]
+    ranked = top_each(candidates, on, [F.col(order)], cap)
+    listed = ranked.groupBy(*on).agg(F.sort_array(F.collect_list(F.struct(*extra))).alias("__list"))  # cap candidates for each key
+    met = left.join(small(listed), on, "left").withColumn("__first", F.get(F.filter("__list", ok), F.lit(0)))
+    return met.select(*left.columns, *[F.col(f"__first.{x}").alias(x) for x in extra])
 
 
 def first_match(left: DataFrame, keys: list[str], candidates: DataFrame, on: list[str], ok: Column, order: list[Column], cap: int | None = None) -> DataFrame:
@@ -82,9 +96,14 @@ def first_match(left: DataFrame, keys: list[str], candidates: DataFrame, on: lis
     return left.join(best.select(*keys, *extra), keys, "left")
 
 
+def remaining(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """What isn't done yet."""
+    return todo.join(done.select(key).distinct(), key, "left_anti")
+
+
 def resume(todo: DataFrame, done: DataFrame, key: str, order: list[Column], batch: int = 0) -> DataFrame:
     """What isn't done yet, in order, at most batch rows (0: all)."""
-    rest = todo.join(done.select(key).distinct(), key, "left_anti").orderBy(*order)
+    rest = remaining(todo, done, key).orderBy(*order)
     return rest.limit(batch) if batch else rest
 
 
@@ -117,16 +136,75 @@ def histogram(df: DataFrame, bucket: Column, buckets: list[str]) -> DataFrame:
     return F.broadcast(dim).join(counts, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+BINS = 1024
+
+
+def at_ranks(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+    """keys, n, and for each name the value at a rank of its key, from 0; ranks: functions of the column n.
+
+    Rows are counted in BINS bins between the least and the greatest value, then
+    the bin that holds a rank is split once more; only the values of that small
+    bin, added up by value, are put in order. No key is sorted whole.
+    """
+    named = [f for f in df.schema.fields if f.name in keys]
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
+    ends = rows.groupBy(*keys).agg(F.min("__v").alias("lo"), F.max("__v").alias("hi"), F.count(F.lit(1)).alias("n"))
+    wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), r.cast("long").alias("rank")) for k, r in ranks.items()])).alias("w")
+    state = ends.select(*keys, "n", "lo", "hi", wanted).select(*keys, "n", "lo", "hi", "w.name", "w.rank")
+    slot = [*keys, "name"]
+
+    def met(state: DataFrame) -> DataFrame:
+        """The rows between the ends of each state; a row for each key and name, counted before it is broadcast."""
+        same = [F.col(f"__r.{k}").eqNullSafe(F.col(f"__s.{k}")) for k in keys]
+        on = same[0] if same else F.lit(True)
+        for x in same[1:]:
+            on = on & x
+        return rows.alias("__r").join(small(state).alias("__s"), on & F.col("__v").between(F.col("lo"), F.col("hi"))).select(*[F.col(f"__s.{k}").alias(k) for k in keys], "__v", "n", "lo", "hi", "name", "rank")
+
+    for _ in range(2):
+        bin_ = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("__v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (BINS - 1))).otherwise(0)
+        counts = met(state).groupBy(*slot, "n", "rank", bin_.alias("bin")).agg(F.count(F.lit(1)).alias("c"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
+        through = F.sum("c").over(Window.partitionBy(*slot).orderBy("bin"))  # BINS rows at most
+        state = counts.withColumn("through", through).filter((F.col("through") > F.col("rank")) & (F.col("through") - F.col("c") <= F.col("rank"))).select(*keys, "n", "lo", "hi", "name", (F.col("rank") - F.col("through") + F.col("c")).alias("rank"))
+    values = met(state).groupBy(*slot, "n", "rank", "__v").agg(F.count(F.lit(1)).alias("c"))
+    through = F.sum("c").over(Window.partitionBy(*slot).orderBy("__v"))  # the values of one bin of a bin
+    found = values.withColumn("through", through).filter((F.col("through") > F.col("rank")) & (F.col("through") - F.col("c") <= F.col("rank")))
+    out = found.groupBy(*keys, "n").agg(*[F.max(F.when(F.col("name") == k, F.col("__v"))).alias(k) for k in ranks])
+    return out.select(*[F.col(f.name).cast(f.dataType) for f in named], "n", *ranks)
+
+
 def nearest_rank(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """Values at rank round((n-1) * share), half to even, of each key.
+    """Values at rank round((n-1) * share), half to even, of each key."""
+    return at_ranks(df, keys, value, {k: F.bround((F.col("n") - 1) * share) for k, share in shares.items()})
+
+
+def linear_percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Percentiles of each key, interpolated between the two values beside the place (n-1) * share."""
+    place = {k: (F.col("n") - 1) * share for k, share in shares.items()}
+    found = at_ranks(df, keys, value, {f"{k}_{s}": f(p) for k, p in place.items() for s, f in (("lo", F.floor), ("hi", F.ceil))})
+    return found.select(*keys, "n", *[(F.col(f"{k}_lo") + (F.col(f"{k}_hi") - F.col(f"{k}_lo")) * (p - F.floor(p))).alias(k) for k, p in place.items()])
+
 
-    Ranks come from a window over the sorted values of a key, which spills; no
-    list of values is collected.
+def similar_names(df: DataFrame, name: str, share: float = 0.7, apart: int = 2, least: int = 4) -> DataFrame:
+    """a, b, same: distinct names a < b of about the same length that agree in a share of b's places.
+
+    Names that differ in few places have one of a few pieces of b's places in
+    common, so they are met by those pieces and compared after that.
     """
-    part = Window.partitionBy(*keys)
-    ranked = df.filter(F.col(value).isNotNull()).select(*keys, value, (F.row_number().over(part.orderBy(value)) - 1).alias("__at"), F.count(F.lit(1)).over(part).alias("__n"))
-    picks = [F.max(F.when(F.col("__at") == F.bround((F.col("__n") - 1) * share).cast("int"), F.col(value))).alias(name) for name, share in shares.items()]
-    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *picks)
+    rows = df.select(F.col(name).alias("x")).distinct().withColumn("n", F.length("x")).filter(F.col("n") >= least)
+
+    def pieces(n: Column) -> Column:
+        """Where n places are cut into one piece more than may differ."""
+        k = n - F.ceil(n * share).cast("int") + 1
+        return F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.struct(n.alias("n"), F.floor(i * n / k).cast("int").alias("at"), (F.floor((i + 1) * n / k) - F.floor(i * n / k)).cast("int").alias("size")))
+
+    cut = lambda x: lambda p: F.struct(p["n"].alias("n"), p["at"].alias("at"), x.substr(p["at"] + 1, p["size"]).alias("part"))
+    b = rows.select(F.col("x").alias("b"), F.col("n").alias("nb"), F.explode(F.transform(pieces(F.col("n")), cut(F.col("x")))).alias("p"))
+    lengths = F.filter(F.sequence(F.col("n") - apart, F.col("n") + apart), lambda n: n >= least)
+    a = rows.select(F.col("x").alias("a"), F.explode(F.transform(F.flatten(F.transform(lengths, pieces)), cut(F.col("x")))).alias("p"))
+    met = a.join(b, "p").filter("a < b").select("a", "b", "nb").distinct()
+    same = F.size(F.filter(F.sequence(F.lit(1), F.col("nb")), lambda i: F.col("a").substr(i, F.lit(1)) == F.col("b").substr(i, F.lit(1))))
+    return met.withColumn("same", same.cast("long")).filter(F.col("same") >= share * F.col("nb")).select("a", "b", "same")
 
 
 def presence(df: DataFrame, a: Column, b: Column) -> DataFrame:
@@ -141,16 +219,21 @@ def top_patterns(df: DataFrame, pattern: Column, ordinal: str, n: int) -> DataFr
     return df.groupBy(pattern.alias("pattern")).agg(F.count(F.lit(1)).alias("n"), F.min(ordinal).alias("first_seen")).orderBy(F.desc("n"), "first_seen").limit(n)
 
 
-def running_totals(df: DataFrame, order: str, values: list[str], block: int = 1000) -> DataFrame:
+def running_totals(df: DataFrame, order: str, values: list[str], block: int = 1000, levels: int = 2) -> DataFrame:
     """Adds run_<value>, the sum up to and including each value of the whole-number column order (unique).
 
-    Rows are summed within blocks of block order values, in parallel, and the
-    blocks' totals, a thousandth of the rows or fewer, are summed once over all.
+    Rows are summed within blocks of block order values, in parallel, and so are
+    the blocks' totals; after levels of blocks a row for each block ** levels
+    values is left, and those are summed once over all.
     """
-    blocked = df.withColumn("__block", F.floor(F.col(order) / block))
-    inside = Window.partitionBy("__block").orderBy(order)
-    ahead = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = blocked.groupBy("__block").agg(*[F.sum(v).alias(v) for v in values])
-    before = totals.select("__block", *[F.coalesce(F.sum(v).over(ahead), F.lit(0)).alias(f"__before_{v}") for v in values])
-    met = blocked.join(before, "__block")
-    return met.select(*df.columns, *[(F.sum(v).over(inside) + F.col(f"__before_{v}")).alias(f"run_{v}") for v in values])
+    name, before = f"__block{levels}", lambda v: f"__before{levels}_{v}"
+    blocked = df.withColumn(name, F.floor(F.col(order) / block))
+    inside = Window.partitionBy(name).orderBy(order)
+    totals = blocked.groupBy(name).agg(*[F.sum(v).alias(v) for v in values])
+    if levels > 1:
+        ahead = running_totals(totals, name, values, block, levels - 1).select(name, *[(F.col(f"run_{v}") - F.col(v)).alias(before(v)) for v in values])
+    else:
+        over = Window.orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
+        ahead = totals.select(name, *[F.coalesce(F.sum(v).over(over), F.lit(0)).alias(before(v)) for v in values])
+    met = blocked.join(ahead, name)
+    return met.select(*df.columns, *[(F.sum(v).over(inside) + F.col(before(v))).alias(f"run_{v}") for v in values])

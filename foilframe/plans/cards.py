@@ -56,8 +56,7 @@ def analyze(images: DataFrame) -> DataFrame:
 
 def grade(pairs: DataFrame) -> DataFrame:
     """Grades rows of card_id, front features f, front_lr, front_tb, back_lr, back_tb (the larger sides in percent)."""
-    spark = pairs.sparkSession
     s = severities()
     rows = pairs.select("card_id", F.greatest("front_lr", "front_tb").alias("front"), F.greatest("back_lr", "back_tb").alias("back"), *[v.alias(k) for k, v in s.items()])
-    best = highest_passing(rows, [F.col("front"), F.col("back")], spark.createDataFrame(CENTERING, "grade double, front_max double, back_max double"), ["front_max", "back_max"], "grade", 1.0)
+    best = rows.withColumn("grade", highest_passing([F.col("front"), F.col("back")], CENTERING, 1.0))
     return best.select("card_id", F.col("grade").alias("max_grade"), "corners", "edges", "surface", *[F.round(v, 6).alias(k) for k, v in S.grade_columns(F.col("corners"), F.col("edges"), F.col("surface"), F.col("grade")).items()])

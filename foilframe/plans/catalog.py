@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foilframe.functions import names as N
 from foilframe.functions import scores as S
 from foilframe.functions import texts as T
 from foilframe.operators import relational as R
@@ -204,15 +205,14 @@ CENTERING = [(10.0, 55.0, 75.0), (9.0, 60.0, 90.0), (8.0, 65.0, 90.0), (7.0, 70.
 @query(f"""
 WITH g(grade, front_max, back_max) AS (VALUES {', '.join(map(str, CENTERING))}),
 a AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN l_quantity + 20 <= 0 THEN 50.0 ELSE greatest(l_quantity, 20) / (l_quantity + 20) * 100 END::DOUBLE AS front,
-  greatest(50 + (l_discount * 8) * 50, 100 - (50 + (l_discount * 8) * 50))::DOUBLE AS back FROM (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_discount FROM lineitem))
+  greatest(50 + (l_discount * 8) * 50, 100 - (50 + (l_discount * 8) * 50))::DOUBLE AS back FROM lineitem)
 SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(front, 6) AS front, round(least(back, 100), 6) AS back,
   coalesce((SELECT max(g.grade) FROM g WHERE front <= front_max AND least(back, 100) <= back_max), 1.0)::DOUBLE AS grade,
   CASE WHEN coalesce((SELECT max(g.grade) FROM g WHERE front <= front_max AND least(back, 100) <= back_max), 1.0) >= 9 THEN 'none' WHEN coalesce((SELECT max(g.grade) FROM g WHERE front <= front_max AND least(back, 100) <= back_max), 1.0) >= 8 THEN 'minor'
     WHEN coalesce((SELECT max(g.grade) FROM g WHERE front <= front_max AND least(back, 100) <= back_max), 1.0) >= 7 THEN 'moderate' ELSE 'significant' END AS severity FROM a""")
 def centering_max_grade(spark, d):
-    rows = table(spark, d, "lineitem").select(*line_key(), "l_quantity", "l_discount").distinct().select(*line_key(), S.side_ratio(c("l_quantity"), F.lit(20.0)).alias("front"), S.centre_ratio(c("l_discount") * 8).alias("back"))
-    grades = spark.createDataFrame(CENTERING, "grade double, front_max double, back_max double")
-    out = R.highest_passing(rows, [c("front"), c("back")], grades, ["front_max", "back_max"], "grade", 1.0)
+    rows = table(spark, d, "lineitem").select(*line_key(), S.side_ratio(c("l_quantity"), F.lit(20.0)).alias("front"), S.centre_ratio(c("l_discount") * 8).alias("back"))
+    out = rows.withColumn("grade", R.highest_passing([c("front"), c("back")], CENTERING, 1.0))
     return out.select(*line_key(), F.round("front", 6).alias("front"), F.round("back", 6).alias("back"), "grade", S.centering_severity(c("grade")).alias("severity"))
 
 
@@ -324,11 +324,11 @@ def number_parse(spark, d):
 
 
 @query("""
-WITH s AS (SELECT vec_id, list_avg(list_transform(embedding[1:8], lambda x: abs(x::DOUBLE))) AS m, CAST(vec_id % 300 AS INT) AS num, CAST(vec_id * 7 % 420 AS INT) AS total FROM embeddings)
+WITH s AS (SELECT vec_id, list_avg(list_transform(embedding, lambda x: abs(x::DOUBLE))) AS m, CAST(vec_id % 300 AS INT) AS num, CAST(vec_id * 7 % 420 AS INT) AS total FROM embeddings)
 SELECT vec_id, round(greatest(0.0, least(1.0, m + CASE WHEN total BETWEEN 50 AND 300 THEN 0.1 WHEN total BETWEEN 20 AND 50 OR total BETWEEN 300 AND 400 THEN 0.05 ELSE 0 END + CASE WHEN num <= total THEN 0.05 WHEN num <= total + 50 THEN 0.02 ELSE 0 END
   - CASE WHEN num > total + 100 THEN 0.1 ELSE 0 END - CASE WHEN total < 20 THEN 0.15 ELSE 0 END))::DOUBLE, 6) AS confidence FROM s""")
 def number_confidence(spark, d):
-    scores = F.transform(F.slice("embedding", 1, 8), lambda x: F.abs(x.cast("double")))
+    scores = F.transform("embedding", lambda x: F.abs(x.cast("double")))
     mean = F.aggregate(scores, F.lit(0.0), lambda a, x: a + x) / F.size(scores)
     num, total = (c("vec_id") % 300).cast("int"), (c("vec_id") * 7 % 420).cast("int")
     return table(spark, d, "embeddings").select("vec_id", F.round(S.number_confidence(mean, num, total), 6).alias("confidence"))
@@ -336,21 +336,21 @@ def number_confidence(spark, d):
 
 @query(f"""
 WITH g AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(l_partkey % 1000 AS VARCHAR) || '/' || CAST(l_suppkey % 400 AS VARCHAR) || CAST(l_linenumber AS VARCHAR) AS t FROM lineitem),
-w AS (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, l_linenumber, s, n, substr(t, s::INT, n::INT) AS v FROM g, range(1, 8) a(s), range(3, 8) b(n) WHERE s + n - 1 <= length(t)),
+w AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, s, n, substr(t, s::INT, n::INT) AS v FROM g, range(1, 8) a(s), range(3, 8) b(n) WHERE s + n - 1 <= length(t)),
 p AS (SELECT *, TRY_CAST(regexp_extract(v, '^([0-9]{{1,3}})/([0-9]{{1,3}})$', 1) AS INT) AS num, TRY_CAST(regexp_extract(v, '^([0-9]{{1,3}})/([0-9]{{1,3}})$', 2) AS INT) AS total FROM w),
 k AS (SELECT *, round({_NSCORE}::DOUBLE, 6) AS score FROM p WHERE num > 0 AND total BETWEEN 10 AND 500 AND num <= total + 150),
 r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_partkey, l_suppkey, l_linenumber ORDER BY score DESC, s, n) AS z FROM k)
 SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, v AS window_text, score FROM r WHERE z = 1""")
 def number_window(spark, d):
+    """All windows of a line are made, read and compared within its row."""
     glyphs = F.concat((c("l_partkey") % 1000).cast("string"), F.lit("/"), (c("l_suppkey") % 400).cast("string"), c("l_linenumber").cast("string"))
-    rows = table(spark, d, "lineitem").select(*line_key(), glyphs.alias("t")).distinct()
-
-    starts = rows.select("*", F.explode(F.sequence(F.lit(1), F.length("t") - 2)).alias("s"))
-    windows = starts.select("*", F.explode(F.sequence(F.lit(3), F.lit(7))).alias("n")).filter("s + n - 1 <= length(t)").withColumn("v", c("t").substr(c("s"), c("n")))
-    sides = F.split("v", "/")  # glyph texts have one slash, as windows that pass do
-    read = windows.filter(F.regexp_like("v", F.lit("^[0-9]{1,3}/[0-9]{1,3}$"))).withColumns({"num": sides[0].cast("int"), "total": sides[1].cast("int")}).filter(S.number_plausible(c("num"), c("total")))
-    score = F.round(S.number_score(c("num"), c("total")), 6)
-    best = read.groupBy(*line_key()).agg(F.max(F.struct(score.alias("score"), (-c("s")).alias("s"), (-c("n")).alias("n"), "v")).alias("best"))  # then the first
+    rows = table(spark, d, "lineitem").select(*line_key(), glyphs.alias("t"))
+    span = lambda s: F.transform(F.sequence(F.lit(3), F.lit(7)), lambda n: F.struct(s.alias("s"), n.alias("n"), c("t").substr(s, n).alias("v")))
+    windows = F.filter(F.flatten(F.transform(F.sequence(F.lit(1), F.length("t") - 2), span)), lambda w: (w["s"] + w["n"] - 1 <= F.length("t")) & w["v"].rlike("^[0-9]{1,3}/[0-9]{1,3}$"))
+    side = lambda w, k: F.split(w["v"], "/")[k].cast("int")  # noqa: E731  (glyph texts have one slash, as windows that pass do)
+    read = F.filter(F.transform(windows, lambda w: F.struct(w.alias("w"), side(w, 0).alias("num"), side(w, 1).alias("total"))), lambda x: S.number_plausible(x["num"], x["total"]))
+    scored = F.transform(read, lambda x: F.struct(F.round(S.number_score(x["num"], x["total"]), 6).alias("score"), (-x["w"]["s"]).alias("s"), (-x["w"]["n"]).alias("n"), x["w"]["v"].alias("v")))
+    best = rows.select(*line_key(), F.array_max(scored).alias("best")).filter("best IS NOT NULL")  # of equal ones the first
     return best.select(*line_key(), c("best.v").alias("window_text"), c("best.score").alias("score"))
 
 
@@ -365,7 +365,7 @@ def arbitration(spark, d):
 
 
 @query("""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(least(0.9, greatest(0.5, 0.5 + (CASE WHEN total BETWEEN 20 AND 500 THEN 2.0 ELSE 0 END + CASE WHEN total >= 50 THEN 1.0 ELSE 0 END + CASE WHEN num > 0 THEN 0.5 ELSE 0 END
-  - CASE WHEN num > total + 150 THEN 5.0 ELSE 0 END - CASE WHEN num BETWEEN 1990 AND 2030 THEN 5.0 ELSE 0 END - CASE WHEN total BETWEEN 1990 AND 2030 THEN 5.0 ELSE 0 END - 0.05 * abs(l_linenumber - 4)) / 5))::DOUBLE, 6) AS confidence
+  - CASE WHEN num > total + 150 THEN 5.0 ELSE 0 END - CASE WHEN num BETWEEN 1900 AND 2099 THEN 5.0 ELSE 0 END - CASE WHEN total BETWEEN 1900 AND 2099 THEN 5.0 ELSE 0 END - 0.05 * abs(l_linenumber - 4)) / 5))::DOUBLE, 6) AS confidence
 FROM (SELECT *, CAST(l_partkey % 600 AS INT) AS num, CAST(l_suppkey % 520 AS INT) AS total FROM lineitem)""")
 def vintage_fallback(spark, d):
     num, total = (c("l_partkey") % 600).cast("int"), (c("l_suppkey") % 520).cast("int")
@@ -404,13 +404,14 @@ def gatekeeper(spark, d):
 
 
 @query("""
-WITH s AS (SELECT p_partkey AS set_id, CAST(p_size AS BIGINT) AS official, CAST(p_partkey % 97 AS BIGINT) AS total FROM part),
-k AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey % 120 AS want FROM lineitem WHERE l_partkey % 120 > 0 AND l_linenumber = 1 AND l_quantity > 45),
+WITH s AS (SELECT min(p_partkey) AS set_id, CAST(p_size AS BIGINT) AS official, CAST(p_size + 50 AS BIGINT) AS total FROM part GROUP BY p_size),
+k AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey % 120 AS want FROM lineitem),
 t1 AS (SELECT k.*, set_id, 1 AS tier FROM k JOIN s ON want = official), t2 AS (SELECT k.*, set_id, 2 AS tier FROM k JOIN s ON want = total WHERE want NOT IN (SELECT official FROM s))
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, set_id, tier FROM t1 UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, set_id, tier FROM t2""")
 def set_lookup_tiered(spark, d):
-    sets = table(spark, d, "part").select(c("p_partkey").alias("set_id"), c("p_size").cast("long").alias("official"), (c("p_partkey") % 97).alias("total"))
-    wanted = table(spark, d, "lineitem").filter("l_partkey % 120 > 0 and l_linenumber = 1 and l_quantity > 45").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (c("l_partkey") % 120).alias("want"))
+    """Every line's set by official count, else by total; a set is the parts of one size."""
+    sets = table(spark, d, "part").groupBy(c("p_size").cast("long").alias("official")).agg(F.min("p_partkey").alias("set_id")).withColumn("total", c("official") + 50)
+    wanted = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (c("l_partkey") % 120).alias("want"))
     return R.tiered_lookup(wanted, "want", R.small(sets), ["official", "total"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "set_id", "tier")
 
 
@@ -435,9 +436,9 @@ g AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY s_suppkey) A
 SELECT l.o_orderkey, g.s_suppkey, g.s_name FROM l LEFT JOIN g ON l.o_orderkey = g.o_orderkey AND z = 1""")
 def enrich_first_match(spark, d):
     left = table(spark, d, "orders").select("o_orderkey", (c("o_orderkey") % 25).cast("int").alias("k"), F.when(c("o_orderkey") % 6 == 0, "").otherwise((c("o_orderkey") % 10).cast("string")).alias("seen"))
-    cards = R.small(table(spark, d, "supplier").select(c("s_nationkey").alias("k"), "s_suppkey", "s_name"))
-    ok = (c("seen") == "") | T.squashed(c("s_name")).contains(c("seen"))
-    return R.first_match(left, ["o_orderkey"], cards, ["k"], ok, [c("s_suppkey")], 40).select("o_orderkey", "s_suppkey", "s_name")
+    cards = table(spark, d, "supplier").select(c("s_nationkey").alias("k"), "s_suppkey", "s_name", T.squashed(c("s_name")).alias("flat"))
+    ok = lambda x: (c("seen") == "") | x["flat"].contains(c("seen"))
+    return R.first_of_list(left, cards, ["k"], "s_suppkey", ok, 40).select("o_orderkey", "s_suppkey", "s_name")
 
 
 @query("""SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY source, doc_id LIMIT 200""")
@@ -504,8 +505,8 @@ def nearest_rank_quantiles(spark, d):
 
 @query("""SELECT event_type, round(quantile_cont(value, 0.75), 6) AS p75, round(quantile_cont(value, 0.5), 6) AS med, CAST(floor(quantile_cont(value, 0.35)) AS BIGINT) AS cut FROM events GROUP BY event_type""")
 def linear_percentiles(spark, d):
-    at = lambda p: F.percentile("value", p)
-    return table(spark, d, "events").groupBy("event_type").agg(F.round(at(0.75), 6).alias("p75"), F.round(F.median("value"), 6).alias("med"), F.floor(at(0.35)).alias("cut"))
+    found = R.linear_percentiles(table(spark, d, "events"), ["event_type"], "value", {"p75": 0.75, "med": 0.5, "p35": 0.35})
+    return found.select("event_type", F.round("p75", 6).alias("p75"), F.round("med", 6).alias("med"), F.floor("p35").alias("cut"))
 
 
 @query("""
@@ -525,8 +526,8 @@ def top_errors(spark, d):
 
 
 @query("""
-SELECT doc_id, n < 2 OR marks / greatest(n, 1) > 0.3 OR (len(w) > 2 AND single / greatest(len(w), 1) > 0.5) OR regexp_matches(lower(t), 'xx|qq|zz|ww|vv|kk|yy') OR regexp_matches(regexp_replace(lower(t), '[^a-z]', '', 'g'), '[^aeiou]{6,}') AS garbage FROM (
-  SELECT *, length(regexp_replace(t, '[A-Za-z0-9 '',-]', '', 'g')) AS marks, len(list_filter(w, lambda x: length(x) = 1 AND lower(x) NOT IN ('a', 'i'))) AS single FROM (
+SELECT doc_id, coalesce(n < 2 OR marks > n * 0.3 OR (len(w) > 2 AND single > len(w) * 0.5) OR regexp_matches(lower(t), 'xx|qq|zz|ww|vv|kk|yy') OR regexp_matches(regexp_replace(lower(t), '\\P{L}', '', 'g'), '[^aeiou]{6,}'), true) AS garbage FROM (
+  SELECT *, length(regexp_replace(t, '[\\p{L}\\p{N} ''-]', '', 'g')) AS marks, len(list_filter(w, lambda x: length(x) = 1 AND lower(x) NOT IN ('a', 'i'))) AS single FROM (
     SELECT doc_id, text AS t, length(text) AS n, list_filter(string_split_regex(trim(text), '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') AS w FROM documents))""")
 def garbage_text(spark, d):
     return table(spark, d, "documents").select("doc_id", T.garbage(c("text")).alias("garbage"))
@@ -537,32 +538,99 @@ WITH p AS (SELECT DISTINCT p_name FROM part) SELECT a.p_name AS a, b.p_name AS b
 FROM p a, p b WHERE a.p_name < b.p_name AND abs(length(a.p_name) - length(b.p_name)) <= 2 AND length(a.p_name) >= 4 AND length(b.p_name) >= 4
 AND len(list_filter(range(1, length(b.p_name) + 1), lambda i: substr(a.p_name, i::INT, 1) = substr(b.p_name, i::INT, 1))) >= 0.7 * length(b.p_name)""")
 def positional_similarity(spark, d):
-    names = table(spark, d, "part").select("p_name").distinct().withColumn("n", F.length("p_name")).filter("n >= 4")
-    near = names.select(c("p_name").alias("b"), c("n").alias("nb"), F.explode(F.sequence(c("n") - 2, c("n") + 2)).alias("n"))  # lengths two apart at most
-    met = names.select(c("p_name").alias("a"), "n").join(near, "n").filter("a < b")
-    same = F.size(F.filter(F.sequence(F.lit(1), c("nb")), lambda i: c("a").substr(i, F.lit(1)) == c("b").substr(i, F.lit(1))))
-    return met.withColumn("same", same).filter(c("same") >= 0.7 * c("nb")).select("a", "b", c("same").cast("long").alias("same"))
+    return R.similar_names(table(spark, d, "part").select("p_name"), "p_name")
 
 
 #: Words that stand in for a lexicon of names.
 LEXICON = ["ring", "widget", "bolt", "gear", "gizmo", "plate"]
 
 
-@query("""
-SELECT p_partkey, (SELECT min(x) FROM unnest(['bolt', 'gear', 'gizmo', 'plate', 'ring', 'widget']) u(x) WHERE contains(regexp_replace(lower(trim(p_name)), '[^a-z0-9]+', '', 'g'), x)) AS name,
-  CASE WHEN contains(lower(p_name), 'gizmo') THEN 'trainer' WHEN contains(lower(p_name), 'red energy') THEN 'energy' WHEN regexp_matches(lower(p_name), 'ring|widget|bolt|gear|plate') THEN 'pokemon' ELSE 'unknown' END AS card_type FROM part""")
+def lexicon(spark: SparkSession, d: str) -> DataFrame:
+    """kind, name: a lexicon made of part, whose names are a variant and a name; the other kinds are a few fixed words."""
+    word = lambda kind, k: table(spark, d, "part").select(F.lit(kind).alias("kind"), F.split("p_name", " ")[k].alias("name")).distinct()
+    fixed = [("suffix", "ex"), ("suffix", "gx"), ("suffix", "tag team"), ("owner", "team rocket's"), ("trainer", "rare candy"), ("trainer", "bosss orders"), ("energy", "double red energy"), ("energy_type", "red"), ("energy_type", "blue")]
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(n).alias("name")) for k, n in fixed]))
+    return word("variant", 0).union(word("name", 1)).union(spark.range(1).select(rows.alias("r")).select("r.kind", "r.name"))
+
+
+#: The same lexicon in SQL, as lists from the longest name on.
+LEX = """lex AS (SELECT (SELECT list(n ORDER BY length(n) DESC, n) FROM (SELECT DISTINCT split_part(p_name, ' ', 2) AS n FROM part)) AS names, (SELECT list(DISTINCT split_part(p_name, ' ', 1)) FROM part) AS variants)"""
+_FLAT = "regexp_replace(lower(trim({})), '[^a-z0-9]+', '', 'g')"
+#: Readings of a part's name: whole, cut at both ends, inside another word, with marks, too short, and none.
+_READ = """CASE p_partkey % 8 WHEN 0 THEN p_name WHEN 1 THEN substr(split_part(p_name, ' ', 2), 1, length(split_part(p_name, ' ', 2)) - 1) WHEN 2 THEN 'x' || split_part(p_name, ' ', 2) || '1 hp' WHEN 3 THEN upper(p_name) || ' ex!'
+  WHEN 4 THEN p_brand WHEN 5 THEN '' WHEN 6 THEN 'qz ' || substr(split_part(p_name, ' ', 2), 1, 2) || 'o' || substr(split_part(p_name, ' ', 2), 4) WHEN 7 THEN split_part(p_name, ' ', 1) END"""
+
+
+def readings(spark: SparkSession, d: str) -> DataFrame:
+    first, second, k = F.split("p_name", " ")[0], F.split("p_name", " ")[1], c("p_partkey") % 8
+    cut = F.concat(F.lit("qz "), F.substring(second, 1, 2), F.lit("o"), second.substr(F.lit(4), F.length(second)))
+    text = (
+        F.when(k == 0, c("p_name")).when(k == 1, second.substr(F.lit(1), F.length(second) - 1)).when(k == 2, F.concat(F.lit("x"), second, F.lit("1 hp"))).when(k == 3, F.concat(F.upper("p_name"), F.lit(" ex!")))
+        .when(k == 4, c("p_brand")).when(k == 5, "").when(k == 6, cut).otherwise(first)
+    )
+    return table(spark, d, "part").select("p_partkey", "p_name", "p_size", text.alias("t"))
+
+
+@query(f"""
+WITH {LEX}, r AS (SELECT p_partkey, p_name, {_READ} AS t FROM part), n AS (SELECT *, {_FLAT.format("t")} AS f FROM r)
+SELECT p_partkey, list_contains(names, f) AS exact, len(list_filter(names, lambda x: (length(x) >= 4 AND contains(f, x)) OR (length(f) >= 4 AND contains(x, f)))) > 0 AS within,
+  list_filter(names, lambda x: (length(x) >= 4 AND contains(f, x)) OR (length(f) >= 4 AND contains(x, f)))[1] AS name,
+  CASE WHEN contains(lower(t), 'gizmo') THEN 'trainer' WHEN contains(lower(t), 'red energy') THEN 'energy' WHEN regexp_matches(lower(t), 'hp\\s*[0-9]{{2,3}}|[0-9]{{2,3}}\\s*hp') THEN 'pokemon' WHEN regexp_matches(lower(t), 'ring|widget|bolt|gear|plate') THEN 'pokemon' ELSE 'unknown' END AS card_type FROM n, lex""")
 def containment_match(spark, d):
-    flat = T.squashed(c("p_name"))
-    hits = F.filter(F.array(*[F.lit(x) for x in sorted(LEXICON)]), lambda x: flat.contains(x))
-    return table(spark, d, "part").select("p_partkey", F.array_min(hits).alias("name"), T.card_type(c("p_name"), [x for x in LEXICON if x != "gizmo"], ["gizmo"], ["red"]).alias("card_type"))
+    """A reading against every name, in both directions; short ones count only as a whole."""
+    lex, f = N.Lexicon.of_table(lexicon(spark, d)), T.squashed(c("t"))
+    hits = F.filter(lex.name, lambda x: N._either_within(f, x, 4, 4))
+    kind = T.card_type(c("t"), [x for x in LEXICON if x != "gizmo"], ["gizmo"], ["red"])
+    return readings(spark, d).select("p_partkey", F.array_contains(lex.name, f).alias("exact"), (F.size(hits) > 0).alias("within"), F.get(hits, F.lit(0)).alias("name"), kind.alias("card_type"))
 
 
-@query()
+_TITLE = "array_to_string(list_transform(regexp_extract_all(lower({0}), '[a-z]+|[^a-z]+'), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), '')"
+
+
+@query(f"""
+WITH n AS (SELECT p_partkey, p_name || CASE WHEN p_size % 2 = 0 THEN ' ex' ELSE '' END AS name, split_part(p_name, ' ', 1) IN ('small', 'large', 'old', 'hot', 'red', 'blue') AS p, p_size % 2 = 0 AS s, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part)
+SELECT p_partkey, CASE WHEN p THEN a ELSE '' END AS prefixes, CASE WHEN p THEN b ELSE a || ' ' || b END AS base, CASE WHEN s THEN 'ex' ELSE '' END AS suffixes, {_TITLE.format("name")} AS title,
+  {_TITLE.format("a || ' ' || b")} || CASE WHEN s THEN ' EX' ELSE '' END AS rebuilt FROM n""")
 def name_components(spark, d):
-    split = T.components(frozenset({"small", "large", "old", "hot", "red", "blue"}), frozenset({"ex", "gx"}))
+    lex = N.Lexicon.of(variant=["small", "large", "old", "hot", "red", "blue"], suffix=["ex", "gx"])
     named = F.concat(F.col("p_name"), F.when(c("p_size") % 2 == 0, " ex").otherwise(""))
-    out = table(spark, d, "part").select("p_partkey", split(named).alias("x"), T.python_title(named).alias("title"))
-    return out.select("p_partkey", F.array_join("x.prefixes", " ").alias("prefixes"), "x.base", F.array_join("x.suffixes", " ").alias("suffixes"), "title")
+    out = table(spark, d, "part").select("p_partkey", N.name_parts(named, lex).alias("x"), N.title(named).alias("title"))
+    return out.select("p_partkey", F.array_join("x.prefixes", " ").alias("prefixes"), "x.base", F.array_join("x.suffixes", " ").alias("suffixes"), "title", N.rebuilt(c("x")).alias("rebuilt"))
+
+
+@query()
+def name_parse(spark, d):
+    """The name on a card from the text that was read on it, over the lexicon of part."""
+    lex = N.Lexicon.of_table(lexicon(spark, d))
+    raw = F.concat(F.when(c("p_size") % 3 == 0, "Basic ").otherwise(""), c("t"), F.when(c("p_size") % 2 == 0, " HP 60").otherwise(" something"), F.lit("\nEvolves from"))
+    return readings(spark, d).select("p_partkey", N.parsed_name(raw, lex).alias("name"))
+
+
+@query(f"""
+WITH {LEX}, r AS (SELECT p_partkey, p_name, {_READ} AS t FROM part), w AS (SELECT *, list_filter(string_split_regex(regexp_replace(lower(t), '[^a-z\\s]', ' ', 'g'), '\\s+'), lambda x: x <> '') AS w FROM r),
+f AS (SELECT p_partkey, list_filter(w, lambda x: length(x) >= 3 AND list_contains(names, x))[1] AS exact, list_filter(names, lambda x: length(x) >= 4 AND contains(array_to_string(w, ' '), x))[1] AS within,
+  flatten(list_transform(list_filter(w, lambda x: length(x) >= 4), lambda x: list_filter(names, lambda y: length(y) >= 4 AND abs(length(x) - length(y)) <= 2
+    AND len(list_filter(range(1, least(length(x), length(y)) + 1), lambda i: substr(x, i::INT, 1) = substr(y, i::INT, 1))) >= 0.7 * length(y))))[1] AS near FROM w, lex)
+SELECT p_partkey, coalesce(upper(substr(coalesce(exact, within, near), 1, 1)) || substr(coalesce(exact, within, near), 2), '') AS name FROM f""")
+def known_name(spark, d):
+    return readings(spark, d).select("p_partkey", N.known_name(c("t"), N.Lexicon.of_table(lexicon(spark, d))).alias("name"))
+
+
+@query(f"""
+WITH r AS (SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN '  12. ' ELSE '' END || replace({_READ}, ' ', '   ') || CASE WHEN p_size % 2 = 0 THEN '-!  7' ELSE '' END AS t FROM part), f AS (SELECT p_partkey, trim(regexp_replace(t, '\\s+', ' ', 'g')) AS t FROM r),
+x AS (SELECT p_partkey, regexp_replace(regexp_replace(t, '^[^a-zA-Z]+', ''), '[^a-zA-Z\\s''-]+$', '') AS a, regexp_replace(regexp_replace(t, '^[^a-zA-Z]+', ''), '[^a-zA-Z\\s]+$', '') AS b FROM f)
+SELECT p_partkey, trim(CASE WHEN upper(a) = a AND lower(a) <> a THEN a ELSE {_TITLE.format("a")} END) AS trainer, trim({_TITLE.format("b")}) AS energy FROM x""")
+def name_clean(spark, d):
+    t = F.concat(F.when(c("p_size") % 3 == 0, "  12. ").otherwise(""), F.replace(c("t"), F.lit(" "), F.lit("   ")), F.when(c("p_size") % 2 == 0, "-!  7").otherwise(""))
+    return readings(spark, d).select("p_partkey", N.clean_trainer(t).alias("trainer"), N.clean_energy(t).alias("energy"))
+
+
+@query()
+def trainer_energy_scores(spark, d):
+    """How likely each reading is the name of a trainer or an energy card."""
+    lex = N.Lexicon.of_table(lexicon(spark, d))
+    t = F.concat(F.when(c("p_size") % 5 == 0, "Boss's Orders ").when(c("p_size") % 5 == 1, "red energy ").when(c("p_size") % 5 == 2, "Quick Ball ").otherwise(""), c("t"))
+    return readings(spark, d).select("p_partkey", t.alias("t")).select("p_partkey", N.trainer_score(c("t"), lex).alias("trainer"), N.energy_score(c("t"), lex).alias("energy"))
 
 
 # ---- pixels: an embedding read as an 8 x 8 patch or a profile --------------------
@@ -607,8 +675,9 @@ WITH p AS (SELECT vec_id, {_G} AS g FROM embeddings), x AS (SELECT vec_id, unnes
 t AS (SELECT vec_id, (k // 8) // 4 * 2 + (k % 8) // 4 AS tile, var_pop(v) AS s FROM x GROUP BY ALL)
 SELECT vec_id, round(stddev_pop(s), 3) AS spread FROM t GROUP BY vec_id""")
 def tile_variance(spark, d):
-    at = lambda ty, tx: F.filter(F.transform("g", lambda v, k: F.when((F.floor(k / 32) == ty) & (F.floor(k % 8 / 4) == tx), v)), lambda v: v.isNotNull())
-    tiles = _patches(spark, d).withColumn("s", F.array(*[K.population_variance(at(y, x)) for y in (0, 1) for x in (0, 1)]))
+    tile = lambda y, x: F.concat(*[F.slice("g", 32 * y + 8 * r + 4 * x + 1, 4) for r in range(4)])
+    one = lambda t: F.aggregate(t, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")), lambda a, v: F.struct((a["s"] + v).alias("s"), (a["q"] + v * v).alias("q")), lambda a: a["q"] / 16 - (a["s"] / 16) * (a["s"] / 16))
+    tiles = _patches(spark, d).withColumn("s", F.array(*[one(tile(y, x)) for y in (0, 1) for x in (0, 1)]))
     return tiles.select("vec_id", F.round(F.sqrt(K.population_variance(c("s"))), 3).alias("spread"))
 
 
@@ -625,10 +694,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY same DESC, templ
 SELECT vec_id, template_id, same, CASE WHEN same / 64.0 >= 0.65 THEN same / 64.0 WHEN same / 64.0 >= 0.6 THEN round(same / 64.0 * 0.85, 6) END::DOUBLE AS score FROM r WHERE k = 1""")
 def template_hamming(spark, d):
     bits = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: (x > 0).cast("int")).alias("bits"))
-    templates = bits.filter("vec_id < 10").select(c("vec_id").alias("template_id"), c("bits").alias("tb"))  # ten templates
-    same = F.aggregate(F.zip_with("bits", "tb", lambda a, b: (a == b).cast("int")), F.lit(0), lambda a, v: a + v)
-    met = bits.crossJoin(F.broadcast(templates)).select("vec_id", "template_id", same.alias("same"))
-    best = met.groupBy("vec_id").agg(F.max(F.struct("same", (-c("template_id")).alias("t"))).alias("m")).select("vec_id", (-c("m.t")).alias("template_id"), c("m.same").alias("same"))
+    templates = bits.filter("vec_id < 10").agg(F.collect_list(F.struct("vec_id", "bits")).alias("t")).scalar()  # ten templates, as one value
+    same = lambda t: F.aggregate(F.zip_with("bits", t["bits"], lambda a, b: (a == b).cast("int")), F.lit(0), lambda a, v: a + v)
+    best = bits.withColumn("templates", templates).select("vec_id", F.array_max(F.transform("templates", lambda t: F.struct(same(t).alias("same"), (-t["vec_id"]).alias("t")))).alias("m")).select("vec_id", (-c("m.t")).alias("template_id"), c("m.same").alias("same"))
     share = c("same") / 64.0
     return best.select("vec_id", "template_id", "same", F.when(share >= 0.65, share).when(share >= 0.6, F.round(share * 0.85, 6)).alias("score"))
 
@@ -640,8 +708,15 @@ def connected_components(spark, d):
     return table(spark, d, "embeddings").select("vec_id", sizes.alias("sizes")).select("vec_id", F.size("sizes").alias("parts"), F.coalesce(F.get("sizes", 0), F.lit(0)).alias("largest"))
 
 
-@query()
+@query("""
+WITH RECURSIVE b AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY x0, y0, x1, y1) AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM (
+  SELECT l_orderkey, CAST(l_partkey % 400 AS INT) AS x0, CAST(l_suppkey % 60 AS INT) AS y0, CAST(l_partkey % 400 + 20 AS INT) AS x1, CAST(l_suppkey % 60 + 30 AS INT) AS y1 FROM lineitem)),
+f AS (SELECT l_orderkey, k, n, x0, y0, x1, y1, 1 AS boxes, x1 AS first_end FROM b WHERE k = 1
+  UNION ALL SELECT b.l_orderkey, b.k, b.n, CASE WHEN j THEN least(f.x0, b.x0) ELSE b.x0 END, CASE WHEN j THEN least(f.y0, b.y0) ELSE b.y0 END, CASE WHEN j THEN greatest(f.x1, b.x1) ELSE b.x1 END, CASE WHEN j THEN greatest(f.y1, b.y1) ELSE b.y1 END,
+    f.boxes + CASE WHEN j THEN 0 ELSE 1 END, CASE WHEN f.boxes = 1 AND j THEN greatest(f.x1, b.x1) ELSE f.first_end END
+  FROM f JOIN b ON b.l_orderkey = f.l_orderkey AND b.k = f.k + 1, LATERAL (SELECT b.x0 - f.x1 <= 15 AND greatest(0, least(f.y1, b.y1) - greatest(f.y0, b.y0))::DOUBLE / greatest(1, least(f.y1 - f.y0, b.y1 - b.y0)) > 0.4 AS j))
+SELECT l_orderkey, CAST(n AS INT) AS before, boxes AS after, first_end FROM f WHERE k = n""")
 def box_merge(spark, d):
     box = F.struct((c("l_partkey") % 400).cast("int").alias("x0"), (c("l_suppkey") % 60).cast("int").alias("y0"), (c("l_partkey") % 400 + 20).cast("int").alias("x1"), (c("l_suppkey") % 60 + 30).cast("int").alias("y1"))
     rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(box)).alias("boxes"))  # the lines of one order
-    return rows.select("l_orderkey", F.size("boxes").alias("before"), K.merge_boxes("boxes").alias("m")).select("l_orderkey", "before", F.size("m").alias("after"), F.get("m", 0)["x1"].alias("first_end"))
+    return rows.select("l_orderkey", F.size("boxes").alias("before"), K.merged_boxes(c("boxes")).alias("m")).select("l_orderkey", "before", F.size("m").alias("after"), F.get("m", 0)["x1"].alias("first_end"))
\ No newline at end of file

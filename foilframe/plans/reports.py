@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
+from foilframe.functions import names as N
 from foilframe.functions import scores as S
 from foilframe.functions import texts as T
 from foilframe.operators import relational as R
-from foilframe.plans.catalog import LEXICON, line_key, query, table
+from foilframe.plans.catalog import _FLAT, _LIMIT, _READ, LEX, LEXICON, lexicon, line_key, query, readings, table
+from foilframe.streaming import queries as Q
 
 c = F.col
 KEYS = "l_orderkey, l_partkey, l_suppkey, l_linenumber"
@@ -78,80 +80,86 @@ SELECT name, 'union' AS set_op FROM (SELECT name FROM a UNION SELECT name FROM b
 def set_operations(spark, d):
     part = table(spark, d, "part").select(c("p_name").alias("name"), "p_type", "p_size")
     every = part.filter("p_type = 'ECONOMY'").select("name").union(part.filter("p_type = 'PROMO'").select("name")).distinct()
-    rest = R.resume(every, part.filter("p_size = 7"), "name", [c("name")])
+    rest = R.remaining(every, part.filter("p_size = 7"), "name")
     return every.withColumn("set_op", F.lit("union")).unionByName(rest.withColumn("set_op", F.lit("difference")))
 
 
-@query("""
-SELECT p_partkey, n IN ('ring', 'widget', 'bolt', 'gear', 'gizmo', 'plate') AS exact, regexp_matches(n, 'ring|widget|bolt|gear|gizmo|plate') AS contains_name,
-  len(list_filter(string_split(lower(p_name), ' '), lambda w: w IN ('ring', 'widget', 'bolt', 'gear', 'gizmo', 'plate'))) > 0 AS any_word FROM (SELECT p_partkey, p_name, regexp_replace(lower(trim(p_name)), '[^a-z0-9]+', '', 'g') AS n FROM part)""")
+_BASE = """(length({0}) >= 2 AND (list_contains({1}, {0}) OR len(list_filter(string_split({2}, ' '), lambda w: list_contains({1}, regexp_replace(w, '[^a-z0-9]+', '', 'g')))) > 0
+  OR len(list_filter({1}, lambda x: (length(x) >= 5 AND contains({0}, x)) OR (length({0}) >= 5 AND contains(x, {0})))) > 0))"""
+
+
+@query(f"""
+WITH {LEX}, r AS (SELECT p_partkey, p_name, {_READ} AS t FROM part), n AS (SELECT *, {_FLAT.format("t")} AS f, list_filter(string_split(lower(t), ' '), lambda w: w <> '') AS w FROM r)
+SELECT p_partkey, list_contains(names, f) AS exact, len(list_filter(w, lambda x: list_contains(names, regexp_replace(x, '[^a-z0-9]+', '', 'g')))) > 0 AS any_word,
+  length(f) >= 2 AND (list_contains(names, f) OR list_contains(variants, f) OR f IN ('ex', 'gx', 'tag team') OR len(list_filter(names, lambda x: (length(x) >= 4 AND contains(f, x)) OR (length(f) >= 4 AND contains(x, f)))) > 0
+    OR len(list_filter(w, lambda x: list_contains(names, regexp_replace(x, '[^a-z0-9]+', '', 'g')))) > 0) AS likely,
+  {_BASE.format("f", "names", "lower(t)")} AS valid_base FROM n, lex""")
 def likely_names(spark, d):
-    flat, words = T.squashed(c("p_name")), F.split(F.lower("p_name"), " ")
-    names = F.array(*map(F.lit, LEXICON))
-    return table(spark, d, "part").select("p_partkey", F.array_contains(names, flat).alias("exact"), F.exists(names, lambda x: flat.contains(x)).alias("contains_name"), F.arrays_overlap(words, names).alias("any_word"))
+    """Readings that are likely a name, and those that are a known base name by themselves."""
+    lex, f = N.Lexicon.of_table(lexicon(spark, d)), T.squashed(c("t"))
+    words = F.exists(N.words_of(F.lower("t")), lambda w: F.array_contains(lex.name, T.squashed(w)))
+    return readings(spark, d).select("p_partkey", F.array_contains(lex.name, f).alias("exact"), words.alias("any_word"), N.likely_name(c("t"), lex).alias("likely"), N.valid_base(F.lower("t"), lex).alias("valid_base"))
 
 
-def name_score(name: Column, lexicon: list[str]) -> Column:
-    """Length, share of letters, known words; less for shouting, repeats and digits."""
-    n = F.length(name)
-    known = F.size(F.filter(F.split(F.lower(name), " "), lambda w: F.array_contains(F.array(*map(F.lit, lexicon)), w)))
-    letters = F.length(F.regexp_replace(name, "[^A-Za-z '.-]", ""))
-    return (
-        F.when(n.between(3, 50), 2).when(n > 50, -2).otherwise(0) + F.when(n.between(5, 30), 1).otherwise(0) + 3.0 * letters / F.greatest(n, F.lit(1)) + 10 * known
-        - F.when(name.rlike("[A-Z]{5,}"), 2).otherwise(0) - F.when(F.lower(name).rlike("(.)\\1{3,}"), 2).otherwise(0) - F.when(name.rlike("[0-9]{3,}"), 3).otherwise(0)
-    )
+_NAMES = "['ring', 'widget', 'bolt', 'gear', 'gizmo', 'plate']"
 
 
-@query("""
+@query(f"""
 WITH a AS (SELECT p_partkey, unnest([p_name, upper(p_name), p_brand, p_name || ' 1234']) AS name, unnest([1, 2, 3, 4]) AS ord FROM part),
-s AS (SELECT *, round(CASE WHEN length(name) BETWEEN 3 AND 50 THEN 2 WHEN length(name) > 50 THEN -2 ELSE 0 END + CASE WHEN length(name) BETWEEN 5 AND 30 THEN 1 ELSE 0 END + 3.0::DOUBLE * length(regexp_replace(name, '[^A-Za-z ''.-]', '', 'g')) / greatest(length(name), 1)
-  + 10 * len(list_filter(string_split(lower(name), ' '), lambda w: w IN ('ring', 'widget', 'bolt', 'gear', 'gizmo', 'plate'))) - CASE WHEN regexp_matches(name, '[A-Z]{5,}') THEN 2 ELSE 0 END - CASE WHEN regexp_matches(name, '[0-9]{3,}') THEN 3 ELSE 0 END, 6) AS score FROM a),
+n AS (SELECT *, {_FLAT.format("name")} AS f, trim(regexp_replace(lower(trim(name)), '[^a-z0-9\\s''.-]+', '', 'g')) AS base, len(list_filter(string_split(lower(name), ' '), lambda w: list_contains({_NAMES}, regexp_replace(w, '[^a-z0-9]+', '', 'g')))) AS hits FROM a),
+s AS (SELECT *, round(CASE WHEN length(name) BETWEEN 3 AND 50 THEN 2 WHEN length(name) > 50 THEN -1 ELSE 0 END + CASE WHEN length(name) BETWEEN 5 AND 30 THEN 1 ELSE 0 END + 3.0::DOUBLE * length(regexp_replace(name, '[^\\p{{L}} ''.-]', '', 'g')) / greatest(length(name), 1)
+  + CASE WHEN {_BASE.format("f", _NAMES, "base")} THEN 12 ELSE 10 * hits + CASE WHEN hits = 0 AND len(list_filter({_NAMES}, lambda x: length(x) >= 5 AND (contains(f, x) OR contains(x, f)))) > 0 THEN 5 ELSE 0 END END
+  - CASE WHEN regexp_matches(name, '[A-Z]{{5,}}') THEN 2 ELSE 0 END - CASE WHEN regexp_matches(name, '[0-9]{{3,}}') THEN 3 ELSE 0 END, 6) AS score FROM n),
 r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, ord) AS k FROM s) SELECT p_partkey, name, ord, score FROM r WHERE k = 1""")
 def best_name(spark, d):
+    """The best of four readings of a name, over names without prefixes and suffixes."""
+    lex = N.Lexicon.of(name=LEXICON)
     tries = F.posexplode(F.array("p_name", F.upper("p_name"), "p_brand", F.concat("p_name", F.lit(" 1234")))).alias("k", "name")
-    scored = table(spark, d, "part").select("p_partkey", tries).select("p_partkey", "name", (c("k") + 1).alias("ord"), F.round(name_score(c("name"), LEXICON), 6).alias("score"))
+    scored = table(spark, d, "part").select("p_partkey", tries).select("p_partkey", "name", (c("k") + 1).alias("ord"), F.round(N.name_score(c("name"), lex), 6).alias("score"))
     return R.first_best(scored, ["p_partkey"], [F.desc("score"), c("ord")])
 
 
-def card_name_score(name: Column, parts: Column, lexicon: list[str], prefixes: list[str], suffixes: list[str]) -> Column:
-    """M26 in full: length, letters, prefixes, base name and suffixes, else single words; less for shouting, repeats and digits. parts: T.components of name."""
-    names, before, after = (F.array(*map(F.lit, sorted(x))) for x in (lexicon, prefixes, suffixes))
-    n, norm, base, kept = F.length(name), T.squashed(name), T.squashed(parts["base"]), T.spaced(name)
-    known = lambda w: F.array_contains(names, w)
-    valid = (F.length(base) >= 2) & (
-        F.exists(F.split(parts["base"], " "), lambda w: known(T.squashed(w)))
-        | F.exists(names, lambda x: (base == x) | ((F.length(x) >= 5) & base.contains(x)) | ((F.length(base) >= 5) & x.contains(base)))
-    )
-    words = F.filter(F.split(F.lower(name), "\\s+"), lambda w: w != "")
-    hits = F.size(F.filter(words, lambda w: known(T.squashed(w))))
-    ends = lambda w: F.array_contains(after, T.squashed(w))
-    starts = lambda w: kept.contains(w) & F.exists(before, lambda x: T.squashed(x).contains(T.squashed(w)))
-    modifiers = F.size(F.filter(words, lambda w: ~known(T.squashed(w)) & (ends(w) | starts(w))))
-    within = F.exists(names, lambda x: (F.length(x) >= 5) & (norm.contains(x) | x.contains(norm)))
-    single = 10 * hits + 2 * modifiers + F.when((hits >= 1) & (modifiers >= 1), 5).otherwise(0) + F.when((hits == 0) & within, 5).otherwise(0)
-    score = (
-        F.when(n.between(3, 50), 2.0).when(n > 50, -1.0).otherwise(0.0) + F.when(n.between(5, 30), 1).otherwise(0)
-        + 3.0 * F.length(F.regexp_replace(name, "[^\\p{L} '.-]", "")) / F.greatest(n, F.lit(1))
-        + F.when(valid, 12 + 4 * F.size(parts["prefixes"]) + 3 * F.size(parts["suffixes"])).otherwise(single)
-        - F.when(name.rlike("[A-Z]{5,}"), 2).otherwise(0) - F.when(F.lower(name).rlike("(.)\\1{3,}"), 2).otherwise(0) - F.when(name.rlike("[0-9]{3,}"), 3).otherwise(0)
-    )
-    return F.when(n > 0, score).otherwise(0.0)
-
-
 PREFIXES, SUFFIXES = ["small", "large", "old", "hot", "red", "blue", "team rocket's"], ["ex", "gx", "tag team"]
 
 
 @query()
 def best_card_name(spark, d):
-    """The best of six readings of a name by card_name_score; of equal ones the first."""
+    """The best of six readings of a name by the whole rule; of equal ones the first."""
     name = c("p_name")
     readings = [F.concat(name, F.lit(" 1234")), F.upper(name), c("p_brand"), F.concat(F.substring(name, 1, 7), F.lit(" gx")), name, F.when(c("p_size") % 2 == 0, F.concat(F.lit("Team Rocket's "), name, F.lit(" ex"))).otherwise("")]
     tries = table(spark, d, "part").select("p_partkey", F.posexplode(F.array(*readings)).alias("k", "name"))
-    split = T.components(frozenset(PREFIXES), frozenset(SUFFIXES))
-    scored = tries.withColumn("parts", split(c("name"))).select("p_partkey", "name", (c("k") + 1).alias("ord"), F.round(card_name_score(c("name"), c("parts"), LEXICON, PREFIXES, SUFFIXES), 6).alias("score"))
+    lex = N.Lexicon.of(name=LEXICON, owner=[p for p in PREFIXES if "'" in p], variant=[p for p in PREFIXES if "'" not in p], suffix=SUFFIXES)
+    scored = tries.withColumn("parts", N.name_parts(c("name"), lex)).select("p_partkey", "name", (c("k") + 1).alias("ord"), F.round(N.name_score(c("name"), lex, c("parts")), 6).alias("score"))
     return R.first_best(scored, ["p_partkey"], [F.desc("score"), c("ord")])
 
 
+@query("""
+SELECT l_orderkey, count(*) AS n, array_to_string(list('BR_' || l_linenumber || ':' || l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey), ' ') AS log FROM lineitem GROUP BY l_orderkey""")
+def candidate_log(spark, d):
+    """What was read for each order, in the order in which it was tried."""
+    one = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.concat(F.lit("BR_"), c("l_linenumber").cast("string"), F.lit(":"), c("l_returnflag")).alias("what"))
+    tried = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(one)).alias("x"))  # the lines of one order
+    return tried.select("l_orderkey", "n", F.array_join(F.transform("x", lambda x: x["what"]), " ").alias("log"))
+
+
+@query("""
+WITH gone AS (SELECT c_custkey FROM customer WHERE c_nationkey % 5 = 2)
+SELECT o_orderkey, CASE WHEN o_custkey IN (SELECT c_custkey FROM gone) THEN NULL ELSE o_custkey END AS tenant, o_orderstatus = 'O' AND o_custkey NOT IN (SELECT c_custkey FROM gone) AS key_kept FROM orders""")
+def tenant_deletion(spark, d):
+    """What deleting tenants does: their keys (open orders) go with them, usage stays without a tenant."""
+    gone = table(spark, d, "customer").filter("c_nationkey % 5 = 2").select(c("c_custkey").alias("o_custkey"), F.lit(True).alias("gone"))
+    met = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus").join(gone, "o_custkey", "left")
+    return met.select("o_orderkey", F.when(c("gone").isNull(), c("o_custkey")).alias("tenant"), ((c("o_orderstatus") == "O") & c("gone").isNull()).alias("key_kept"))
+
+
+@query("""SELECT page_id, CASE kind WHEN 'image/jpeg' THEN '.jpg' WHEN 'image/png' THEN '.png' WHEN 'image/webp' THEN '.webp' ELSE '' END AS extension, replace(replace(url, 'I', '1'), 'l', '1') AS digits, '1970-01-01T00:00:00Z' AS processed_at
+FROM (SELECT *, CASE page_id % 4 WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'image/png' WHEN 2 THEN 'image/webp' ELSE 'text/html' END AS kind FROM pages)""")
+def upload_names(spark, d):
+    k = c("page_id") % 4
+    kind = F.when(k == 0, "image/jpeg").when(k == 1, "image/png").when(k == 2, "image/webp").otherwise("text/html")
+    return table(spark, d, "pages").select("page_id", T.extension(kind).alias("extension"), T.as_digits(c("url")).alias("digits"), F.lit(T.PROCESSED_AT).alias("processed_at"))
+
+
 def expected_name(file_name: Column, markers: list[str]) -> Column:
     """The name a file name states: without extension and number, cut at the first marker in list order, words in title case; null if too short."""
     stem = F.regexp_replace(F.regexp_replace(F.lower(file_name), "\\.(png|jpg|jpeg|webp)$", ""), "-[0-9]+$", "")
@@ -239,3 +247,9 @@ def scratch_filter(spark, d):
     length = F.sqrt(dx * dx + dy * dy)
     per = seg.groupBy("l_orderkey").agg(F.bool_or("t").alias("textured"), F.count_if((F.least(dx, dy) / length > 0.1) | (length > 60)).alias("n"))
     return per.select("l_orderkey", "textured", F.when(c("textured") & (c("n") >= 3), F.lit(0)).otherwise(c("n")).alias("scratches"))
+
+
+@query(_LIMIT.format(width=86400, limit=3).replace("SELECT event_id, user_id, bucket, place, place <= 3 AS allowed,", "SELECT event_id, user_id, bucket, place <= 3 AS allowed --").split("--")[0] + " FROM b")
+def stream_rate_limit(spark, d):
+    """The rate limit kept by a stateful stream over all events, as far as they are there."""
+    return Q.limited_so_far(spark, f"{d}/{{events.parquet}}", 3, 86400).select("event_id", "user_id", "bucket", "allowed")

@@ -6,10 +6,12 @@ watermark has passed their window.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -40,6 +42,20 @@ def rate_limit(events: DataFrame, limit: int, width: int = 60, late: str = "10 m
     return keyed.groupBy("user_id", "bucket").applyInPandasWithState(count, LIMITED, "used int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def limited_so_far(spark: SparkSession, path: str, limit: int, width: int) -> DataFrame:
+    """rate_limit() over the events of a table (a pattern, as a stream takes a plain path for a folder) that are there now; checkpoint and output go to the folder named in spark.checkpoint.dir.
+
+    Each batch replaces its own output, so one that runs again counts once.
+    """
+    place = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")  # unset only in a local session
+    out = f"{place.rstrip('/')}/rate-limit-{uuid.uuid4().hex}"
+    now = spark.read.parquet(path)
+    stream = spark.readStream.schema(now.schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+    rate_limit(stream, limit, width).writeStream.option("checkpointLocation", f"{out}/query").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    return spark.read.schema(LIMITED).parquet(f"{out}/rows")
+
+
 def usage(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Requests and errors of each key in each window, sent when the window is closed."""
     timed = events.withWatermark("ts", late)

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from foilframe.operators import kernels as K
 from foilframe.plans import cards
@@ -64,11 +65,39 @@ def test_scratch_lines_and_boxes():
     for k in range(100):
         a[40 + k, 40 + k : 43 + k] = 220
     assert K.segments(K.edge_map(a), 30)
-    assert K.merged([(0, 0, 10, 20), (15, 2, 30, 20), (60, 0, 70, 20)]) == [(0, 0, 30, 20), (60, 0, 70, 20)]
     assert K.first_jump(np.array([0] * 10 + [100] * 40)) == 9 and K.first_jump(np.zeros(50)) == 0
     assert K.border_widths(np.pad(np.zeros((100, 100)), 12, constant_values=200))["left"] == 11
 
 
+def test_merged_boxes(spark):
+    box = "array<struct<x0:int,y0:int,x1:int,y1:int>>"
+    cases = [[(0, 0, 10, 20), (15, 2, 30, 20), (60, 0, 70, 20)], [], [(5, 0, 9, 9)], [(30, 0, 40, 20), (0, 0, 10, 20), (12, 15, 30, 40)]]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(cases)], f"k int, b {box}").select("k", K.merged_boxes(F.col("b")).alias("m")).collect()
+    assert {r.k: [tuple(x) for x in r.m] for r in rows} == {0: [(0, 0, 30, 20), (60, 0, 70, 20)], 1: [], 2: [(5, 0, 9, 9)], 3: [(0, 0, 10, 20), (12, 15, 30, 40), (30, 0, 40, 20)]}
+
+
+def test_unreadable_images_have_null_features(spark):
+    good = clean()[:140, :100].tobytes()
+    rows = [(1, 140, 100, bytearray(good)), (2, 140, 100, bytearray(b"xx")), (3, 140, 100, None), (4, None, None, bytearray(good)), (5, 0, 100, bytearray())]
+    images = spark.createDataFrame(rows, "id int, height int, width int, data binary")
+    got = {r.id: r for r in images.select("id", K.image_features("height", "width", "data").alias("f"), K.canonical_image("height", "width", "data").alias("c")).collect()}
+    assert len(got[1].f.corners) == 4 and got[1].f.scratches == 0 and len(got[1].c.data) == W * H * 3
+    for k in (2, 3, 4, 5):
+        assert all(v is None for v in got[k].f) and all(v is None for v in got[k].c)
+    assert images.limit(0).select(K.image_features("height", "width", "data").alias("f")).count() == 0
+
+
+def test_family_by_border():
+    def card(rgb, h=200, w=150):
+        return np.full((h, w, 3), rgb, np.uint8)
+
+    assert [K.family(card(c)) for c in ((175, 155, 100), (165, 155, 100), (175, 145, 100), (240, 220, 60), (50, 50, 50))] == ["vintage", "modern", "modern", "vintage", "modern"]
+    assert K.family(card((240, 220, 60), 9, 50)) == "modern"
+    wide = card((90, 90, 90), 1000, 100)
+    wide[:3], wide[-3:], wide[:, :3], wide[:, -3:] = (4 * [[240, 220, 60]])
+    assert K.family(wide) == "vintage"  # three hundredths of the shorter side
+
+
 def test_pipelines(spark):
     small = np.full((140, 100, 3), (50, 100, 150), np.uint8)
     rows = [(140, 100, bytearray(small.tobytes()), "Pikachu", "4/102", "pokemon", "pokemon"), (140, 100, bytearray(b"xx"), "", None, "unknown", "trainer")]

@@ -5,9 +5,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from foilframe.functions import texts as T
+from foilframe.functions import names as N
 from foilframe.plans import catalog
-from foilframe.plans.reports import PREFIXES, SUFFIXES, card_name_score
+from foilframe.plans.reports import PREFIXES, SUFFIXES
 
 D = "/root/testdata/sf0.001"
 NAMES = ["mewtwo", "pikachu", "mr mime", "ring", "widget", "bolt"]
@@ -49,8 +49,8 @@ def plain(name, names):
 
 def test_score(spark):
     texts = ["Team Rocket's Mewtwo ex", "team rocket Mewtwo", "Pikachu Tag Team GX", "old hot ring", "Mewt", "Mewtw", "xxMewtwoxx ex", "ex gx", "old", "rocket ex 1234", "PIKACHU", "aaaa", "", "a", "é!", "wid get", "ring " * 12, "q" * 51, "hot - ex", "r!ing old"]
-    df = spark.createDataFrame([(t,) for t in texts], "name string").withColumn("parts", T.components(frozenset(PREFIXES), frozenset(SUFFIXES))(F.col("name")))
-    got = {r[0]: r[1] for r in df.select("name", card_name_score(F.col("name"), F.col("parts"), NAMES, PREFIXES, SUFFIXES)).collect()}
+    lex = N.Lexicon.of(name=NAMES, owner=[p for p in PREFIXES if "'" in p], variant=[p for p in PREFIXES if "'" not in p], suffix=SUFFIXES)
+    got = {r[0]: r[1] for r in spark.createDataFrame([(t,) for t in texts], "name string").select("name", N.name_score(F.col("name"), lex)).collect()}
     assert got == {t: pytest.approx(plain(t, NAMES)) for t in texts}
 
 

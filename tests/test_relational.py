@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from foilframe.operators import relational as R
@@ -20,10 +22,57 @@ def test_tiered_lookup(spark):
 
 
 def test_highest_passing_keeps_repeated_rows(spark):
-    left = spark.createDataFrame([(1, 55.0, 70.0), (1, 55.0, 70.0), (2, 99.0, 99.0)], "id int, f double, b double")
-    table = spark.createDataFrame([(10.0, 55.0, 75.0), (9.0, 60.0, 90.0)], "grade double, fm double, bm double")
-    got = rows(R.highest_passing(left, [F.col("f"), F.col("b")], table, ["fm", "bm"], "grade", 1.0).select("id", "grade"))
-    assert got == [(1, 10.0), (1, 10.0), (2, 1.0)]
+    left = spark.createDataFrame([(1, 55.0, 70.0), (1, 55.0, 70.0), (2, 99.0, 99.0), (3, None, 1.0)], "id int, f double, b double")
+    got = rows(left.select("id", R.highest_passing([F.col("f"), F.col("b")], [(10.0, 55.0, 75.0), (9.0, 60.0, 90.0)], 1.0)))
+    assert got == [(1, 10.0), (1, 10.0), (2, 1.0), (3, 1.0)]
+
+
+def test_first_of_list(spark):
+    left = spark.createDataFrame([(1, "x"), (2, "y"), (3, None), (1, "x")], "id int, k string")
+    cand = spark.createDataFrame([("x", 2, "b"), ("x", 1, "a"), ("x", 3, "ab")], "k string, o int, name string")
+    ok = lambda c: c["name"].contains("b")
+    assert rows(R.first_of_list(left, cand, ["k"], "o", ok, 40).select("id", "name").filter("name IS NOT NULL")) == [(1, "b"), (1, "b")]
+    assert R.first_of_list(left, cand, ["k"], "o", ok, 1).filter("name IS NOT NULL").count() == 0 and R.first_of_list(left, cand, ["k"], "o", ok, 1).count() == 4
+
+
+def test_ranks_against_sorting(spark):
+    rng = random.Random(3)
+    values = [("a", rng.gauss(0, 1) ** 5) for _ in range(700)] + [("b", 7.0)] * 50 + [("c", float(rng.randint(0, 3))) for _ in range(90)] + [("d", 1.5)] + [(None, 2.0), (None, 1e300), ("e", None)]
+    df = spark.createDataFrame(values, "k string, v double").repartition(3)
+    shares = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p90": 0.9, "p100": 1.0}
+    near = {r.k: r for r in R.nearest_rank(df, ["k"], "v", shares).collect()}
+    line = {r.k: r for r in R.linear_percentiles(df, ["k"], "v", shares).collect()}
+    assert set(near) == set(line) == {"a", "b", "c", "d", None}
+    for k in near:
+        own = sorted(v for x, v in values if x == k)
+        for name, share in shares.items():
+            at = (len(own) - 1) * share
+            assert near[k][name] == own[round(at)] and near[k].n == len(own)
+            lo = own[int(at)]
+            assert abs(line[k][name] - (lo + (own[min(int(at) + 1, len(own) - 1)] - lo) * (at - int(at)))) <= 1e-9 * max(1, abs(line[k][name]))
+
+
+def test_similar_names_against_all_pairs(spark):
+    rng = random.Random(4)
+    base = ["".join(rng.choice("abcd") for _ in range(rng.randint(2, 14))) for _ in range(30)]
+    names = sorted({*base, *("".join(c if rng.random() > 0.2 else rng.choice("abcd") for c in x)[: rng.randint(3, 14)] for x in base * 5)})
+    want = []
+    for a in names:
+        for b in names:
+            same = sum(x == y for x, y in zip(a, b))
+            if a < b and min(len(a), len(b)) >= 4 and abs(len(a) - len(b)) <= 2 and same >= 0.7 * len(b):
+                want.append((a, b, same))
+    got = rows(R.similar_names(spark.createDataFrame([(x,) for x in names + names[:5] + [None]], "x string"), "x"))
+    assert got == sorted(want) and len(want) > 20
+
+
+def test_running_totals_in_levels(spark):
+    values = [(k, k % 7) for k in random.Random(5).sample(range(5000), 900)]
+    got = {r.k: r.run_v for r in R.running_totals(spark.createDataFrame(values, "k long, v long"), "k", ["v"], block=10).collect()}
+    total = 0
+    for k, v in sorted(values):
+        total += v
+        assert got[k] == total
 
 
 def test_first_match_and_resume(spark):

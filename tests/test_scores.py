@@ -75,11 +75,11 @@ def test_texts(spark):
     assert (r["f"]["num"], r["f"]["total"]) == (12, 34) and r["g"]["number"] == 4 and r["h"] and not r["i"] and r["j"] == "plkachu" and r["k"] == "tool"
 
 
-def test_components_and_title(spark):
-    split = T.components(frozenset({"dark", "team rocket"}), frozenset({"ex", "tag team"}))
-    df = spark.createDataFrame([("Dark Alakazam ex",), ("Team Rocket's Mewtwo",), (None,), ("ho-oh farfetch'd",)], "n string")
-    rows = df.select(split("n").alias("x"), T.python_title(F.col("n")).alias("t")).collect()
-    assert tuple(rows[0].x) == (["dark"], "alakazam", ["ex"]) and rows[2].x.base == "" and rows[3].t == "Ho-Oh Farfetch'D"
+def test_garbage_rules(spark):
+    """Marks but for apostrophe and hyphen count, commas too; letters of any script are letters; no text is garbage."""
+    cases = {"Pikachu": False, "": True, "a": True, None: True, "a,b,c,": True, "ab'c-d": False, "ñandú é": False, "日本語": False, "a b c d e": True, "a i a i": False, "buzz off": True, "bcdfghk": True, "bcd-fgh k": True, "ab, cd": False, "Mr. Mime": False}
+    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", T.garbage(F.col("t")).alias("g")).collect()
+    assert {r.t: r.g for r in rows} == cases
 
 
 def test_card_type(spark):
