@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from foilframe.llm import bpe, exact_dedup, mixing, ngram_join
 from foilframe.llm import quality as classifier
-from foilframe.llm.staging import documents, stage
+from foilframe.llm.staging import documents, new_path, removed, scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """The stages in turn. What a stage writes on its way is removed once its result is written, and a result once the next one is."""
+    docs, written = documents(spark, sf_dir), None
     for name, stage_of in STAGES:
-        docs = stage(stage_of(spark, docs, sf_dir), f"pipeline-{name}")
+        path = new_path(spark, f"pipeline-{name}")
+        with scratch(spark):
+            made = stage_of(spark, docs, sf_dir)
+            made.write.parquet(path)
+        if written:
+            removed(spark, written)
+        docs, written = spark.read.schema(made.schema).parquet(path), path
     return docs
