@@ -186,6 +186,12 @@ def described(docs: DataFrame, classes, width: int, percent: int, orders: int) -
     return source.mapInArrow(lean(run), f"place long, doc_id {source.schema['doc_id'].dataType.simpleString()}, n int, node long, prefix array<long>, cold int, firsts array<long>, parity array<long>, others array<array<int>>")
 
 
+def met_by(rows: DataFrame, lists: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """rows joined to lists (keys, count, ...) by keys; long lists, by a broadcast of the few, where their rows are. n: how many rows there are."""
+    long = giants(lists, n)
+    return rows.join(long, keys).unionByName(rows.join(long, keys, "left_anti").join(lists, keys))
+
+
 def giants(lists: DataFrame, rows: int) -> DataFrame:
     """Those of lists (with their rows in count) that are too long for one task: more than LEAST rows and one GIANTSth of all, so GIANTS at most."""
     return F.broadcast(lists.filter(F.col("count") > max(LEAST, rows // GIANTS)))  # at most GIANTS rows, as their counts add up to rows
@@ -199,8 +205,7 @@ def _stars(rows: DataFrame, keys: list[str]) -> DataFrame:
     """
     lists = rows.groupBy(*keys).agg(F.min(F.struct("cold", "node", "root")).alias("lead"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("count"))
     leads = stage(lists.filter("lo < hi").select(*keys, F.col("lead.node").alias("lead"), F.col("lead.root").alias("lead_root"), "count"), "ngram-leads")
-    long = giants(leads, rows.count())
-    met = rows.join(long, keys).unionByName(rows.join(long, keys, "left_anti").join(leads, keys))
+    met = met_by(rows, leads, keys, rows.count())
     return met.filter("node != lead AND root != lead_root").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
 
 
@@ -296,8 +301,7 @@ def hot_pairs(posted: DataFrame, percent: int) -> DataFrame:
     lists = posted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("count"))
     cross = stage(lists.filter("lo < hi").select("token", "count"), "ngram-cross")
     rows = posted.count()
-    long = giants(cross, rows)
-    split = posted.join(long, "token").unionByName(posted.join(long, "token", "left_anti").join(cross, "token"))
+    split = met_by(posted, cross, ["token"], rows)
     parts = F.ceil(F.col("count") / max(LEAST, rows // GIANTS)).cast("int")
     keyed = (
         split.withColumn("reach", F.floor((F.col("n") - F.col("pos")) * (100 + percent) / F.lit(percent)) - F.col("n"))
@@ -373,10 +377,13 @@ def similarity_components(docs: DataFrame, width: int = WIDTH, percent: int = PE
         grown(linked(stage(_stars(stage(rooted(hot, roots), "ngram-rooted"), ["token"]), "ngram-met")))
         grown(linked(stage(hot_pairs(stage(rooted(hot, roots), "ngram-rooted"), percent), "ngram-met")))
 
-    named = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = named.select("node", "root").join(least, "root").select("node", "component_id")
-    return rows.select("place", "doc_id", "n", "node").join(label, "node", "left").select("place", "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    nodes = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    named = stage(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "ngram-named")
+    groups = stage(named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("count")), "ngram-groups")
+    label = stage(met_by(named.select("node", "root", "copies"), groups, ["root"], named.count()).select("node", "component_id", F.col("copies").alias("count")), "ngram-labels")
+    about = ["place", "doc_id", F.col("n").cast("long").alias("n_shingles")]
+    some = met_by(rows.filter("n > 0").select("place", "doc_id", "n", "node"), label, ["node"], rows.count()).select(*about, "component_id")
+    return some.unionByName(rows.filter("n = 0").select(*about, F.col("doc_id").alias("component_id")))
 
 
 def _ends(pairs: DataFrame) -> DataFrame:

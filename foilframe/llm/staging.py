@@ -29,11 +29,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/foilframe/{name}-{uuid.uuid4().hex}"
+_made: list[list[str]] = []  # the folders of each scratch() that is open, outermost first
 
 
-_made: list[list[str]] = []  # the tables of each scratch() that is open, outermost first
+def new_path(spark: SparkSession, name: str) -> str:
+    """A folder of the shared storage that no one else has."""
+    path = f"{shared_dir(spark)}/foilframe/{name}-{uuid.uuid4().hex}"
+    for made in _made[-1:]:
+        made.append(path)
+    return path
 
 
 @contextmanager
@@ -52,15 +56,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """df as a written table: computed once, read from shared storage afterwards."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    for made in _made[-1:]:
-        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables that stage() writes inside are removed at the end; what is made of them must be written by then."""
+    """Folders that new_path() names inside are removed at the end; what is made of them must be written by then."""
     _made.append([])
     try:
         yield
