@@ -247,3 +247,21 @@ def exempt_path(path: Column, exempt: list[str]) -> Column:
     for p in exempt:
         out = out | (bare == p) | bare.startswith(p + "/")
     return out
+
+
+#: What an analysis request may say.
+CARD_TYPES, ENCODINGS = ("pokemon", "trainer", "energy"), ("base64", "url")
+
+
+def analysis_error(body: Column) -> Column:
+    """The error code of an analysis request, a JSON text; null if nothing is wrong. The first check that fails decides."""
+    told = F.try_parse_json(body)
+    kind = F.schema_of_variant(told)
+    field = lambda path: F.try_variant_get(told, path, "string")
+    front = F.schema_of_variant(F.try_variant_get(told, "$.front_image", "variant"))
+    data = field("$.front_image.data")
+    return (
+        F.when(told.isNull() | ~kind.startswith("OBJECT"), "INVALID_REQUEST_FORMAT").when(~F.coalesce(field("$.card_type"), F.lit("")).isin(*CARD_TYPES), "UNSUPPORTED_CARD_TYPE")
+        .when(front.isNull() | ~front.startswith("OBJECT"), "MISSING_REQUIRED_FIELD").when(~F.coalesce(field("$.front_image.encoding"), F.lit("")).isin(*ENCODINGS), "INVALID_FIELD_VALUE")
+        .when(F.coalesce(data, F.lit("")) == "", "MISSING_REQUIRED_FIELD").when((field("$.front_image.encoding") == "base64") & F.try_to_binary(data, F.lit("base64")).isNull(), "INVALID_IMAGE_FORMAT")
+    )

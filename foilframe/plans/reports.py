@@ -6,6 +6,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from foilframe.functions import names as N
+from foilframe.functions import observations as O
 from foilframe.functions import scores as S
 from foilframe.functions import texts as T
 from foilframe.operators import relational as R
@@ -253,3 +254,101 @@ def scratch_filter(spark, d):
 def stream_rate_limit(spark, d):
     """The rate limit kept by a stateful stream over all events, as far as they are there."""
     return Q.limited_so_far(spark, f"{d}/{{events.parquet}}", 3, 86400).select("event_id", "user_id", "bucket", "allowed")
+
+
+_Q = lambda x: "'" + x.replace("'", "''") + "'"
+_SAID = lambda severity, texts: f"CASE WHEN {severity} < 0.25 THEN {texts[0]} WHEN {severity} < 0.5 THEN {texts[1]} WHEN {severity} < 0.75 THEN {texts[2]} ELSE {texts[3]} END"
+
+
+@query(f"""
+WITH v AS (SELECT {KEYS}, l_quantity * 2 AS lr, 50 + l_tax * 100 AS tb, 6 + l_linenumber AS grade, l_discount * 10 AS s, l_discount AS a, l_tax AS b, l_tax * 10 AS chip, CAST(l_suppkey % 3 AS INT) AS n,
+  CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_returnflag END AS method, CASE WHEN greatest(l_discount, l_tax) > 0 THEN CASE WHEN l_discount >= l_tax THEN 'top left' ELSE 'top right' END END AS worst FROM lineitem)
+SELECT {KEYS}, CASE {' '.join(f"WHEN grade >= {k} THEN printf({_Q(t)}, lr, tb)" for k, t in O.CENTERING)} ELSE printf({_Q(O.CENTERING_WORST)}, lr, tb) END AS centering,
+  printf({_Q(O.CENTERING_EVIDENCE)}, lr, tb, coalesce(method, 'unknown')) AS centering_evidence,
+  {_SAID("s", [_Q(O.CORNERS[0]), *(f"printf({_Q(t)}, coalesce(worst, '{x}'))" for t, x in zip(O.CORNERS[1:], ("corners", "multiple corners", "multiple corners")))])} AS corners,
+  CASE WHEN a * 100 > 5 OR b * 100 > 5 THEN concat_ws('; ', CASE WHEN a * 100 > 5 THEN printf('top left: %.1f%% whitening', a * 100) END, CASE WHEN b * 100 > 5 THEN printf('top right: %.1f%% whitening', b * 100) END) ELSE {_Q(O.NO_WHITENING)} END AS corners_evidence,
+  {_SAID("s", [_Q(O.EDGES[0]), *(f"printf({_Q(t)}, coalesce(replace(worst, 'top ', ''), '{x}'))" for t, x in zip(O.EDGES[1:], ("edges", "multiple edges", "multiple edges")))])} AS edges,
+  CASE WHEN a * 100 > 5 OR chip * 100 > 20 THEN printf('left: whitening %.1f%%, chipping %.0f%%', a * 100, chip * 100) ELSE {_Q(O.EVEN_EDGES)} END AS edges_evidence,
+  {_SAID("s", [_Q(O.SURFACE_CLEAN), *(f"CASE WHEN n > 0 THEN printf({_Q(a)}, n) ELSE {_Q(b)} END" for a, b in zip(O.SURFACE_SCRATCHED, O.SURFACE_WORN))])} AS surface,
+  CASE WHEN n > 0 THEN printf('%d linear artifacts detected; ', n) ELSE '' END || printf('texture variance %.1f', lr) AS surface_evidence FROM v""")
+def observation_texts(spark, d):
+    """What is said of each of the four signals, and the evidence, for measures taken from the lines."""
+    a, b, s = c("l_discount"), c("l_tax"), c("l_discount") * 10
+    lr, tb, n = c("l_quantity") * 2, 50 + b * 100, (c("l_suppkey") % 3).cast("int")
+    corners = F.array(F.struct(F.lit("top_left").alias("name"), a.alias("whitening")), F.struct(F.lit("top_right").alias("name"), b.alias("whitening")))
+    edges = F.array(F.struct(F.lit("left").alias("name"), a.alias("whitening"), (b * 10).alias("chipping")))
+    worst = O.worst_of(corners, lambda p: p["whitening"])
+    return table(spark, d, "lineitem").select(
+        *line_key(), O.centering(6 + c("l_linenumber"), lr, tb).alias("centering"), O.centering_evidence(lr, tb, F.nullif(c("l_returnflag"), F.lit("N"))).alias("centering_evidence"),
+        O.corners(s, worst).alias("corners"), O.corners_evidence(corners).alias("corners_evidence"), O.edges(s, F.replace(worst, F.lit("top "), F.lit(""))).alias("edges"), O.edges_evidence(edges).alias("edges_evidence"),
+        O.surface(s, n).alias("surface"), O.surface_evidence(n, lr).alias("surface_evidence"),
+    )
+
+
+@query("""
+WITH r AS (SELECT event_id, event_id % 11 AS k FROM events)
+SELECT event_id, CASE k WHEN 0 THEN 'INVALID_REQUEST_FORMAT' WHEN 1 THEN 'INVALID_REQUEST_FORMAT' WHEN 2 THEN 'UNSUPPORTED_CARD_TYPE' WHEN 3 THEN 'UNSUPPORTED_CARD_TYPE' WHEN 4 THEN 'MISSING_REQUIRED_FIELD' WHEN 5 THEN 'INVALID_FIELD_VALUE'
+  WHEN 6 THEN 'MISSING_REQUIRED_FIELD' WHEN 7 THEN 'INVALID_IMAGE_FORMAT' END AS error_code, CASE WHEN k < 8 THEN 400 ELSE 200 END AS status FROM r""")
+def request_cascade(spark, d):
+    """The checks of an analysis request in turn; the first that fails decides. Bodies of each kind are made from the key."""
+    body = F.element_at(F.array(*map(F.lit, (
+        "{not json", "[1, 2]", '{"front_image":{"encoding":"base64","data":"QUJD"}}', '{"card_type":"coin","front_image":{}}', '{"card_type":"trainer","front_image":"x"}', '{"card_type":"trainer","front_image":{"encoding":"hex","data":""}}',
+        '{"card_type":"pokemon","front_image":{"encoding":"base64","data":""}}', '{"card_type":"pokemon","front_image":{"encoding":"base64","data":"A"}}', '{"card_type":"energy","front_image":{"encoding":"url","data":"https://x"}}',
+        '{"card_type":"pokemon","front_image":{"encoding":"base64","data":"QUJD"}}', '{"extra":1,"card_type":"trainer","front_image":{"data":"QUJDRA==","encoding":"base64"}}',
+    ))), (c("event_id") % 11 + 1).cast("int"))
+    code = S.analysis_error(c("body"))
+    return table(spark, d, "events").select("event_id", body.alias("body")).select("event_id", code.alias("error_code"), F.when(code.isNull(), 200).otherwise(400).alias("status"))
+
+
+@query(f"""
+WITH {LEX}, r AS (SELECT p_partkey, p_name, p_size, {_READ} AS t FROM part),
+x AS (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN replace(t, 'o', '0') ELSE t END AS t FROM r),
+k AS (SELECT p_partkey, t, list_filter([t, CASE WHEN contains(lower(t), '0') THEN replace(lower(t), '0', 'o') END, CASE WHEN contains(lower(t), '1') THEN replace(lower(t), '1', 'l') END, CASE WHEN contains(lower(t), '5') THEN replace(lower(t), '5', 's') END, CASE WHEN contains(lower(t), '8') THEN replace(lower(t), '8', 'b') END, CASE WHEN contains(lower(t), 'rn') THEN replace(lower(t), 'rn', 'm') END, CASE WHEN contains(lower(t), 'cl') THEN replace(lower(t), 'cl', 'd') END, CASE WHEN contains(lower(t), 'li') THEN replace(lower(t), 'li', 'h') END, CASE WHEN contains(lower(t), 'vv') THEN replace(lower(t), 'vv', 'w') END],
+  lambda y: y IS NOT NULL AND len(list_filter(string_split(y, ' '), lambda w: list_contains(names, w))) > 0) AS good FROM x, lex)
+SELECT p_partkey, coalesce(good[1], t) AS text, CASE WHEN contains(lower(t), 'tool') THEN 'tool' WHEN contains(lower(t), 'old') THEN 'old' WHEN contains(lower(t), 'gear') THEN 'gear' END AS subtype FROM k""")
+def ocr_corrections(spark, d):
+    """Readings with a confusion undone where that makes a known name of a word, and the first subtype in order that they hold."""
+    lex = N.Lexicon.of_table(lexicon(spark, d))
+    t = F.when(c("p_size") % 2 == 0, F.replace(c("t"), F.lit("o"), F.lit("0"))).otherwise(c("t"))
+    known = lambda x: F.exists(F.split(x, " "), lambda w: F.array_contains(lex.name, w))
+    return readings(spark, d).select("p_partkey", t.alias("t")).select("p_partkey", T.corrected(c("t"), known).alias("text"), T.trainer_subtype(c("t"), ["tool", "old", "gear"]).alias("subtype"))
+
+
+@query("""
+WITH g AS (SELECT l_orderkey, x, lag(x) OVER (PARTITION BY l_orderkey ORDER BY x) AS p FROM (SELECT DISTINCT l_orderkey, CAST(l_partkey % 200 AS BIGINT) AS x FROM lineitem)),
+i AS (SELECT *, sum(CASE WHEN p IS NULL OR x - p > 15 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY x) AS island FROM g), s AS (SELECT l_orderkey, island, min(x) AS a, max(x) + 1 AS b FROM i GROUP BY ALL),
+k AS (SELECT l_orderkey, list([a, b] ORDER BY a) FILTER (WHERE b - a >= 8) AS kept, min(a) AS lo, max(b) AS hi FROM s GROUP BY l_orderkey)
+SELECT l_orderkey, CASE WHEN coalesce(len(kept), 0) <= 1 THEN 1 ELSE len(kept) END AS boxes, CASE WHEN coalesce(len(kept), 0) <= 1 THEN hi - lo ELSE list_sum(list_transform(kept, lambda x: x[2] - x[1]))::BIGINT END AS width FROM k""")
+def wide_box_split(spark, d):
+    """A wide box cut at gaps of ink: segments of at least 8 columns; the whole box if fewer than two are left."""
+    x = table(spark, d, "lineitem").select("l_orderkey", (c("l_partkey") % 200).alias("x")).distinct()
+    order = Window.partitionBy("l_orderkey").orderBy("x")
+    parts = x.withColumn("gap", F.coalesce((c("x") - F.lag("x").over(order) > 15).cast("long"), F.lit(1))).withColumn("island", F.sum("gap").over(order)).groupBy("l_orderkey", "island").agg(F.min("x").alias("a"), (F.max("x") + 1).alias("b"))
+    wide = c("b") - c("a") >= 8
+    per = parts.groupBy("l_orderkey").agg(F.count_if(wide).alias("n"), F.sum(F.when(wide, c("b") - c("a"))).alias("kept"), (F.max("b") - F.min("a")).alias("whole"))
+    return per.select("l_orderkey", F.when(c("n") <= 1, F.lit(1)).otherwise(c("n")).cast("long").alias("boxes"), F.when(c("n") <= 1, c("whole")).otherwise(c("kept")).alias("width"))
+
+
+@query("""
+WITH w AS (SELECT o_orderkey, o_custkey, o_totalprice, [x FOR x IN [o_custkey % 7, o_custkey % 11, o_custkey % 13] IF x > 0] AS l, [x FOR x IN [o_orderkey % 5, o_orderkey % 9] IF x > 0] AS r FROM orders)
+SELECT o_orderkey, CASE WHEN len(l) > 0 AND len(r) > 0 THEN list_median(l)::DOUBLE END AS left_width, CASE WHEN len(l) > 0 AND len(r) > 0 THEN list_median(r)::DOUBLE END AS right_width FROM w""")
+def border_median(spark, d):
+    """The median of the widths that were found on each side; null for all where a side has none."""
+    found = lambda *x: F.array_sort(F.filter(F.array(*x), lambda v: v > 0))
+    middle = lambda x: (F.get(x, F.floor((F.size(x) - 1) / 2).cast("int")) + F.get(x, F.floor(F.size(x) / 2).cast("int"))) / 2
+    k, o = c("o_custkey"), c("o_orderkey")
+    sides = table(spark, d, "orders").select("o_orderkey", found(k % 7, k % 11, k % 13).alias("l"), found(o % 5, o % 9).alias("r"))
+    both = (F.size("l") > 0) & (F.size("r") > 0)
+    return sides.select("o_orderkey", F.when(both, middle(c("l"))).alias("left_width"), F.when(both, middle(c("r"))).alias("right_width"))
+
+
+@query("""
+SELECT p_type AS family, count(*) AS total, count(*) FILTER (WHERE p_size <= 25) AS hits, round(100.0 * count(*) FILTER (WHERE p_size <= 25) / greatest(count(*), 1), 2) AS hit_pct, count(*) FILTER (WHERE n_known AND p_size % 10 = p_partkey % 10) AS number_right
+FROM (SELECT *, p_partkey % 3 <> 0 AS n_known FROM part) GROUP BY p_type""")
+def family_stats(spark, d):
+    """Rows, hits and their share of each template family, and how often a number agrees with the truth where there is one."""
+    hit = c("p_size") <= 25
+    known = table(spark, d, "part").withColumn("truth", F.when(c("p_partkey") % 3 != 0, c("p_partkey") % 10))
+    return known.groupBy(c("p_type").alias("family")).agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(hit).alias("hits"), F.round(100.0 * F.count_if(hit) / F.greatest(F.count(F.lit(1)), F.lit(1)), 2).alias("hit_pct"), F.count_if(c("p_size") % 10 == c("truth")).alias("number_right")
+    )

@@ -59,6 +59,13 @@ def results_csv(spark: SparkSession, kind: str, *paths: str) -> DataFrame:
     return rows.withColumn("confidence", F.coalesce(F.col("confidence").try_cast("double"), F.lit(0.0))) if "confidence" in rows.columns else rows
 
 
+def broken_rows(spark: SparkSession, kind: str, *paths: str) -> DataFrame:
+    """The lines of a results file that don't have the fields of their kind, with what was read of them, and whole as line; results_csv() reads them with nulls."""
+    schema = SCHEMAS[kind] + ", line string"
+    rows = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("columnNameOfCorruptRecord", "line").csv(list(paths))
+    return rows.filter("line IS NOT NULL")
+
+
 def truth_map(rows: DataFrame, value: str) -> DataFrame:
     """filename and value, without blank ones; of rows with one name the last counts, by an ordinal column ord."""
     kept = rows.filter((F.trim("filename") != "") & (F.trim(value) != ""))

@@ -20,6 +20,25 @@ def by_class(df: DataFrame, column: str, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
 
 
+def add_new_classes(df: DataFrame, column: str, path: str) -> None:
+    """by_class() for classes that aren't there yet; those that are stay as they are."""
+    files = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+    if files.exists(df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)):
+        df = df.join(df.sparkSession.read.parquet(path).select(F.col(column).cast(df.schema[column].dataType)).distinct(), column, "left_anti")
+    df.write.mode("append").partitionBy(column).parquet(path)
+
+
+def read_through(cache: DataFrame, wanted: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
+    """The cache with what was wanted, isn't in it and the source has: written as the next cache, it is read instead of the source from then on."""
+    missed = wanted.select(*keys).distinct().join(cache, keys, "left_anti")
+    return cache.unionByName(source.join(missed, keys, "left_semi").select(*cache.columns))
+
+
+def merged_checkpoint(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """old with the rows of new, which win where both have a key."""
+    return old.join(new, key, "left_anti").select(*old.columns).unionByName(new)
+
+
 def _ordered(column: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.StructType):
         fields = sorted(kind.fields, key=lambda f: f.name)
