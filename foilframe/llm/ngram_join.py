@@ -19,8 +19,8 @@ one key may form are kept small on the way:
   that holds more than LIST nodes all the same is counted as frequent;
 * lists of frequent tokens get stars of their own first and are then joined only
   across what is not linked yet, so a group that is linked yields no pair. Lists
-  above a share of all rows, of which there can be GIANTS at most, meet their
-  star by a broadcast and each other block by block, so none lies in one task.
+  above a share of all rows meet their star by a broadcast and each other block
+  by block, so none lies in one task.
 
 No link is lost: every pair that meets a filter is compared in full or lies in
 one component already. Links are joined to components by alternating stars.
@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foilframe.llm.components import components
+from foilframe.llm.components import components, longest, met_by
 from foilframe.llm.staging import PLACE, documents, numbered, small, stage, text_batches
 from foilframe.llm.textblocks import _BASE, hash_words, lean, mix, shingle_sets, slices
 
@@ -56,8 +56,6 @@ _CHUNK = 1 << 16
 FAN = 8
 #: Nodes up to which the list of a rare token is met in one task.
 LIST = 2000
-#: Lists that may be split, at most; a list is if it holds more than one GIANTSth of all rows, and more than LEAST.
-GIANTS, LEAST = 4096, 1024
 _SALT = [np.uint64(0), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)]
 
 
@@ -186,17 +184,6 @@ def described(docs: DataFrame, classes, width: int, percent: int, orders: int) -
     return source.mapInArrow(lean(run), f"place long, doc_id {source.schema['doc_id'].dataType.simpleString()}, n int, node long, prefix array<long>, cold int, firsts array<long>, parity array<long>, others array<array<int>>")
 
 
-def met_by(rows: DataFrame, lists: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """rows joined to lists (keys, count, ...) by keys; long lists, by a broadcast of the few, where their rows are. n: how many rows there are."""
-    long = giants(lists, n)
-    return rows.join(long, keys).unionByName(rows.join(long, keys, "left_anti").join(lists, keys))
-
-
-def giants(lists: DataFrame, rows: int) -> DataFrame:
-    """Those of lists (with their rows in count) that are too long for one task: more than LEAST rows and one GIANTSth of all, so GIANTS at most."""
-    return F.broadcast(lists.filter(F.col("count") > max(LEAST, rows // GIANTS)))  # at most GIANTS rows, as their counts add up to rows
-
-
 def _stars(rows: DataFrame, keys: list[str]) -> DataFrame:
     """a, b: each node with one of those that share its key, the one with the fewest rare tokens. rows: node, cold, keys and root; written.
 
@@ -228,8 +215,8 @@ def _reach(n, pos, percent: int):
     return (n - pos) * (100 + percent) // percent - n
 
 
-def cold_pairs(rows: DataFrame, percent: int, longest: int = LIST) -> DataFrame:
-    """a, b: nodes that share a token which isn't frequent, within each other's reach; and, with b null, the tokens that more than longest nodes share after all."""
+def cold_pairs(rows: DataFrame, percent: int, most: int = LIST) -> DataFrame:
+    """a, b: nodes that share a token which isn't frequent, within each other's reach; and, with b null, the tokens that more than most nodes share after all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] = []
@@ -244,14 +231,14 @@ def cold_pairs(rows: DataFrame, percent: int, longest: int = LIST) -> DataFrame:
             tail = int(np.searchsorted(token, token[-1], side="left")) if len(token) else 0  # the last list may go on
             yield from met([x[:tail] for x in now])
             rest = [x[tail:] for x in now]
-            if len(rest[0]) > longest + 1:  # too long already: what is kept of it says so
-                rest = [x[: longest + 1] for x in rest]
+            if len(rest[0]) > most + 1:  # too long already: what is kept of it says so
+                rest = [x[: most + 1] for x in rest]
         if rest:
             yield from met(rest)
 
     def met(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         found, size = np.unique(part[0], return_counts=True)
-        if len(over := found[size > longest]):
+        if len(over := found[size > most]):
             yield pa.RecordBatch.from_arrays([pa.array(over), pa.nulls(len(over), pa.int64())], names=["a", "b"])
             part = [x[~np.isin(part[0], over)] for x in part]
         token, node, n, pos = part
@@ -302,7 +289,7 @@ def hot_pairs(posted: DataFrame, percent: int) -> DataFrame:
     cross = stage(lists.filter("lo < hi").select("token", "count"), "ngram-cross")
     rows = posted.count()
     split = met_by(posted, cross, ["token"], rows)
-    parts = F.ceil(F.col("count") / max(LEAST, rows // GIANTS)).cast("int")
+    parts = F.ceil(F.col("count") / longest(rows)).cast("int")
     keyed = (
         split.withColumn("reach", F.floor((F.col("n") - F.col("pos")) * (100 + percent) / F.lit(percent)) - F.col("n"))
         .withColumn("block", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
@@ -317,7 +304,8 @@ def hot_pairs(posted: DataFrame, percent: int) -> DataFrame:
 def plausible(pairs: DataFrame, rows: DataFrame, percent: int, orders: int) -> DataFrame:
     """The pairs (written) that share prefix tokens under every other order too and whose parities allow them to reach the threshold."""
     about = ["n", "parity", "others"]
-    known = rows.filter("n > 0").join(small(_ends(pairs)), "node", "left_semi").select("node", *about).dropDuplicates(["node"])
+    # written, so that nothing but the join is done in the tasks that meet a star's many pairs, which Spark then splits
+    known = stage(rows.filter("n > 0").join(small(_ends(pairs)), "node", "left_semi").select("node", *about).dropDuplicates(["node"]), "ngram-known")
     a, b = (known.select(F.col("node").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in about]) for k in "ab")
     meet = F.lit(True)
     for k in range(orders - 1):
@@ -347,7 +335,7 @@ def links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").withColumn("shared", shared).filter(100 * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b")
 
 
-def similarity_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, orders: int = ORDERS, slots: int = SLOTS, longest: int = LIST) -> DataFrame:
+def similarity_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, orders: int = ORDERS, slots: int = SLOTS, most: int = LIST) -> DataFrame:
     """place, doc_id, n_shingles, component_id: the smallest doc_id that links reach. place numbers the rows of docs."""
     docs = numbered(docs)
     table = frequency_classes(docs, width, slots)
@@ -360,7 +348,7 @@ def similarity_components(docs: DataFrame, width: int = WIDTH, percent: int = PE
         good = stage(plausible(pairs, rows, percent, orders), "ngram-pairs")
         return None if good.isEmpty() else stage(links(good, sets_of(docs, rows, _ends(good), width), percent), "ngram-links")
 
-    met = stage(star_pairs(rows).union(cold_pairs(rows, percent, longest)).distinct(), "ngram-met")
+    met = stage(star_pairs(rows).union(cold_pairs(rows, percent, most)).distinct(), "ngram-met")
     edges, roots = linked(met.filter("b IS NOT NULL")), None
 
     def grown(more: DataFrame | None) -> None:

@@ -219,9 +219,9 @@ def test_ngram_join_equals_brute_force(spark, monkeypatch):
         rows.append((10 + k, rng.choice([" ", "\n"]).join(words)))
     want = brute_components(rows)
     docs = frame(spark, [(i, t, "s") for i, t in rows])
-    for slots, longest in ((1 << 16, 3), (1 << 17, 2000)):  # the first with lists that turn out long after all
-        monkeypatch.setattr(ngram_join, "LEAST", longest * 10)  # and with lists that are split
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similarity_components(docs, slots=slots, longest=longest).collect()}
+    for slots, most in ((1 << 16, 3), (1 << 17, 2000)):  # the first with lists that turn out long after all
+        monkeypatch.setattr(components, "LEAST", most * 10)  # and with lists that are split
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similarity_components(docs, slots=slots, most=most).collect()}
         assert got == want
     kept = ngram_join.representatives(docs, slots=1 << 16)
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in want.values()}) and kept.columns == docs.columns
@@ -248,11 +248,26 @@ def test_parity_bounds_differences(spark):
     assert all(m for link, m in may if link) and any(link for link, _ in may) and sum(not m for _, m in may) > 10
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     edges = spark.createDataFrame([(k, k + 1) for k in range(0, 30) if k != 17] + [(40, 40), (5, 6)], "a long, b long")
     got = {r.node: r.root for r in components.components(edges).collect()}
     assert got == {k: 0 if k <= 17 else 18 for k in range(31)}
     assert components.components(edges.limit(0)).count() == 0
+    monkeypatch.setattr(components, "LEAST", 5)  # a hub with more neighbours than one task is left with
+    rng = random.Random(1)
+    pairs = [(0, k) for k in range(1, 60)] + [(100 + rng.randrange(50), 100 + rng.randrange(50)) for _ in range(40)]
+    up = {x: x for p in pairs for x in p if p[0] != p[1]}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        if a != b:
+            lo, hi = sorted((top(a), top(b)))
+            up[hi] = lo
+    assert {r.node: r.root for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()} == {x: top(x) for x in up}
 
 
 def test_rollups(spark, tmp_path):
