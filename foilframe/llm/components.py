@@ -9,6 +9,8 @@ from foilframe.llm.staging import stage
 
 #: Keys that are joined by a broadcast, at most; one is if it holds more than one GIANTSth of all rows, and more than LEAST.
 GIANTS, LEAST = 4096, 1024
+#: Edges above which a node may have more neighbours than one task should meet.
+MANY = 1 << 20
 
 
 def longest(rows: int) -> int:
@@ -31,8 +33,10 @@ def met_by(rows: DataFrame, lists: DataFrame, keys: list[str], n: int) -> DataFr
 def _star(edges: DataFrame, large: bool, n: int) -> DataFrame:
     """One half of a round: every node points its larger (or all other smaller) neighbours and itself at its smallest neighbour. n: edges at most."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
-    low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("count")).withColumn("m", F.least("u", "m"))
-    met = met_by(both, low, ["u"], 2 * n)
+    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    if n > MANY:
+        low = stage(low, "components-low")  # so that nothing but the join is done in the tasks of a hub, which Spark then splits
+    met = both.join(low, "u")
     if large:
         out = met.filter("v > u").select(F.col("m").alias("u"), "v")
     else:
@@ -44,9 +48,8 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of edges (a, b: long); root is the component's smallest node.
 
     Each round is written before the next, so lineage stays short; rounds grow
-    with the logarithm of the components' size. Nodes with very many neighbours
-    are met by a broadcast. Self loops and repeated edges do no harm; an empty
-    table has no nodes.
+    with the logarithm of the components' size. Self loops and repeated edges do
+    no harm; an empty table has no nodes.
     """
     now = stage(edges.filter("a != b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "components")
     mark = None

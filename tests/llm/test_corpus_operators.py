@@ -253,7 +253,7 @@ def test_components(spark, monkeypatch):
     got = {r.node: r.root for r in components.components(edges).collect()}
     assert got == {k: 0 if k <= 17 else 18 for k in range(31)}
     assert components.components(edges.limit(0)).count() == 0
-    monkeypatch.setattr(components, "LEAST", 5)  # a hub with more neighbours than one task is left with
+    monkeypatch.setattr(components, "MANY", 5)
     rng = random.Random(1)
     pairs = [(0, k) for k in range(1, 60)] + [(100 + rng.randrange(50), 100 + rng.randrange(50)) for _ in range(40)]
     up = {x: x for p in pairs for x in p if p[0] != p[1]}
