@@ -46,6 +46,7 @@ BLOCK = 16 << 20
 EM_TOKENS = 1 << 18
 #: Widespread words whose counts are broadcast, at most, and blocks that are looked at to find them.
 COMMON, LOOKED_AT = 100_000, 8
+MOST_PARTITIONS = 50_000
 
 
 def held_out():
@@ -346,8 +347,8 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataFr
             "base_score": pa.array([float(base[t].sum()) for t in tokens], pa.float64()), "score": pa.array([float(s + own[t].sum()) for s, t in zip(scores, tokens)], pa.float64()),
         })
 
-    # three partitions for each block, so that a task gets one or a few, at every size
-    parts = max(1, 3 * known.filter(F.col("class") == END).count())
+    # three partitions for each block, so that a task gets one or a few, up to what one shuffle can have; a task holds one block at a time anyway
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(3 * known.filter(F.col("class") == END).count(), MOST_PARTITIONS))
     left, right = known.repartition(parts, "block"), texts.select("block", "doc_id", "held", "tokens").repartition(parts, "block")
     blocks = left.groupBy("block").cogroup(right.groupBy("block"))
     return blocks.applyInArrow(run, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -110,10 +110,13 @@ def frequency_classes(docs: DataFrame, width: int = WIDTH, slots: int = SLOTS) -
     total = np.zeros((chunks, _CHUNK), dtype=np.uint32)
     for r in parts.toLocalIterator():  # the sketch: slots counters
         total[r["chunk"]] = np.frombuffer(r["counts"], dtype=np.uint32)
-    flat = total.ravel().astype(np.float64)
-    mean = flat.mean()
-    over = flat - mean
-    return np.where(over > 2 * np.sqrt(mean) + 4, np.minimum(np.log2(np.maximum(over, 1)).astype(np.int64), 31), 0).astype(np.uint8)
+    mean = float(total.mean())
+    least = 2 * np.sqrt(mean) + 4
+    out = np.zeros((chunks, _CHUNK), dtype=np.uint8)
+    for k in range(chunks):  # part by part, to keep the driver's arrays small
+        over = total[k] - mean
+        out[k] = np.where(over > least, np.minimum(np.log2(np.maximum(over, 1)).astype(np.int64), 31), 0)
+    return out.ravel()
 
 
 def _ranks(tokens: np.ndarray, classes: np.ndarray, order: int) -> np.ndarray:
