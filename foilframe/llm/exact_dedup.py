@@ -100,10 +100,14 @@ class Store:
             for k, v in before.items():
                 spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
+    def batches(self) -> list[str]:
+        """The folders of the batches that were written, from storage."""
+        every = [f"{self.path}/states/{x}" for x in listed(self.spark, f"{self.path}/states") if x.startswith("batch=")]
+        return [x for x in every if "_SUCCESS" in listed(self.spark, x)]
+
     def states(self) -> DataFrame:
-        """digest, keep, group_size: the last state of each digest. What batches there are is read from storage."""
-        batches = [f"{self.path}/states/{x}" for x in listed(self.spark, f"{self.path}/states") if x.startswith("batch=")]
-        found = [x for x in batches if "_SUCCESS" in listed(self.spark, x)]
+        """digest, keep, group_size: the last state of each digest."""
+        found = self.batches()
         every = self.spark.read.option("basePath", f"{self.path}/states").parquet(*found)
         if len(found) == 1:
             return every.drop("batch")
@@ -140,7 +144,8 @@ def deliver(store: Store, docs: DataFrame, number: int = 0, digest: Callable[[Co
     states = store.states()
     if number:  # of a later delivery, the states that it touches
         states = states.join(rows.select("digest").distinct(), "digest", "left_semi")
-    states = stage(states, "dedup-states")
+    if number or len(store.batches()) > 1:  # else they are a written table as they are
+        states = stage(states, "dedup-states")
 
     # a group of one needs no comparison; of larger ones every row is held against the row kept
     shared = states.filter("group_size > 1")
