@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from foilframe.llm.staging import documents
 from foilframe.llm.textblocks import give_back
 
-#: About how many bytes each of a worker's three memories may take; beyond that, and with each partition, it starts afresh. A matter of speed only.
-MEMO_BYTES = 24 << 20
+#: About how many bytes the generations of a worker's memories of texts may take, and its memory of seams. A matter of speed only.
+MEMO_BYTES = 32 << 20
 _ENTRY, _SEAM = 200, 160  # what the interpreter spends on an entry beside its text and ids
 SLICE = 200_000
 #: The pattern of the byte_bpe vocabularies.
@@ -47,24 +47,33 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 
 
 class _Memo(dict):
-    """Text -> its ids as little-endian 32-bit integers, made on first sight and kept while there is room."""
+    """Text -> its ids as little-endian 32-bit integers, made on first sight and kept in two generations.
+
+    When the younger one has MEMO_BYTES it becomes the older, which is dropped; what
+    is met again moves to the younger. So common texts stay, and both together
+    take twice MEMO_BYTES at most.
+    """
 
     def __init__(self, make: Callable[[str], bytes]):
         super().__init__()
-        self.make, self.room = make, MEMO_BYTES
+        self.make, self.room, self.older = make, MEMO_BYTES, {}
 
     def __missing__(self, text: str) -> bytes:
-        found = self.make(text)
+        found = self.older.get(text)
+        if found is None:
+            found = self.make(text)
         if len(text) <= 48:
             self.room -= _ENTRY + 4 * len(text) + len(found)
             if self.room < 0:
+                older = dict(self)
                 self.forget()
+                self.older = older
             self[text] = found
         return found
 
     def forget(self) -> None:
         self.clear()
-        self.room = MEMO_BYTES
+        self.room, self.older = MEMO_BYTES, {}
 
 
 class Codec:
@@ -86,8 +95,8 @@ class Codec:
         self.seams: dict[tuple[int, int], bool] = {}
         self.shorter: dict[int, int] = {}
         self.spines: dict[tuple[int, int], list[int]] = {}
-        self.pieces = _Memo(lambda piece: array("I", self.encode_piece(piece.encode("utf-8"))).tobytes())
-        self.spaced = _Memo(lambda rest: self._slowly(" " + rest))
+        self.pieces = _Memo(self._ids)
+        self.spaced = _Memo(self._after_space)
         #: Only for patterns in which a space begins a piece wherever text stands before or after it.
         self.by_space = pattern == SPACE_LED
 
@@ -184,6 +193,14 @@ class Codec:
                 last = out[-1] if out else -1
         return out
 
+    def _ids(self, piece: str) -> bytes:
+        return array("I", self.encode_piece(piece.encode("utf-8"))).tobytes()
+
+    def _after_space(self, rest: str) -> bytes:
+        """The ids of a space and what stands up to the next; what is one piece isn't remembered as a piece too."""
+        found = self.pattern.findall(" " + rest)
+        return self._ids(found[0]) if len(found) == 1 else b"".join(map(self.pieces.__getitem__, found))
+
     def _slowly(self, text: str) -> bytes:
         if len(text) < 1 << 20:
             return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
@@ -214,7 +231,7 @@ _codecs: dict[tuple[str, str], Codec] = {}
 
 @contextmanager
 def _codec(data: bytes, pattern: str) -> Iterator[Codec]:
-    """The worker's codec for a vocabulary, whose memory of texts ends with the block."""
+    """The worker's codec for a vocabulary. It stays with the worker, so what its memories take is bounded."""
     key = (hashlib.sha256(data).hexdigest(), pattern)
     if key not in _codecs:
         _codecs.clear()  # one vocabulary at a time
@@ -222,7 +239,6 @@ def _codec(data: bytes, pattern: str) -> Iterator[Codec]:
     try:
         yield _codecs[key]
     finally:
-        _codecs[key].forget()
         give_back()
 
 
