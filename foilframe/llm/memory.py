@@ -1,0 +1,31 @@
+"""What a Python worker remembers of words, within a bound of bytes."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+
+class Memory(dict):
+    """Word -> what make gives for it, kept in two generations of at most room bytes each.
+
+    When the younger generation is full it becomes the older one, which is
+    dropped; what is met again moves to the younger. Words above longest
+    characters aren't kept. weight: about how many bytes a value takes.
+    """
+
+    def __init__(self, make: Callable, room: int, weight: Callable[[object], int] = len, longest: int = 64):
+        super().__init__()
+        self.make, self.size, self.room, self.weight, self.longest, self.older = make, room, room, weight, longest, {}
+
+    def __missing__(self, word: str):
+        found = self.older.get(word)
+        if found is None:
+            found = self.make(word)
+        if len(word) <= self.longest:
+            self.room -= 200 + 2 * len(word) + self.weight(found)  # 200: what the interpreter spends on an entry
+            if self.room < 0:
+                self.older = dict(self)
+                self.clear()
+                self.room = self.size
+            self[word] = found
+        return found
