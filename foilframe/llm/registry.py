@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foilframe.llm import bpe, exact_dedup, hmm, merkle, mixing, ngram_join, packing, pseudonyms, quality, sharding, token_rollups
+from foilframe.llm import bpe, exact_dedup, hmm, merkle, mixing, ngram_join, packing, pseudonyms, quality, sharding, token_rollups, whitening
 
 QUERIES = {
     "op1_feistel_pseudonyms": pseudonyms.op1_feistel_pseudonyms,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op12_pack": packing.op12_pack,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 ORACLE_SQL = {**token_rollups.ORACLE, **exact_dedup.ORACLE}
