@@ -37,71 +37,80 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foilframe.llm.memory import Memory
 from foilframe.llm.staging import documents, small, stage, text_batches
 from foilframe.llm.textblocks import give_back, slices
 
 SIZE = 4096
 #: A pack may lack this part of SIZE before it is dissolved.
 SLACK = 1 / 128
-#: Bytes of a worker's memory of words for each of its two generations; a matter of speed only.
-WORDS_ROOM = 80 << 20
 END = 2
 
-#: The parts of the word_bpe vocabulary's definition that allow a text to be encoded word by word.
+#: The parts of the word_bpe vocabulary's definition that allow its pieces to be found and merged one by one.
 WORD_RULE = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
     "pattern": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+",
+    "word_end": "</w>",
 }
-#: Characters that are in normal form, have one lower case and belong to the same classes in any library.
-_PLAIN = re.compile("[\\x21-\\x7e\\xa1-\\u012f\\u0131-\\u024f]*")
-_LONG = 1 << 16
+#: Texts of these characters are in normal form, have one lower case, and their letters and digits are those of any library.
+_PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e\\xa1-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\\u012f\\u0131-\\u024f]*")
+_PLAIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+_LONG = 1 << 20
 
 
 class Encoder:
-    """Texts to ids by a vocabulary file of the tokenizers library; strings of special tokens are plain text."""
+    """Texts to ids by a vocabulary file of the tokenizers library; strings of special tokens are plain text.
+
+    Texts of common scripts, under WORD_RULE, are merged by tiktoken, several times
+    as fast: a piece is followed by a space, which no piece contains, in place of
+    its word end, so that a last byte and its word end are merged before anything
+    else. The library itself reads all others.
+    """
 
     def __init__(self, definition: str):
         import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
         parts = json.loads(definition)
-        first = ((parts.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
-        self.by_word = parts.get("normalizer") == WORD_RULE["normalizer"] and first.get("pattern") == {"Regex": WORD_RULE["pattern"]} and first.get("behavior") == "Removed"
-        self.split = regex.compile(WORD_RULE["pattern"]).findall
-        # a letter before a plain character that is none: neither a piece nor a composed character crosses there
-        self.seam = regex.compile(r"(?<=\p{L})(?=[\x00-\x40\x5b-\x60\x7b-\x7f])")
-        self.pieces = Memory(self._encoded, WORDS_ROOM // 2)
-        self.words = Memory(self._word, WORDS_ROOM)
-
-    def _encoded(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _word(self, word: str) -> bytes:
-        if _PLAIN.fullmatch(word):
-            if len(word) <= 64:
-                return b"".join(map(self.pieces.__getitem__, self.split(word.lower())))
-        if len(word) <= _LONG:
-            return self._encoded(word)
-        out, at = [], 0
-        while at < len(word):
-            cut = self.seam.search(word, at + _LONG)
-            out.append(self._encoded(word[at : cut.start() if cut else len(word)]))
-            at = cut.start() if cut else len(word)
-        return b"".join(out)
+        first, model = ((parts.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0], parts["model"]
+        # a space, or a letter before a plain character that is none: neither a piece nor a composed character crosses there
+        self.seam = regex.compile(r"(?= )|(?<=\p{L})(?=[\x00-\x40\x5b-\x60\x7b-\x7f])")
+        self.fast = None
+        if parts.get("normalizer") == WORD_RULE["normalizer"] and first.get("pattern") == {"Regex": WORD_RULE["pattern"]} and first.get("behavior") == "Removed" and model.get("end_of_word_suffix") == WORD_RULE["word_end"]:
+            printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the byte-level alphabet
+            byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(sorted({*range(256)} - {*printable}))}
+            merged = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+            special = {t["content"] for t in parts["added_tokens"]}
+            if all(model["vocab"]["".join(m)] == 512 + k for k, m in enumerate(merged)):  # ids are ranks, and both forms of the bytes come first
+                ranks = {bytes(byte_of[c] for c in t.removesuffix("</w>")) + b" " * t.endswith("</w>"): i for t, i in model["vocab"].items() if t not in special}
+                self.fast = tiktoken.Encoding("own", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+
+    def _ids(self, text: str) -> bytes:
+        if not self.fast or not _PLAIN.fullmatch(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        found = _PLAIN_PIECES.findall(text.lower())
+        return self.fast(" ".join(found) + " ", disallowed_special=()).astype("<u4").tobytes() if found else b""
 
     def __call__(self, text: str) -> bytes:
-        """The ids of a whole text as little-endian 32-bit integers. White space ends a piece, so words stand for themselves."""
-        return b"".join(map(self.words.__getitem__, text.split(" "))) if self.by_word else self._encoded(text)
+        """The ids of a whole text as little-endian 32-bit integers; a very long one is cut at seams."""
+        if len(text) <= _LONG or not self.fast:
+            return self._ids(text)
+        out, at = [], 0
+        while at < len(text):
+            cut = self.seam.search(text, at + _LONG)
+            to = cut.start() if cut else len(text)
+            out.append(self._ids(text[at:to]))
+            at = to
+        return b"".join(out)
 
 
 _encoders: dict[int, Encoder] = {}
 
 
 def _encoder(definition: str) -> Encoder:
-    """The worker's encoder of one vocabulary; it stays with the worker, its memories are bounded."""
+    """The worker's encoder of one vocabulary; it stays with the worker."""
     key = zlib.crc32(definition.encode())
     if key not in _encoders:
         _encoders.clear()

@@ -53,7 +53,7 @@ def checked(rows, expected, size):
     return sum(size - n for n in lengths if n & (n - 1)), sum(lengths)
 
 
-WORDS = ["a", "É", "Straße's", "it's", "x" * 70, "１２", "42nd", "--", "<|endoftext|>", "日本語", "é", "́", "ﬁ", "Σ", "ΟΔΟΣ", "İ", "ŉ", "\n", "\t.", " b", "\x1cq", "", "don'T", "'", "ªº²"]
+WORDS = ["a", "É", "Straße's", "it's", "x" * 70, "１２", "42nd", "--", "<|endoftext|>", "日本語", "é", "́", "ﬁ", "Σ", "ΟΔΟΣ", "İ", "ŉ", "\n", "\t.", " b", "\x1cq", "", "don'T", "'", "ªº²", "“so”…", "ЁЖик", "漢字と", "한글", "½", "ǅ", "a_b"]
 
 
 def test_encoder_equals_library(plain, encode):
@@ -65,10 +65,18 @@ def test_encoder_equals_library(plain, encode):
     same()
 
 
+def test_each_token_is_what_its_own_text_gives(plain, encode):
+    vocabulary = Tokenizer.from_file(PATH).get_vocab()
+    assert encode.fast
+    for text, i in list(vocabulary.items())[::7]:
+        if text.endswith("</w>") and text[:-4].isascii() and text[:-4].isalnum():
+            assert np.frombuffer(encode(text[:-4]), "<u4").tolist() == plain(text[:-4])
+
+
 def test_long_words_are_cut_at_seams(plain, encode, monkeypatch):
     monkeypatch.setattr(packing, "_LONG", 10)
     for word in ("ab1,c'té" * 40, "x" * 300, "éf" * 50, "a-b_" * 60):
-        assert np.frombuffer(encode._word(word), "<u4").tolist() == plain(word)
+        assert np.frombuffer(encode(word), "<u4").tolist() == plain(word)
 
 
 @pytest.mark.parametrize("size", [16, 64])
