@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foilframe.llm import bpe, exact_dedup, hmm, merkle, mixing, ngram_join, packing, pseudonyms, quality, sharding, token_rollups, whitening
+from foilframe.llm import alignment, bpe, exact_dedup, hmm, merkle, mixing, ngram_join, packing, pseudonyms, quality, sharding, token_rollups, whitening
 
 QUERIES = {
     "op1_feistel_pseudonyms": pseudonyms.op1_feistel_pseudonyms,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_rollups": token_rollups.op8_token_rollups,
     "op9_quality": quality.op9_quality,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_alignment": alignment.op11_alignment,
     "op12_pack": packing.op12_pack,
     "op13_whitening": whitening.op13_whitening,
 }
