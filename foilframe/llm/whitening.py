@@ -49,6 +49,8 @@ STALLED = 1e-12
 ROUNDS = 200
 NO_VARIANCE = 1e-10
 BLOCK_BYTES = 2 << 20
+#: Sums of tasks that the driver adds up itself.
+DIRECT = 64
 
 
 def steps_of(vector: Column) -> Column:
@@ -82,6 +84,7 @@ class FitList:
 
         self.d = d
         self.blocks = stage(rows.select("x").distinct().mapInArrow(lean(blocks), "block binary"), "whitening-fit")
+        self.n_blocks = self.blocks.count()
         self.n, self.sums = self._exact_sums()
         self.whole, self.part = (np.array(c) for c in zip(*[divmod(s, self.n) for s in self.sums]))  # the mean is whole + part / n
         self.part_of_n = np.array([int(p) / self.n for p in self.part])
@@ -105,20 +108,32 @@ class FitList:
         return sums[d], [sums[k] for k in range(d)]
 
     def added(self, part: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
-        """The sum over all blocks of what part gives for the centred rows of each, an array of size numbers."""
+        """The sum over all blocks of what part gives for the centred rows of each, an array of size numbers.
+
+        Of more than DIRECT tasks the sums are added up in the root of as many
+        tasks first, so that the driver gets few of them at any size.
+        """
         d, whole, rest = self.d, self.whole, self.part_of_n
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(size)
+        def sums(batches: Iterator[pa.RecordBatch], of: Callable[[pa.Scalar], np.ndarray]) -> Iterator[pa.RecordBatch]:
+            total, any_ = np.zeros(size), False
             for batch in batches:
-                for block in batch.column(0):
-                    total += part((np.frombuffer(block.as_py(), "<i8").reshape(-1, d) - whole) - rest)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size), pa.int32()), pa.array(total)], names=["k", "v"])
-
-        out = np.zeros(size)
-        for k, v in self.blocks.mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():  # size rows
-            out[k] = v
-        return out
+                for x in batch.column(0):
+                    total += of(x)
+                    any_ = True
+            if any_:
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
+
+        def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return sums(batches, lambda x: part((np.frombuffer(x.as_buffer(), "<i8").reshape(-1, d) - whole) - rest))
+
+        def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return sums(batches, lambda x: np.frombuffer(x.as_buffer()))
+
+        found = self.blocks.mapInArrow(first, "v binary")
+        if self.n_blocks > DIRECT:  # no more tasks than blocks have any
+            found = found.repartition(math.isqrt(self.n_blocks)).mapInArrow(again, "v binary")
+        return sum((np.frombuffer(r["v"]) for r in found.collect()), np.zeros(size))
 
     def product(self, vectors: np.ndarray) -> np.ndarray:
         """The covariance times some vectors, given as columns: one pass."""
