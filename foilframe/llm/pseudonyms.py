@@ -261,12 +261,34 @@ KINDS: dict[str, tuple[str, Callable[[re.Match, Feistel, bool], str | None]]] =
 _PATTERNS = {k: re.compile(p) for k, (p, _) in KINDS.items()}
 
 
+_DIGIT, _NAMED = re.compile(r"\d"), re.compile("[:=]")
+#: What a text must hold for a value of the kind; a digit for those that aren't named.
+_NEEDED = {"mail": re.compile("@"), "secret": _NAMED}
+_MAIL_END = re.compile(r"@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+")
+_MAIL_NAME = re.compile(r"[\w.+\-]")
+
+
+def _mail_from(text: str, at: int) -> re.Match | None:
+    """The first address from a place on, found from its sign backwards: every character is looked at a bounded number of times."""
+    while end := _MAIL_END.search(text, at):
+        start = end.start()
+        while start > at and _MAIL_NAME.match(text, start - 1):
+            start -= 1
+        if start < end.start():
+            return _PATTERNS["mail"].match(text, start, end.end())
+        at = end.start() + 1
+    return None
+
+
 def pseudonymise(text: str, f: Feistel, kinds: tuple[str, ...] = tuple(KINDS), invert: bool = False) -> tuple[str, list[dict]]:
     """The text with its values replaced, and where they now stand. Earlier kinds win where two overlap."""
     taken: list[tuple[int, int, str, str]] = []  # in order, none overlaps another
     for kind in kinds:
         at, own = 0, []
-        while longest := _PATTERNS[kind].search(text, at):
+        if not _NEEDED.get(kind, _DIGIT).search(text):
+            continue
+        search = _mail_from if kind == "mail" else _PATTERNS[kind].search
+        while longest := search(text, at):
             at = longest.start() + 1 if kind == "iban" else longest.end()
             for m in iban_tries(longest) if kind == "iban" else (longest,):
                 if _overlaps(taken, m.start(), m.end()):
