@@ -8,9 +8,10 @@ largest units first.
 Units are of bounded number whatever the size of the data: groups over 1/SLICES
 of a shard in any dimension stand alone (at most 3 * shards * SLICES of them
 exist), all lighter groups are hashed into BUCKETS buckets that are packed whole,
-so a bucket is about a 500th of a shard and the balance as fine as that. Only a
-group with more bytes than a whole shard is split by row, into pieces of about
-1/SLICES of one, since no shard could hold it and stay as large as the others.
+so a bucket is at most a 64th of a shard (a 500th with eight of them) and the
+balance as fine as that. Only a group with more bytes than a whole shard is split
+by the places of its rows, into pieces of about 1/SLICES of one, since no shard
+could hold it and stay as large as the others.
 
 Slots number the rows of a shard from 0: rows are sorted by shard within the files
 of a written table, so a slot is the count before that file plus the place within
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 from foilframe.llm.staging import PLACE, ROW_BITS, documents, local_table, numbered, small, stage, text_or_empty
 
 SLICES = 64
-BUCKETS = 4096
+#: Buckets of light groups, at least; with many shards there are BUCKETS_EACH for each.
+BUCKETS, BUCKETS_EACH = 4096, 64
 #: How much bytes, tokens and rows count: bytes most, as the law is that they are near equal.
 LAW = (8.0, 1.0, 1.0)
 
@@ -76,9 +78,10 @@ def measured(docs: DataFrame) -> DataFrame:
     )
 
 
-def assign(docs: DataFrame, shards: int = 8, slices: int = SLICES, buckets: int = BUCKETS) -> DataFrame:
+def assign(docs: DataFrame, shards: int = 8, slices: int = SLICES, buckets: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, tokens, shard, slot."""
     spark = docs.sparkSession
+    buckets = buckets or max(BUCKETS, BUCKETS_EACH * shards)
     rows = stage(measured(docs), "shard-rows")
     groups = rows.groupBy("grp").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
     groups = stage(groups, "shard-groups")
@@ -88,8 +91,8 @@ def assign(docs: DataFrame, shards: int = 8, slices: int = SLICES, buckets: int
     weight = {k: F.col(k) / float(total[k] or 1) * shards for k in ("size", "tokens", "n")}
     # at most 3 * shards * slices rows, as their weights add up to the shards in each dimension
     heavy = groups.filter(F.greatest(*weight.values()) * slices > 1).select("grp", F.when(weight["size"] > 1, F.ceil(weight["size"] * slices)).otherwise(1).cast("int").alias("pieces"))
-    piece = F.pmod(F.xxhash64("doc_id", "grp", F.lit("piece")), F.col("pieces")).cast("int")
-    units = rows.join(F.broadcast(heavy), "grp", "left").withColumns({
+    piece = F.pmod(F.xxhash64(PLACE), F.col("pieces")).cast("int")  # rows that are equal in every column have places of their own
+    units = numbered(rows).join(small(heavy), "grp", "left").withColumns({
         "a": F.when(F.col("pieces").isNull(), F.pmod(F.xxhash64("grp"), F.lit(buckets))).otherwise(F.col("grp")),
         "b": F.when(F.col("pieces").isNull(), F.lit(-1)).otherwise(piece),
     })
