@@ -26,6 +26,7 @@ operator.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from urllib.parse import unquote
 
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from foilframe.llm.staging import PLACE, ROW_BITS, as_files, documents, file_paths, listed, local_table, new_path, numbered, stage, text_or_empty
+from foilframe.llm.staging import PLACE, ROW_BITS, as_files, documents, file_paths, listed, local_table, moved, new_path, numbered, stage, text_or_empty
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: RocksDB would set aside megabytes of disk for the log of each of many small stores.
@@ -64,7 +65,7 @@ def _first() -> Column:
 
 
 class Store:
-    """The folder of one stream of deliveries: keys/ by delivery, query/ with the state, states/ by batch, files/ with paths by delivery."""
+    """The folder of one stream of deliveries: keys/ by delivery, each put there by one rename, query/ with the state, states/ by batch, files/ with paths by delivery."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -74,7 +75,9 @@ class Store:
         path = f"{self.path}/keys/delivery={int(number)}"
         if "_SUCCESS" not in listed(self.spark, path):
             local_table(self.spark, [(p, k) for k, p in enumerate(paths)], "path string, file long").write.mode("overwrite").parquet(f"{self.path}/files/delivery={int(number)}")
-            keyed(docs, digest).write.mode("overwrite").parquet(path)
+            beside = f"{self.path}/incoming/{uuid.uuid4().hex}"  # the stream must not meet files of a write that breaks off
+            keyed(docs, digest).write.parquet(beside)
+            moved(self.spark, beside, path)
         return self.spark.read.schema(_ddl(keyed(docs, digest))).parquet(path).withColumn("delivery", F.lit(int(number)))
 
     def run(self, max_files_per_batch: int | None = None) -> None:

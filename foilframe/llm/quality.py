@@ -199,7 +199,9 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> For
     """Fits on at most max_train labelled rows outside the held-out fold, chosen by hash of their id."""
     usable = labels.select("doc_id", F.col("quality").cast("int").alias("label")).filter("label in (0, 1) and doc_id is not null").filter(~held_out(F.col("doc_id")))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_train)
-    found = describe(docs.join(F.broadcast(sample), "doc_id"), "text", ["doc_id", "label"]).collect()  # at most max_train labels
+    # sample has at most max_train rows; an id that repeats in docs may give more, of which max_train are taken
+    met = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    found = describe(met, "text", ["doc_id", "label"]).orderBy(F.xxhash64("doc_id"), "doc_id", "label", "x").limit(max_train).collect()
     found.sort(key=lambda r: (r["doc_id"], r["label"], r["x"]))
     return fit(np.array([r["x"] for r in found]).reshape(-1, len(FEATURES)), np.array([r["label"] for r in found], dtype=np.float64))
 

@@ -87,6 +87,16 @@ def listed(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in files.listStatus(place)) if files.exists(place) else []
 
 
+def moved(spark: SparkSession, path: str, to: str) -> None:
+    """Puts a written folder in place by one rename; what an earlier attempt left there goes."""
+    old, files = _at(spark, path)
+    new, _ = _at(spark, to)
+    files.mkdirs(new.getParent())
+    files.delete(new, True)
+    if not files.rename(old, new):
+        raise OSError(f"{path} can't be moved to {to}")
+
+
 def read_small(spark: SparkSession, path: str) -> str | None:
     """A small text file of the shared storage, or None where there is none."""
     place, files = _at(spark, path)
@@ -148,7 +158,8 @@ def free(name: str, columns: list[str]) -> str:
     return name
 
 
-PLACE = "__row_place"
+#: The column of row numbers; made anew for each driver, so that no table has it already.
+PLACE = f"__row_place_{uuid.uuid4().hex}"
 ROW_BITS = 40
 
 
@@ -175,6 +186,7 @@ def numbered(docs: DataFrame, numbers: dict[str, int] | None = None) -> DataFram
     docs = as_files(docs)
     meta = docs.metadataColumn("_metadata")
     numbers = numbers or {p: k for k, p in enumerate(file_paths(docs))}
-    files = local_table(docs.sparkSession, list(numbers.items()), "__file string, __file_number long")
-    placed = docs.withColumns({"__file": meta["file_path"], PLACE: meta["row_index"]}).join(F.broadcast(files), "__file")  # one row for each file
-    return placed.withColumn(PLACE, F.shiftleft("__file_number", ROW_BITS) + F.col(PLACE)).select(*docs.columns, PLACE)
+    path, number = free("__file", docs.columns), free("__file_number", docs.columns)
+    files = local_table(docs.sparkSession, list(numbers.items()), f"{path} string, {number} long")  # one row for each file
+    placed = docs.withColumns({path: meta["file_path"], PLACE: meta["row_index"]}).join(F.broadcast(files) if len(numbers) <= BROADCAST_ROWS else files, path)
+    return placed.withColumn(PLACE, F.shiftleft(number, ROW_BITS) + F.col(PLACE)).select(*docs.columns, PLACE)
