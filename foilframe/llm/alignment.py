@@ -29,6 +29,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,8 @@ FAN = 8
 FREQUENT = 1 << 20
 #: Linked ids of which the different ones are kept at a time while documents are counted.
 COUNTED = 1 << 21
+#: Files of the tables of pairs, whose rows are bounded by the sizes of the vocabularies.
+FILES = 48
 
 #: Places where no token of A crosses, and the pattern that splits text before its merges.
 _A_SEAM = r"(?<=\p{L})(?=[^\p{L}\p{M}])|(?<=\p{N})(?=[^\p{N}\p{M}])|(?<=[^\s\x1c-\x1f])(?=[ \n])"
@@ -108,47 +111,67 @@ def _names(most: int, sign: str) -> np.ndarray:
 
 
 class Pair:
-    """Two vocabularies."""
+    """Two vocabularies. The libraries are loaded where texts are first encoded; composing needs none of them."""
 
     def __init__(self, a_definition: str, b_model: bytes):
         import regex
-        import sentencepiece
-        import tiktoken
         from sentencepiece import sentencepiece_model_pb2
-        from tokenizers import Tokenizer
 
-        parts = json.loads(a_definition)
-        vocabulary = parts["model"]["vocab"]
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the byte-level alphabet
-        byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(sorted({*range(256)} - {*printable}))}
+        self.a_definition, self.parts_of_a = a_definition, json.loads(a_definition)
+        vocabulary = self.parts_of_a["model"]["vocab"]
         most = max(vocabulary.values()) + 1
         self.a_length = np.zeros(most, dtype=np.int64)
         for t, i in vocabulary.items():
             self.a_length[i] = len(t)
-        self.slow = Tokenizer.from_str(a_definition)
-        self.slow.encode_special_tokens = True
-        self.fast = None
-        merged = [m if isinstance(m, list) else m.split(" ") for m in parts["model"]["merges"]]
-        if parts["pre_tokenizer"]["type"] == "ByteLevel" and not parts["normalizer"] and all(vocabulary["".join(m)] == 256 + k for k, m in enumerate(merged)):
-            ranks = {bytes(byte_of[c] for c in t): i for t, i in vocabulary.items() if set(t) <= byte_of.keys()}
-            self.fast = tiktoken.Encoding("own", pat_str=_A_PATTERN, mergeable_ranks=ranks, special_tokens={})  # ids are ranks: the same merges, sooner
-        model = sentencepiece_model_pb2.ModelProto()
-        model.ParseFromString(b_model)
-        model.normalizer_spec.add_dummy_prefix = False  # texts come with their space
-        self.b_ids = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString()).encode
-        self.b_bytes = [bytes([int(p.piece[3:5], 16)]) if p.type == p.BYTE else p.piece.replace("▁", " ").encode() for p in model.pieces]
+        self.model = sentencepiece_model_pb2.ModelProto()
+        self.model.ParseFromString(b_model)
+        self.model.normalizer_spec.add_dummy_prefix = False  # texts come with their space
+        pieces = self.model.pieces
+        self.b_bytes = [bytes([int(p.piece[3:5], 16)]) if p.type == p.BYTE else p.piece.replace("▁", " ").encode() for p in pieces]
         self.b_length = np.array(list(map(len, self.b_bytes)))
         #: Adjacent characters within a piece: B may be cut between any others.
-        self.joined = {p.piece[k : k + 2] for p in model.pieces if p.type != p.BYTE for k in range(len(p.piece) - 1)}
-        self.width = len(model.pieces)
+        self.joined = {p.piece[k : k + 2] for p in pieces if p.type != p.BYTE for k in range(len(p.piece) - 1)}
+        self.width = len(pieces)
         #: Codes are an A id times B's size plus a B id.
         self.kind = "<u4" if most * self.width < 1 << 32 else "<u8"
         self.a_seam = regex.compile(_A_SEAM)
         self.a_names, self.b_names = [_names(most, c) for c in ",|"], [_names(self.width, c) for c in ",;"]
         self.name_type = max((x.dtype for x in (*self.a_names, *self.b_names)), key=lambda t: t.itemsize)
 
+    @cached_property
+    def fast(self):
+        """tiktoken over A where its ids are ranks, which gives the same merges sooner; else None."""
+        import tiktoken
+
+        parts = self.parts_of_a
+        vocabulary = parts["model"]["vocab"]
+        merged = (m if isinstance(m, list) else m.split(" ") for m in parts["model"]["merges"])
+        if parts["pre_tokenizer"]["type"] != "ByteLevel" or parts["normalizer"] or not all(vocabulary["".join(m)] == 256 + k for k, m in enumerate(merged)):
+            return None
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the byte-level alphabet
+        byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(sorted({*range(256)} - {*printable}))}
+        ranks = {bytes(byte_of[c] for c in t): i for t, i in vocabulary.items() if set(t) <= byte_of.keys()}
+        self.parts_of_a = None
+        return tiktoken.Encoding("own", pat_str=_A_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    @cached_property
+    def slow(self):
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_str(self.a_definition)
+        found.encode_special_tokens = True
+        return found
+
+    @cached_property
+    def b_ids(self):
+        import sentencepiece
+
+        found = sentencepiece.SentencePieceProcessor(model_proto=self.model.SerializeToString())
+        self.model = None
+        return found.encode
+
     def a_ids(self, text: str) -> np.ndarray:
-        if self.fast and len(text) <= 8 * PART:  # its pattern overflows on endless runs
+        if len(text) <= 8 * PART and self.fast:  # its pattern overflows on endless runs
             return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype=np.int64)
 
@@ -393,11 +416,12 @@ def pair_counts(rows: DataFrame, width: int, kind: str) -> DataFrame:
         held.clear()
         give_back()
 
-    counts = stage(rows.select("codes").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "alignment-counts")
+    summed = rows.select("codes").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    counts = stage(summed.coalesce(FILES), "alignment-counts")
     a = F.floor(F.col("code") / F.lit(width))
     best = counts.groupBy(a.alias("a")).agg(F.max("n").alias("most"))
     met = counts.withColumn("a", a).join(small(best), "a")  # a row for each id of A
-    return stage(met.select("a", (F.col("code") - F.col("a") * width).alias("b"), "code", "n", (F.col("n") == F.col("most")).alias("best")), "alignment-pairs")
+    return stage(met.select("a", (F.col("code") - F.col("a") * width).alias("b"), "code", "n", (F.col("n") == F.col("most")).alias("best")).coalesce(FILES), "alignment-pairs")
 
 
 def _split(pairs: DataFrame, most: int) -> tuple[int, int]:
