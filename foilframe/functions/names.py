@@ -1,8 +1,9 @@
 """Card names as array expressions over a lexicon: parts, likelihood, scores, parsing, cleaning.
 
-Everything is a Column; the lexicon is a table of (kind, name) of bounded size, or
-lists of the caller's, and becomes constant arrays. Where a rule says that any name of the
-lexicon will do, the first in order decides: the longest, then by code point.
+Everything is a Column. A lexicon is an array of names for each kind: a short list
+of the caller's, or what operators/lexicon.py notes beside each row of a table of
+any size. Where a rule says that any name will do, the first in order decides:
+the longest, then by code point.
 """
 
 from __future__ import annotations
@@ -10,13 +11,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from foilframe.functions import texts as T
 
-#: Names of a lexicon; a larger one is refused.
-MAX_NAMES = 50_000
 KINDS = ("name", "owner", "variant", "suffix", "trainer", "energy", "energy_type")
 
 
@@ -35,20 +34,9 @@ class Lexicon:
     @classmethod
     def of(cls, **words: Iterable[str]) -> "Lexicon":
         in_order = {k: sorted(set(words.get(k, ())), key=lambda w: (-len(w), w)) for k in KINDS}
-        # a constant of one string, which Catalyst folds to an array
+        # for short lists: a constant of one string, which Catalyst folds to an array
         return cls(**{k: F.split(F.lit("\n".join(x)), "\n") if x else F.array().cast("array<string>") for k, x in in_order.items()})
 
-    @classmethod
-    def of_table(cls, table: DataFrame) -> "Lexicon":
-        """table: kind, name, of at most MAX_NAMES rows, which are counted before they are read."""
-        words: dict[str, list[str]] = {}
-        rows = table.select("kind", "name").filter(F.col("name") != "").distinct().limit(MAX_NAMES + 1).collect()
-        if len(rows) > MAX_NAMES:
-            raise ValueError(f"a lexicon has {MAX_NAMES} names at most")
-        for r in rows:
-            words.setdefault(r["kind"], []).append(r["name"])
-        return cls.of(**words)
-
     @property
     def prefix(self) -> Column:
         return F.concat(self.owner, self.variant)
@@ -109,12 +97,13 @@ def valid_base(base: Column, lex: Lexicon) -> Column:
     return (F.length(norm) >= 2) & (F.array_contains(lex.name, norm) | word | F.exists(lex.name, lambda x: _either_within(norm, x, 5, 5)))
 
 
-def likely_name(name: Column, lex: Lexicon) -> Column:
-    norm = T.squashed(name)
+def likely_name(name: Column, lex: Lexicon, parts: Column | None = None) -> Column:
+    """Whether a text is likely a name; parts: its parts, where they are known."""
+    parts, norm = name_parts(name, lex) if parts is None else parts, T.squashed(name)
     affix = F.array_contains(lex.variant, norm) | F.array_contains(lex.suffix, norm)
     word = F.exists(words_of(F.lower(name)), lambda w: F.array_contains(lex.name, T.squashed(w)))
     within = F.exists(lex.name, lambda x: _either_within(norm, x, 4, 4))
-    return F.coalesce((F.length(norm) >= 2) & (F.array_contains(lex.name, norm) | affix | valid_base(name_parts(name, lex)["base"], lex) | within | word), F.lit(False))
+    return F.coalesce((F.length(norm) >= 2) & (F.array_contains(lex.name, norm) | affix | valid_base(parts["base"], lex) | within | word), F.lit(False))
 
 
 def name_score(name: Column, lex: Lexicon, parts: Column | None = None) -> Column:
@@ -155,16 +144,20 @@ def rebuilt(parts: Column) -> Column:
 NOISE = ("evolves from", "stage 2", "stage 1", "stage", "basic pokemon", "from", "hp ", " hp", "weakness", "resistance", "retreat", "put", "damage", "attack")
 
 
+def name_line(raw: Column) -> Column:
+    """The first line of a text that was read, without marks and from the first word of NOISE on."""
+    line = F.regexp_replace(F.substring_index(F.coalesce(raw, F.lit("")), "\n", 1), "[^A-Za-z\\s'\\-\u00e9\u00c9.]", " ")
+    cut = lambda x, token: F.when(F.instr(F.lower(x), token) > 0, F.trim(x.substr(F.lit(1), F.instr(F.lower(x), token) - 1))).otherwise(x)
+    return F.aggregate(F.array(*map(F.lit, NOISE)), F.array_join(words_of(line), " "), cut)
+
+
 def parsed_name(raw: Column, lex: Lexicon) -> Column:
     """The card's name in a text that was read: of the first one to six words of its first line the best score, rebuilt from its parts; of equal scores the shortest."""
-    spaced = lambda x: F.array_join(words_of(x), " ")
-    line = spaced(F.regexp_replace(F.substring_index(F.coalesce(raw, F.lit("")), "\n", 1), "[^A-Za-z\\s'\\-\u00e9\u00c9.]", " "))
-    cut = lambda x, token: F.when(F.instr(F.lower(x), token) > 0, F.trim(x.substr(F.lit(1), F.instr(F.lower(x), token) - 1))).otherwise(x)
-    line = F.aggregate(F.array(*map(F.lit, NOISE)), line, cut)
+    line = name_line(raw)
 
     def tried(words: Column) -> Column:
         names = F.filter(F.transform(F.sequence(F.lit(1), F.least(F.lit(6), F.size(words))), lambda k: F.array_join(F.slice(words, F.lit(1), k), " ")), lambda x: F.length(x) <= 50)
-        scored = F.transform(F.transform(names, lambda x: F.struct(x.alias("x"), name_parts(x, lex).alias("p"))), lambda y: _candidate(y["x"], y["p"], lex))
+        scored = F.transform(F.transform(names, lambda x: F.struct(x.alias("x"), name_parts(x, lex).alias("p"))), lambda y: candidate(y["x"], y["p"], lex))
         best = F.array_max(F.transform(scored, lambda s, i: F.struct(s["score"].alias("score"), (-i).alias("i"), s["name"].alias("name"))))
         return F.when(best["score"] > -1, best["name"]).otherwise("")
 
@@ -172,7 +165,8 @@ def parsed_name(raw: Column, lex: Lexicon) -> Column:
     return F.transform(F.array(best), lambda b: F.when((b == "") | likely_name(b, lex), b).otherwise(_mended(b, lex)))[0]
 
 
-def _candidate(x: Column, parts: Column, lex: Lexicon) -> Column:
+def candidate(x: Column, parts: Column, lex: Lexicon) -> Column:
+    """score, and name: x rebuilt from its parts if their base is known."""
     valid = (parts["base"] != "") & valid_base(parts["base"], lex)
     bonus = 15.0 + F.when(F.size(parts["prefixes"]) > 0, 5.0).otherwise(0.0) + F.when(F.size(parts["suffixes"]) > 0, 3.0).otherwise(0.0)
     return F.struct((name_score(x, lex, parts) + F.when(valid, bonus).otherwise(0.0)).alias("score"), F.when(valid, rebuilt(parts)).otherwise(x).alias("name"))
@@ -227,14 +221,14 @@ def likely_energy(name: Column, lex: Lexicon) -> Column:
     return (F.length(F.coalesce(name, F.lit(""))) >= 3) & (F.array_contains(lex.energy, low) | F.exists(lex.energy_type, lambda x: low.contains(x)) | low.contains("energy"))
 
 
-def trainer_score(text: Column, lex: Lexicon) -> Column:
-    """How likely a text is the name of a trainer card."""
+def trainer_score(text: Column, lex: Lexicon, parts: Column | None = None) -> Column:
+    """How likely a text is the name of a trainer card; parts: its parts as a name, where they are known."""
     n, low = F.length(text), F.lower(text)
     cased = F.upper(text) != F.lower(text)
     return (
         F.when(likely_trainer(text, lex), 5.0).otherwise(0.0) + F.when(n.between(6, 25), 2.0).when(n.between(3, 5), 1.0).when(n > 25, 0.5).otherwise(0.0) - F.when(T.garbage(text), 3.0).otherwise(0.0)
         + F.when(cased & ((text == title(text)) | (text == F.upper(text))), 1.0).otherwise(0.0)
-        + 1.5 * F.size(F.filter(F.array(*map(F.lit, TRAINER_WORDS)), lambda w: low.contains(w))) - F.when(likely_name(text, lex), 1.0).otherwise(0.0)
+        + 1.5 * F.size(F.filter(F.array(*map(F.lit, TRAINER_WORDS)), lambda w: low.contains(w))) - F.when(likely_name(text, lex, parts), 1.0).otherwise(0.0)
     )
 
 

@@ -265,3 +265,12 @@ def analysis_error(body: Column) -> Column:
         .when(front.isNull() | ~front.startswith("OBJECT"), "MISSING_REQUIRED_FIELD").when(~F.coalesce(field("$.front_image.encoding"), F.lit("")).isin(*ENCODINGS), "INVALID_FIELD_VALUE")
         .when(F.coalesce(data, F.lit("")) == "", "MISSING_REQUIRED_FIELD").when((field("$.front_image.encoding") == "base64") & F.try_to_binary(data, F.lit("base64")).isNull(), "INVALID_IMAGE_FORMAT")
     )
+
+
+def best_number_window(glyphs: Column) -> Column:
+    """score and window_text of the best n/n of one to three digits on each side of the slash of a text of digits with one slash; of equal scores the first, then the shortest. Null if none is plausible."""
+    left, right = F.substring_index(glyphs, "/", 1), F.substring_index(glyphs, "/", -1)
+    sides = [F.struct(F.right(left, F.lit(i)).alias("num"), F.left(right, F.lit(j)).alias("total"), (i - F.length(left)).alias("s"), F.lit(-i - j).alias("n")) for i in (1, 2, 3) for j in (1, 2, 3)]
+    there = F.filter(F.array(*sides), lambda w: (w["s"] <= 0) & (F.length(w["total"]) == -w["n"] - F.length(w["num"])) & number_plausible(w["num"].try_cast("int"), w["total"].try_cast("int")))
+    scored = F.transform(there, lambda w: F.struct(F.round(number_score(w["num"].try_cast("int"), w["total"].try_cast("int")), 6).alias("score"), w["s"].alias("s"), w["n"].alias("n"), F.concat(w["num"], F.lit("/"), w["total"]).alias("window_text")))
+    return F.array_max(scored)

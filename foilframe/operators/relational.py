@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foilframe.functions.scores import vintage_confidence, vintage_score
+from foilframe.operators.tables import written
 
 #: Rows up to which a lookup table is sent to every task; beyond it is joined by a shuffle.
 BROADCAST_ROWS = 100_000
@@ -136,40 +137,59 @@ def histogram(df: DataFrame, bucket: Column, buckets: list[str]) -> DataFrame:
     return F.broadcast(dim).join(counts, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-BINS = 1024
+#: Ranges into which what may hold a rank is cut in each pass, by rank and not by value, and the accuracy of their ends.
+RANGES, ACCURACY = 256, 10_000
+#: Different values, of those that may be at a rank, which one task puts in order.
+FEW_VALUES = 1_000_000
 
 
-def at_ranks(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+def at_ranks(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column], few: int = FEW_VALUES) -> DataFrame:
     """keys, n, and for each name the value at a rank of its key, from 0; ranks: functions of the column n.
 
-    Rows are counted in BINS bins between the least and the greatest value, then
-    the bin that holds a rank is split once more; only the values of that small
-    bin, added up by value, are put in order. No key is sorted whole.
+    What may hold a rank is an open interval of values; a pass over the rows counts
+    what lies before and inside it and cuts the inside into RANGES of about equal
+    counts, of which those beside the rank become the next interval. Cuts follow
+    the ranks, so skewed values shrink as fast as even ones, and values that
+    repeat at an end are counted there. When at most few rows are inside, their
+    values are added up and put in order. Up to that many rows of a key there is
+    no such pass; with a hundred times as many there are two.
     """
     named = [f for f in df.schema.fields if f.name in keys]
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
-    ends = rows.groupBy(*keys).agg(F.min("__v").alias("lo"), F.max("__v").alias("hi"), F.count(F.lit(1)).alias("n"))
+    slot = [*keys, "n", "name", "rank"]
+    cuts = lambda v: F.percentile_approx(v, [k / RANGES for k in range(RANGES + 1)], ACCURACY)
     wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), r.cast("long").alias("rank")) for k, r in ranks.items()])).alias("w")
-    state = ends.select(*keys, "n", "lo", "hi", wanted).select(*keys, "n", "lo", "hi", "w.name", "w.rank")
-    slot = [*keys, "name"]
+    ends = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    none = F.lit(None).cast("double")
+    state = ends.select(*keys, "n", wanted).filter("n > 0").select(*keys, "n", "w.name", "w.rank", none.alias("lo"), none.alias("hi"), F.lit(0).cast("long").alias("below"), F.col("n").alias("inside"), none.alias("answer"), F.lit(None).cast("array<double>").alias("cuts"))
+    state = written(state, "ranks")
 
     def met(state: DataFrame) -> DataFrame:
-        """The rows between the ends of each state; a row for each key and name, counted before it is broadcast."""
-        same = [F.col(f"__r.{k}").eqNullSafe(F.col(f"__s.{k}")) for k in keys]
-        on = same[0] if same else F.lit(True)
-        for x in same[1:]:
-            on = on & x
-        return rows.alias("__r").join(small(state).alias("__s"), on & F.col("__v").between(F.col("lo"), F.col("hi"))).select(*[F.col(f"__s.{k}").alias(k) for k in keys], "__v", "n", "lo", "hi", "name", "rank")
-
-    for _ in range(2):
-        bin_ = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("__v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (BINS - 1))).otherwise(0)
-        counts = met(state).groupBy(*slot, "n", "rank", bin_.alias("bin")).agg(F.count(F.lit(1)).alias("c"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
-        through = F.sum("c").over(Window.partitionBy(*slot).orderBy("bin"))  # BINS rows at most
-        state = counts.withColumn("through", through).filter((F.col("through") > F.col("rank")) & (F.col("through") - F.col("c") <= F.col("rank"))).select(*keys, "n", "lo", "hi", "name", (F.col("rank") - F.col("through") + F.col("c")).alias("rank"))
-    values = met(state).groupBy(*slot, "n", "rank", "__v").agg(F.count(F.lit(1)).alias("c"))
-    through = F.sum("c").over(Window.partitionBy(*slot).orderBy("__v"))  # the values of one bin of a bin
-    found = values.withColumn("through", through).filter((F.col("through") > F.col("rank")) & (F.col("through") - F.col("c") <= F.col("rank")))
-    out = found.groupBy(*keys, "n").agg(*[F.max(F.when(F.col("name") == k, F.col("__v"))).alias(k) for k in ranks])
+        """The rows of each open state; a row for each key and name, which were counted."""
+        on = F.lit(True)
+        for k in keys:
+            on = on & F.col(f"__r.{k}").eqNullSafe(F.col(f"__s.{k}"))
+        open_ = state.filter("answer IS NULL")
+        return rows.alias("__r").join((F.broadcast(open_) if states <= BROADCAST_ROWS else open_).alias("__s"), on).select(*[F.col(f"__s.{k}").alias(k) for k in keys], "__v", *[c for c in state.columns if c not in keys])
+
+    above, under = F.col("lo").isNull() | (F.col("__v") > F.col("lo")), F.col("hi").isNull() | (F.col("__v") < F.col("hi"))
+    while True:
+        most, states = state.agg(F.max(F.when(F.col("answer").isNull(), F.col("inside"))), F.count(F.lit(1))).first()
+        if (most or 0) <= few:
+            break
+        at = F.floor((F.col("rank") - F.col("below")) * RANGES / F.col("inside")).cast("int")  # the range that holds the rank, give or take one
+        narrow = F.col("inside") > few
+        closer = state.withColumns({"lo": F.when(narrow & (at >= 2), F.get("cuts", at - 1)).otherwise(F.col("lo")), "hi": F.when(narrow & (at <= RANGES - 3), F.get("cuts", at + 2)).otherwise(F.col("hi"))}).drop("below", "inside", "cuts")
+        counted = met(closer).groupBy(*slot, "lo", "hi").agg(
+            F.count_if(F.coalesce(F.col("__v") <= F.col("lo"), F.lit(False))).alias("below"), F.count_if(above & under).alias("inside"), cuts(F.when(above & under, F.col("__v"))).alias("cuts")
+        )
+        answer = F.when(F.col("rank") < F.col("below"), F.col("lo")).when(F.col("rank") >= F.col("below") + F.col("inside"), F.col("hi"))
+        state = written(counted.withColumn("answer", answer).select(*state.columns).unionByName(state.filter("answer IS NOT NULL")), "ranks")
+    values = met(state).filter(above & under).groupBy(*slot, "below", "__v").agg(F.count(F.lit(1)).alias("c"))
+    through = F.col("below") + F.sum("c").over(Window.partitionBy(*slot).orderBy("__v"))  # at most few rows
+    found = values.withColumn("through", through).filter((F.col("through") > F.col("rank")) & (F.col("through") - F.col("c") <= F.col("rank"))).select(*slot, F.col("__v").alias("answer"))
+    every = found.unionByName(state.filter("answer IS NOT NULL").select(*slot, "answer"))
+    out = every.groupBy(*keys, "n").agg(*[F.max(F.when(F.col("name") == k, F.col("answer"))).alias(k) for k in ranks])
     return out.select(*[F.col(f.name).cast(f.dataType) for f in named], "n", *ranks)
 
 
@@ -185,26 +205,31 @@ def linear_percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[
     return found.select(*keys, "n", *[(F.col(f"{k}_lo") + (F.col(f"{k}_hi") - F.col(f"{k}_lo")) * (p - F.floor(p))).alias(k) for k, p in place.items()])
 
 
-def similar_names(df: DataFrame, name: str, share: float = 0.7, apart: int = 2, least: int = 4) -> DataFrame:
-    """a, b, same: distinct names a < b of about the same length that agree in a share of b's places.
+def alike(texts: DataFrame, names: DataFrame, share: float = 0.7, apart: int = 2, least: int = 4) -> DataFrame:
+    """x, name, same: words and names of about the same length that agree in a share of the name's places.
 
-    Names that differ in few places have one of a few pieces of b's places in
-    common, so they are met by those pieces and compared after that.
+    Of a name's places few may differ, so one of a few pieces of it is whole; words
+    are met by those pieces and compared after that.
     """
-    rows = df.select(F.col(name).alias("x")).distinct().withColumn("n", F.length("x")).filter(F.col("n") >= least)
+    same = F.size(F.filter(F.sequence(F.lit(1), F.least(F.length("x"), F.length("name"))), lambda i: F.col("x").substr(i, F.lit(1)) == F.col("name").substr(i, F.lit(1))))
 
     def pieces(n: Column) -> Column:
-        """Where n places are cut into one piece more than may differ."""
         k = n - F.ceil(n * share).cast("int") + 1
         return F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.struct(n.alias("n"), F.floor(i * n / k).cast("int").alias("at"), (F.floor((i + 1) * n / k) - F.floor(i * n / k)).cast("int").alias("size")))
 
     cut = lambda x: lambda p: F.struct(p["n"].alias("n"), p["at"].alias("at"), x.substr(p["at"] + 1, p["size"]).alias("part"))
-    b = rows.select(F.col("x").alias("b"), F.col("n").alias("nb"), F.explode(F.transform(pieces(F.col("n")), cut(F.col("x")))).alias("p"))
-    lengths = F.filter(F.sequence(F.col("n") - apart, F.col("n") + apart), lambda n: n >= least)
-    a = rows.select(F.col("x").alias("a"), F.explode(F.transform(F.flatten(F.transform(lengths, pieces)), cut(F.col("x")))).alias("p"))
-    met = a.join(b, "p").filter("a < b").select("a", "b", "nb").distinct()
-    same = F.size(F.filter(F.sequence(F.lit(1), F.col("nb")), lambda i: F.col("a").substr(i, F.lit(1)) == F.col("b").substr(i, F.lit(1))))
-    return met.withColumn("same", same.cast("long")).filter(F.col("same") >= share * F.col("nb")).select("a", "b", "same")
+    b = names.filter(F.length("name") >= least).select("name", F.explode(F.transform(pieces(F.length("name")), cut(F.col("name")))).alias("p"))
+    lengths = F.filter(F.sequence(F.length("x") - apart, F.length("x") + apart), lambda n: n >= least)
+    a = texts.filter(F.length("x") >= least).select("x", F.explode(F.transform(F.flatten(F.transform(lengths, pieces)), cut(F.col("x")))).alias("p"))
+    met = a.join(b, "p").select("x", "name").distinct()
+    return met.withColumn("same", same.cast("long")).filter(F.col("same") >= share * F.length("name"))
+
+
+def similar_names(df: DataFrame, name: str, share: float = 0.7, apart: int = 2, least: int = 4) -> DataFrame:
+    """a, b, same: distinct names a < b of about the same length that agree in a share of b's places."""
+    rows = df.select(F.col(name).alias("x")).distinct()
+    met = alike(rows, rows.withColumnRenamed("x", "name"), share, apart, least)
+    return met.filter("x < name").select(F.col("x").alias("a"), F.col("name").alias("b"), "same")
 
 
 def presence(df: DataFrame, a: Column, b: Column) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from foilframe.functions import names as N
 from foilframe.functions import scores as S
 from foilframe.functions import texts as T
+from foilframe.operators import lexicon as X
 from foilframe.operators import relational as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -342,16 +343,10 @@ k AS (SELECT *, round({_NSCORE}::DOUBLE, 6) AS score FROM p WHERE num > 0 AND to
 r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_partkey, l_suppkey, l_linenumber ORDER BY score DESC, s, n) AS z FROM k)
 SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, v AS window_text, score FROM r WHERE z = 1""")
 def number_window(spark, d):
-    """All windows of a line are made, read and compared within its row."""
+    """The nine windows around a line's slash are compared within its row; a generator, as a filter on a column would make it twice."""
     glyphs = F.concat((c("l_partkey") % 1000).cast("string"), F.lit("/"), (c("l_suppkey") % 400).cast("string"), c("l_linenumber").cast("string"))
     rows = table(spark, d, "lineitem").select(*line_key(), glyphs.alias("t"))
-    span = lambda s: F.transform(F.sequence(F.lit(3), F.lit(7)), lambda n: F.struct(s.alias("s"), n.alias("n"), c("t").substr(s, n).alias("v")))
-    windows = F.filter(F.flatten(F.transform(F.sequence(F.lit(1), F.length("t") - 2), span)), lambda w: (w["s"] + w["n"] - 1 <= F.length("t")) & w["v"].rlike("^[0-9]{1,3}/[0-9]{1,3}$"))
-    side = lambda w, k: F.split(w["v"], "/")[k].cast("int")  # noqa: E731  (glyph texts have one slash, as windows that pass do)
-    read = F.filter(F.transform(windows, lambda w: F.struct(w.alias("w"), side(w, 0).alias("num"), side(w, 1).alias("total"))), lambda x: S.number_plausible(x["num"], x["total"]))
-    scored = F.transform(read, lambda x: F.struct(F.round(S.number_score(x["num"], x["total"]), 6).alias("score"), (-x["w"]["s"]).alias("s"), (-x["w"]["n"]).alias("n"), x["w"]["v"].alias("v")))
-    best = rows.select(*line_key(), F.array_max(scored).alias("best")).filter("best IS NOT NULL")  # of equal ones the first
-    return best.select(*line_key(), c("best.v").alias("window_text"), c("best.score").alias("score"))
+    return rows.select(*line_key(), F.explode(F.array(S.best_number_window(c("t")))).alias("best")).filter("best IS NOT NULL").select(*line_key(), "best.window_text", "best.score")
 
 
 @query("""
@@ -578,10 +573,9 @@ SELECT p_partkey, list_contains(names, f) AS exact, len(list_filter(names, lambd
   CASE WHEN contains(lower(t), 'gizmo') THEN 'trainer' WHEN contains(lower(t), 'red energy') THEN 'energy' WHEN regexp_matches(lower(t), 'hp\\s*[0-9]{{2,3}}|[0-9]{{2,3}}\\s*hp') THEN 'pokemon' WHEN regexp_matches(lower(t), 'ring|widget|bolt|gear|plate') THEN 'pokemon' ELSE 'unknown' END AS card_type FROM n, lex""")
 def containment_match(spark, d):
     """A reading against every name, in both directions; short ones count only as a whole."""
-    lex, f = N.Lexicon.of_table(lexicon(spark, d)), T.squashed(c("t"))
-    hits = F.filter(lex.name, lambda x: N._either_within(f, x, 4, 4))
     kind = T.card_type(c("t"), [x for x in LEXICON if x != "gizmo"], ["gizmo"], ["red"])
-    return readings(spark, d).select("p_partkey", F.array_contains(lex.name, f).alias("exact"), (F.size(hits) > 0).alias("within"), F.get(hits, F.lit(0)).alias("name"), kind.alias("card_type"))
+    read = readings(spark, d)
+    return read.select("p_partkey", kind.alias("card_type")).join(X.contained_names(read, "p_partkey", "t", lexicon(spark, d)), "p_partkey")
 
 
 _TITLE = "array_to_string(list_transform(regexp_extract_all(lower({0}), '[a-z]+|[^a-z]+'), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), '')"
@@ -601,9 +595,8 @@ def name_components(spark, d):
 @query()
 def name_parse(spark, d):
     """The name on a card from the text that was read on it, over the lexicon of part."""
-    lex = N.Lexicon.of_table(lexicon(spark, d))
     raw = F.concat(F.when(c("p_size") % 3 == 0, "Basic ").otherwise(""), c("t"), F.when(c("p_size") % 2 == 0, " HP 60").otherwise(" something"), F.lit("\nEvolves from"))
-    return readings(spark, d).select("p_partkey", N.parsed_name(raw, lex).alias("name"))
+    return X.parsed_names(readings(spark, d).select("p_partkey", raw.alias("raw")), "p_partkey", "raw", lexicon(spark, d))
 
 
 @query(f"""
@@ -613,7 +606,7 @@ f AS (SELECT p_partkey, list_filter(w, lambda x: length(x) >= 3 AND list_contain
     AND len(list_filter(range(1, least(length(x), length(y)) + 1), lambda i: substr(x, i::INT, 1) = substr(y, i::INT, 1))) >= 0.7 * length(y))))[1] AS near FROM w, lex)
 SELECT p_partkey, coalesce(upper(substr(coalesce(exact, within, near), 1, 1)) || substr(coalesce(exact, within, near), 2), '') AS name FROM f""")
 def known_name(spark, d):
-    return readings(spark, d).select("p_partkey", N.known_name(c("t"), N.Lexicon.of_table(lexicon(spark, d))).alias("name"))
+    return X.known_names(readings(spark, d), "p_partkey", "t", lexicon(spark, d))
 
 
 @query(f"""
@@ -628,9 +621,9 @@ def name_clean(spark, d):
 @query()
 def trainer_energy_scores(spark, d):
     """How likely each reading is the name of a trainer or an energy card."""
-    lex = N.Lexicon.of_table(lexicon(spark, d))
     t = F.concat(F.when(c("p_size") % 5 == 0, "Boss's Orders ").when(c("p_size") % 5 == 1, "red energy ").when(c("p_size") % 5 == 2, "Quick Ball ").otherwise(""), c("t"))
-    return readings(spark, d).select("p_partkey", t.alias("t")).select("p_partkey", N.trainer_score(c("t"), lex).alias("trainer"), N.energy_score(c("t"), lex).alias("energy"))
+    noted, lex = X.with_entries(readings(spark, d).select("p_partkey", t.alias("t")), "t", lexicon(spark, d), cards=True)
+    return noted.select("p_partkey", N.trainer_score(c("t"), lex, c("parts")).alias("trainer"), N.energy_score(c("t"), lex).alias("energy"))
 
 
 # ---- pixels: an embedding read as an 8 x 8 patch or a profile --------------------

@@ -9,6 +9,7 @@ from foilframe.functions import names as N
 from foilframe.functions import observations as O
 from foilframe.functions import scores as S
 from foilframe.functions import texts as T
+from foilframe.operators import lexicon as X
 from foilframe.operators import relational as R
 from foilframe.plans.catalog import _FLAT, _LIMIT, _READ, LEX, LEXICON, lexicon, line_key, query, readings, table
 from foilframe.streaming import queries as Q
@@ -97,9 +98,9 @@ SELECT p_partkey, list_contains(names, f) AS exact, len(list_filter(w, lambda x:
   {_BASE.format("f", "names", "lower(t)")} AS valid_base FROM n, lex""")
 def likely_names(spark, d):
     """Readings that are likely a name, and those that are a known base name by themselves."""
-    lex, f = N.Lexicon.of_table(lexicon(spark, d)), T.squashed(c("t"))
-    words = F.exists(N.words_of(F.lower("t")), lambda w: F.array_contains(lex.name, T.squashed(w)))
-    return readings(spark, d).select("p_partkey", F.array_contains(lex.name, f).alias("exact"), words.alias("any_word"), N.likely_name(c("t"), lex).alias("likely"), N.valid_base(F.lower("t"), lex).alias("valid_base"))
+    noted, lex = X.with_entries(readings(spark, d), "t", lexicon(spark, d))
+    f, words = T.squashed(c("t")), F.exists(N.words_of(F.lower("t")), lambda w: F.array_contains(lex.name, T.squashed(w)))
+    return noted.select("p_partkey", F.array_contains(lex.name, f).alias("exact"), words.alias("any_word"), N.likely_name(c("t"), lex, c("parts")).alias("likely"), N.valid_base(F.lower("t"), lex).alias("valid_base"))
 
 
 _NAMES = "['ring', 'widget', 'bolt', 'gear', 'gizmo', 'plate']"
@@ -308,10 +309,12 @@ k AS (SELECT p_partkey, t, list_filter([t, CASE WHEN contains(lower(t), '0') THE
 SELECT p_partkey, coalesce(good[1], t) AS text, CASE WHEN contains(lower(t), 'tool') THEN 'tool' WHEN contains(lower(t), 'old') THEN 'old' WHEN contains(lower(t), 'gear') THEN 'gear' END AS subtype FROM k""")
 def ocr_corrections(spark, d):
     """Readings with a confusion undone where that makes a known name of a word, and the first subtype in order that they hold."""
-    lex = N.Lexicon.of_table(lexicon(spark, d))
     t = F.when(c("p_size") % 2 == 0, F.replace(c("t"), F.lit("o"), F.lit("0"))).otherwise(c("t"))
-    known = lambda x: F.exists(F.split(x, " "), lambda w: F.array_contains(lex.name, w))
-    return readings(spark, d).select("p_partkey", t.alias("t")).select("p_partkey", T.corrected(c("t"), known).alias("text"), T.trainer_subtype(c("t"), ["tool", "old", "gear"]).alias("subtype"))
+    read = readings(spark, d).select("p_partkey", t.alias("t"))
+    names = lexicon(spark, d).filter("kind = 'name'").select(c("name").alias("word")).distinct()
+    tried = read.select("p_partkey", F.posexplode(F.concat(F.array("t"), T.confusions(c("t")))).alias("k", "x"))
+    good = tried.select("p_partkey", "k", "x", F.explode(F.split("x", " ")).alias("word")).join(names, "word").groupBy("p_partkey").agg(F.min_by("x", "k").alias("good"))
+    return read.join(good, "p_partkey", "left").select("p_partkey", F.coalesce("good", "t").alias("text"), T.trainer_subtype(c("t"), ["tool", "old", "gear"]).alias("subtype"))
 
 
 @query("""
