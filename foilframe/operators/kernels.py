@@ -372,16 +372,6 @@ def share_over(x: Column, bound: float) -> Column:
     return F.size(F.filter(x, lambda v: v > bound)) / F.size(x)
 
 
-@F.pandas_udf(T.ArrayType(_I))
-def patch_components(pixels: pd.Series, side: pd.Series) -> pd.Series:
-    """Sizes of the connected parts of a square binary patch, largest first."""
-    out = []
-    for p, n in zip(pixels, side):
-        label, k = components(np.asarray(p, dtype=np.int64).reshape(n, n) > 0)
-        out.append(sorted(np.bincount(label.ravel(), minlength=k + 1)[1:].tolist(), reverse=True))
-    return pd.Series(out)
-
-
 def merged_boxes(boxes: Column, gap: int = 15, overlap: float = 0.4) -> Column:
     """Boxes (x0, y0, x1, y1) from left to right, each joined to the one before while it is near and level with it; the joined box grows."""
     last = lambda out: F.element_at(out, -1)

@@ -11,6 +11,7 @@ from foilframe.functions import names as N
 from foilframe.functions import scores as S
 from foilframe.functions import texts as T
 from foilframe.operators import lexicon as X
+from foilframe.operators import patches as P
 from foilframe.operators import relational as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -694,11 +695,44 @@ def template_hamming(spark, d):
     return best.select("vec_id", "template_id", "same", F.when(share >= 0.65, share).when(share >= 0.6, F.round(share * 0.85, 6)).alias("score"))
 
 
-@query()
+@query("""
+WITH RECURSIVE cells AS (SELECT vec_id, k FROM (SELECT vec_id, unnest(range(64)) AS k, unnest(embedding) AS v FROM embeddings) WHERE v > 0),
+reach AS (SELECT vec_id, k AS a, k AS b FROM cells UNION SELECT r.vec_id, r.a, n.k FROM reach r JOIN cells n ON n.vec_id = r.vec_id AND abs(n.k // 8 - r.b // 8) + abs(n.k % 8 - r.b % 8) = 1),
+roots AS (SELECT vec_id, a, min(b) AS root FROM reach GROUP BY ALL), sizes AS (SELECT vec_id, root, count(*) AS n FROM roots GROUP BY ALL)
+SELECT e.vec_id, CAST(count(root) AS INT) AS parts, coalesce(max(n), 0) AS largest FROM embeddings e LEFT JOIN sizes USING (vec_id) GROUP BY e.vec_id""")
 def connected_components(spark, d):
-    bits = F.transform("embedding", lambda x: (x > 0).cast("int"))
-    sizes = K.patch_components(bits, F.lit(8))
-    return table(spark, d, "embeddings").select("vec_id", sizes.alias("sizes")).select("vec_id", F.size("sizes").alias("parts"), F.coalesce(F.get("sizes", 0), F.lit(0)).alias("largest"))
+    """Connected parts of the set cells of each patch, by runs and their overlaps."""
+    patches = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x > 0).alias("bits"))
+    sizes = P.part_sizes(P.parts(P.runs(P.lines(patches, "vec_id", c("bits"), 8)))).withColumnRenamed("image", "vec_id")
+    return patches.select("vec_id").join(sizes, "vec_id", "left").select("vec_id", F.coalesce("parts", F.lit(0)).alias("parts"), F.coalesce("largest", F.lit(0)).cast("long").alias("largest"))
+
+
+@query(f"""
+WITH p AS (SELECT vec_id, {_G} AS g FROM embeddings), x AS (SELECT vec_id, unnest(range(0, 64)) AS k, unnest(g) AS v FROM p),
+m AS (SELECT vec_id, 'x' AS axis, k % 8 AS i, avg(v) AS m FROM x GROUP BY ALL UNION ALL SELECT vec_id, 'y', k // 8, avg(v) FROM x GROUP BY ALL),
+w AS (SELECT vec_id, axis, list(m ORDER BY i) AS m FROM m GROUP BY ALL),
+s AS (SELECT vec_id, axis, list_transform(range(0, 8), lambda i: abs(m[i + 1] - (m[abs(i - 2) + 1] + 4 * m[abs(i - 1) + 1] + 6 * m[i + 1] + 4 * m[8 - abs(6 - i)] + m[8 - abs(5 - i)]) / 16)) AS h, m FROM w)
+SELECT vec_id, axis, round(list_min(m), 6) AS least, round(list_max(m), 6) AS most, round(list_stddev_pop(h), 6) AS rough FROM s""")
+def projection_profiles(spark, d):
+    """Means of columns and lines of each patch, and how rough those profiles are beside themselves smoothed."""
+    profile = P.profiles(P.lines(_patches(spark, d), "vec_id", c("g"), 8))
+    ends = profile.groupBy("image", "axis").agg(F.round(F.min("mean"), 6).alias("least"), F.round(F.max("mean"), 6).alias("most"))
+    return ends.join(P.roughness(profile), ["image", "axis"]).select(c("image").alias("vec_id"), "axis", "least", "most", F.round("rough", 6).alias("rough"))
+
+
+#: Corners, edges and the inside of a patch of 8 x 8 cells, the far ends excluded.
+RECTANGLES = [("top_left", 0, 0, 2, 2), ("top_right", 0, 6, 2, 8), ("bottom_left", 6, 0, 8, 2), ("bottom_right", 6, 6, 8, 8), ("top", 0, 0, 1, 8), ("bottom", 7, 0, 8, 8), ("left", 0, 0, 8, 1), ("right", 0, 7, 8, 8), ("inside", 1, 1, 7, 7), ("whole", 0, 0, 8, 8)]
+
+
+@query(f"""
+WITH p AS (SELECT vec_id, {_G} AS g FROM embeddings), x AS (SELECT vec_id, unnest(range(0, 64)) AS k, unnest(g) AS v FROM p),
+r AS (SELECT * FROM (VALUES {", ".join(map(str, RECTANGLES))}) t(name, y0, x0, y1, x1))
+SELECT vec_id, name, round(avg(v), 4) AS mean, round(var_pop(v), 3) AS variance FROM x JOIN r ON k // 8 >= y0 AND k // 8 < y1 AND k % 8 >= x0 AND k % 8 < x1 GROUP BY ALL""")
+def rectangle_stats(spark, d):
+    """Mean and variance of the corners, edges and inside of each patch, by four look-ups in its summed areas."""
+    rectangles = spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("name", "y0", "x0", "y1", "x1"), r)]) for r in RECTANGLES])))
+    found = P.rectangle_stats(P.summed_area(P.lines(_patches(spark, d), "vec_id", c("g"), 8)), rectangles)
+    return found.select(c("image").alias("vec_id"), "name", F.round("mean", 4).alias("mean"), F.round("variance", 3).alias("variance"))
 
 
 @query("""

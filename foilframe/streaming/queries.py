@@ -6,8 +6,6 @@ watermark has passed their window.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from foilframe.operators.relational import latest
+from foilframe.operators.tables import folder
 
 LIMITED = "user_id long, bucket long, event_id long, ts timestamp, allowed boolean"
 
@@ -47,8 +46,7 @@ def limited_so_far(spark: SparkSession, path: str, limit: int, width: int) -> Da
 
     Each batch replaces its own output, so one that runs again counts once.
     """
-    place = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")  # unset only in a local session
-    out = f"{place.rstrip('/')}/rate-limit-{uuid.uuid4().hex}"
+    out = folder(spark, "rate-limit")
     now = spark.read.parquet(path)
     stream = spark.readStream.schema(now.schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
     write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
