@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -267,6 +269,42 @@ def analysis_error(body: Column) -> Column:
     )
 
 
+def _told(body: Column) -> tuple[Column, Callable[[str], Column]]:
+    """A JSON text, null unless it is an object, and its strings by path; other values count as none."""
+    told = F.try_parse_json(body)
+    whole = F.when(F.schema_of_variant(told).startswith("OBJECT"), told)
+    string = lambda path: F.when(F.schema_of_variant(F.try_variant_get(whole, path, "variant")) == "STRING", F.try_variant_get(whole, path, "string"))
+    return whole, lambda path: F.coalesce(string(path), F.lit(""))
+
+
+def job_error(body: Column) -> Column:
+    """The gateway's error code of an analysis or a job; null if it passes."""
+    _, text = _told(body)
+    bad = ~text("$.front_image.encoding").isin(*ENCODINGS) | (F.trim(text("$.front_image.data")) == "")
+    return F.when(~text("$.card_type").isin(*CARD_TYPES), "UNSUPPORTED_CARD_TYPE").when(bad, "MISSING_REQUIRED_FIELD")
+
+
+def grade_error(body: Column) -> Column:
+    """The gateway's error code of a grading, which needs both sides as base64; null if it passes."""
+    _, text = _told(body)
+    bad = F.lit(False)
+    for side in ("front_image", "back_image"):
+        bad = bad | (text(f"$.{side}.encoding") != "base64") | (text(f"$.{side}.data") == "")
+    return F.when(text("$.card_type") != "pokemon", "UNSUPPORTED_CARD_TYPE").when(bad, "MISSING_REQUIRED_FIELD")
+
+
+def upload_request_error(body: Column, limit: int = 12_582_912) -> Column:
+    """The gateway's error code of a request for an upload; null if it passes."""
+    whole, text = _told(body)
+    number = F.try_variant_get(whole, "$.content_length", "variant")
+    size = F.when(F.schema_of_variant(number) != "STRING", F.try_variant_get(whole, "$.content_length", "double"))
+    mime = text("$.content_type")
+    return (
+        F.when(~text("$.kind").isin("front_image", "back_image") | (mime == ""), "MISSING_REQUIRED_FIELD").when(~mime.isin("image/jpeg", "image/png", "image/webp"), "INVALID_REQUEST_FORMAT")
+        .when(size.isNull() | (size <= 0), "MISSING_REQUIRED_FIELD").when(size > limit, "INVALID_REQUEST_FORMAT")
+    )
+
+
 def best_number_window(glyphs: Column) -> Column:
     """score and window_text of the best n/n of one to three digits on each side of the slash of a text of digits with one slash; of equal scores the first, then the shortest. Null if none is plausible."""
     left, right = F.substring_index(glyphs, "/", 1), F.substring_index(glyphs, "/", -1)

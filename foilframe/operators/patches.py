@@ -6,7 +6,7 @@ here gathers an image in one task but where a line of it is a window.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from foilframe.operators.relational import small
@@ -34,7 +34,7 @@ def parts(found: DataFrame) -> DataFrame:
 
     Runs are numbered along their image. In each round a run takes the least number
     of itself and its neighbours, and then the number that this one has, so rounds
-    grow with the logarithm of a part's extent; each is a written table.
+    grow with the logarithm of a part's extent; each is one job that writes a table and counts what moved.
     """
     line = Window.partitionBy("image").orderBy("y", "x0")
     numbered = written(found.withColumn("run", F.row_number().over(line)), "runs")
@@ -45,11 +45,12 @@ def parts(found: DataFrame) -> DataFrame:
     now = numbered.select("image", "run", F.col("run").alias("part"))
     while True:
         near = edges.join(now.select("image", F.col("run").alias("other"), "part"), ["image", "other"]).groupBy("image", "run").agg(F.min("part").alias("near"))
-        least = written(now.join(near, ["image", "run"], "left").select("image", "run", "part", F.least("part", "near").alias("low")), "run-parts")
-        jumped = least.alias("x").join(least.select("image", F.col("run").alias("low"), F.col("low").alias("further")), ["image", "low"]).select("image", "run", F.col("x.part").alias("before"), F.least("low", "further").alias("part"))
-        now = written(jumped, "run-parts")
-        if now.filter("part < before").isEmpty():
-            return numbered.join(now.select("image", "run", "part"), ["image", "run"])
+        least = now.join(near, ["image", "run"], "left").select("image", "run", "part", F.least("part", "near").alias("low"))
+        jumped = least.join(least.select("image", F.col("run").alias("low"), F.col("low").alias("further")), ["image", "low"]).select("image", "run", F.col("part").alias("before"), F.least("low", "further").alias("part"))
+        seen = Observation()
+        now = written(jumped.observe(seen, F.count_if(F.col("part") < F.col("before")).alias("moved")), "run-parts").select("image", "run", "part")
+        if not seen.get["moved"]:
+            return numbered.join(now, ["image", "run"])
 
 
 def part_sizes(df: DataFrame) -> DataFrame:
@@ -93,11 +94,11 @@ def summed_area(rows: DataFrame) -> DataFrame:
 
 
 def rectangle_stats(area: DataFrame, rectangles: DataFrame) -> DataFrame:
-    """image, name, mean, variance of each rectangle by four look-ups. area: summed_area(); rectangles: name, y0, x0, y1, x1, the far ends excluded; those that leave an image give no row."""
+    """image, name, n, mean, variance of each rectangle by four look-ups. area: summed_area(); rectangles: name, y0, x0, y1, x1, the far ends excluded; those that leave an image give no row."""
     c = F.col
     corners = F.explode(F.array(*[F.struct(c(y).alias("y"), c(x).alias("x"), F.lit(sign).alias("sign")) for y, x, sign in (("y0", "x0", 1), ("y0", "x1", -1), ("y1", "x0", -1), ("y1", "x1", 1))])).alias("k")
     wanted = rectangles.filter("y1 > y0 AND x1 > x0").select("name", ((c("y1") - c("y0")) * (c("x1") - c("x0"))).alias("n"), corners).select("name", "n", "k.*")
     met = area.join(small(wanted), ["y", "x"])
     sums = met.groupBy("image", "name", "n").agg(F.sum(c("sign") * c("s")).alias("s"), F.sum(c("sign") * c("q")).alias("q"), F.count(F.lit(1)).alias("corners")).filter("corners = 4")
     mean = c("s") / c("n")
-    return sums.select("image", "name", mean.alias("mean"), F.greatest(c("q") / c("n") - mean * mean, F.lit(0.0)).alias("variance"))
+    return sums.select("image", "name", "n", mean.alias("mean"), F.greatest(c("q") / c("n") - mean * mean, F.lit(0.0)).alias("variance"))

@@ -6,7 +6,7 @@ wins, an ordinal column decides.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from foilframe.functions.scores import vintage_confidence, vintage_score
@@ -102,6 +102,24 @@ def remaining(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return todo.join(done.select(key).distinct(), key, "left_anti")
 
 
+def united(sets: list[DataFrame], keys: list[str], kind: Column) -> DataFrame:
+    """kind and keys of each row once, with how many sets hold it and the first of them by name. sets: source and keys, each of one source."""
+    every = sets[0]
+    for s in sets[1:]:
+        every = every.unionByName(s)
+    return every.groupBy(kind, *keys).agg(F.count_distinct("source").alias("sources"), F.min("source").alias("first_source"))
+
+
+def with_files(rows: DataFrame, files: DataFrame, key: str) -> tuple[DataFrame, Observation]:
+    """The rows whose file is there, and an observation of blank, missing and placed rows, which is delivered with the first result that is made of them."""
+    there = files.select(F.col(key).alias("__file"), F.lit(True).alias("__there")).distinct()
+    met = rows.join(small(there), F.col(key) == F.col("__file"), "left")
+    blank, found = F.coalesce(F.trim(F.col(key).cast("string")), F.lit("")) == "", F.coalesce("__there", F.lit(False))
+    seen = Observation()
+    counted = met.observe(seen, F.count_if(blank).alias("blank"), F.count_if(~blank & ~found).alias("missing"), F.count_if(~blank & found).alias("placed"))
+    return counted.filter(~blank & found).select(*rows.columns), seen
+
+
 def resume(todo: DataFrame, done: DataFrame, key: str, order: list[Column], batch: int = 0) -> DataFrame:
     """What isn't done yet, in order, at most batch rows (0: all)."""
     rest = remaining(todo, done, key).orderBy(*order)

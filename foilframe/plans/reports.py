@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foilframe.functions import names as N
@@ -135,6 +135,59 @@ def best_card_name(spark, d):
     return R.first_best(scored, ["p_partkey"], [F.desc("score"), c("ord")])
 
 
+@query(f"""
+WITH a AS (SELECT p_partkey, unnest([p_brand, p_name || ' 1234', 'qz' || p_partkey, upper(p_name), '']) AS name, unnest([1, 2, 3, 4, 5]) AS ord FROM part WHERE p_size % 3 > 0
+  UNION ALL SELECT p_partkey, unnest([p_brand, 'zz ' || p_size, 'qz' || p_partkey]), unnest([1, 2, 3]) FROM part WHERE p_size % 3 = 0),
+n AS (SELECT *, {_FLAT.format("name")} AS f, trim(regexp_replace(lower(trim(name)), '[^a-z0-9\\s''.-]+', '', 'g')) AS base, len(list_filter(string_split(lower(name), ' '), lambda w: list_contains({_NAMES}, regexp_replace(w, '[^a-z0-9]+', '', 'g')))) AS hits FROM a WHERE name <> ''),
+s AS (SELECT *, length(f) >= 2 AND (hits > 0 OR {_BASE.format("f", _NAMES, "base")} OR len(list_filter({_NAMES}, lambda x: (length(x) >= 4 AND contains(f, x)) OR (length(f) >= 4 AND contains(x, f)))) > 0) AS likely,
+  round(CASE WHEN length(name) BETWEEN 3 AND 50 THEN 2 WHEN length(name) > 50 THEN -1 ELSE 0 END + CASE WHEN length(name) BETWEEN 5 AND 30 THEN 1 ELSE 0 END + 3.0::DOUBLE * length(regexp_replace(name, '[^\\p{{L}} ''.-]', '', 'g')) / greatest(length(name), 1)
+  + CASE WHEN {_BASE.format("f", _NAMES, "base")} THEN 12 ELSE 10 * hits + CASE WHEN hits = 0 AND len(list_filter({_NAMES}, lambda x: length(x) >= 5 AND (contains(f, x) OR contains(x, f)))) > 0 THEN 5 ELSE 0 END END
+  - CASE WHEN regexp_matches(name, '[A-Z]{{5,}}') THEN 2 ELSE 0 END - CASE WHEN regexp_matches(name, '[0-9]{{3,}}') THEN 3 ELSE 0 END, 6) AS score FROM n),
+r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY CASE WHEN likely THEN 0 ELSE 1 END, CASE WHEN likely THEN ord ELSE 0 END, score DESC, ord) AS k FROM s)
+SELECT p.p_partkey, coalesce(CASE WHEN likely OR score > -1 THEN name END, '') AS name, coalesce(likely, false) AS likely FROM part p LEFT JOIN (SELECT * FROM r WHERE k = 1) USING (p_partkey)""")
+def chosen_reading(spark, d):
+    """Of several readings of a card the first that is likely a name, whatever the scores; else the best score above -1, of equal ones the first; else none."""
+    lex = N.Lexicon.of(name=LEXICON)
+    many = F.array("p_brand", F.concat("p_name", F.lit(" 1234")), F.concat(F.lit("qz"), c("p_partkey").cast("string")), F.upper("p_name"), F.lit(""))
+    few = F.array(c("p_brand"), F.concat(F.lit("zz "), c("p_size").cast("string")), F.concat(F.lit("qz"), c("p_partkey").cast("string")))
+    part = table(spark, d, "part")
+    tries = part.select("p_partkey", F.posexplode(F.when(c("p_size") % 3 > 0, many).otherwise(few)).alias("ord", "name")).filter("name != ''")
+    judged = tries.select("p_partkey", "ord", "name", N.likely_name(c("name"), lex).alias("likely"), F.round(N.name_score(c("name"), lex), 6).alias("score"))
+    best = judged.groupBy("p_partkey").agg(F.min_by(c("name"), F.when(c("likely"), c("ord"))).alias("first"), F.max(F.struct("score", (-c("ord")).alias("ord"), "name")).alias("top"))
+    name = F.coalesce(c("first"), F.when(c("top.score") > -1, c("top.name")), F.lit(""))
+    return part.select("p_partkey").join(best, "p_partkey", "left").select("p_partkey", name.alias("name"), c("first").isNotNull().alias("likely"))
+
+
+#: The sets of names that are united: nine of generations, and those of owners and variants.
+GENERATIONS = 9
+
+
+@query(f"""
+WITH n AS (SELECT 'gen' || (1 + (p_size - 1) % {GENERATIONS}) AS source, split_part(p_name, ' ', 2) AS name FROM part UNION ALL SELECT 'owner', p_brand FROM part UNION ALL SELECT 'variant', split_part(p_name, ' ', 1) FROM part)
+SELECT CASE WHEN source LIKE 'gen%' THEN 'name' ELSE 'prefix' END AS kind, name, count(DISTINCT source) AS sources, min(source) AS first_source FROM n GROUP BY ALL""")
+def name_unions(spark, d):
+    """All names of nine generations and all prefixes, each once, with how many sets hold it and the first of them."""
+    part = table(spark, d, "part")
+    sets = [part.filter(((c("p_size") - 1) % GENERATIONS) == g).select(F.lit(f"gen{g + 1}").alias("source"), F.split("p_name", " ")[1].alias("name")) for g in range(GENERATIONS)]
+    sets += [part.select(F.lit("owner").alias("source"), c("p_brand").alias("name")), part.select(F.lit("variant").alias("source"), F.split("p_name", " ")[0].alias("name"))]
+    return R.united(sets, ["name"], F.when(c("source").startswith("gen"), "name").otherwise("prefix").alias("kind"))
+
+
+@query("""
+WITH f AS (SELECT l_orderkey AS file FROM lineitem WHERE l_linenumber = 1 AND l_returnflag <> 'R'), r AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'front' WHEN 'F' THEN 'back' ELSE '' END AS label, (o_orderkey % 100) / 100.0 AS conf, CASE WHEN o_orderkey % 37 = 0 THEN NULL ELSE o_orderkey END AS file FROM orders)
+SELECT CASE WHEN file IS NULL THEN 'blank' WHEN file NOT IN (SELECT file FROM f) THEN 'missing' WHEN label = 'front' AND conf >= 0.9 THEN 'front' WHEN label = 'back' AND conf >= 0.9 THEN 'back' ELSE 'review' END AS class, count(*) AS n FROM r GROUP BY ALL""")
+def file_classes(spark, d):
+    """Labelled rows by where their file goes; rows without a name and rows without a file are counted apart, in the scan that splits the others."""
+    files = table(spark, d, "lineitem").filter("l_linenumber = 1 AND l_returnflag != 'R'").select(c("l_orderkey").alias("file"))
+    label = F.when(c("o_orderstatus") == "O", "front").when(c("o_orderstatus") == "F", "back").otherwise("")
+    rows = table(spark, d, "orders").select(F.when(c("o_orderkey") % 37 != 0, c("o_orderkey")).alias("file"), label.alias("label"), (c("o_orderkey") % 100 / 100.0).alias("conf"))
+    placed, passed = R.with_files(rows, files, "file")
+    kind = F.when((c("label") == "front") & (c("conf") >= 0.9), "front").when((c("label") == "back") & (c("conf") >= 0.9), "back").otherwise("review")
+    counts = [(r["class"], r["n"]) for r in placed.groupBy(kind.alias("class")).agg(F.count(F.lit(1)).alias("n")).collect()]  # three classes
+    counts += [(k, passed.get[k]) for k in ("blank", "missing")]  # delivered with the result
+    return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(k).alias("class"), F.lit(n).cast("long").alias("n")) for k, n in counts if n])))
+
+
 @query("""
 SELECT l_orderkey, count(*) AS n, array_to_string(list('BR_' || l_linenumber || ':' || l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey), ' ') AS log FROM lineitem GROUP BY l_orderkey""")
 def candidate_log(spark, d):
@@ -162,24 +215,49 @@ def upload_names(spark, d):
     return table(spark, d, "pages").select("page_id", T.extension(kind).alias("extension"), T.as_digits(c("url")).alias("digits"), F.lit(T.PROCESSED_AT).alias("processed_at"))
 
 
-def expected_name(file_name: Column, markers: list[str]) -> Column:
-    """The name a file name states: without extension and number, cut at the first marker in list order, words in title case; null if too short."""
-    stem = F.regexp_replace(F.regexp_replace(F.lower(file_name), "\\.(png|jpg|jpeg|webp)$", ""), "-[0-9]+$", "")
-    for m in markers:
-        at = F.instr(stem, m)
-        stem = F.when(at > 1, F.substring_index(stem, m, 1)).otherwise(stem)
-    name = F.array_join(F.transform(F.split(stem, "-"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), w.substr(F.lit(2), F.length(w)))), " ")
-    return F.when((F.length(name) >= 2) & name.rlike("[A-Za-z]"), name)
+#: What ends a file's name, in the order in which it is taken off, and the sets that may follow a card's name, in the order in which they are looked for.
+NAME_ENDS = ("-[a-z]{2,4}-[0-9]+$", "-[0-9]+$", "-[a-z0-9]+[0-9]{4}[a-z0-9]*$")
+SET_MARKERS = (
+    "base-set", "jungle", "fossil", "team-rocket", "gym-heroes", "gym-challenge", "neo-genesis", "neo-discovery", "neo-revelation", "neo-destiny", "expedition", "aquapolis", "skyridge", "ruby-sapphire",
+    "sandstorm", "dragon", "magma-aqua", "hidden-legends", "firered-leafgreen", "team-rocket-returns", "deoxys", "emerald", "unseen-forces", "delta-species", "legend-maker", "holon-phantoms", "crystal-guardians",
+    "dragon-frontiers", "power-keepers", "diamond-pearl", "mysterious-treasures", "secret-wonders", "great-encounters", "majestic-dawn", "legends-awakened", "stormfront", "platinum", "rising-rivals", "supreme-victors", "arceus",
+    "heartgold-soulsilver", "unleashed", "undaunted", "triumphant", "call-of-legends", "black-white", "emerging-powers", "noble-victories", "next-destinies", "dark-explorers", "dragons-exalted", "boundaries-crossed",
+    "plasma-storm", "plasma-freeze", "plasma-blast", "legendary-treasures", "x-y", "flashfire", "furious-fists", "phantom-forces", "primal-clash", "roaring-skies", "ancient-origins", "breakthrough", "breakpoint",
+    "generations", "fates-collide", "steam-siege", "evolutions", "sun-moon", "guardians-rising", "burning-shadows", "shining-legends", "crimson-invasion", "ultra-prism", "forbidden-light", "celestial-storm",
+    "dragon-majesty", "lost-thunder", "team-up", "unbroken-bonds", "unified-minds", "hidden-fates", "cosmic-eclipse", "sword-shield",
+)
 
 
-@query("""
-SELECT p_partkey, CASE WHEN length(n) >= 2 AND regexp_matches(n, '[A-Za-z]') THEN n END AS expected, CASE WHEN regexp_matches(f, '^([a-z0-9]+)-([0-9]{1,4})\\.(png|jpg|jpeg|webp)$') THEN CAST(regexp_extract(f, '^([a-z0-9]+)-([0-9]{1,4})\\.', 2) AS INT) END AS number
-FROM (SELECT p_partkey, f, array_to_string(list_transform(string_split(CASE WHEN instr(stem, '-holo') > 1 THEN split_part(stem, '-holo', 1) ELSE stem END, '-'), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ') AS n
-  FROM (SELECT p_partkey, f, regexp_replace(regexp_replace(lower(f), '\\.(png|jpg|jpeg|webp)$', ''), '-[0-9]+$', '') AS stem FROM (SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'base' || p_size || '-' || (p_partkey % 9999) || '.png' ELSE replace(p_name, ' ', '-') || CASE WHEN p_size % 2 = 0 THEN '-holo-rare' ELSE '' END || '-' || p_size || '.jpg' END AS f FROM part)))""")
+def expected_name(file_name: Column) -> Column:
+    """The name a file name states: without extension and NAME_ENDS, up to the first of SET_MARKERS in their order, words in title case; null if it is too short or without letters."""
+    stem = F.regexp_replace(file_name, "(?<=[^.])\\.[^.]*$", "")
+    for end in NAME_ENDS:
+        stem = F.regexp_replace(stem, f"(?i){end}", "")
+    # the marker that comes first in the list, if it doesn't begin the name
+    found = lambda x: F.get(F.filter(F.array(*map(F.lit, SET_MARKERS)), lambda m: F.instr(F.lower(x), m) > 1), F.lit(0))
+    cut = F.transform(F.array(stem), lambda x: F.transform(F.array(found(x)), lambda m: F.when(m.isNull(), x).otherwise(F.regexp_replace(x.substr(F.lit(1), F.instr(F.lower(x), m) - 1), "-+$", "")))[0])[0]
+    name = F.array_join(F.transform(F.split(cut, "-"), N.capitalised), " ")
+    return F.when((F.length(name) >= 2) & name.rlike("\\p{L}"), name)
+
+
+_FILE = """CASE p_size % 6 WHEN 0 THEN 'base' || p_size || '-' || (p_partkey % 9999) || '.png' WHEN 1 THEN replace(p_name, ' ', '-') || '-team-rocket-tr-' || p_size || '.jpg' WHEN 2 THEN upper(replace(p_name, ' ', '-')) || '-Dragon-frontiers-' || p_size || '.JPEG'
+  WHEN 3 THEN replace(p_name, ' ', '-') || '-ab12345c.webp' WHEN 4 THEN 'jungle-' || replace(p_name, ' ', '-') || '-sword-shield.png' ELSE p_size || '.png' END"""
+
+
+@query(f"""
+WITH f AS (SELECT p_partkey, {_FILE} AS f FROM part), s AS (SELECT p_partkey, f, {"regexp_replace(" * 3}regexp_replace(f, '\\.[^.]*$', ''), {", '', 'i'), ".join(f"'{e}'" for e in NAME_ENDS)}, '', 'i') AS s FROM f),
+m AS (SELECT *, list_filter({list(SET_MARKERS)}, lambda m: instr(lower(s), m) > 1)[1] AS m FROM s),
+n AS (SELECT p_partkey, f, array_to_string(list_transform(string_split(CASE WHEN m IS NULL THEN s ELSE rtrim(substr(s, 1, instr(lower(s), m) - 1), '-') END, '-'), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ') AS n FROM m)
+SELECT p_partkey, CASE WHEN length(n) >= 2 AND regexp_matches(n, '[A-Za-z]') THEN n END AS expected, CASE WHEN regexp_matches(f, '^([a-z0-9]+)-([0-9]{{1,4}})\\.(png|jpg|jpeg|webp)$') THEN CAST(regexp_extract(f, '^([a-z0-9]+)-([0-9]{{1,4}})\\.', 2) AS INT) END AS number FROM n""")
 def expected_from_file(spark, d):
-    other = F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.when(c("p_size") % 2 == 0, "-holo-rare").otherwise(""), F.lit("-"), c("p_size").cast("string"), F.lit(".jpg"))
-    f = F.when(c("p_size") % 3 == 0, F.concat(F.lit("base"), c("p_size").cast("string"), F.lit("-"), (c("p_partkey") % 9999).cast("string"), F.lit(".png"))).otherwise(other)
-    return table(spark, d, "part").select("p_partkey", f.alias("f")).select("p_partkey", expected_name(c("f"), ["-holo"]).alias("expected"), T.file_key(c("f"))["number"].alias("number"))
+    """Names and numbers that files of six kinds of names state."""
+    f, dashed = c("p_size").cast("string"), F.replace("p_name", F.lit(" "), F.lit("-"))
+    kinds = [
+        F.concat(F.lit("base"), f, F.lit("-"), (c("p_partkey") % 9999).cast("string"), F.lit(".png")), F.concat(dashed, F.lit("-team-rocket-tr-"), f, F.lit(".jpg")), F.concat(F.upper(dashed), F.lit("-Dragon-frontiers-"), f, F.lit(".JPEG")),
+        F.concat(dashed, F.lit("-ab12345c.webp")), F.concat(F.lit("jungle-"), dashed, F.lit("-sword-shield.png")), F.concat(f, F.lit(".png")),
+    ]
+    files = table(spark, d, "part").select("p_partkey", F.element_at(F.array(*kinds), (c("p_size") % 6 + 1).cast("int")).alias("f"))
+    return files.select("p_partkey", expected_name(c("f")).alias("expected"), T.file_key(c("f"))["number"].alias("number"))
 
 
 @query(f"""
@@ -286,19 +364,57 @@ def observation_texts(spark, d):
     )
 
 
-@query("""
-WITH r AS (SELECT event_id, event_id % 11 AS k FROM events)
-SELECT event_id, CASE k WHEN 0 THEN 'INVALID_REQUEST_FORMAT' WHEN 1 THEN 'INVALID_REQUEST_FORMAT' WHEN 2 THEN 'UNSUPPORTED_CARD_TYPE' WHEN 3 THEN 'UNSUPPORTED_CARD_TYPE' WHEN 4 THEN 'MISSING_REQUIRED_FIELD' WHEN 5 THEN 'INVALID_FIELD_VALUE'
-  WHEN 6 THEN 'MISSING_REQUIRED_FIELD' WHEN 7 THEN 'INVALID_IMAGE_FORMAT' END AS error_code, CASE WHEN k < 8 THEN 400 ELSE 200 END AS status FROM r""")
+#: Pieces of request bodies: every field in several forms, right and wrong, that are combined by the key.
+_PIECES = {
+    "card": ['"card_type":"pokemon",', '"card_type":"trainer",', '"card_type":"energy",', '"card_type":"coin",', '"card_type":7,', "", '"card_type":"pokemon",', '"card_type":null,'],
+    "front": ['{"encoding":"base64","data":"QUJD"}', '{"data":"QUJDRA==","encoding":"base64","more":[1]}', '{"encoding":"url","data":"https://x/y"}', '{"encoding":"hex","data":"00"}', '{"encoding":"base64","data":""}', '{"encoding":"base64","data":"A*"}', '{"encoding":"base64"}', '"QUJD"', "null", '{"encoding":"url","data":"  "}', '{"encoding":"base64","data":"QQ=="}'],
+    "back": ['"back_image":{"encoding":"base64","data":"QUI="},', '"back_image":{"encoding":"url","data":"https://b"},', "", '"back_image":{"encoding":"base64","data":"QQ=="},', '"back_image":null,'],
+    "kind": ['"kind":"front_image",', '"kind":"back_image",', '"kind":"side",', "", '"kind":"front_image",'],
+    "mime": ['"content_type":"image/png",', '"content_type":"image/jpeg",', '"content_type":"text/plain",', '"content_type":"",', '"content_type":3,', '"content_type":"image/webp",'],
+}
+_STEPS = {"card": 3, "front": 5, "back": 7, "kind": 11, "mime": 13}  # a key takes piece (key * step + key // 8) % number of pieces
+
+
+def _bodies_in_sql() -> str:
+    """The same bodies in SQL."""
+    piece = {k: f"{[x.replace(chr(39), chr(39) * 2) for x in v]}[1 + (event_id * {_STEPS[k]} + event_id // 8) % {len(v)}]" for k, v in _PIECES.items()}
+    length = "'\"content_length\":' || CASE event_id % 7 WHEN 0 THEN '-1' WHEN 1 THEN '\"9\"' ELSE CAST(event_id * 30011 % 20000000 AS VARCHAR) END"
+    return f"SELECT event_id, CASE WHEN event_id % 19 = 0 THEN '{{not json' WHEN event_id % 23 = 0 THEN '[' || event_id || ']' ELSE '{{' || {piece['card']} || {piece['back']} || {piece['kind']} || {piece['mime']} || {length} || ',\"front_image\":' || {piece['front']} || ',\"n\":' || event_id || '}}' END AS body FROM events"
+
+
+def request_bodies(spark, d) -> DataFrame:
+    """event_id, body: JSON texts of every combination of pieces, some broken."""
+    key = c("event_id")
+    piece = lambda k: F.element_at(F.array(*map(F.lit, _PIECES[k])), (1 + (key * _STEPS[k] + F.floor(key / 8)) % len(_PIECES[k])).cast("int"))
+    length = F.concat(F.lit('"content_length":'), F.when(key % 7 == 0, "-1").when(key % 7 == 1, '"9"').otherwise((key * 30011 % 20_000_000).cast("string")))
+    whole = F.concat(F.lit("{"), piece("card"), piece("back"), piece("kind"), piece("mime"), length, F.lit(',"front_image":'), piece("front"), F.lit(',"n":'), key.cast("string"), F.lit("}"))
+    return table(spark, d, "events").select("event_id", F.when(key % 19 == 0, "{not json").when(key % 23 == 0, F.concat(F.lit("["), key.cast("string"), F.lit("]"))).otherwise(whole).alias("body"))
+
+
+_TOLD = f"""WITH b AS ({_bodies_in_sql()}), j AS (SELECT *, CASE WHEN json_valid(body) THEN body::JSON END AS j FROM b),
+t AS (SELECT *, j IS NULL OR json_type(j) <> 'OBJECT' AS bad, CASE WHEN json_type(j, '$.card_type') = 'VARCHAR' THEN j ->> '$.card_type' END AS card, json_type(j, '$.front_image') AS front, j ->> '$.front_image.encoding' AS enc, CASE WHEN json_type(j, '$.front_image.data') = 'VARCHAR' THEN j ->> '$.front_image.data' END AS data,
+  j ->> '$.back_image.encoding' AS back_enc, CASE WHEN json_type(j, '$.back_image.data') = 'VARCHAR' THEN j ->> '$.back_image.data' END AS back_data, CASE WHEN json_type(j, '$.kind') = 'VARCHAR' THEN j ->> '$.kind' END AS kind, CASE WHEN json_type(j, '$.content_type') = 'VARCHAR' THEN j ->> '$.content_type' END AS mime,
+  CASE WHEN json_type(j, '$.content_length') IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN CAST(j ->> '$.content_length' AS DOUBLE) END AS size FROM j)"""
+
+
+@query(f"""{_TOLD}, e AS (SELECT event_id, CASE WHEN bad THEN 'INVALID_REQUEST_FORMAT' WHEN coalesce(card, '') NOT IN ('pokemon', 'trainer', 'energy') THEN 'UNSUPPORTED_CARD_TYPE' WHEN coalesce(front, '') <> 'OBJECT' THEN 'MISSING_REQUIRED_FIELD' WHEN coalesce(enc, '') NOT IN ('base64', 'url') THEN 'INVALID_FIELD_VALUE'
+  WHEN coalesce(data, '') = '' THEN 'MISSING_REQUIRED_FIELD' WHEN enc = 'base64' AND NOT regexp_full_match(data, '([A-Za-z0-9+/]{{4}})*([A-Za-z0-9+/]{{2}}==|[A-Za-z0-9+/]{{3}}=)?') THEN 'INVALID_IMAGE_FORMAT' END AS error_code FROM t)
+SELECT event_id, error_code, CASE WHEN error_code IS NULL THEN 200 ELSE 400 END AS status FROM e""")
 def request_cascade(spark, d):
-    """The checks of an analysis request in turn; the first that fails decides. Bodies of each kind are made from the key."""
-    body = F.element_at(F.array(*map(F.lit, (
-        "{not json", "[1, 2]", '{"front_image":{"encoding":"base64","data":"QUJD"}}', '{"card_type":"coin","front_image":{}}', '{"card_type":"trainer","front_image":"x"}', '{"card_type":"trainer","front_image":{"encoding":"hex","data":""}}',
-        '{"card_type":"pokemon","front_image":{"encoding":"base64","data":""}}', '{"card_type":"pokemon","front_image":{"encoding":"base64","data":"A"}}', '{"card_type":"energy","front_image":{"encoding":"url","data":"https://x"}}',
-        '{"card_type":"pokemon","front_image":{"encoding":"base64","data":"QUJD"}}', '{"extra":1,"card_type":"trainer","front_image":{"data":"QUJDRA==","encoding":"base64"}}',
-    ))), (c("event_id") % 11 + 1).cast("int"))
+    """The checks of an analysis request in turn; the first that fails decides."""
     code = S.analysis_error(c("body"))
-    return table(spark, d, "events").select("event_id", body.alias("body")).select("event_id", code.alias("error_code"), F.when(code.isNull(), 200).otherwise(400).alias("status"))
+    return request_bodies(spark, d).select("event_id", code.alias("error_code"), F.when(code.isNull(), 200).otherwise(400).alias("status"))
+
+
+_FRONT = "coalesce(enc, '') NOT IN ('base64', 'url') OR trim(coalesce(data, '')) = ''"
+
+
+@query(f"""{_TOLD} SELECT event_id, CASE WHEN bad OR coalesce(card, '') NOT IN ('pokemon', 'trainer', 'energy') THEN 'UNSUPPORTED_CARD_TYPE' WHEN {_FRONT} THEN 'MISSING_REQUIRED_FIELD' END AS job,
+  CASE WHEN bad OR coalesce(card, '') <> 'pokemon' THEN 'UNSUPPORTED_CARD_TYPE' WHEN coalesce(enc, '') <> 'base64' OR coalesce(data, '') = '' OR coalesce(back_enc, '') <> 'base64' OR coalesce(back_data, '') = '' THEN 'MISSING_REQUIRED_FIELD' END AS grade,
+  CASE WHEN bad OR coalesce(kind, '') NOT IN ('front_image', 'back_image') OR coalesce(mime, '') = '' THEN 'MISSING_REQUIRED_FIELD' WHEN mime NOT IN ('image/jpeg', 'image/png', 'image/webp') THEN 'INVALID_REQUEST_FORMAT' WHEN size IS NULL OR size <= 0 THEN 'MISSING_REQUIRED_FIELD' WHEN size > 12582912 THEN 'INVALID_REQUEST_FORMAT' END AS upload FROM t""")
+def gateway_checks(spark, d):
+    """What the gateway answers to a body sent as a job, a grading or an upload; null where it passes."""
+    return request_bodies(spark, d).select("event_id", S.job_error(c("body")).alias("job"), S.grade_error(c("body")).alias("grade"), S.upload_request_error(c("body")).alias("upload"))
 
 
 @query(f"""
