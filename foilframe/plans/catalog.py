@@ -368,7 +368,13 @@ def vintage_fallback(spark, d):
     return table(spark, d, "lineitem").select(*line_key(), F.round(S.vintage_confidence(num, total, c("l_linenumber") - 4), 6).alias("confidence"))
 
 
-@query()
+@query("""
+WITH k AS (SELECT p_partkey, probe, p_partkey * 31 + probe * 17 AS seed, ['sub_0.2_0.15', 'sub_0.3_0.25', 'sub_0.35_0.3'][probe // 27 + 1] AS crop, CAST(probe // 3 % 9 * 3 - 12 AS INT) AS angle, [7, 8, 13][probe % 3 + 1]::INT AS mode FROM part, range(81) r(probe)),
+t AS (SELECT *, CASE WHEN p_partkey % 9 = 0 THEN '' WHEN seed % 3 = 0 THEN (seed % 700) || ' / ' || (seed % 613) WHEN seed % 3 = 1 THEN (seed % 99) || '/' END AS raw FROM k),
+n AS (SELECT *, TRY_CAST(nullif(regexp_extract(raw, '([0-9]{1,3})\\s*/\\s*([0-9]{1,3})', 1), '') AS INT) AS num, TRY_CAST(nullif(regexp_extract(raw, '([0-9]{1,3})\\s*/\\s*([0-9]{1,3})', 2), '') AS INT) AS total FROM t),
+s AS (SELECT *, CASE WHEN total BETWEEN 20 AND 500 THEN 2.0 ELSE 0 END + CASE WHEN total >= 50 THEN 1.0 ELSE 0 END + CASE WHEN num > 0 THEN 0.5 ELSE 0 END - CASE WHEN num > total + 150 THEN 5.0 ELSE 0 END - CASE WHEN num BETWEEN 1900 AND 2099 THEN 5.0 ELSE 0 END - CASE WHEN total BETWEEN 1900 AND 2099 THEN 5.0 ELSE 0 END - 0.05 * abs(angle) AS score FROM n WHERE num IS NOT NULL),
+b AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, probe) AS z FROM s)
+SELECT p.p_partkey, num || '/' || total AS number, crop, angle, mode, trim(raw) AS raw, CASE WHEN score IS NOT NULL THEN round(least(0.9, greatest(0.5, 0.5 + score / 5))::DOUBLE, 6) END AS confidence FROM part p LEFT JOIN (SELECT * FROM b WHERE z = 1) b ON b.p_partkey = p.p_partkey""")
 def vintage_sweep(spark, d):
     """All 81 probes of each part and the best number read; what a probe reads is made up from the key and the probe."""
     seed = c("p_partkey") * 31 + c("probe") * 17
