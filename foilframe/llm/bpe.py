@@ -35,6 +35,7 @@ from foilframe.llm.textblocks import give_back
 #: About how many bytes the generations of a worker's memories of texts may take, and its memory of seams. A matter of speed only.
 MEMO_BYTES = 32 << 20
 _ENTRY, _SEAM = 200, 160  # what the interpreter spends on an entry beside its text and ids
+_BITS = 31  # more than an id has
 SLICE = 200_000
 #: The pattern of the byte_bpe vocabularies.
 SPACE_LED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -46,6 +47,16 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line.strip())}
 
 
+def _common_first(ranks: dict[bytes, int]) -> list[tuple[bytes, int]]:
+    """Tokens in an order in which of several next bytes the commoner comes first, as the automaton tries them in turn."""
+    held = np.zeros(256, dtype=np.int64)
+    for t in ranks:
+        held += np.bincount(np.frombuffer(t, np.uint8), minlength=256)
+    place = np.empty(256, dtype=np.uint8)
+    place[np.argsort(-held, kind="stable")] = np.arange(256)
+    return sorted(ranks.items(), key=lambda x: x[0].translate(place.tobytes()))
+
+
 class _Memo(dict):
     """Text -> its ids as little-endian 32-bit integers, made on first sight and kept in two generations.
 
@@ -85,15 +96,18 @@ class Codec:
 
         self.ranks = ranks
         self.token = {i: t for t, i in ranks.items()}
-        self.length = {i: len(t) for t, i in ranks.items()}
+        size = max(ranks.values(), default=-1) + 1
+        self.length, self.shorter = [0] * size, [-1] * size  # of each token: its bytes, the longest token that is a proper prefix
+        for t, i in ranks.items():
+            self.length[i] = len(t)
+            self.shorter[i] = next((ranks[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in ranks), -1)
         self.pattern = regex.compile(pattern)
         self.automaton = ahocorasick.Automaton()
-        for t, i in ranks.items():
-            self.automaton.add_word(t.decode("latin-1"), (len(t), i))
+        for t, i in _common_first(ranks):
+            self.automaton.add_word(t.decode("latin-1"), i)
         self.automaton.make_automaton()
         self.splits: dict[int, tuple[int, int] | None] = {}
-        self.seams: dict[tuple[int, int], bool] = {}
-        self.shorter: dict[int, int] = {}
+        self.seams: dict[int, bool] = {}  # by both ids in one number
         self.spines: dict[tuple[int, int], list[int]] = {}
         self.pieces = _Memo(self._ids)
         self.spaced = _Memo(self._after_space)
@@ -130,18 +144,19 @@ class Codec:
 
     def fits(self, a: int, b: int) -> bool:
         """Whether token b may stand after token a: no merge ever crosses their seam."""
-        known = self.seams.get((a, b))
+        known = self.seams.get(a << _BITS | b)
         if known is None:
             if len(self.seams) * _SEAM >= MEMO_BYTES:
                 self.seams.clear()
-            known = self.seams[a, b] = self._seam_holds(a, b)
+            known = self.seams[a << _BITS | b] = self._seam_holds(a, b)
         return known
 
     def _seam_holds(self, a: int, b: int) -> bool:
         left, right = self._spine(a, 1), self._spine(b, 0)
+        ranks, tokens = self.ranks, self.token
         i, j = len(left) - 1, len(right) - 1
         while True:
-            joined = self.ranks.get(self.token[left[i]] + self.token[right[j]])
+            joined = ranks.get(tokens[left[i]] + tokens[right[j]])
             # of equal ranks the leftmost pair is merged first
             if joined is not None and (i == 0 or joined < left[i - 1]) and (j == 0 or joined <= right[j - 1]):
                 return False
@@ -152,21 +167,14 @@ class Codec:
             else:
                 j -= 1
 
-    def _next_shorter(self, i: int) -> int:
-        """The longest token that is a proper prefix of token i, or -1."""
-        if i not in self.shorter:
-            t = self.token[i]
-            self.shorter[i] = next((self.ranks[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in self.ranks), -1)
-        return self.shorter[i]
-
     def encode_piece(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        n, length, seams = len(piece), self.length, self.seams
+        n, length, seams, shorter = len(piece), self.length, self.seams, self.shorter
         longest = [-1] * n
-        for end, (size, i) in self.automaton.iter(piece.decode("latin-1")):
-            longest[end - size + 1] = i  # later ends are longer
+        for end, i in self.automaton.iter(piece.decode("latin-1")):
+            longest[end - length[i] + 1] = i  # later ends are longer
         dead = bytearray(n + 1)
         out: list[int] = []
         at, token, last = 0, longest[0], -1
@@ -176,10 +184,10 @@ class Codec:
                 if not dead[end]:
                     if last < 0:
                         break
-                    fits = seams.get((last, token))
+                    fits = seams.get(last << _BITS | token)
                     if fits or fits is None and self.fits(last, token):
                         break
-                token = self._next_shorter(token)
+                token = shorter[token]
             if token >= 0:
                 out.append(token)
                 at, last = end, token
@@ -189,7 +197,7 @@ class Codec:
                     raise ValueError("the vocabulary lacks a byte of the text")
                 dead[at] = 1
                 at -= length[last]
-                token = self._next_shorter(out.pop())
+                token = shorter[out.pop()]
                 last = out[-1] if out else -1
         return out
 
