@@ -62,27 +62,36 @@ def _phrase(words: Column, at: Column, n: int) -> Column:
 
 def name_parts(name: Column, lex: Lexicon) -> Column:
     """prefixes, base, suffixes of a name: folds that take known phrases off both ends, the longest first."""
-    words = words_of(T.spaced(F.coalesce(name, F.lit(""))))
     known = lambda p: F.array_contains(lex.prefix, p) | F.array_contains(lex.owner, F.concat(p, F.lit("'s")))
     none = F.array().cast("array<string>")
 
-    def ahead(s: Column, _: Column) -> Column:
-        found = F.coalesce(*[F.when((s["at"] + n <= F.size(words)) & known(_phrase(words, s["at"], n)), F.lit(n)) for n in (3, 2, 1)], F.lit(0))
-        return F.struct((s["at"] + found).alias("at"), F.when(found > 0, F.concat(s["out"], F.array(F.array_join(F.slice(words, s["at"] + 1, F.greatest(found, F.lit(1))), " ")))).otherwise(s["out"]).alias("out"))
+    def longest(words: Column, start: Callable[[int], Column], within: Callable[[int], Column], fits: Callable[[Column], Column], most: int) -> Column:
+        """The longest phrase of at most most words that fits and how many words it has; null if there is none."""
+        tried = lambda n: T.bound(_phrase(words, start(n), n), lambda p: F.when(fits(p), F.struct(F.lit(n).alias("n"), p.alias("phrase"))))
+        return F.coalesce(*[F.when(within(n), tried(n)) for n in range(most, 0, -1)])
 
-    def behind(first: Column) -> Callable[[Column, Column], Column]:
-        def step(s: Column, _: Column) -> Column:
-            found = F.coalesce(*[F.when((s["at"] - n >= first) & F.array_contains(lex.suffix, _phrase(words, s["at"] - n, n)), F.lit(n)) for n in (2, 1)], F.lit(0))
-            return F.struct((s["at"] - found).alias("at"), F.when(found > 0, F.concat(F.array(F.array_join(F.slice(words, s["at"] - found + 1, F.greatest(found, F.lit(1))), " ")), s["out"])).otherwise(s["out"]).alias("out"))
+    def parts(words: Column) -> Column:
+        # a fold ends with the first place where nothing is found
+        def ahead(s: Column, _: Column) -> Column:
+            found = longest(words, lambda n: s["at"], lambda n: s["at"] + n <= F.size(words), known, 3)
+            more = lambda f: F.struct((s["at"] + F.coalesce(f["n"], F.lit(0))).alias("at"), F.when(f.isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(f["phrase"]))).alias("out"), f.isNotNull().alias("on"))
+            return F.when(s["on"], T.bound(found, more)).otherwise(s)
 
-        return step
+        def behind(first: Column) -> Callable[[Column, Column], Column]:
+            def step(s: Column, _: Column) -> Column:
+                found = longest(words, lambda n: s["at"] - n, lambda n: s["at"] - n >= first, lambda p: F.array_contains(lex.suffix, p), 2)
+                more = lambda f: F.struct((s["at"] - F.coalesce(f["n"], F.lit(0))).alias("at"), F.when(f.isNull(), s["out"]).otherwise(F.concat(F.array(f["phrase"]), s["out"])).alias("out"), f.isNotNull().alias("on"))
+                return F.when(s["on"], T.bound(found, more)).otherwise(s)
 
-    front = F.aggregate(words, F.struct(F.lit(0).alias("at"), none.alias("out")), ahead)
-    # the rest of the expression meets front as a variable, so that it is found once
-    return F.transform(F.array(front), lambda f: F.transform(
-        F.array(F.aggregate(words, F.struct(F.size(words).alias("at"), none.alias("out")), behind(f["at"]))),
-        lambda b: F.struct(f["out"].alias("prefixes"), F.array_join(F.slice(words, f["at"] + 1, b["at"] - f["at"]), " ").alias("base"), b["out"].alias("suffixes")),
-    )[0])[0]
+            return step
+
+        start = lambda at: F.struct(at.alias("at"), none.alias("out"), F.lit(True).alias("on"))
+        return T.bound(F.aggregate(words, start(F.lit(0)), ahead), lambda f: T.bound(
+            F.aggregate(words, start(F.size(words)), behind(f["at"])),
+            lambda b: F.struct(f["out"].alias("prefixes"), F.array_join(F.slice(words, f["at"] + 1, b["at"] - f["at"]), " ").alias("base"), b["out"].alias("suffixes")),
+        ))
+
+    return T.bound(words_of(T.spaced(F.coalesce(name, F.lit("")))), parts)
 
 
 def _either_within(a: Column, b: Column, least_a: int, least_b: int) -> Column:
@@ -92,39 +101,53 @@ def _either_within(a: Column, b: Column, least_a: int, least_b: int) -> Column:
 
 def valid_base(base: Column, lex: Lexicon) -> Column:
     """Whether a base name is known, by one of its words at least, or stands in a known name or one in it."""
-    norm = T.squashed(base)
-    word = F.exists(F.split(base, " "), lambda w: F.array_contains(lex.name, T.squashed(w)))
-    return (F.length(norm) >= 2) & (F.array_contains(lex.name, norm) | word | F.exists(lex.name, lambda x: _either_within(norm, x, 5, 5)))
+
+    def valid(b: Column, norm: Column) -> Column:
+        word = F.exists(F.split(b, " "), lambda w: T.bound(T.squashed(w), lambda v: F.array_contains(lex.name, v)))
+        return (F.length(norm) >= 2) & (F.array_contains(lex.name, norm) | word | F.exists(lex.name, lambda x: _either_within(norm, x, 5, 5)))
+
+    return T.bound(base, lambda b: T.bound(T.squashed(b), lambda norm: valid(b, norm)))
 
 
 def likely_name(name: Column, lex: Lexicon, parts: Column | None = None) -> Column:
     """Whether a text is likely a name; parts: its parts, where they are known."""
-    parts, norm = name_parts(name, lex) if parts is None else parts, T.squashed(name)
-    affix = F.array_contains(lex.variant, norm) | F.array_contains(lex.suffix, norm)
-    word = F.exists(words_of(F.lower(name)), lambda w: F.array_contains(lex.name, T.squashed(w)))
-    within = F.exists(lex.name, lambda x: _either_within(norm, x, 4, 4))
-    return F.coalesce((F.length(norm) >= 2) & (F.array_contains(lex.name, norm) | affix | valid_base(parts["base"], lex) | within | word), F.lit(False))
+
+    def likely(x: Column, norm: Column) -> Column:
+        base = (name_parts(x, lex) if parts is None else parts)["base"]
+        affix = F.array_contains(lex.variant, norm) | F.array_contains(lex.suffix, norm)
+        word = F.exists(words_of(F.lower(x)), lambda w: F.array_contains(lex.name, T.squashed(w)))
+        within = F.exists(lex.name, lambda x: _either_within(norm, x, 4, 4))
+        return F.coalesce((F.length(norm) >= 2) & (F.array_contains(lex.name, norm) | affix | valid_base(base, lex) | within | word), F.lit(False))
+
+    return T.bound(name, lambda x: T.bound(T.squashed(x), lambda norm: likely(x, norm)))
 
 
 def name_score(name: Column, lex: Lexicon, parts: Column | None = None) -> Column:
     """Length, letters, prefixes, base name and suffixes, else single words; less for shouting, repeats and digits."""
-    parts = name_parts(name, lex) if parts is None else parts
-    n, norm, kept = F.length(name), T.squashed(name), T.spaced(name)
     known = lambda w: F.array_contains(lex.name, w)
-    words = words_of(F.lower(name))
-    hits = F.size(F.filter(words, lambda w: known(T.squashed(w))))
-    ends = lambda w: F.array_contains(lex.suffix, T.squashed(w))
-    starts = lambda w: kept.contains(w) & F.exists(lex.prefix, lambda x: T.squashed(x).contains(T.squashed(w)))
-    modifiers = F.size(F.filter(words, lambda w: ~known(T.squashed(w)) & (ends(w) | starts(w))))
-    within = F.exists(lex.name, lambda x: (F.length(x) >= 5) & (norm.contains(x) | x.contains(norm)))
-    single = 10 * hits + 2 * modifiers + F.when((hits >= 1) & (modifiers >= 1), 5).otherwise(0) + F.when((hits == 0) & within, 5).otherwise(0)
-    score = (
-        F.when(n.between(3, 50), 2.0).when(n > 50, -1.0).otherwise(0.0) + F.when(n.between(5, 30), 1).otherwise(0)
-        + 3.0 * F.length(F.regexp_replace(name, "[^\\p{L} '.-]", "")) / F.greatest(n, F.lit(1))
-        + F.when(valid_base(parts["base"], lex), 12 + 4 * F.size(parts["prefixes"]) + 3 * F.size(parts["suffixes"])).otherwise(single)
-        - F.when(name.rlike("[A-Z]{5,}"), 2).otherwise(0) - F.when(F.lower(name).rlike("(.)\\1{3,}"), 2).otherwise(0) - F.when(name.rlike("[0-9]{3,}"), 3).otherwise(0)
-    )
-    return F.when(n > 0, score).otherwise(0.0)
+
+    def modifies(word: Column, kept: Column) -> Column:
+        starts = lambda flat: kept.contains(word) & F.exists(lex.prefix, lambda x: T.squashed(x).contains(flat))
+        return T.bound(T.squashed(word), lambda flat: ~known(flat) & (F.array_contains(lex.suffix, flat) | starts(flat)))
+
+    def single(x: Column, words: Column) -> Column:
+        hits = F.size(F.filter(words, lambda w: known(T.squashed(w))))
+        modifiers = T.bound(T.spaced(x), lambda kept: F.size(F.filter(words, lambda w: modifies(w, kept))))
+        within = T.bound(T.squashed(x), lambda norm: F.exists(lex.name, lambda x: (F.length(x) >= 5) & (norm.contains(x) | x.contains(norm))))
+        points = lambda h, m: 10 * h + 2 * m + F.when((h >= 1) & (m >= 1), 5).otherwise(0) + F.when((h == 0) & within, 5).otherwise(0)
+        return T.bound(hits, lambda h: T.bound(modifiers, lambda m: points(h, m)))
+
+    def score(x: Column, p: Column) -> Column:
+        n = F.length(x)
+        return (
+            F.when(n.between(3, 50), 2.0).when(n > 50, -1.0).otherwise(0.0) + F.when(n.between(5, 30), 1).otherwise(0)
+            + 3.0 * F.length(F.regexp_replace(x, "[^\\p{L} '.-]", "")) / F.greatest(n, F.lit(1))
+            + F.when(valid_base(p["base"], lex), 12 + 4 * F.size(p["prefixes"]) + 3 * F.size(p["suffixes"])).otherwise(T.bound(words_of(F.lower(x)), lambda words: single(x, words)))
+            - F.when(x.rlike("[A-Z]{5,}"), 2).otherwise(0) - F.when(F.lower(x).rlike("(.)\\1{3,}"), 2).otherwise(0) - F.when(x.rlike("[0-9]{3,}"), 3).otherwise(0)
+        )
+
+    scored = lambda x: F.when(F.length(x) > 0, T.bound(name_parts(x, lex) if parts is None else parts, lambda p: score(x, p))).otherwise(0.0)
+    return T.bound(name, scored)
 
 
 #: Suffixes in capitals, and those in title case; all others are in lower case.

@@ -21,6 +21,15 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def spread(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """df in parts of about so many rows by a key without frequent values; rows are counted first.
+
+    For steps whose work or memory the bytes of a file don't show: a file's row
+    groups are read by one task each, however much is done for a row.
+    """
+    return df.repartition(max(1, -(-df.count() // rows)), key)
+
+
 def first_best(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row for each key: the first in the order given."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

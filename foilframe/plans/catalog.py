@@ -543,6 +543,9 @@ def positional_similarity(spark, d):
     return R.similar_names(table(spark, d, "part").select("p_name"), "p_name")
 
 
+#: Rows for which one task works out names or the best of many probes.
+SCORED_ROWS = 5_000
+
 #: Words that stand in for a lexicon of names.
 LEXICON = ["ring", "widget", "bolt", "gear", "gizmo", "plate"]
 

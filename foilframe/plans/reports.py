@@ -11,7 +11,7 @@ from foilframe.functions import scores as S
 from foilframe.functions import texts as T
 from foilframe.operators import lexicon as X
 from foilframe.operators import relational as R
-from foilframe.plans.catalog import _FLAT, _LIMIT, _READ, LEX, LEXICON, lexicon, line_key, query, readings, table
+from foilframe.plans.catalog import _FLAT, _LIMIT, _READ, LEX, LEXICON, SCORED_ROWS, lexicon, line_key, query, readings, table
 from foilframe.streaming import queries as Q
 
 c = F.col
@@ -129,7 +129,8 @@ def best_card_name(spark, d):
     """The best of six readings of a name by the whole rule; of equal ones the first."""
     name = c("p_name")
     readings = [F.concat(name, F.lit(" 1234")), F.upper(name), c("p_brand"), F.concat(F.substring(name, 1, 7), F.lit(" gx")), name, F.when(c("p_size") % 2 == 0, F.concat(F.lit("Team Rocket's "), name, F.lit(" ex"))).otherwise("")]
-    tries = table(spark, d, "part").select("p_partkey", F.posexplode(F.array(*readings)).alias("k", "name"))
+    part = R.spread(table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_size"), "p_partkey", SCORED_ROWS)
+    tries = part.select("p_partkey", F.posexplode(F.array(*readings)).alias("k", "name"))
     lex = N.Lexicon.of(name=LEXICON, owner=[p for p in PREFIXES if "'" in p], variant=[p for p in PREFIXES if "'" not in p], suffix=SUFFIXES)
     scored = tries.withColumn("parts", N.name_parts(c("name"), lex)).select("p_partkey", "name", (c("k") + 1).alias("ord"), F.round(N.name_score(c("name"), lex, c("parts")), 6).alias("score"))
     return R.first_best(scored, ["p_partkey"], [F.desc("score"), c("ord")])
