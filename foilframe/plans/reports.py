@@ -117,7 +117,8 @@ def best_name(spark, d):
     """The best of four readings of a name, over names without prefixes and suffixes."""
     lex = N.Lexicon.of(name=LEXICON)
     tries = F.posexplode(F.array("p_name", F.upper("p_name"), "p_brand", F.concat("p_name", F.lit(" 1234")))).alias("k", "name")
-    scored = table(spark, d, "part").select("p_partkey", tries).select("p_partkey", "name", (c("k") + 1).alias("ord"), F.round(N.name_score(c("name"), lex), 6).alias("score"))
+    part = R.spread(table(spark, d, "part").select("p_partkey", "p_name", "p_brand"), "p_partkey", SCORED_ROWS)
+    scored = part.select("p_partkey", tries).select("p_partkey", "name", (c("k") + 1).alias("ord"), F.round(N.name_score(c("name"), lex), 6).alias("score"))
     return R.first_best(scored, ["p_partkey"], [F.desc("score"), c("ord")])
 
 
