@@ -598,7 +598,7 @@ SELECT p_partkey, CASE WHEN p THEN a ELSE '' END AS prefixes, CASE WHEN p THEN b
 def name_components(spark, d):
     lex = N.Lexicon.of(variant=["small", "large", "old", "hot", "red", "blue"], suffix=["ex", "gx"])
     named = F.concat(F.col("p_name"), F.when(c("p_size") % 2 == 0, " ex").otherwise(""))
-    out = table(spark, d, "part").select("p_partkey", N.name_parts(named, lex).alias("x"), N.title(named).alias("title"))
+    out = R.spread(table(spark, d, "part").select("p_partkey", "p_name", "p_size"), "p_partkey", SCORED_ROWS).select("p_partkey", N.name_parts(named, lex).alias("x"), N.title(named).alias("title"))
     return out.select("p_partkey", F.array_join("x.prefixes", " ").alias("prefixes"), "x.base", F.array_join("x.suffixes", " ").alias("suffixes"), "title", N.rebuilt(c("x")).alias("rebuilt"))
 
 
