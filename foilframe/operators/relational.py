@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from foilframe.functions import texts as T
 from foilframe.functions.scores import vintage_confidence, vintage_score
 from foilframe.operators.tables import written
 
@@ -54,22 +55,36 @@ def tiered_lookup(left: DataFrame, key: str, dim: DataFrame, tiers: list[str]) -
 CROPS, ANGLES, MODES = ("sub_0.2_0.15", "sub_0.3_0.25", "sub_0.35_0.3"), (-12, -9, -6, -3, 0, 3, 6, 9, 12), (7, 8, 13)
 
 
+def every_probe() -> Column:
+    """The 81 probes of a card's corner in their order, from 0: probe, crop, angle, mode."""
+    every = [(x, a, m) for x in CROPS for a in ANGLES for m in MODES]
+    return F.array(*[F.struct(F.lit(k).alias("probe"), F.lit(x).alias("crop"), F.lit(a).alias("angle"), F.lit(m).alias("mode")) for k, (x, a, m) in enumerate(every)])
+
+
 def probes(df: DataFrame) -> DataFrame:
     """df with each of the 81 probes of a card's corner: probe (their order, from 0), crop, angle, mode."""
-    every = [(x, a, m) for x in CROPS for a in ANGLES for m in MODES]
-    listed = F.array(*[F.struct(F.lit(k).alias("probe"), F.lit(x).alias("crop"), F.lit(a).alias("angle"), F.lit(m).alias("mode")) for k, (x, a, m) in enumerate(every)])
-    return df.withColumn("__probe", F.explode(listed)).select(*df.columns, "__probe.*")
+    return df.withColumn("__probe", F.explode(every_probe())).select(*df.columns, "__probe.*")
+
 
+def best_probe(read: Column) -> Column:
+    """number, crop, angle, mode, raw and confidence of the best probe; of equal scores the first, null where none reads a number.
 
-def best_probe(read: DataFrame, keys: list[str]) -> DataFrame:
-    """For each key the number of its best probe; of equal scores the first probe, null where none reads a number. read: keys, probes() and text, what was read."""
+    read: an array of probes with text, what was read. A card's probes are compared
+    within its row: as rows they would all be sorted, since a maximum of texts can't be hashed.
+    """
     pattern = "([0-9]{1,3})\\s*/\\s*([0-9]{1,3})"
-    num, total = (F.regexp_extract("text", pattern, k).try_cast("int") for k in (1, 2))
-    scored = read.withColumns({"num": num, "total": total}).withColumn("score", vintage_score(F.col("num"), F.col("total"), F.col("angle")))
-    pick = F.struct("score", (-F.col("probe")).alias("place"), "num", "total", "crop", "angle", "mode", F.trim("text").alias("raw"))
-    best = scored.groupBy(*keys).agg(F.max(F.when(F.col("num").isNotNull(), pick)).alias("b"))
-    number = F.when(F.col("b").isNotNull(), F.concat(F.col("b.num").cast("string"), F.lit("/"), F.col("b.total").cast("string")))
-    return best.select(*keys, number.alias("number"), "b.crop", "b.angle", "b.mode", "b.raw", F.when(F.col("b").isNotNull(), F.round(vintage_confidence(F.col("b.num"), F.col("b.total"), F.col("b.angle")), 6)).alias("confidence"))
+
+    def scored(p: Column) -> Column:
+        number = F.struct(*[F.regexp_extract(p["text"], pattern, k).cast("int").alias(x) for k, x in ((1, "num"), (2, "total"))])
+        return T.bound(number, lambda n: F.struct(vintage_score(n["num"], n["total"], p["angle"]).alias("score"), (-p["probe"]).alias("place"), n.alias("n"), p.alias("p")))
+
+    def told(b: Column) -> Column:
+        n, p = b["n"], b["p"]
+        number = F.concat(n["num"].cast("string"), F.lit("/"), n["total"].cast("string"))
+        confidence = F.round(vintage_confidence(n["num"], n["total"], p["angle"]), 6)
+        return F.when(b.isNotNull(), F.struct(number.alias("number"), p["crop"].alias("crop"), p["angle"].alias("angle"), p["mode"].alias("mode"), F.trim(p["text"]).alias("raw"), confidence.alias("confidence")))
+
+    return T.bound(F.array_max(F.transform(F.filter(read, lambda p: p["text"].rlike(pattern)), scored)), told)
 
 
 def highest_passing(values: list[Column], table: list[tuple], rest: float) -> Column:

@@ -33,6 +33,10 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+#: Rows for which one task works out names or the best of many probes.
+SCORED_ROWS = 5_000
+
+
 def line_key() -> list[str]:
     return ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
 
@@ -377,10 +381,15 @@ b AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, p
 SELECT p.p_partkey, num || '/' || total AS number, crop, angle, mode, trim(raw) AS raw, CASE WHEN score IS NOT NULL THEN round(least(0.9, greatest(0.5, 0.5 + score / 5))::DOUBLE, 6) END AS confidence FROM part p LEFT JOIN (SELECT * FROM b WHERE z = 1) b ON b.p_partkey = p.p_partkey""")
 def vintage_sweep(spark, d):
     """All 81 probes of each part and the best number read; what a probe reads is made up from the key and the probe."""
-    seed = c("p_partkey") * 31 + c("probe") * 17
-    number = F.concat((seed % 700).cast("string"), F.lit(" / "), (seed % 613).cast("string"))
-    text = F.when(c("p_partkey") % 9 == 0, "").when(seed % 3 == 0, number).when(seed % 3 == 1, F.concat((seed % 99).cast("string"), F.lit("/")))
-    return R.best_probe(R.probes(table(spark, d, "part").select("p_partkey")).withColumn("text", text), ["p_partkey"])
+    key = c("p_partkey")
+
+    def text(seed):
+        number = F.concat((seed % 700).cast("string"), F.lit(" / "), (seed % 613).cast("string"))
+        return F.when(key % 9 == 0, "").when(seed % 3 == 0, number).when(seed % 3 == 1, F.concat((seed % 99).cast("string"), F.lit("/")))
+
+    read = F.transform(R.every_probe(), lambda p: F.struct(p["probe"].alias("probe"), p["crop"].alias("crop"), p["angle"].alias("angle"), p["mode"].alias("mode"), T.bound(key * 31 + p["probe"] * 17, text).alias("text")))
+    cards = R.spread(table(spark, d, "part").select("p_partkey"), "p_partkey", SCORED_ROWS)
+    return cards.select("p_partkey", R.best_probe(read).alias("b")).select("p_partkey", "b.*")
 
 
 @query("""SELECT p_partkey, round(CASE WHEN length(coalesce(n, '')) BETWEEN 3 AND 50 THEN 0.5 WHEN length(coalesce(n, '')) > 0 THEN 0.2 ELSE 0 END + CASE WHEN coalesce(k, '') <> '' THEN 0.5 ELSE 0 END, 2)::DOUBLE AS confidence
@@ -543,9 +552,6 @@ def positional_similarity(spark, d):
     return R.similar_names(table(spark, d, "part").select("p_name"), "p_name")
 
 
-#: Rows for which one task works out names or the best of many probes.
-SCORED_ROWS = 5_000
-
 #: Words that stand in for a lexicon of names.
 LEXICON = ["ring", "widget", "bolt", "gear", "gizmo", "plate"]
 
