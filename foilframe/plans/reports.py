@@ -300,15 +300,27 @@ def match_methods(spark, d):
     return table(spark, d, "events").select("event_id", method.alias("match_method"), F.date_format(c("ts").cast("timestamp") + F.expr("INTERVAL 900 SECONDS"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("expires_at"))
 
 
+#: Lines of orders that one task sorts.
+INK_ROWS = 250_000
+
+
+def _islands(spark, d) -> DataFrame:
+    """l_orderkey, x, island: the columns of ink of an order, each once, and how many gaps wider than 15 lie before, the order's start included.
+
+    Lines are dealt out by order and count, so that a task's sorts and hash tables are as large however many lines there are.
+    """
+    x = R.spread(table(spark, d, "lineitem").select("l_orderkey", (c("l_partkey") % 200).alias("x")), "l_orderkey", INK_ROWS).distinct()
+    order = Window.partitionBy("l_orderkey").orderBy("x")
+    gap = F.coalesce((c("x") - F.lag("x").over(order) > 15).cast("long"), F.lit(1))
+    return x.withColumn("gap", gap).withColumn("island", F.sum("gap").over(order))
+
+
 @query("""
 WITH g AS (SELECT l_orderkey, x, lag(x) OVER (PARTITION BY l_orderkey ORDER BY x) AS p FROM (SELECT DISTINCT l_orderkey, CAST(l_partkey % 200 AS BIGINT) AS x FROM lineitem)),
 i AS (SELECT *, sum(CASE WHEN p IS NULL OR x - p > 15 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY x) AS island FROM g)
 SELECT l_orderkey, CAST(island AS BIGINT) AS island, min(x) AS x0, max(x) AS x1, count(*) AS n FROM i GROUP BY l_orderkey, island""")
 def ink_islands(spark, d):
-    x = table(spark, d, "lineitem").select("l_orderkey", (c("l_partkey") % 200).alias("x")).distinct()
-    order = Window.partitionBy("l_orderkey").orderBy("x")
-    gap = F.coalesce((c("x") - F.lag("x").over(order) > 15).cast("long"), F.lit(1))
-    return x.withColumn("gap", gap).withColumn("island", F.sum("gap").over(order)).groupBy("l_orderkey", "island").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.count(F.lit(1)).alias("n"))
+    return _islands(spark, d).groupBy("l_orderkey", "island").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT l_returnflag AS pipeline, count(*) AS total, count(*) FILTER (WHERE l_discount >= 0.04) AS success, round(100.0 * count(*) FILTER (WHERE l_discount >= 0.04) / greatest(count(*), 1), 2) AS success_pct, count(*) FILTER (WHERE l_discount < 0.04 AND l_tax > 0.06) AS best_effort FROM lineitem GROUP BY l_returnflag""")
