@@ -454,9 +454,7 @@ k AS (SELECT l_orderkey, list([a, b] ORDER BY a) FILTER (WHERE b - a >= 8) AS ke
 SELECT l_orderkey, CASE WHEN coalesce(len(kept), 0) <= 1 THEN 1 ELSE len(kept) END AS boxes, CASE WHEN coalesce(len(kept), 0) <= 1 THEN hi - lo ELSE list_sum(list_transform(kept, lambda x: x[2] - x[1]))::BIGINT END AS width FROM k""")
 def wide_box_split(spark, d):
     """A wide box cut at gaps of ink: segments of at least 8 columns; the whole box if fewer than two are left."""
-    x = table(spark, d, "lineitem").select("l_orderkey", (c("l_partkey") % 200).alias("x")).distinct()
-    order = Window.partitionBy("l_orderkey").orderBy("x")
-    parts = x.withColumn("gap", F.coalesce((c("x") - F.lag("x").over(order) > 15).cast("long"), F.lit(1))).withColumn("island", F.sum("gap").over(order)).groupBy("l_orderkey", "island").agg(F.min("x").alias("a"), (F.max("x") + 1).alias("b"))
+    parts = _islands(spark, d).groupBy("l_orderkey", "island").agg(F.min("x").alias("a"), (F.max("x") + 1).alias("b"))
     wide = c("b") - c("a") >= 8
     per = parts.groupBy("l_orderkey").agg(F.count_if(wide).alias("n"), F.sum(F.when(wide, c("b") - c("a"))).alias("kept"), (F.max("b") - F.min("a")).alias("whole"))
     return per.select("l_orderkey", F.when(c("n") <= 1, F.lit(1)).otherwise(c("n")).cast("long").alias("boxes"), F.when(c("n") <= 1, c("whole")).otherwise(c("kept")).alias("width"))

@@ -7,7 +7,7 @@ from foilframe.plans import catalog, reports
 D = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("query", ["ink_islands"])
+@pytest.mark.parametrize("query", ["ink_islands", "wide_box_split"])
 def test_more_lines_are_more_parts(spark, query, monkeypatch):
     whole = sorted(map(tuple, catalog.QUERIES[query](spark, D).collect()))
     lines = spark.read.parquet(f"{D}/lineitem.parquet").count()
