@@ -38,19 +38,20 @@ def parts(found: DataFrame) -> DataFrame:
     """
     line = Window.partitionBy("image").orderBy("y", "x0")
     numbered = written(found.withColumn("run", F.row_number().over(line)), "runs")
-    a, b = numbered.alias("a"), numbered.alias("b")
+    a, b = numbered.alias("a"), numbered.alias("b").hint("merge")
     touch = (F.col("a.image") == F.col("b.image")) & (F.col("a.y") + 1 == F.col("b.y")) & (F.col("a.x0") <= F.col("b.x1")) & (F.col("b.x0") <= F.col("a.x1"))
     down = a.join(b, touch).select("a.image", F.col("a.run").alias("run"), F.col("b.run").alias("other"))
     edges = written(down.unionByName(down.select("image", F.col("other").alias("run"), F.col("run").alias("other"))), "run-edges")
     now = numbered.select("image", "run", F.col("run").alias("part"))
+    # tables of runs look small to the planner, which would send them all through the driver in each round
     while True:
-        near = edges.join(now.select("image", F.col("run").alias("other"), "part"), ["image", "other"]).groupBy("image", "run").agg(F.min("part").alias("near"))
-        least = now.join(near, ["image", "run"], "left").select("image", "run", "part", F.least("part", "near").alias("low"))
-        jumped = least.join(least.select("image", F.col("run").alias("low"), F.col("low").alias("further")), ["image", "low"]).select("image", "run", F.col("part").alias("before"), F.least("low", "further").alias("part"))
+        near = edges.join(now.select("image", F.col("run").alias("other"), "part").hint("merge"), ["image", "other"]).groupBy("image", "run").agg(F.min("part").alias("near"))
+        least = now.join(near.hint("merge"), ["image", "run"], "left").select("image", "run", "part", F.least("part", "near").alias("low"))
+        jumped = least.join(least.select("image", F.col("run").alias("low"), F.col("low").alias("further")).hint("merge"), ["image", "low"]).select("image", "run", F.col("part").alias("before"), F.least("low", "further").alias("part"))
         seen = Observation()
         now = written(jumped.observe(seen, F.count_if(F.col("part") < F.col("before")).alias("moved")), "run-parts").select("image", "run", "part")
         if not seen.get["moved"]:
-            return numbered.join(now, ["image", "run"])
+            return numbered.join(now.hint("merge"), ["image", "run"])
 
 
 def part_sizes(df: DataFrame) -> DataFrame:
